@@ -1,0 +1 @@
+"""No streaming operators: the work this library covers is daily batch work."""
