@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandsense.functions.lineage import cut
 from demandsense.functions.numeric import clip
 from demandsense.operators.order_stats import group_median
 
@@ -64,6 +65,8 @@ def nearest_established(points: DataFrame, queries: DataFrame, k: int = K_ANALOG
     site = Window.partitionBy(*GROUP, "u", "v", "launch_idx").orderBy("series_id")
     pts = (points.select("series_id", *GROUP, "launch_idx", "u", "v")
            .withColumn("__rn", F.row_number().over(site)).where(F.col("__rn") <= want).drop("__rn"))
+    pts = cut(pts)
+    queries = cut(queries)
     asked = queries.select(*GROUP, "u", "v", "ready_by").distinct()
 
     grid = _cells(pts.select("*", levels), F.col("lv"))
@@ -76,6 +79,7 @@ def nearest_established(points: DataFrame, queries: DataFrame, k: int = K_ANALOG
     sized = (probes.join(ready, [*GROUP, "lv", "cx", "cy", "ready_by"], "left")
              .groupBy(*GROUP, "u", "v", "ready_by")
              .agg(F.max(F.when(F.col("ready") >= want, F.col("lv"))).alias("fine")))
+    sized = cut(sized)
 
     near = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda x: F.transform(
         F.sequence(F.lit(-1), F.lit(1)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
@@ -114,7 +118,7 @@ def launch_ramp(panel: DataFrame, series: DataFrame, upto: int, k: int = K_ANALO
     pts = standardised(series)
     launched = pts.where((F.col("launch_idx") > 0) & (F.col("launch_idx") + YOUNG_AGE <= upto))
     pairs = nearest_established(pts, launched.withColumn("ready_by", F.col("launch_idx") - ESTABLISHED_DAYS), k)
-    pairs = pairs.select("series_id", F.col("launch_idx").alias("begin"), F.col("analog").alias("member"))
+    pairs = cut(pairs.select("series_id", F.col("launch_idx").alias("begin"), F.col("analog").alias("member")))
     own = pairs.select("series_id", "begin", F.col("series_id").alias("member")).distinct()
     every = pairs.unionByName(own)
     # weekly sales of each (member, launch day) once, however many launches share it
@@ -129,7 +133,7 @@ def launch_ramp(panel: DataFrame, series: DataFrame, upto: int, k: int = K_ANALO
     mine = F.col("member") == F.col("series_id")
     ratios = rows.groupBy("series_id", "bucket").agg(
         F.percentile(F.when(~mine, F.col("units")), F.lit(0.5)).alias("den"), F.max(F.when(mine, F.col("units"))).alias("num"))
-    ratios = ratios.where("den > 0").withColumn("r", F.col("num") / F.col("den"))
+    ratios = cut(ratios.where("den > 0").withColumn("r", F.col("num") / F.col("den")))
     medians = (ratios.groupBy("bucket").agg(F.count(F.lit(1)).alias("launches"))
                .join(group_median(ratios, ["bucket"], "r", "m"), "bucket"))
     generic = series.sparkSession.createDataFrame(list(enumerate(GENERIC_RAMP)), "bucket int, generic double")

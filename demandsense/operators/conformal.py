@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandsense.functions.lineage import cut
 from demandsense.operators.order_stats import order_statistics
 
 # Miscoverage, smallest group with its own adjustment, bucket names.
@@ -37,8 +38,8 @@ def _adjustment(scored: DataFrame, by: Sequence[str], alpha: float) -> DataFrame
 def fit(rows: DataFrame, alpha: float = ALPHA, min_group: int = MIN_GROUP, lo: str = "p10", hi: str = "p90") -> DataFrame:
     """(bucket, cls_group, n, adjustment) per group plus a global row (both keys NULL);
     groups under ``min_group`` rows carry the global adjustment."""
-    scored = rows.select(horizon_bucket(F.col("h")).alias("bucket"), "cls_group",
-                         conformity_score(F.col("y"), F.col(lo), F.col(hi)).alias("score"))
+    scored = cut(rows.select(horizon_bucket(F.col("h")).alias("bucket"), "cls_group",
+                             conformity_score(F.col("y"), F.col(lo), F.col(hi)).alias("score")))
     overall = _adjustment(scored, [], alpha)
     groups = _adjustment(scored, ["bucket", "cls_group"], alpha)
     one = overall.select(F.col("adjustment").alias("__global"))

@@ -259,13 +259,10 @@ def quality_report(annotated: DataFrame) -> DataFrame:
         F.sum("n").alias("raw"), F.sum(F.when(clean, F.col("n")).otherwise(0)).alias("ok"),
         F.sum(F.when(clean, F.col("so"))).alias("so"),
         F.min(F.when(clean, F.col("lo"))).alias("lo"), F.max(F.when(clean, F.col("hi"))).alias("hi"))
-    total = total.select(F.explode(F.array(
-        F.struct(F.lit("rows_raw").alias("metric"), F.col("raw").cast("string").alias("value")),
-        F.struct(F.lit("rows_clean"), F.col("ok").cast("string")),
-        F.struct(F.lit("rows_quarantined"), (F.col("raw") - F.col("ok")).cast("string")),
-        F.struct(F.lit("stockout_days"), F.col("so").cast("string")),
-        F.struct(F.lit("first_date"), F.col("lo").cast("string")),
-        F.struct(F.lit("last_date"), F.col("hi").cast("string")))).alias("r"))
+    values = {"rows_raw": F.col("raw"), "rows_clean": F.col("ok"), "rows_quarantined": F.col("raw") - F.col("ok"),
+              "stockout_days": F.col("so"), "first_date": F.col("lo"), "last_date": F.col("hi")}
+    total = total.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("metric"), v.cast("string").alias("value")) for k, v in values.items()])).alias("r"))
     reasons = by_reason.where(~clean).select(F.lit("quarantine_reason").alias("metric"),
                                              F.col("reason").alias("key"), F.col("n").cast("string").alias("value"))
     return total.select("r.metric", F.lit("").alias("key"), "r.value").unionByName(reasons)

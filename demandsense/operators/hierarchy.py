@@ -28,11 +28,13 @@ def membership(series: DataFrame, leaf: str = "node_id") -> DataFrame:
 
 
 def tree_edges(series: DataFrame, leaf: str = "node_id") -> DataFrame:
-    """(node_id, parent_id, level): one row per node; the root has no parent."""
+    """(node_id, parent_id, level, path): one row per node; the root has no parent and
+    ``path`` lists the ids from the root down to the node."""
     path = [*ancestor_ids(), ("item_store", F.col(leaf))]
     pairs = F.array(*[
         F.struct(e.alias("node_id"), (path[i - 1][1] if i else F.lit(None).cast("string")).alias("parent_id"),
-                 F.lit(lv).alias("level")) for i, (lv, e) in enumerate(path)])
+                 F.lit(lv).alias("level"), F.array(*[p for _, p in path[:i + 1]]).alias("path"))
+        for i, (lv, e) in enumerate(path)])
     return series.select(F.explode(pairs).alias("p")).select("p.*").distinct()
 
 

@@ -1,14 +1,14 @@
 """Per-series statistics "as of day t, from days up to t" as range-frame windows.
 
-All history columns share one partitioning and one sort.  Range frames count days, not
-rows, so sparse panels need no densifying; ``with_origins`` adds a marker row per
-(series, origin) so a statistic can be read on a day without sales.
+Range frames count days, not rows, so sparse panels need no densifying; ``with_origins``
+adds a marker row per (series, origin) so a state can be read on a day without sales.
+Statistics wanted only at origins come from ``trailing_at_origins``, one aggregation.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from demandsense.functions.numeric import clip, ratio
@@ -36,37 +36,21 @@ def at_least(value: Column, counted: Column, window, k: int) -> Column:
 
 
 def with_rolling(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
-    """mean7/28/56, std28, zero28, last_obs of ``ym`` and days_since_sale of ``y``."""
-    ym, y, day = F.col("ym"), F.col("y"), F.col("day_idx")
+    """mean7/28/56, std28, zero28, last_obs of ``ym`` and days_since_sale of ``y`` on every row."""
+    ym = F.col("ym")
     now = Window.partitionBy(*by).orderBy("day_idx").rangeBetween(0, 0)
-    seen = up_to_now(by)
     w28 = trailing(28, by)
-    last_sale = F.max(F.when(y > 0, day)).over(seen)
-    return df.select(
+    return with_days_since_sale(df, by).select(
         "*",
         *[F.avg(ym).over(trailing(w, by)).alias(f"mean{w}") for w in (7, 28, 56)],
         F.stddev_samp(ym).over(w28).alias("std28"),
         F.avg((ym == 0).cast("int")).over(w28).alias("zero28"),
-        F.max(ym).over(now).alias("last_obs"),
-        F.when(F.count(y).over(seen) > 0,
-               F.coalesce(F.least(day - last_sale, F.lit(NEVER_SOLD)), F.lit(NEVER_SOLD))).alias("days_since_sale"))
-
-
-def with_weekday_memory(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
-    """Arrays indexed by day_idx mod 7: the mean of the last four same weekdays
-    (``sdw_mean``) and the latest value of each weekday (``sdw_last``).
-
-    Every weekday occurs exactly four times in 28 days and once in 7, so same-weekday lags
-    for any horizon are array look-ups at the origin instead of extra joins.
-    """
-    ym = F.col("ym")
-    weekday = F.pmod("day_idx", F.lit(7))
-    last4 = [F.avg(F.when(weekday == k, ym)).over(trailing(28, by)) for k in range(7)]
-    last1 = [F.max(F.when(weekday == k, ym)).over(trailing(7, by)) for k in range(7)]
-    return df.select("*", F.array(*last4).alias("sdw_mean"), F.array(*last1).alias("sdw_last"))
+        F.max(ym).over(now).alias("last_obs"))
 
 
 def weekday_value(arr: str, day: Column) -> Column:
+    """Entry of an array indexed by day_idx mod 7: every weekday occurs four times in 28 days
+    and once in 7, so same-weekday lags for any horizon are look-ups at the origin."""
     return F.get(F.col(arr), F.pmod(day, F.lit(7)))
 
 
@@ -81,11 +65,49 @@ def with_origins(panel: DataFrame, series: DataFrame, origins: Sequence[int], ke
     return rows.unionByName(marks)
 
 
-def with_targets(df: DataFrame, horizon: int, by: Sequence[str] = SERIES) -> DataFrame:
-    """``future``: map day -> (y, stockout) of the next ``horizon`` days, for the target only."""
-    ahead = Window.partitionBy(*by).orderBy("day_idx").rangeBetween(1, horizon)
-    entry = F.when(F.col("y").isNotNull(), F.struct("day_idx", F.struct("y", "stockout")))
-    return df.withColumn("future", F.map_from_entries(F.collect_list(entry).over(ahead)))
+def origin_reach(spark: SparkSession, origins: Sequence[int], back: int, ahead: int) -> DataFrame:
+    """(day_idx, origin, ago): the days each origin can reach, ``back`` days of history and
+    ``ahead`` target days (ago < 0).  len(origins) x (back + ahead) rows, whatever the data."""
+    rows = [(o - a, o, a) for o in map(int, origins) for a in range(-ahead, back)]
+    return spark.createDataFrame(rows, "day_idx int, origin int, ago int")
+
+
+def trailing_at_origins(panel: DataFrame, origins: Sequence[int], ahead: int = 0) -> DataFrame:
+    """(series_id, origin, mean7/28/56, std28, zero28, last_obs, sdw_mean, sdw_last[, next_y, next_stockout]).
+
+    A sliding window would touch every day of every series w times over; here each row only
+    goes to the origins that see it (a join with a tiny table) and one partial aggregation
+    gives all statistics.  ``next_*`` are the ``ahead`` target days, kept apart from history.
+    ``panel`` has ``ym``.
+    """
+    reach = origin_reach(panel.sparkSession, origins, 56, ahead)
+    rows = panel.join(F.broadcast(reach), "day_idx")           # bounded by origins x 70 days
+    ago, ym, weekday = F.col("ago"), F.col("ym"), F.pmod("day_idx", F.lit(7))
+
+    def within(days: int, value: Column = ym, weekday_is: int | None = None) -> Column:
+        hit = ago.between(0, days - 1)
+        return F.when(hit if weekday_is is None else hit & (weekday == weekday_is), value)
+
+    aggs = [*[F.avg(within(w)).alias(f"mean{w}") for w in (7, 28, 56)],
+            F.stddev_samp(within(28)).alias("std28"), F.avg(within(28, (ym == 0).cast("int"))).alias("zero28"),
+            F.max(within(1)).alias("last_obs"),
+            *[F.avg(within(28, ym, k)).alias(f"__m{k}") for k in range(7)],
+            *[F.max(within(7, ym, k)).alias(f"__l{k}") for k in range(7)],
+            *[F.max(F.when(ago == -h, F.col("y"))).alias(f"__y{h}") for h in range(1, ahead + 1)],
+            *[F.max(F.when(ago == -h, F.col("stockout"))).alias(f"__s{h}") for h in range(1, ahead + 1)]]
+    out = rows.groupBy("series_id", "origin").agg(*aggs)
+    arrays = {"sdw_mean": [f"__m{k}" for k in range(7)], "sdw_last": [f"__l{k}" for k in range(7)]}
+    if ahead:
+        arrays |= {"next_y": [f"__y{h}" for h in range(1, ahead + 1)], "next_stockout": [f"__s{h}" for h in range(1, ahead + 1)]}
+    return out.select(*[c for c in out.columns if not c.startswith("__")], *[F.array(*cs).alias(n) for n, cs in arrays.items()])
+
+
+def with_days_since_sale(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
+    """Days since the last positive (unmasked) sale, capped; NULL before the first observation."""
+    y, day, seen = F.col("y"), F.col("day_idx"), up_to_now(by)
+    last_sale = F.max(F.when(y > 0, day)).over(seen)
+    return df.withColumn("days_since_sale", F.when(
+        F.count(y).over(seen) > 0, F.coalesce(F.least(day - last_sale, F.lit(NEVER_SOLD)), F.lit(NEVER_SOLD))))
 
 
 def with_ses_level(df: DataFrame, max_days: int, alpha: float = 0.1, by: Sequence[str] = SERIES) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandsense.functions import scores
+from demandsense.functions.lineage import cut
 from demandsense.functions.numeric import ratio
 from demandsense.operators.history import with_seasonal_diff
 from demandsense.operators.order_stats import group_median, group_quantiles
@@ -25,7 +26,7 @@ def mase_scale(panel: DataFrame, upto: int, period: int = 7) -> DataFrame:
     without a positive one take the median of the others, or 1."""
     diffs = with_seasonal_diff(panel.where(F.col("day_idx") <= upto).select("series_id", "day_idx", "ym"), period)
     own = diffs.groupBy("series_id").agg(F.avg("seasonal_diff").alias("__m"))
-    own = own.select("series_id", F.when(F.col("__m") > 0, F.col("__m")).alias("own_scale"))
+    own = cut(own.select("series_id", F.when(F.col("__m") > 0, F.col("__m")).alias("own_scale")))
     fallback = group_median(own, [], "own_scale", "fallback").agg(F.max("fallback").alias("fallback"))
     return own.join(F.broadcast(fallback)).select(           # one row
         "series_id", F.coalesce("own_scale", "fallback", F.lit(1.0)).alias("mase_scale"))
@@ -66,7 +67,7 @@ def stability(rows: DataFrame, models: Sequence[str]) -> DataFrame:
     moved = long.withColumn("prev", F.lag("forecast").over(w)).where("prev IS NOT NULL")
     per = moved.groupBy("model", "series_id").agg(
         (F.sum(F.abs(F.col("forecast") - F.col("prev"))) / F.greatest(F.sum(F.abs("forecast")), F.lit(1e-9))).alias("move"))
-    return group_median(per, ["model"], "move", "stability")
+    return group_median(cut(per), ["model"], "move", "stability")
 
 
 def day_type(rain: Column) -> Column:
@@ -112,9 +113,10 @@ def truth_accuracy(rows: DataFrame, truth: DataFrame, keys: Sequence[str], model
         F.avg("demand").alias("mean_demand"),
         F.sum(F.abs(F.col(model) - F.col("demand"))).alias("ae"), F.sum(F.col(model) - F.col("demand")).alias("e"),
         F.sum(F.when(F.col(model).isNotNull(), F.abs("demand"))).alias("vol"))
-    cut = group_quantiles(per, [], "mean_demand", [top]).agg(F.max("q").alias("cut"))
-    big = F.col("mean_demand") >= F.col("cut")
-    return per.join(F.broadcast(cut)).agg(                   # one row
+    per = cut(per)
+    bar = group_quantiles(per, [], "mean_demand", [top]).agg(F.max("q").alias("bar"))
+    big = F.col("mean_demand") >= F.col("bar")
+    return per.join(F.broadcast(bar)).agg(                   # one row
         ratio(F.sum("ae"), F.sum("vol")).alias("wape"), ratio(F.sum("e"), F.sum("vol")).alias("bias"),
         ratio(F.sum(F.when(big, F.col("e"))), F.sum(F.when(big, F.col("vol")))).alias("bias_top"),
         F.count_if(big).alias("top_series"))

@@ -14,60 +14,67 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandsense.functions.lineage import cut
 from demandsense.operators.hierarchy import LEVELS
 from demandsense.operators.order_stats import group_median
 
 CASE = ["origin", "day"]
+NODE = ["node_id", "parent_id", "level", "path"]
 MIN_SD, SD_SHARE = 1e-3, 0.05
 
 
 def assemble(tree: DataFrame, cases: Sequence[tuple[int, int]], forecasts: DataFrame, value: str = "base") -> DataFrame:
-    """(node_id, parent_id, level, origin, day, yhat): every node in every case; a node
+    """(node_id, parent_id, level, path, origin, day, yhat): every node in every case; a node
     without a forecast counts as 0 (not launched yet)."""
     grid = F.array(*[F.struct(F.lit(int(o)).alias("origin"), F.lit(int(d)).alias("day")) for o, d in cases])
-    nodes = tree.select("*", F.explode(grid).alias("c")).select("node_id", "parent_id", "level", "c.origin", "c.day")
+    nodes = tree.select("*", F.explode(grid).alias("c")).select(*NODE, "c.origin", "c.day")
     fc = forecasts.select("node_id", *CASE, F.col(value).alias("yhat"))
     return (nodes.join(fc, ["node_id", *CASE], "left").withColumn("yhat", F.coalesce("yhat", F.lit(0.0))))
 
 
 def bottom_up(base: DataFrame, value: str = "yhat", out: str = "bottom_up", case: Sequence[str] = CASE) -> DataFrame:
-    """Leaf values summed at every node: four partial aggregations, level by level."""
-    rows = base.where(F.col("level") == LEVELS[-1]).select("node_id", "parent_id", "level", *case, F.col(value).alias(out))
-    done, edges = rows, base.select("node_id", "parent_id", "level", *case)
-    for level in reversed(LEVELS[:-1]):
-        up = rows.groupBy(F.col("parent_id").alias("node_id"), *case).agg(F.sum(out).alias(out))
-        rows = edges.where(F.col("level") == level).join(up, ["node_id", *case])
-        done = done.unionByName(rows)
-    return done
+    """(node_id, level, case, value): leaf values summed at every node.
+
+    Each leaf row is expanded along its path and summed in one partial aggregation, so the
+    root is combined on the map side."""
+    leaves = base.where(F.col("level") == LEVELS[-1]).select(F.posexplode("path").alias("__i", "node_id"), *case, value)
+    level = F.array(*[F.lit(lv) for lv in LEVELS])[F.col("__i")]
+    return leaves.groupBy("node_id", level.alias("level"), *case).agg(F.sum(value).alias(out))
 
 
 def non_negative(df: DataFrame, value: str, case: Sequence[str] = CASE) -> DataFrame:
     """Clip the leaves at 0 and sum again, so the result stays coherent."""
-    clipped = df.withColumn(value, F.greatest(F.col(value), F.lit(0.0)))
-    return bottom_up(clipped, value, value, case)
+    return bottom_up(df.withColumn(value, F.greatest(F.col(value), F.lit(0.0))), value, value, case)
 
 
 def tree_gls(base: DataFrame, weights: DataFrame, value: str = "yhat", out: str = "reconciled",
              case: Sequence[str] = CASE) -> DataFrame:
-    """Least-squares coherent values for error variances ``weights`` (node_id, w)."""
-    rows = base.select("node_id", "parent_id", "level", *case, F.col(value).alias("y")).join(weights, "node_id")
-    at = {lv: rows.where(F.col("level") == lv) for lv in LEVELS}
-    up = {LEVELS[-1]: at[LEVELS[-1]].select("node_id", "parent_id", "level", *case, F.col("y").alias("m"), F.col("w").alias("v"),
-                                            F.lit(None).cast("double").alias("mc"), F.lit(None).cast("double").alias("vc"))}
+    """Least-squares coherent values for error variances ``weights`` (node_id, w).
+
+    The leaf level is read twice (once up, once down); everything above it is cut to a
+    written table of one row per node and case, so the plan stays flat.
+    """
+    rows = base.select(*NODE, *case, F.col(value).alias("y")).join(weights, "node_id")
+    none = F.lit(None).cast("double")
+    leaf = LEVELS[-1]
+    up = {leaf: rows.where(F.col("level") == leaf).select(*NODE, *case, F.col("y").alias("m"), F.col("w").alias("v"),
+                                                         none.alias("mc"), none.alias("vc"))}
     for child, level in zip(reversed(LEVELS[1:]), reversed(LEVELS[:-1])):
         kids = up[child].groupBy(F.col("parent_id").alias("node_id"), *case).agg(F.sum("m").alias("mc"), F.sum("v").alias("vc"))
         v = 1.0 / (1.0 / F.col("vc") + 1.0 / F.col("w"))
-        up[level] = at[level].join(kids, ["node_id", *case]).select(
-            "node_id", "parent_id", "level", *case, (v * (F.col("mc") / F.col("vc") + F.col("y") / F.col("w"))).alias("m"),
-            v.alias("v"), "mc", "vc")
-    down = up[LEVELS[0]].withColumn(out, F.col("m"))
+        up[level] = cut(rows.where(F.col("level") == level).join(kids, ["node_id", *case]).select(
+            *NODE, *case, (v * (F.col("mc") / F.col("vc") + F.col("y") / F.col("w"))).alias("m"), v.alias("v"), "mc", "vc"))
+    cols = [*NODE, *case, out, "mc", "vc"]
+    down = up[LEVELS[0]].withColumn(out, F.col("m")).select(*cols)
     done = down
     for level in LEVELS[1:]:
         parent = down.select(F.col("node_id").alias("parent_id"), *case, F.col(out).alias("__f"), F.col("mc").alias("__mc"), F.col("vc").alias("__vc"))
         down = up[level].join(parent, ["parent_id", *case]).withColumn(
-            out, F.col("m") + F.col("v") / F.col("__vc") * (F.col("__f") - F.col("__mc"))).drop("__f", "__mc", "__vc")
+            out, F.col("m") + F.col("v") / F.col("__vc") * (F.col("__f") - F.col("__mc"))).select(*cols)
+        if level != leaf:
+            down = cut(down)
         done = done.unionByName(down)
-    return done.select("node_id", "parent_id", "level", *case, out)
+    return done.select(*NODE, *case, out)
 
 
 def coherence_error(df: DataFrame, value: str, case: Sequence[str] = CASE) -> DataFrame:
@@ -84,7 +91,7 @@ def residuals(base: DataFrame, actuals: DataFrame) -> DataFrame:
 
 def residual_scale(res: DataFrame) -> DataFrame:
     """(node_id, mean_e, sd): sample sd with a floor of 5 % of the median positive sd."""
-    st = res.groupBy("node_id").agg(F.avg("e").alias("mean_e"), F.stddev_samp("e").alias("__sd"))
+    st = cut(res.groupBy("node_id").agg(F.avg("e").alias("mean_e"), F.stddev_samp("e").alias("__sd")))
     floor = group_median(st.where("__sd > 0"), [], "__sd", "__med").agg(
         F.greatest(F.lit(MIN_SD), F.coalesce(SD_SHARE * F.max("__med"), F.lit(MIN_SD))).alias("__floor"))
     return st.join(F.broadcast(floor)).select("node_id", "mean_e", F.greatest("__sd", "__floor").alias("sd"))   # one row
@@ -156,14 +163,14 @@ def mint_shrink(base: DataFrame, res: DataFrame, cal_cases: Sequence[tuple[int,
     spark = base.sparkSession
     n = len(cal_cases)
     scale = residual_scale(res)
-    vec = case_vectors(res, scale)
+    vec = cut(case_vectors(res, scale))
     lam = float(shrinkage(vec, n).first()["lambda"])
     gain = float(np.sqrt((1 - lam) / (n - 1)))
     own = F.aggregate(F.col("z"), F.lit(0.0), lambda a, x: a + x * x) / (n - 1)
     d = F.col("sd") ** 2 * F.greatest(1 - (1 - lam) * own, F.lit(1e-12))
-    low = vec.select("node_id", d.alias("w"), F.transform("z", lambda x: x * F.col("sd") * gain).alias("l"))
+    low = cut(vec.select("node_id", d.alias("w"), F.transform("z", lambda x: x * F.col("sd") * gain).alias("l")))
     weights = low.select("node_id", "w")
-    tree = base.select("node_id", "parent_id", "level").distinct()
+    tree = base.select(*NODE).distinct()
 
     # columns of L pass through the tree like forecasts, one "case" per column
     cols = low.select("node_id", F.posexplode("l").alias("k", "yhat")).join(tree, "node_id")
@@ -172,9 +179,9 @@ def mint_shrink(base: DataFrame, res: DataFrame, cal_cases: Sequence[tuple[int,
     ty = tree_gls(base, weights, "yhat", "t").join(base.select("node_id", *CASE, "yhat"), ["node_id", *CASE])
     dy = ty.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*CASE, (F.col("yhat") - F.col("t")).alias("x")))),
                                                lambda c: c["x"]).alias("dy"))
-    all_ = low.join(tl, "node_id").join(dy, "node_id").select(
+    all_ = cut(low.join(tl, "node_id").join(dy, "node_id").select(
         "node_id", F.transform("l", lambda x: x / F.col("w")).alias("lw"), "l",
-        F.zip_with("l", "tl", lambda a, b: a - b).alias("dl"), "dy")
+        F.zip_with("l", "tl", lambda a, b: a - b).alias("dl"), "dy"))
     a = np.eye(n) + _matrix(cross_products(all_, "lw", "dl"), n, n)
     b = _matrix(cross_products(all_, "lw", "dy"), n, len(cases))
     f = np.linalg.solve(a, b)                                  # cases x cases

@@ -268,8 +268,10 @@ def weekly_rolling_history(spark: SparkSession, path: str) -> DataFrame:
     daily = star.daily("item_store").withColumn("day_idx", F.datediff("date", F.lit(start)))
     series = daily.groupBy("series_id").agg(F.min("day_idx").alias("launch_idx"))
     origins = layout.origin_layout(n).cal
-    rows = history.with_rolling(history.with_masked(history.with_origins(daily, series, origins))).where("is_origin")
-    return rounded(rows.select("series_id", "day_idx", "mean7", "mean28", "mean56", "std28", "zero28", "last_obs", "days_since_sale"))
+    rows = history.trailing_at_origins(history.with_masked(daily), origins)
+    since = history.with_days_since_sale(history.with_origins(daily, series, origins)).where("is_origin")
+    rows = since.select("series_id", F.col("day_idx").alias("origin"), "days_since_sale").join(rows, ["series_id", "origin"], "left")
+    return rounded(rows.select("series_id", "origin", "mean7", "mean28", "mean56", "std28", "zero28", "last_obs", "days_since_sale"))
 
 
 @query
@@ -282,9 +284,9 @@ def search_features(spark: SparkSession, path: str) -> DataFrame:
 def same_weekday_lags(spark: SparkSession, path: str) -> DataFrame:
     star = Star(spark, path)
     inp, lay = _panel_inputs(star)
-    rows = history.with_weekday_memory(history.with_masked(history.with_origins(inp.panel, inp.series, lay.test))).where("is_origin")
-    rows = rows.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(lay.horizon)))).withColumn("day", F.col("day_idx") + F.col("h"))
-    return rounded(rows.select("series_id", F.col("day_idx").alias("origin"), "h", history.weekday_value("sdw_mean", F.col("day")).alias("sdw_mean4")))
+    rows = history.trailing_at_origins(history.with_masked(inp.panel), lay.test)
+    rows = rows.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(lay.horizon)))).withColumn("day", F.col("origin") + F.col("h"))
+    return rounded(rows.select("series_id", "origin", "h", history.weekday_value("sdw_mean", F.col("day")).alias("sdw_mean4")))
 
 
 @query
@@ -361,7 +363,7 @@ def aggregate_scaling(spark: SparkSession, path: str) -> DataFrame:
 def _panel_inputs(star: Star) -> tuple[features.Inputs, Layout]:
     """Dense store x category panel with its series, without covariates."""
     start, n = star.window()
-    p = star.panel("store_category", start, n)
+    p = star.panel("store_category", start, n).persist()
     series = p.groupBy("series_id", "store_id", "region", "category").agg(F.min("day_idx").alias("launch_idx"))
     return features.Inputs(p, series, start, n), layout.origin_layout(n)
 
@@ -401,8 +403,8 @@ def planner_baseline(spark: SparkSession, path: str) -> DataFrame:
 def count_bands(spark: SparkSession, path: str) -> DataFrame:
     """Negative-binomial or Poisson quantiles of every store x category at its test origins."""
     inp, lay = _panel_inputs(Star(spark, path))
-    rows = history.with_rolling(history.with_masked(history.with_origins(inp.panel, inp.series, lay.test))).where("is_origin")
-    rows = rows.select("series_id", F.col("day_idx").alias("origin"), F.round("mean28", 6).alias("m"), F.round("std28", 6).alias("s"))
+    rows = history.trailing_at_origins(history.with_masked(inp.panel), lay.test)
+    rows = rows.select("series_id", "origin", F.round("mean28", 6).alias("m"), F.round("std28", 6).alias("s"))
     rows = rows.withColumn("nb", count_quantiles(F.col("m"), F.col("s"))).withColumn("po", poisson_quantiles(F.col("m")))
     return rows.select("series_id", "origin", *[F.col(c)[i].alias(f"{c}_p{p}") for c in ("nb", "po") for i, p in enumerate((10, 50, 90))])
 
@@ -441,7 +443,7 @@ def routed_forecasts(spark: SparkSession, path: str) -> DataFrame:
 def _cold(star: Star):
     """Item x store series at early origins, where many are young; ``final`` is mean28."""
     start, n = star.window()
-    daily = star.daily("item_store").withColumn("day_idx", F.datediff("date", F.lit(start)))
+    daily = star.daily("item_store").withColumn("day_idx", F.datediff("date", F.lit(start))).persist()
     series = daily.groupBy("series_id", "store_id", "category", "item_id").agg(F.min("day_idx").alias("launch_idx")).join(
         star.items().drop("category"), "item_id").persist()        # a dimension table in practice
     origins = [200 + 7 * i for i in range(8)]
@@ -451,8 +453,9 @@ def _cold(star: Star):
 def _cold_rows(star: Star):
     daily, series, origins, start, n = _cold(star)
     keep = ["store_id", "category", "launch_idx"]
-    stats = history.with_rolling(history.with_masked(history.with_origins(daily, series, origins, keep))).where("is_origin")
-    stats = stats.select("series_id", *keep, F.col("day_idx").alias("origin"), "mean28")
+    recent = history.trailing_at_origins(history.with_masked(daily), origins).select("series_id", "origin", "mean28")
+    stats = series.select("series_id", *keep, F.explode(F.array(*[F.lit(o) for o in origins])).alias("origin"))
+    stats = stats.join(recent, ["series_id", "origin"], "left")
     rows = stats.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(14)))).withColumn("day", F.col("origin") + F.col("h"))
     rows = rows.where("launch_idx <= day").withColumn("age", F.least(F.col("day") - F.col("launch_idx"), F.lit(365)))
     return rows.withColumn("final", F.coalesce("mean28", F.lit(0.0)) + F.col("h") * 0.125), stats, series, daily, origins
@@ -722,8 +725,8 @@ def _ledger(star: Star) -> DataFrame:
     inp, _ = _panel_inputs(star)
     mean7 = F.avg("y").over(history.trailing(7))
     rows = inp.panel.select("series_id", "day_idx", F.col("y").alias("demand"), mean7.alias("mean7"))
-    rows = rows.withColumn("p", F.explode(F.array(F.struct(F.lit("P0_manual").alias("policy"), F.lit(1.0).alias("k")),
-                                                  F.struct(F.lit("P2_uncertainty"), F.lit(1.5)))))
+    rows = rows.withColumn("p", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("policy"), F.lit(k).alias("k")) for p, k in (("P0_manual", 1.0), ("P2_uncertainty", 1.5))])))
     stock = F.ceil(F.round(F.col("p.k") * F.col("mean7"), 9)).cast("double")
     rows = rows.select("series_id", "day_idx", "p.policy", "demand", stock.alias("stock"))
     sold = F.least("demand", "stock")
@@ -968,9 +971,9 @@ def gate_results(spark: SparkSession, path: str) -> DataFrame:
     rows, inp, lay = _forecasts(Star(spark, path), ["test"])
     rows = forecast.usable(rows).persist()
     agg = rows.agg(scores.wape("y", "m2").alias("m2"), scores.wape("y", "b0").alias("b0"), scores.coverage("y", "m2_p10", "m2_p90").alias("cov"))
-    values = agg.select(F.explode(F.array(
-        F.struct(F.lit("wape_gain_vs_b0").alias("gate"), (1 - F.col("m2") / F.col("b0")).alias("value")),
-        F.struct(F.lit("coverage"), F.col("cov")), F.struct(F.lit("wape_max"), F.col("m2")))).alias("g")).select("g.*")
+    gates = {"wape_gain_vs_b0": 1 - F.col("m2") / F.col("b0"), "coverage": F.col("cov"), "wape_max": F.col("m2")}
+    values = agg.select(F.explode(F.array(*[
+        F.struct(F.lit(g).alias("gate"), v.alias("value")) for g, v in gates.items()])).alias("g")).select("g.*")
     limits = spark.createDataFrame([("wape_gain_vs_b0", 0.10, None, False), ("coverage", 0.75, 0.85, False), ("wape_max", None, 1.0, True),
                                     ("latency_p95", None, 300.0, True)], "gate string, low double, high double, strict boolean")
     return rounded(metrics.evaluate_gates(values, limits))

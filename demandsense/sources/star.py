@@ -166,7 +166,7 @@ class Star:
         active = panel.promotion_days(promos, start, last)
         weather = self.weather_days(start)
         return Inputs(
-            panel=self.panel("store_category", start, n_obs), series=self.category_series(start), start=start, n_obs=n_obs,
+            panel=self.panel("store_category", start, n_obs).persist(), series=self.category_series(start), start=start, n_obs=n_obs,
             events=self.event_days(start, n_obs, lay.horizon), promo=active,
             post_promo=panel.post_promotion_days(promos, active, start, last), weather=weather,
             climate=history.climatology(weather, lay.train_end, start=start), search=self.search_days(n_obs), seed=seed), lay

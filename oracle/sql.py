@@ -1 +1,304 @@
+"""SQL equivalents of the registered queries, for DuckDB on the same tables."""
+from __future__ import annotations
+
 SQL: dict[str, str] = {}
+
+
+def add(name: str, select: str, *ctes: str) -> None:
+    seen: list[str] = []
+    for block in ctes:
+        if block not in seen:
+            seen.append(block)
+    SQL[name] = ("WITH " + ",\n".join(seen) + "\n" if seen else "") + select
+
+
+HEX = "(CAST('0x' || substr(md5({k}), {at}, 8) AS BIGINT) + 0.5) / 4294967296.0"
+
+
+def uniform(key: str) -> str:
+    return HEX.format(k=key, at=1)
+
+
+def normal(key: str) -> str:
+    return f"(sqrt(-2.0 * ln({HEX.format(k=key, at=1)})) * cos(2.0 * pi() * {HEX.format(k=key, at=9)}))"
+
+
+# ------------------------------------------------------------- shared blocks
+SOLD = """sold AS (SELECT l.*, p.p_type AS category, p.p_type || '|' || p.p_brand AS item_id, p.p_brand, p.p_retailprice, n.n_name AS store_id,
+  r.r_name AS region, CAST(l.l_shipdate AS DATE) AS date
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)"""
+BOUNDS = """bounds AS (SELECT MIN(CAST(l_shipdate AS DATE)) AS d0, MAX(CAST(l_shipdate AS DATE)) - MIN(CAST(l_shipdate AS DATE)) + 1 AS n FROM lineitem)"""
+MEASURES = """SUM(l_quantity) AS y, MAX(l_discount) AS disc, BOOL_OR(l_returnflag = 'R' AND l_discount >= 0.09) AS stockout"""
+DAILY = f"""daily AS (SELECT store_id || '|' || category AS series_id, store_id, region, category, date, date - (SELECT d0 FROM bounds) AS day_idx, {MEASURES}
+  FROM sold GROUP BY ALL)"""
+DAILY_ITEM = f"""daily_item AS (SELECT store_id || '|' || item_id AS series_id, store_id, region, category, item_id, date,
+  date - (SELECT d0 FROM bounds) AS day_idx, {MEASURES} FROM sold GROUP BY ALL)"""
+DAILY_STORE = f"""daily_store AS (SELECT store_id AS series_id, store_id, region, date, date - (SELECT d0 FROM bounds) AS day_idx, {MEASURES} FROM sold GROUP BY ALL)"""
+SERIES = """series AS (SELECT series_id, store_id, region, category, MIN(day_idx) AS launch_idx FROM daily GROUP BY ALL)"""
+PANEL = """panel AS (SELECT s.series_id, s.store_id, s.region, s.category, s.launch_idx, CAST(g.day_idx AS INTEGER) AS day_idx, COALESCE(d.y, 0.0) AS y,
+  COALESCE(d.disc, 0.0) AS disc, COALESCE(d.stockout, FALSE) AS stockout, CASE WHEN NOT COALESCE(d.stockout, FALSE) THEN COALESCE(d.y, 0.0) END AS ym
+  FROM series s JOIN (SELECT unnest(range(0, n)) AS day_idx FROM bounds) g ON g.day_idx >= s.launch_idx
+  LEFT JOIN daily d ON d.series_id = s.series_id AND d.day_idx = g.day_idx)"""
+BASE = (SOLD, BOUNDS, DAILY, SERIES, PANEL)
+LAYOUT = """layout AS (SELECT 'test' AS block, n - 15 - 7 * i AS origin FROM bounds, range(0, 8) t(i) UNION ALL SELECT 'cal', n - 85 - 7 * i FROM bounds, range(0, 8) t(i)
+  UNION ALL SELECT 'train', n - 155 - 7 * i FROM bounds, range(0, 78) t(i) WHERE n - 155 - 7 * i >= 60 UNION ALL SELECT 'production', n - 1 FROM bounds)"""
+TRAIN_END = "(SELECT MAX(origin) + 14 FROM layout WHERE block = 'train')"
+
+
+def roll(source: str) -> str:
+    """Range-frame statistics per series and day of ``source`` (ym, y, day_idx)."""
+    def w(d):
+        return f"OVER (PARTITION BY series_id ORDER BY day_idx RANGE BETWEEN {d - 1} PRECEDING AND CURRENT ROW)"
+    return f"""rolled AS (SELECT *, AVG(ym) {w(7)} AS mean7, AVG(ym) {w(28)} AS mean28, AVG(ym) {w(56)} AS mean56, STDDEV_SAMP(ym) {w(28)} AS std28,
+  AVG(CASE WHEN ym = 0 THEN 1.0 WHEN ym IS NOT NULL THEN 0.0 END) {w(28)} AS zero28, ym AS last_obs,
+  LEAST(COALESCE(day_idx - MAX(CASE WHEN y > 0 THEN day_idx END) OVER (PARTITION BY series_id ORDER BY day_idx), 90), 90) AS days_since_sale FROM {source})"""
+
+
+ROLLED = roll("panel")
+STATES = """counted AS (SELECT series_id, day_idx, ym, COUNT(ym) OVER u AS n, CASE WHEN ym > 0 THEN 1 ELSE 0 END AS sold FROM panel
+  WINDOW u AS (PARTITION BY series_id ORDER BY day_idx)),
+gaps AS (SELECT *, SUM(CASE WHEN ym IS NOT NULL THEN sold ELSE 0 END) OVER (PARTITION BY series_id ORDER BY day_idx) AS j,
+  n - COALESCE(MAX(CASE WHEN ym > 0 THEN n END) OVER (PARTITION BY series_id ORDER BY day_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM counted),
+states AS (SELECT series_id, day_idx, n, j,
+  pow(0.9, n) * SUM(CASE WHEN ym IS NOT NULL THEN (CASE WHEN n = 1 THEN 1.0 ELSE 0.1 END) * ym * pow(0.9, -n) END) OVER u AS level,
+  pow(0.9, j) * SUM(CASE WHEN ym > 0 THEN (CASE WHEN j = 1 THEN 1.0 ELSE 0.1 END) * ym * pow(0.9, -j) END) OVER u AS size,
+  pow(0.9, j) * SUM(CASE WHEN ym > 0 THEN (CASE WHEN j = 1 THEN 1.0 ELSE 0.1 END) * gap * pow(0.9, -j) END) OVER u AS ival,
+  pow(0.9, n) * SUM(CASE WHEN ym IS NOT NULL THEN (CASE WHEN n = 1 THEN 0.25 + 0.5 * sold ELSE 0.1 * sold END) * pow(0.9, -n) END) OVER u AS prob
+  FROM gaps WINDOW u AS (PARTITION BY series_id ORDER BY day_idx)),
+models AS (SELECT series_id, day_idx, CASE WHEN n > 0 THEN level END AS level, CASE WHEN j > 0 THEN COALESCE(size / ival, 0.0) ELSE 0.0 END AS croston,
+  CASE WHEN j > 0 THEN 0.95 * size / ival ELSE 0.0 END AS sba, CASE WHEN j > 0 THEN prob * size ELSE 0.0 END AS tsb FROM states)"""
+CLASSES = f"""sized AS (SELECT series_id, COUNT(ym) AS n_obs, COUNT(CASE WHEN ym > 0 THEN 1 END) AS n_sold, AVG(CASE WHEN ym > 0 THEN ym END) AS mu,
+  STDDEV_POP(CASE WHEN ym > 0 THEN ym END) AS sd FROM panel WHERE day_idx <= {TRAIN_END} GROUP BY series_id),
+classes AS (SELECT series_id, n_obs, n_sold, n_obs / NULLIF(n_sold, 0)::DOUBLE AS adi, CASE WHEN n_sold > 1 THEN pow(sd / mu, 2) ELSE 0.0 END AS cv2,
+  CASE WHEN n_obs < 28 THEN 'new' WHEN n_sold > 0 AND n_obs / n_sold::DOUBLE < 1.32 THEN (CASE WHEN n_sold <= 1 OR pow(sd / mu, 2) < 0.49 THEN 'smooth' ELSE 'erratic' END)
+    ELSE (CASE WHEN n_sold <= 1 OR pow(sd / mu, 2) < 0.49 THEN 'intermittent' ELSE 'lumpy' END) END AS demand_class FROM sized)"""
+SCALE = f"""diffs AS (SELECT a.series_id, AVG(ABS(a.ym - b.ym)) AS m FROM panel a JOIN panel b ON a.series_id = b.series_id AND a.day_idx = b.day_idx + 7
+  WHERE a.day_idx <= {TRAIN_END} GROUP BY a.series_id),
+scale AS (SELECT s.series_id, COALESCE(CASE WHEN m > 0 THEN m END, (SELECT MEDIAN(m) FROM diffs WHERE m > 0), 1.0) AS mase_scale
+  FROM (SELECT DISTINCT series_id FROM panel WHERE day_idx <= {TRAIN_END}) s LEFT JOIN diffs USING (series_id))"""
+# base forecasts of every block, row by row
+LAGS = """rows0 AS (SELECT p.series_id, p.store_id, p.region, p.category, p.launch_idx, o.block, o.origin, CAST(h.h AS INTEGER) AS h, o.origin + CAST(h.h AS INTEGER) AS day
+  FROM (SELECT DISTINCT series_id, store_id, region, category, launch_idx FROM series) p, layout o, range(1, 15) h(h) WHERE p.launch_idx <= o.origin + h.h),
+lags AS (SELECT r.series_id, r.origin, r.h, AVG(p.ym) AS sdw_mean4, MAX(CASE WHEN j.j = 0 THEN p.ym END) AS lag1
+  FROM rows0 r, range(0, 4) j(j), panel p WHERE p.series_id = r.series_id AND p.day_idx = r.day - 7 * (CAST(CEIL(r.h / 7.0) AS INTEGER) + j.j) GROUP BY ALL)"""
+FORECASTS = """fc AS (SELECT r.*, k.mean7, k.mean28, k.mean56, k.std28, k.zero28, k.last_obs, k.days_since_sale, l.sdw_mean4, m.level, COALESCE(m.croston, 0.0) AS croston,
+  COALESCE(m.sba, 0.0) AS sba, COALESCE(m.tsb, 0.0) AS tsb, c.demand_class, LEAST(r.day - r.launch_idx, 365) AS age, t.y, COALESCE(t.stockout, FALSE) AS censored,
+  COALESCE(l.lag1, k.mean7, 0.0) AS b0,
+  GREATEST(COALESCE(m.level * COALESCE(1 + 0.5 * (l.sdw_mean4 / NULLIF(k.mean28, 0) - 1), 1.0), 0.0), 0.0) AS b1
+  FROM rows0 r LEFT JOIN rolled k ON k.series_id = r.series_id AND k.day_idx = r.origin LEFT JOIN lags l ON l.series_id = r.series_id AND l.origin = r.origin AND l.h = r.h
+  LEFT JOIN models m ON m.series_id = r.series_id AND m.day_idx = r.origin LEFT JOIN panel t ON t.series_id = r.series_id AND t.day_idx = r.day
+  LEFT JOIN classes c ON c.series_id = r.series_id),
+fm AS (SELECT *, b1 AS m1, 0.5 * (b0 + b1) AS m2, 0.25 * (b0 + b1) AS m2_p10, 0.5 * (b0 + b1) AS m2_p50, 0.8 * (b0 + b1) + 1.0 AS m2_p90 FROM fc)"""
+FC = (*BASE, LAYOUT, ROLLED, STATES, CLASSES, LAGS, FORECASTS)
+USABLE = "y IS NOT NULL AND NOT censored"
+
+
+def wape(f: str) -> str:
+    return f"SUM(ABS(y - {f})) / NULLIF(SUM(ABS(y)), 0)"
+
+
+def bias(f: str) -> str:
+    return f"SUM({f} - y) / NULLIF(SUM(ABS(y)), 0)"
+
+
+# ------------------------------------------------------------- sources
+add("feed_scan", """SELECT CAST(l_shipdate AS DATE) AS date, SUM(l_quantity) AS units, COUNT(*) AS rows FROM lineitem
+  WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1""")
+add("order_export_cells", """SELECT o_orderkey, CASE WHEN cell SIMILAR TO '[=+@-].*' THEN '''' || cell ELSE cell END AS cell, o_orderpriority, o_totalprice
+  FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN '=' WHEN 'O' THEN '-' ELSE '@' END || o_orderpriority AS cell FROM orders)""")
+add("recent_history", """SELECT d0 + day_idx AS date, series_id AS node_id, 'ym' AS measure, ym AS value FROM panel, bounds WHERE day_idx >= n - 91 AND ym IS NOT NULL
+  UNION ALL SELECT d0 + day_idx, series_id, 'disc', disc FROM panel, bounds WHERE day_idx >= n - 91""", *BASE)
+
+# ------------------------------------------------------------- contracts
+KEY = "concat_ws('|', '0', {kind}, l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+def chosen(kind: str, rate: float) -> str:
+    return f"({uniform(KEY.format(kind=repr(kind)))} < {rate})"
+
+
+FEED = """feed AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(l_shipdate AS DATE) AS date,
+  'S' || lpad(CAST(l_suppkey % 100 AS VARCHAR), 2, '0') AS store_id, 'I' || lpad(CAST(l_partkey % 1000 AS VARCHAR), 3, '0') AS item_id,
+  CAST(l_quantity AS BIGINT) AS units_sold, l_extendedprice / l_quantity AS unit_price,
+  CAST(CASE WHEN l_returnflag = 'R' AND l_discount >= 0.09 THEN 0 ELSE l_orderkey % 40 END AS BIGINT) AS on_hand_close, CAST(0 AS BIGINT) AS receipts, l_tax FROM lineitem)"""
+DIRTY = f"""marked AS (SELECT *, CAST(units_sold + on_hand_close - CASE WHEN l_tax = 0.08 THEN 1 ELSE 0 END AS BIGINT) AS on_hand_open,
+  {chosen('negative', 0.02)} AS neg, {chosen('null_price', 0.02)} AS nul, {chosen('duplicate', 0.01)} AS dup, {chosen('future', 0.01)} AS fut,
+  DATE '2001-11-04' + 1 + CAST(floor({uniform(KEY.format(kind="'shift'"))} * 29) AS INTEGER) AS later FROM feed),
+injected AS (SELECT * EXCLUDE (units_sold, unit_price), CASE WHEN neg THEN -GREATEST(units_sold, 1) ELSE units_sold END AS units_sold,
+  CASE WHEN NOT nul THEN unit_price END AS unit_price, CASE WHEN neg THEN 'negative_units' WHEN nul THEN 'bad_price' END AS defect FROM marked),
+dirty AS (SELECT * EXCLUDE (later, date), date, 0 AS copy FROM injected
+  UNION ALL SELECT * EXCLUDE (later, date, defect), 'duplicate_key' AS defect, date, 1 AS copy FROM injected WHERE dup
+  UNION ALL SELECT * EXCLUDE (later, date, defect), 'date_in_future' AS defect, later AS date, 2 AS copy FROM injected WHERE fut),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY date, l_suppkey, l_partkey ORDER BY copy, l_orderkey, l_linenumber, units_sold, on_hand_open, on_hand_close) AS rn,
+  rank() OVER (PARTITION BY date, l_suppkey, l_partkey ORDER BY copy, l_orderkey, l_linenumber, units_sold, on_hand_open, on_hand_close) AS rk FROM dirty),
+annotated AS (SELECT *, CASE WHEN rk > 1 THEN 'duplicate_key' WHEN date > DATE '2001-11-04' THEN 'date_in_future' WHEN units_sold < 0 THEN 'negative_units'
+  WHEN unit_price IS NULL OR unit_price <= 0 THEN 'bad_price' WHEN on_hand_open < 0 OR receipts < 0 OR on_hand_close < 0 THEN 'negative_stock'
+  WHEN units_sold >= 0 AND on_hand_open + receipts - units_sold <> on_hand_close THEN 'stock_balance'
+  WHEN NOT regexp_matches(store_id, '^S[0-9][0-9]$') OR NOT regexp_matches(item_id, '^I[0-9][0-9][0-9]$') THEN 'schema' END AS reason FROM ranked)"""
+add("quarantine_reasons", """SELECT l_orderkey, l_linenumber, copy, date, units_sold, on_hand_open, on_hand_close, reason FROM annotated WHERE reason IS NOT NULL""", FEED, DIRTY)
+add("clean_feed_by_store", """SELECT store_id, date, CAST(SUM(units_sold) AS BIGINT) AS units, COUNT(CASE WHEN on_hand_close = 0 THEN 1 END) AS stockouts
+  FROM annotated WHERE reason IS NULL GROUP BY 1, 2""", FEED, DIRTY)
+add("quality_report", """SELECT 'rows_raw' AS metric, '' AS key, CAST(COUNT(*) AS VARCHAR) AS value FROM annotated
+  UNION ALL SELECT 'rows_clean', '', CAST(COUNT(*) AS VARCHAR) FROM annotated WHERE reason IS NULL
+  UNION ALL SELECT 'rows_quarantined', '', CAST(COUNT(*) AS VARCHAR) FROM annotated WHERE reason IS NOT NULL
+  UNION ALL SELECT 'stockout_days', '', CAST(COUNT(*) AS VARCHAR) FROM annotated WHERE reason IS NULL AND on_hand_close = 0
+  UNION ALL SELECT 'first_date', '', CAST(MIN(date) AS VARCHAR) FROM annotated WHERE reason IS NULL
+  UNION ALL SELECT 'last_date', '', CAST(MAX(date) AS VARCHAR) FROM annotated WHERE reason IS NULL
+  UNION ALL SELECT 'quarantine_reason', reason, CAST(COUNT(*) AS VARCHAR) FROM annotated WHERE reason IS NOT NULL GROUP BY reason""", FEED, DIRTY)
+add("dirty_feed_counts", """SELECT COALESCE(a.reason, b.reason) AS reason, COALESCE(injected, 0) AS injected, COALESCE(quarantined, 0) AS quarantined
+  FROM (SELECT defect AS reason, COUNT(*) AS injected FROM annotated WHERE defect IS NOT NULL GROUP BY 1) a
+  FULL JOIN (SELECT reason, COUNT(*) AS quarantined FROM annotated WHERE reason IS NOT NULL GROUP BY 1) b ON a.reason = b.reason""", FEED, DIRTY)
+add("unknown_keys", """SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)
+  OR l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40) THEN 'unknown_key' END AS reason FROM lineitem""")
+add("repeated_keys", "SELECT l_orderkey, l_linenumber, COUNT(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1")
+add("range_violations", """SELECT * FROM (SELECT c_custkey, concat_ws(',', CASE WHEN c_acctbal < 0 OR c_acctbal > 5000 THEN 'balance' END,
+  CASE WHEN NOT regexp_matches(c_name, '^Customer#[0-9]*[02468]$') THEN 'name' END,
+  CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN 'segment' END) AS reasons FROM customer) WHERE reasons <> ''""")
+
+# ------------------------------------------------------------- panel
+add("series_dimension", """SELECT st.store_id || '|' || it.item_id AS node_id, st.store_id, it.item_id, it.category, st.region, store_idx, region_idx, cat_idx,
+  GREATEST(0, launch - (SELECT d0 FROM bounds)) AS launch_idx, price, pack_size
+  FROM (SELECT n_name AS store_id, r_name AS region, CAST(dense_rank() OVER (ORDER BY n_name) - 1 AS INTEGER) AS store_idx,
+    CAST(dense_rank() OVER (ORDER BY r_name) - 1 AS INTEGER) AS region_idx FROM nation JOIN region ON n_regionkey = r_regionkey) st
+  CROSS JOIN (SELECT p_type || '|' || p_brand AS item_id, p_type AS category, MIN(p_retailprice) AS price, MIN(p_size) AS pack_size,
+    CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS cat_idx FROM part GROUP BY p_type, p_brand) it
+  JOIN (SELECT item_id, MIN(date) AS launch FROM sold GROUP BY 1) la ON la.item_id = it.item_id""", SOLD, BOUNDS)
+add("dense_grid", """SELECT s.series_id, CAST(g.d AS INTEGER) AS day_idx, d.y, COALESCE(d.stockout, FALSE) AS stockout
+  FROM (SELECT series_id, GREATEST(MIN(day_idx) - 3, 0) AS launch FROM daily_store GROUP BY 1) s JOIN (SELECT unnest(range(0, n)) AS d FROM bounds) g ON g.d >= s.launch
+  LEFT JOIN daily_store d ON d.series_id = s.series_id AND d.day_idx = g.d""", SOLD, BOUNDS, DAILY_STORE)
+
+
+def promos(item: str) -> str:
+    return f"""promos AS (SELECT {item} AS item_id, region, MIN(date) AS date_start, MIN(date) + 6 AS date_end, MAX(l_discount) AS discount,
+  date_trunc('month', date) AS promo_ord FROM sold GROUP BY {item}, region, date_trunc('month', date)),
+promo_days AS (SELECT item_id, region, CAST(day_idx AS INTEGER) AS day_idx, arg_max(discount, promo_ord) AS disc FROM
+  (SELECT item_id, region, discount, promo_ord, unnest(range(date_start - d0, date_end - d0 + 1)) AS day_idx, n FROM promos, bounds) WHERE day_idx < n + {{extra}} GROUP BY ALL),
+post_days AS (SELECT item_id, region, CAST(e + j AS INTEGER) AS day_idx, CAST(MIN(j) AS INTEGER) AS post_promo FROM (SELECT item_id, region, date_end - d0 AS e, n, unnest(range(1, 5)) AS j FROM promos, bounds)
+  WHERE e + j < n + {{extra}} AND (item_id, region, e + j) NOT IN (SELECT (item_id, region, day_idx) FROM promo_days WHERE disc > 0) GROUP BY ALL)"""
+
+
+BRAND = promos("p_brand").format(extra=0)
+TYPE = promos("category").format(extra=14)
+add("promotion_days", "SELECT * FROM promo_days", SOLD, BOUNDS, BRAND)
+add("post_promotion_days", "SELECT * FROM post_days", SOLD, BOUNDS, BRAND)
+SQL["kept_promotions"] = f"""WITH RECURSIVE {SOLD},
+p AS (SELECT CAST(p_retailprice AS VARCHAR) AS item_id, region, date AS date_start, date + CAST(MAX(l_quantity) * 3 AS INTEGER) AS date_end, MAX(l_discount) AS discount,
+  MIN(l_orderkey) AS promo_ord FROM sold GROUP BY p_retailprice, region, date),
+num AS (SELECT *, row_number() OVER (PARTITION BY item_id, region ORDER BY date_start) AS rn FROM p),
+walk AS (SELECT item_id, region, rn, date_start, date_end, discount, promo_ord, TRUE AS kept, date_end AS last_end FROM num WHERE rn = 1
+  UNION ALL SELECT n.item_id, n.region, n.rn, n.date_start, n.date_end, n.discount, n.promo_ord, n.date_start > w.last_end,
+    CASE WHEN n.date_start > w.last_end THEN n.date_end ELSE w.last_end END FROM walk w JOIN num n ON n.item_id = w.item_id AND n.region = w.region AND n.rn = w.rn + 1)
+SELECT item_id, region, date_start, date_end, discount, promo_ord FROM walk WHERE kept"""
+WEATHER = """weather AS (SELECT CAST(o_orderdate AS DATE) AS date, n_name AS city, MAX(o_totalprice) / 10000.0 AS temp_max,
+  CAST(COUNT(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS DOUBLE) AS rain_mm, MAX(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 5000.0 END) AS humidity
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"""
+WEATHER_DAYS = """weather_days AS (SELECT date - d0 AS day_idx, city, temp_max, rain_mm, humidity FROM weather, bounds
+  UNION ALL SELECT date - d0, '__all__', AVG(temp_max), AVG(rain_mm), AVG(humidity) FROM weather, bounds GROUP BY 1)"""
+add("weather_precedence", """SELECT day_idx, city, ROUND(temp_max, 6) AS temp_max, ROUND(rain_mm, 6) AS rain_mm FROM (SELECT date - d0 AS day_idx, city, temp_max, rain_mm FROM merged, bounds
+  UNION ALL SELECT date - d0, '__all__', AVG(temp_max), AVG(rain_mm) FROM merged, bounds GROUP BY 1)""", BOUNDS, WEATHER,
+    """obs AS (SELECT date, city, temp_max, rain_mm FROM weather WHERE month(date) <= 6),
+merged AS (SELECT * FROM obs UNION ALL SELECT CAST(o_orderdate AS DATE) AS date, 'NATION_0', MAX(o_totalprice / 10000.0), CAST(COUNT(*) AS DOUBLE) FROM orders
+  WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT date FROM obs) GROUP BY 1)""")
+add("weather_gap_fill", """SELECT w.date, city, ROUND(COALESCE(CASE WHEN rain_mm > 0 THEN temp_max END, t2), 6) AS temp_max, ROUND(COALESCE(humidity, h2), 6) AS humidity,
+  CAST((CASE WHEN NOT rain_mm > 0 AND t2 IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN humidity IS NULL AND h2 IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS filled
+  FROM weather w JOIN (SELECT date, MAX(humidity) AS h2, MAX(temp_max) AS t2 FROM weather GROUP BY 1) s ON s.date = w.date""", WEATHER)
+CLIMATE = f"""climate AS (SELECT c.city, CAST(m.m AS INTEGER) AS month, COALESCE(x.temp_max, c.temp_max) AS temp_max, COALESCE(x.rain_mm, c.rain_mm) AS rain_mm, COALESCE(x.humidity, c.humidity) AS humidity
+  FROM (SELECT city, AVG(temp_max) AS temp_max, AVG(rain_mm) AS rain_mm, AVG(humidity) AS humidity FROM weather_days WHERE day_idx <= {TRAIN_END} GROUP BY 1) c CROSS JOIN range(1, 13) m(m)
+  LEFT JOIN (SELECT city, month(d0 + day_idx) AS month, AVG(temp_max) AS temp_max, AVG(rain_mm) AS rain_mm, AVG(humidity) AS humidity FROM weather_days, bounds
+    WHERE day_idx <= {TRAIN_END} GROUP BY 1, 2) x ON x.city = c.city AND x.month = m.m)"""
+add("climatology", "SELECT city, month, ROUND(temp_max, 6) AS temp_max, ROUND(rain_mm, 6) AS rain_mm, ROUND(humidity, 6) AS humidity FROM climate",
+    BOUNDS, LAYOUT, WEATHER, WEATHER_DAYS, CLIMATE)
+EVENTS = """cal AS (SELECT DISTINCT ON (date, event) * FROM (SELECT CAST(yr || md AS DATE) AS date, event, kind, yr * 10 + i AS ev_ord, span FROM (SELECT DISTINCT year(o_orderdate) AS yr FROM orders),
+  (VALUES ('Spring Fair', 'festival', '-04-12', 0, 3), ('Founders Day', 'public_holiday', '-04-14', 1, 1), ('Year End', 'festival', '-12-28', 2, 5), ('Founders Day', 'festival', '-04-14', 3, 1))
+  v(event, kind, md, i, span)) ORDER BY date, event, ev_ord),
+ev_days AS (SELECT CAST(g.d AS INTEGER) AS day_idx, c.* EXCLUDE (date), (c.date - d0) - CAST(g.d AS INTEGER) AS delta, CASE c.event WHEN 'Founders Day' THEN 0 WHEN 'Spring Fair' THEN 1 ELSE 2 END AS eid
+  FROM (SELECT unnest(range(0, n + 14)) AS d FROM bounds) g, bounds, cal c WHERE c.date BETWEEN d0 - 30 AND d0 + n + 13 + 30 AND (c.date - d0) - g.d BETWEEN -(span - 1) AND 14),
+events_d AS (SELECT CAST(g.d AS INTEGER) AS day_idx, d0 + CAST(g.d AS INTEGER) AS date, g.d < n AS observed, COALESCE(e.delta, 99) AS days_to_event, COALESCE(e.eid, -1) AS event_id,
+  COALESCE(e.fest, 0) AS in_festival, COALESCE(e.hol, 0) AS is_holiday FROM (SELECT unnest(range(0, n + 14)) AS d FROM bounds) g, bounds
+  LEFT JOIN (SELECT day_idx, arg_min(delta, abs(delta) * 1000000000 + (delta + day_idx) * 10000 + (ev_ord % 10)) AS delta, arg_min(eid, abs(delta) * 1000000000 + (delta + day_idx) * 10000 + (ev_ord % 10)) AS eid,
+    MAX(CASE WHEN delta <= 0 THEN 1 ELSE 0 END) AS fest, MAX(CASE WHEN delta = 0 AND kind = 'public_holiday' THEN 1 ELSE 0 END) AS hol FROM ev_days GROUP BY 1) e ON e.day_idx = g.d)"""
+add("event_calendar", "SELECT * FROM events_d", BOUNDS, EVENTS)
+add("search_wide", """SELECT date, MAX(CASE WHEN c = 'click' THEN v END) AS click, MAX(CASE WHEN c = 'error' THEN v END) AS error, MAX(CASE WHEN c = 'purchase' THEN v END) AS purchase,
+  MAX(CASE WHEN c = 'signup' THEN v END) AS signup, MAX(CASE WHEN c = 'view' THEN v END) AS view
+  FROM (SELECT CAST(ts AS DATE) AS date, event_type AS c, LEAST(GREATEST(MAX(value), 0), 100) AS v FROM events GROUP BY 1, 2) GROUP BY date""")
+add("hierarchy_nodes", """SELECT node_id, parent_id, level, path, COUNT(DISTINCT leaf) AS leaves FROM (
+  SELECT leaf, unnest([{'node_id': 'total', 'parent_id': NULL, 'level': 'total', 'path': ['total']},
+    {'node_id': 'R:' || region, 'parent_id': 'total', 'level': 'region', 'path': ['total', 'R:' || region]},
+    {'node_id': 'S:' || store_id, 'parent_id': 'R:' || region, 'level': 'store', 'path': ['total', 'R:' || region, 'S:' || store_id]},
+    {'node_id': 'SC:' || store_id || '|' || category, 'parent_id': 'S:' || store_id, 'level': 'store_category', 'path': ['total', 'R:' || region, 'S:' || store_id, 'SC:' || store_id || '|' || category]},
+    {'node_id': leaf, 'parent_id': 'SC:' || store_id || '|' || category, 'level': 'item_store', 'path': ['total', 'R:' || region, 'S:' || store_id, 'SC:' || store_id || '|' || category, leaf]}], recursive := true)
+  FROM (SELECT DISTINCT series_id AS leaf, store_id, region, category FROM daily_item)) GROUP BY node_id, parent_id, level, path""", SOLD, BOUNDS, DAILY_ITEM)
+NODES = """nodes AS (SELECT level, node_id, day_idx, SUM(y) AS y, COALESCE(AVG(CASE WHEN y IS NOT NULL THEN disc END), 0.0) AS disc FROM (
+  SELECT 'total' AS level, 'total' AS node_id, day_idx, y, disc FROM {src} UNION ALL SELECT 'region', 'R:' || region, day_idx, y, disc FROM {src}
+  UNION ALL SELECT 'store', 'S:' || store_id, day_idx, y, disc FROM {src} UNION ALL SELECT 'store_category', 'SC:' || store_id || '|' || category, day_idx, y, disc FROM {src}) GROUP BY ALL)"""
+add("aggregate_panel", "SELECT level, node_id, day_idx, ROUND(y, 6) AS y, ROUND(disc, 6) AS disc FROM nodes", SOLD, BOUNDS, DAILY_ITEM,
+    "leafs AS (SELECT region, store_id, category, day_idx, CASE WHEN NOT stockout THEN y END AS y, disc FROM daily_item)", NODES.format(src="leafs"))
+
+# ------------------------------------------------------------- windows
+R7 = ", ".join(f"ROUND({c}, 6) AS {c}" for c in ("mean7", "mean28", "mean56", "std28", "zero28", "last_obs"))
+ITEM_MASKED = "item_masked AS (SELECT series_id, day_idx, y, CASE WHEN NOT stockout THEN y END AS ym FROM daily_item)"
+add("rolling_history", f"SELECT series_id, day_idx, {R7}, days_since_sale FROM rolled", SOLD, BOUNDS, DAILY_ITEM, ITEM_MASKED, roll("item_masked"))
+add("weekly_rolling_history", """SELECT s.series_id, o.origin, ROUND(AVG(CASE WHEN ago < 7 THEN ym END), 6) AS mean7, ROUND(AVG(CASE WHEN ago < 28 THEN ym END), 6) AS mean28,
+  ROUND(AVG(CASE WHEN ago < 56 THEN ym END), 6) AS mean56, ROUND(STDDEV_SAMP(CASE WHEN ago < 28 THEN ym END), 6) AS std28,
+  ROUND(AVG(CASE WHEN ago < 28 AND ym IS NOT NULL THEN CAST(ym = 0 AS INTEGER) END), 6) AS zero28, ROUND(MAX(CASE WHEN ago = 0 THEN ym END), 6) AS last_obs,
+  CASE WHEN COUNT(y) > 0 THEN LEAST(COALESCE(MIN(CASE WHEN y > 0 THEN ago END), 90), 90) END AS days_since_sale
+  FROM (SELECT DISTINCT series_id FROM item_masked) s CROSS JOIN (SELECT origin FROM layout WHERE block = 'cal') o
+  LEFT JOIN (SELECT i.*, o.origin, o.origin - day_idx AS ago FROM item_masked i JOIN (SELECT origin FROM layout WHERE block = 'cal') o ON i.day_idx <= o.origin) x
+    ON x.series_id = s.series_id AND x.origin = o.origin GROUP BY s.series_id, o.origin""", SOLD, BOUNDS, LAYOUT, DAILY_ITEM, ITEM_MASKED)
+
+
+def search(first: str, last: str) -> str:
+    def w(d):
+        return f"OVER (PARTITION BY category ORDER BY day_idx RANGE BETWEEN {d - 1} PRECEDING AND CURRENT ROW)"
+    return f"""raw_search AS (SELECT CAST(ts AS DATE) - (SELECT MIN(CAST(ts AS DATE)) FROM events) + {first} AS day_idx, event_type AS category, LEAST(GREATEST(MAX(value), 0), 100) AS v FROM events GROUP BY 1, 2),
+all_search AS (SELECT * FROM raw_search WHERE day_idx < {last} UNION ALL SELECT day_idx, '__all__', AVG(v) FROM raw_search WHERE day_idx < {last} GROUP BY 1),
+search_days AS (SELECT c.category, CAST(g.d AS INTEGER) AS day_idx, s.v FROM (SELECT category, MIN(day_idx) AS lo FROM all_search GROUP BY 1) c JOIN (SELECT unnest(range(0, {last})) AS d) g ON g.d >= c.lo
+  LEFT JOIN all_search s ON s.category = c.category AND s.day_idx = g.d),
+search_w AS (SELECT category, day_idx, MEDIAN(v) {w(5)} AS m5, CASE WHEN COUNT(v) {w(28)} >= 7 THEN MEDIAN(v) {w(28)} END AS m28, AVG(v) {w(7)} AS a7,
+  CASE WHEN COUNT(v) {w(28)} >= 7 THEN AVG(v) {w(28)} END AS a28 FROM search_days),
+search_f AS (SELECT category, day_idx, m5 AS search_o, a7 AS search_mean7, CASE WHEN m5 IS NOT NULL AND m28 IS NOT NULL THEN LEAST(GREATEST(m5 / GREATEST(m28, 0.001), 0), 5) END AS search_ratio,
+  a7 - a28 AS search_trend FROM search_w)"""
+
+
+S4 = ", ".join(f"ROUND({c}, 6) AS {c}" for c in ("search_o", "search_mean7", "search_ratio", "search_trend"))
+add("search_features", f"SELECT category, day_idx, {S4} FROM search_f", search("30", "60"))
+add("same_weekday_lags", "SELECT r.series_id, r.origin, r.h, ROUND(sdw_mean4, 6) AS sdw_mean4 FROM rows0 r LEFT JOIN lags USING (series_id, origin, h) WHERE block = 'test'",
+    *BASE, LAYOUT, LAGS)
+add("seasonal_scale", "SELECT series_id, ROUND(mase_scale, 6) AS mase_scale FROM scale", *BASE, LAYOUT, SCALE)
+add("last_sixty_rows", """SELECT series_id, date, y FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS rn FROM daily_item) WHERE rn <= 60""", SOLD, BOUNDS, DAILY_ITEM)
+add("smoothed_level", "SELECT series_id, day_idx, ROUND(level, 6) AS level FROM models WHERE day_idx % 7 = 0", *BASE, STATES)
+add("intermittent_states", "SELECT series_id, day_idx, ROUND(croston, 6) AS croston, ROUND(sba, 6) AS sba, ROUND(tsb, 6) AS tsb FROM models WHERE day_idx % 7 = 0", *BASE, STATES)
+
+# ------------------------------------------------------------- features
+add("origin_layout", "SELECT block, CAST(origin AS INTEGER) AS origin FROM layout", BOUNDS, LAYOUT)
+add("block_windows", "SELECT block, CAST(MIN(origin) + 1 AS INTEGER) AS first_day, CAST(MAX(origin) + 14 AS INTEGER) AS last_day, COUNT(*) AS origins FROM layout GROUP BY block", BOUNDS, LAYOUT)
+CODES = """codes AS (SELECT s.*, CAST(dense_rank() OVER (ORDER BY category) - 1 AS INTEGER) AS cat_idx, CAST(dense_rank() OVER (ORDER BY store_id) - 1 AS INTEGER) AS store_idx,
+  CAST(dense_rank() OVER (ORDER BY region) - 1 AS INTEGER) AS region_idx, price, pack_size,
+  CASE category WHEN 'ECONOMY' THEN 'click' WHEN 'LARGE' THEN 'error' WHEN 'MEDIUM' THEN 'purchase' WHEN 'SMALL' THEN 'signup' WHEN 'STANDARD' THEN 'view' ELSE '__all__' END AS search_key
+  FROM series s JOIN (SELECT p_type, MIN(p_retailprice) AS price, MIN(p_size) AS pack_size FROM part GROUP BY 1) p ON p.p_type = s.category)"""
+
+
+def noise(var: str) -> str:
+    return normal(f"concat_ws('|', '7', r.origin, r.h, r.store_id, '{var}')")
+
+
+GONE = "(w.temp_max IS NULL OR w.rain_mm IS NULL)"
+FEATURES = f"""feats AS (SELECT r.series_id, r.origin, r.day, r.block, r.store_id AS city, c.cat_idx, c.store_idx, c.region_idx, ln(c.price) AS price_log, c.pack_size, k.last_obs, k.mean7, k.mean28, k.mean56, k.std28, k.zero28, l.sdw_mean4,
+  CAST(k.days_since_sale AS INTEGER) AS days_since_sale, CAST(LEAST(r.day - r.launch_idx, 365) AS INTEGER) AS age, r.h, CAST(isodow(e.date) - 1 AS INTEGER) AS dow, CAST(day(e.date) AS INTEGER) AS dom, CAST(month(e.date) AS INTEGER) AS month,
+  CAST(weekofyear(e.date) AS INTEGER) AS woy, e.days_to_event, e.event_id + 1 AS event_id, e.in_festival, e.is_holiday, COALESCE(pd.disc, 0.0) AS disc, COALESCE(po.post_promo, 0) AS post_promo,
+  COALESCE(w.temp_max, cl.temp_max) + CASE WHEN r.day < n AND NOT {GONE} THEN 0.8 * sqrt(r.h) * {noise('temp')} ELSE 0 END AS temp_fc,
+  ln(1 + COALESCE(w.rain_mm, cl.rain_mm) * CASE WHEN r.day < n AND NOT {GONE} THEN exp(0.35 * sqrt(r.h) * {noise('rain')}) ELSE 1 END) AS rain_fc,
+  LEAST(GREATEST(COALESCE(w.humidity, cl.humidity) + CASE WHEN r.day < n AND NOT {GONE} THEN 3.0 * sqrt(r.h) * {noise('hum')} ELSE 0 END, 0), 100) AS hum_fc,
+  CAST({GONE} AS INTEGER) AS wx_missing, sf.search_o, sf.search_mean7, sf.search_ratio, sf.search_trend, t.y, COALESCE(t.stockout, FALSE) AS censored
+  FROM rows0 r CROSS JOIN bounds b JOIN codes c ON c.series_id = r.series_id JOIN events_d e ON e.day_idx = r.day
+  LEFT JOIN rolled k ON k.series_id = r.series_id AND k.day_idx = r.origin LEFT JOIN lags l ON l.series_id = r.series_id AND l.origin = r.origin AND l.h = r.h
+  LEFT JOIN promo_days pd ON pd.item_id = r.category AND pd.region = r.region AND pd.day_idx = r.day LEFT JOIN post_days po ON po.item_id = r.category AND po.region = r.region AND po.day_idx = r.day
+  LEFT JOIN weather_days w ON w.city = r.store_id AND w.day_idx = r.day LEFT JOIN climate cl ON cl.city = r.store_id AND cl.month = month(e.date)
+  LEFT JOIN search_f sf ON sf.category = c.search_key AND sf.day_idx = r.origin LEFT JOIN panel t ON t.series_id = r.series_id AND t.day_idx = r.day)"""
+INPUTS = (*BASE, LAYOUT, ROLLED, LAGS, CODES, TYPE, EVENTS, WEATHER, WEATHER_DAYS, CLIMATE, search("(SELECT n - 30 FROM bounds)", "(SELECT n FROM bounds)"), FEATURES)
+INT_F = ["cat_idx", "store_idx", "region_idx", "pack_size", "days_since_sale", "age", "h", "dow", "dom", "month", "woy", "days_to_event", "event_id", "in_festival", "is_holiday", "post_promo", "wx_missing"]
+DBL_F = ["price_log", "last_obs", "mean7", "mean28", "mean56", "std28", "zero28", "sdw_mean4", "disc", "temp_fc", "rain_fc", "hum_fc", "search_o", "search_mean7", "search_ratio", "search_trend"]
+FCOLS = ", ".join(INT_F + [f"ROUND({c}, 6) AS {c}" for c in DBL_F])
+add("feature_rows", f"SELECT series_id, origin, day, {FCOLS}, ROUND(y, 6) AS y, censored FROM feats WHERE block IN ('cal', 'test')", *INPUTS)
+add("production_features", f"SELECT series_id, origin, day, {FCOLS} FROM feats WHERE block = 'production'", *INPUTS)
