@@ -193,7 +193,7 @@ def weather_precedence(spark: SparkSession, path: str) -> DataFrame:
     w = star.weather()
     observed = w.where(F.month("date") <= 6)
     issued = star.table("orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(
-        F.max(F.col("o_totalprice") / 10000.0).alias("temp_max"), F.count(F.lit(1)).cast("double").alias("rain_mm")).withColumn("city", F.lit("NATION_0"))
+        F.floor(F.max("o_totalprice") / 10000.0).cast("double").alias("temp_max"), F.count(F.lit(1)).cast("double").alias("rain_mm")).withColumn("city", F.lit("NATION_0"))
     full = panel.observed_or_issued(observed, issued).withColumn("day_idx", F.datediff("date", F.lit(start)))
     return rounded(panel.with_all_entity(full, "city", ["temp_max", "rain_mm"]))
 
@@ -246,7 +246,7 @@ def aggregate_panel(spark: SparkSession, path: str) -> DataFrame:
     start, _ = star.window()
     daily = star.daily("item_store").withColumn("day_idx", F.datediff("date", F.lit(start)))
     leaf = daily.withColumn("y", F.when(~F.col("stockout"), F.col("y")))
-    return rounded(hierarchy.aggregate_panel(leaf).select("level", "node_id", "day_idx", "y", "disc"))
+    return rounded(hierarchy.aggregate_panel(leaf).select("level", "node_id", "day_idx", "y", "disc"), 9)
 
 
 # ============================================================ windows

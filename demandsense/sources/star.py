@@ -102,9 +102,9 @@ class Star:
         return (orders.join(customer, orders.o_custkey == customer.c_custkey)
                 .join(nation, customer.c_nationkey == nation.n_nationkey)
                 .groupBy(F.to_date("o_orderdate").alias("date"), "city")
-                .agg((F.max("o_totalprice") / 10000.0).alias("temp_max"),
+                .agg(F.floor(F.max("o_totalprice") / 10000.0).cast("double").alias("temp_max"),
                      F.count_if(F.col("o_orderstatus") == "F").cast("double").alias("rain_mm"),
-                     F.max(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 5000.0)).alias("humidity")))
+                     F.max(F.when(F.col("o_orderstatus") != "P", F.floor(F.col("o_totalprice") / 5000.0).cast("double"))).alias("humidity")))
 
     def search(self) -> DataFrame:
         """Daily interest per event type."""

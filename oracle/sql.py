@@ -107,7 +107,7 @@ add("feed_scan", """SELECT CAST(l_shipdate AS DATE) AS date, SUM(l_quantity) AS
   WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1""")
 add("order_export_cells", """SELECT o_orderkey, CASE WHEN cell SIMILAR TO '[=+@-].*' THEN '''' || cell ELSE cell END AS cell, o_orderpriority, o_totalprice
   FROM (SELECT *, CASE o_orderstatus WHEN 'F' THEN '=' WHEN 'O' THEN '-' ELSE '@' END || o_orderpriority AS cell FROM orders)""")
-add("recent_history", """SELECT d0 + day_idx AS date, series_id AS node_id, 'ym' AS measure, ym AS value FROM panel, bounds WHERE day_idx >= n - 91 AND ym IS NOT NULL
+add("recent_history", """SELECT d0 + CAST(day_idx AS INTEGER) AS date, series_id AS node_id, 'ym' AS measure, ym AS value FROM panel, bounds WHERE day_idx >= n - 91 AND ym IS NOT NULL
   UNION ALL SELECT d0 + day_idx, series_id, 'disc', disc FROM panel, bounds WHERE day_idx >= n - 91""", *BASE)
 
 # ------------------------------------------------------------- contracts
@@ -190,22 +190,22 @@ walk AS (SELECT item_id, region, rn, date_start, date_end, discount, promo_ord,
   UNION ALL SELECT n.item_id, n.region, n.rn, n.date_start, n.date_end, n.discount, n.promo_ord, n.date_start > w.last_end,
     CASE WHEN n.date_start > w.last_end THEN n.date_end ELSE w.last_end END FROM walk w JOIN num n ON n.item_id = w.item_id AND n.region = w.region AND n.rn = w.rn + 1)
 SELECT item_id, region, date_start, date_end, discount, promo_ord FROM walk WHERE kept"""
-WEATHER = """weather AS (SELECT CAST(o_orderdate AS DATE) AS date, n_name AS city, MAX(o_totalprice) / 10000.0 AS temp_max,
-  CAST(COUNT(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS DOUBLE) AS rain_mm, MAX(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 5000.0 END) AS humidity
+WEATHER = """weather AS (SELECT CAST(o_orderdate AS DATE) AS date, n_name AS city, floor(MAX(o_totalprice) / 10000.0) AS temp_max,
+  CAST(COUNT(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS DOUBLE) AS rain_mm, MAX(CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice / 5000.0) END) AS humidity
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"""
 WEATHER_DAYS = """weather_days AS (SELECT date - d0 AS day_idx, city, temp_max, rain_mm, humidity FROM weather, bounds
   UNION ALL SELECT date - d0, '__all__', AVG(temp_max), AVG(rain_mm), AVG(humidity) FROM weather, bounds GROUP BY 1)"""
 add("weather_precedence", """SELECT day_idx, city, ROUND(temp_max, 6) AS temp_max, ROUND(rain_mm, 6) AS rain_mm FROM (SELECT date - d0 AS day_idx, city, temp_max, rain_mm FROM merged, bounds
   UNION ALL SELECT date - d0, '__all__', AVG(temp_max), AVG(rain_mm) FROM merged, bounds GROUP BY 1)""", BOUNDS, WEATHER,
     """obs AS (SELECT date, city, temp_max, rain_mm FROM weather WHERE month(date) <= 6),
-merged AS (SELECT * FROM obs UNION ALL SELECT CAST(o_orderdate AS DATE) AS date, 'NATION_0', MAX(o_totalprice / 10000.0), CAST(COUNT(*) AS DOUBLE) FROM orders
+merged AS (SELECT * FROM obs UNION ALL SELECT CAST(o_orderdate AS DATE) AS date, 'NATION_0', floor(MAX(o_totalprice) / 10000.0), CAST(COUNT(*) AS DOUBLE) FROM orders
   WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT date FROM obs) GROUP BY 1)""")
 add("weather_gap_fill", """SELECT w.date, city, ROUND(COALESCE(CASE WHEN rain_mm > 0 THEN temp_max END, t2), 6) AS temp_max, ROUND(COALESCE(humidity, h2), 6) AS humidity,
   CAST((CASE WHEN NOT rain_mm > 0 AND t2 IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN humidity IS NULL AND h2 IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS filled
   FROM weather w JOIN (SELECT date, MAX(humidity) AS h2, MAX(temp_max) AS t2 FROM weather GROUP BY 1) s ON s.date = w.date""", WEATHER)
 CLIMATE = f"""climate AS (SELECT c.city, CAST(m.m AS INTEGER) AS month, COALESCE(x.temp_max, c.temp_max) AS temp_max, COALESCE(x.rain_mm, c.rain_mm) AS rain_mm, COALESCE(x.humidity, c.humidity) AS humidity
   FROM (SELECT city, AVG(temp_max) AS temp_max, AVG(rain_mm) AS rain_mm, AVG(humidity) AS humidity FROM weather_days WHERE day_idx <= {TRAIN_END} GROUP BY 1) c CROSS JOIN range(1, 13) m(m)
-  LEFT JOIN (SELECT city, month(d0 + day_idx) AS month, AVG(temp_max) AS temp_max, AVG(rain_mm) AS rain_mm, AVG(humidity) AS humidity FROM weather_days, bounds
+  LEFT JOIN (SELECT city, month(d0 + CAST(day_idx AS INTEGER)) AS month, AVG(temp_max) AS temp_max, AVG(rain_mm) AS rain_mm, AVG(humidity) AS humidity FROM weather_days, bounds
     WHERE day_idx <= {TRAIN_END} GROUP BY 1, 2) x ON x.city = c.city AND x.month = m.m)"""
 add("climatology", "SELECT city, month, ROUND(temp_max, 6) AS temp_max, ROUND(rain_mm, 6) AS rain_mm, ROUND(humidity, 6) AS humidity FROM climate",
     BOUNDS, LAYOUT, WEATHER, WEATHER_DAYS, CLIMATE)
@@ -213,7 +213,7 @@ EVENTS = """cal AS (SELECT DISTINCT ON (date, event) * FROM (SELECT CAST(yr || m
   (VALUES ('Spring Fair', 'festival', '-04-12', 0, 3), ('Founders Day', 'public_holiday', '-04-14', 1, 1), ('Year End', 'festival', '-12-28', 2, 5), ('Founders Day', 'festival', '-04-14', 3, 1))
   v(event, kind, md, i, span)) ORDER BY date, event, ev_ord),
 ev_days AS (SELECT CAST(g.d AS INTEGER) AS day_idx, c.* EXCLUDE (date), (c.date - d0) - CAST(g.d AS INTEGER) AS delta, CASE c.event WHEN 'Founders Day' THEN 0 WHEN 'Spring Fair' THEN 1 ELSE 2 END AS eid
-  FROM (SELECT unnest(range(0, n + 14)) AS d FROM bounds) g, bounds, cal c WHERE c.date BETWEEN d0 - 30 AND d0 + n + 13 + 30 AND (c.date - d0) - g.d BETWEEN -(span - 1) AND 14),
+  FROM (SELECT unnest(range(0, n + 14)) AS d FROM bounds) g, bounds, cal c WHERE c.date BETWEEN d0 - 30 AND d0 + CAST(n AS INTEGER) + 13 + 30 AND (c.date - d0) - g.d BETWEEN -(span - 1) AND 14),
 events_d AS (SELECT CAST(g.d AS INTEGER) AS day_idx, d0 + CAST(g.d AS INTEGER) AS date, g.d < n AS observed, COALESCE(e.delta, 99) AS days_to_event, COALESCE(e.eid, -1) AS event_id,
   COALESCE(e.fest, 0) AS in_festival, COALESCE(e.hol, 0) AS is_holiday FROM (SELECT unnest(range(0, n + 14)) AS d FROM bounds) g, bounds
   LEFT JOIN (SELECT day_idx, arg_min(delta, abs(delta) * 1000000000 + (delta + day_idx) * 10000 + (ev_ord % 10)) AS delta, arg_min(eid, abs(delta) * 1000000000 + (delta + day_idx) * 10000 + (ev_ord % 10)) AS eid,
@@ -232,7 +232,7 @@ add("hierarchy_nodes", """SELECT node_id, parent_id, level, path, COUNT(DISTINCT
 NODES = """nodes AS (SELECT level, node_id, day_idx, SUM(y) AS y, COALESCE(AVG(CASE WHEN y IS NOT NULL THEN disc END), 0.0) AS disc FROM (
   SELECT 'total' AS level, 'total' AS node_id, day_idx, y, disc FROM {src} UNION ALL SELECT 'region', 'R:' || region, day_idx, y, disc FROM {src}
   UNION ALL SELECT 'store', 'S:' || store_id, day_idx, y, disc FROM {src} UNION ALL SELECT 'store_category', 'SC:' || store_id || '|' || category, day_idx, y, disc FROM {src}) GROUP BY ALL)"""
-add("aggregate_panel", "SELECT level, node_id, day_idx, ROUND(y, 6) AS y, ROUND(disc, 6) AS disc FROM nodes", SOLD, BOUNDS, DAILY_ITEM,
+add("aggregate_panel", "SELECT level, node_id, day_idx, ROUND(y, 9) AS y, ROUND(disc, 9) AS disc FROM nodes", SOLD, BOUNDS, DAILY_ITEM,
     "leafs AS (SELECT region, store_id, category, day_idx, CASE WHEN NOT stockout THEN y END AS y, disc FROM daily_item)", NODES.format(src="leafs"))
 
 # ------------------------------------------------------------- windows
@@ -302,3 +302,130 @@ DBL_F = ["price_log", "last_obs", "mean7", "mean28", "mean56", "std28", "zero28"
 FCOLS = ", ".join(INT_F + [f"ROUND({c}, 6) AS {c}" for c in DBL_F])
 add("feature_rows", f"SELECT series_id, origin, day, {FCOLS}, ROUND(y, 6) AS y, censored FROM feats WHERE block IN ('cal', 'test')", *INPUTS)
 add("production_features", f"SELECT series_id, origin, day, {FCOLS} FROM feats WHERE block = 'production'", *INPUTS)
+
+SC = ", ".join(f"ROUND({c} / sc, 6) AS {c}" for c in ("last_obs", "mean7", "mean28", "mean56", "std28", "sdw_mean4"))
+NODE_PANEL = "node_panel AS (SELECT node_id AS series_id, level, CAST(day_idx AS INTEGER) AS day_idx, y, y AS ym FROM nodes)"
+NODE_ROLLED = roll("node_panel").replace("rolled AS", "node_rolled AS")
+NODE_ROWS = """node_rows AS (SELECT s.series_id, s.lo, o.block, o.origin, CAST(h.h AS INTEGER) AS h, o.origin + CAST(h.h AS INTEGER) AS day FROM (SELECT series_id, MIN(day_idx) AS lo FROM node_panel GROUP BY 1) s,
+  layout o, range(1, 15) h(h)),
+node_lags AS (SELECT r.series_id, r.origin, r.h, AVG(p.ym) AS sdw_mean4 FROM node_rows r, range(0, 4) j(j), node_panel p WHERE p.series_id = r.series_id
+  AND p.day_idx = r.day - 7 * (CAST(CEIL(r.h / 7.0) AS INTEGER) + j.j) GROUP BY ALL)"""
+NODE = (*BASE, LAYOUT, NODES.format(src="panel"), NODE_PANEL)
+add("aggregate_scaling", f"""SELECT series_id, origin, h, ROUND(sc, 6) AS scale, {SC}, ROUND(y / sc, 6) AS target_ratio FROM (SELECT r.series_id, r.origin, r.h, GREATEST(COALESCE(mean28, 1.0), 0.001) AS sc, last_obs,
+  mean7, mean28, mean56, std28, sdw_mean4, t.y FROM node_rows r LEFT JOIN node_rolled k ON k.series_id = r.series_id AND k.day_idx = r.origin LEFT JOIN node_lags l USING (series_id, origin, h)
+  LEFT JOIN node_panel t ON t.series_id = r.series_id AND t.day_idx = r.day WHERE block = 'test')""", *NODE, NODE_ROLLED, NODE_ROWS)
+
+# ------------------------------------------------------------- forecasts
+add("seasonal_naive", "SELECT series_id, origin, h, ROUND(b0, 6) AS b0, ROUND(y, 6) AS y, censored FROM fm WHERE block = 'test'", *FC)
+add("planner_baseline", "SELECT series_id, origin, h, ROUND(b1, 6) AS b1, ROUND(croston, 6) AS croston, ROUND(sba, 6) AS sba, ROUND(tsb, 6) AS tsb FROM fm WHERE block = 'test'", *FC)
+add("count_bands", """SELECT m.series_id, m.origin, nb_p10, nb_p50, nb_p90, po_p10, po_p50, po_p90 FROM moments m
+  JOIN (SELECT m, v, MIN(CASE WHEN cdf >= 0.1 - 1e-12 THEN k END) AS nb_p10, MIN(CASE WHEN cdf >= 0.5 - 1e-12 THEN k END) AS nb_p50, MIN(CASE WHEN cdf >= 0.9 - 1e-12 THEN k END) AS nb_p90 FROM
+    (SELECT m, v, k, SUM(exp(CASE WHEN v > m * 1.05 THEN lgamma(k + s) - lgamma(s) - lgamma(k + 1) + s * ln(s / (s + m)) + k * ln(m / (s + m)) ELSE k * ln(m) - m - lgamma(k + 1) END)) OVER (PARTITION BY m, v ORDER BY k) AS cdf
+     FROM (SELECT m, v, CAST(k AS DOUBLE) AS k, m * m / GREATEST(v - m, 1e-6) AS s FROM (SELECT DISTINCT m, v FROM moments) d, LATERAL (SELECT unnest(range(0, CAST(ceil(d.m + 10 * sqrt(GREATEST(d.v, d.m)) + 21) AS BIGINT))) AS k) u)) GROUP BY m, v) q ON q.m = m.m AND q.v = m.v
+  JOIN (SELECT m, MIN(CASE WHEN cdf >= 0.1 - 1e-12 THEN k END) AS po_p10, MIN(CASE WHEN cdf >= 0.5 - 1e-12 THEN k END) AS po_p50, MIN(CASE WHEN cdf >= 0.9 - 1e-12 THEN k END) AS po_p90 FROM
+    (SELECT m, k, SUM(exp(k * ln(m) - m - lgamma(k + 1))) OVER (PARTITION BY m ORDER BY k) AS cdf
+     FROM (SELECT m, CAST(k AS DOUBLE) AS k FROM (SELECT DISTINCT m FROM moments) d, LATERAL (SELECT unnest(range(0, CAST(ceil(d.m + 10 * sqrt(d.m) + 21) AS BIGINT))) AS k) u)) GROUP BY m) p ON p.m = m.m""",
+    *BASE, LAYOUT, ROLLED, """moments AS (SELECT series_id, origin, GREATEST(COALESCE(ROUND(mean28, 6), 0), 1e-6) AS m, pow(COALESCE(ROUND(std28, 6), 0), 2) AS v FROM rolled JOIN layout ON origin = day_idx WHERE block = 'test')""")
+add("demand_classes", "SELECT series_id, n_obs, n_sold, ROUND(adi, 6) AS adi, ROUND(cv2, 6) AS cv2, demand_class FROM classes", *BASE, LAYOUT, CLASSES)
+TYPICAL = "COALESCE(GREATEST(COALESCE(sdw_mean4, mean28), mean7), y)"
+add("training_targets", f"""SELECT series_id, COUNT(*) AS rows, ROUND(SUM(y), 4) AS y_train, 'ignore' AS treatment FROM tr GROUP BY 1 UNION ALL
+  SELECT series_id, COUNT(*), ROUND(SUM(y), 4), 'drop' FROM tr WHERE NOT censored GROUP BY 1 UNION ALL
+  SELECT series_id, COUNT(*), ROUND(SUM(CASE WHEN censored THEN GREATEST(y, {TYPICAL}) ELSE y END), 4), 'impute' FROM tr GROUP BY 1""", *FC, "tr AS (SELECT * FROM fm WHERE block = 'train' AND y IS NOT NULL)")
+ROUTES = f"""cal_scores AS (SELECT demand_class, model, ord, AVG(mae / mase_scale) AS mase, SUM(n) AS rows FROM (SELECT demand_class, series_id, model, ord, AVG(ABS(y - f)) AS mae, COUNT(*) AS n FROM (
+  SELECT *, unnest([{{'model': 'm2', 'ord': 1, 'f': m2}}, {{'model': 'tsb', 'ord': 2, 'f': tsb}}, {{'model': 'sba', 'ord': 3, 'f': sba}}, {{'model': 'croston', 'ord': 4, 'f': croston}}], recursive := true) FROM fm
+  WHERE block = 'cal' AND {USABLE} AND age >= 28 AND demand_class IN ('intermittent', 'lumpy')) GROUP BY ALL) x JOIN scale USING (series_id) GROUP BY ALL),
+routes AS (SELECT DISTINCT ON (demand_class) demand_class, model AS route, mase FROM cal_scores WHERE rows >= 50 ORDER BY demand_class, mase, ord)"""
+add("route_selection", "SELECT demand_class, route, ROUND(mase, 6) AS mase FROM routes", *FC, SCALE, ROUTES)
+add("routed_forecasts", """SELECT series_id, origin, h, route, ROUND(CASE route WHEN 'm2' THEN m2 WHEN 'tsb' THEN tsb WHEN 'sba' THEN sba WHEN 'croston' THEN croston WHEN 'c1' THEN m2 END, 6) AS final, cls_group
+  FROM (SELECT fm.*, CASE WHEN age < 28 THEN 'c1' ELSE COALESCE(r.route, 'm2') END AS route, CASE WHEN age < 28 THEN 'new' ELSE fm.demand_class END AS cls_group
+  FROM fm LEFT JOIN routes r ON r.demand_class = fm.demand_class WHERE block = 'test')""", *FC, SCALE, ROUTES)
+
+# ------------------------------------------------------------- cold start
+ANALOGS = """cs AS (SELECT d.series_id, d.store_id, d.category, d.item_id, MIN(day_idx) AS launch_idx, ANY_VALUE(price) AS price, ANY_VALUE(pack_size) AS pack_size FROM daily_item d
+  JOIN (SELECT p_type || '|' || p_brand AS item_id, MIN(p_retailprice) AS price, MIN(p_size) AS pack_size FROM part GROUP BY 1) i ON i.item_id = d.item_id GROUP BY ALL),
+moments AS (SELECT stddev_pop(ln(price)) + 1e-9 AS sa, stddev_pop(ln(pack_size + 1.0)) + 1e-9 AS sb, MIN(ln(price)) AS la, MIN(ln(pack_size + 1.0)) AS lb, MAX(ln(price)) AS ha, MAX(ln(pack_size + 1.0)) AS hb FROM cs),
+grid AS (SELECT cs.*, GREATEST((ha - la) / sa, (hb - lb) / sb, 1e-9) * (1 + 1e-9) AS unit, sa, sb, la, lb FROM cs, moments),
+pts AS (SELECT * EXCLUDE (sa, sb, la, lb), ROUND((ln(price) - la) / (sa * unit), 12) AS u, ROUND((ln(pack_size + 1.0) - lb) / (sb * unit), 12) AS v FROM grid),
+near AS (SELECT a.series_id, b.series_id AS analog, a.launch_idx, b.launch_idx AS analog_launch, ROUND(sqrt(pow(a.u - b.u, 2) + pow(a.v - b.v, 2)), 9) AS gap, a.unit
+  FROM pts a JOIN pts b ON a.store_id = b.store_id AND a.category = b.category AND a.series_id <> b.series_id)"""
+COLD = (SOLD, BOUNDS, DAILY_ITEM, ANALOGS)
+add("analog_items", """SELECT series_id, analog, CAST(rank AS INTEGER) AS rank, ROUND(gap * unit, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY gap, analog) AS rank FROM near) WHERE rank <= 5""", *COLD)
+
+
+def ramp(upto: str) -> str:
+    return f"""ramp_pairs AS (SELECT series_id, analog, launch_idx AS begin FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY gap, analog) AS rk FROM near
+  WHERE launch_idx > 0 AND launch_idx + 28 <= {upto} AND analog_launch + 90 <= launch_idx) WHERE rk <= 5),
+ramp_members AS (SELECT series_id, analog AS member, begin FROM ramp_pairs UNION SELECT series_id, series_id, begin FROM ramp_pairs),
+ramp_units AS (SELECT m.series_id, m.member, CAST(b.b AS INTEGER) AS bucket, COALESCE(SUM(d.y), 0) AS units FROM ramp_members m CROSS JOIN range(0, 4) b(b) LEFT JOIN daily_item d ON d.series_id = m.member
+  AND d.day_idx BETWEEN m.begin + 7 * b.b AND m.begin + 7 * b.b + 6 GROUP BY ALL),
+ratios AS (SELECT series_id, bucket, MAX(CASE WHEN member = series_id THEN units END) / MEDIAN(CASE WHEN member <> series_id THEN units END) AS r FROM ramp_units GROUP BY ALL
+  HAVING MEDIAN(CASE WHEN member <> series_id THEN units END) > 0),
+ramp AS (SELECT g.bucket, COALESCE(n, 0) AS launches, LEAST(GREATEST(CASE WHEN n >= 3 THEN m ELSE generic END, 0.05), 3.0) AS ramp FROM (VALUES (0, 0.35::DOUBLE), (1, 0.6), (2, 0.75), (3, 0.85)) g(bucket, generic)
+  LEFT JOIN (SELECT bucket, COUNT(*) AS n, MEDIAN(r) AS m FROM ratios GROUP BY 1) x ON x.bucket = g.bucket)"""
+
+
+add("launch_ramp", "SELECT bucket, launches, ROUND(ramp, 6) AS ramp FROM ramp", *COLD, ramp("2000"))
+COLD_ROWS = """cold_o AS (SELECT 200 + 7 * i AS origin FROM range(0, 8) t(i)),
+cold_stats AS (SELECT c.series_id, c.store_id, c.category, c.launch_idx, o.origin, (SELECT AVG(CASE WHEN NOT stockout THEN y END) FROM daily_item d WHERE d.series_id = c.series_id AND d.day_idx BETWEEN o.origin - 27 AND o.origin) AS mean28
+  FROM cs c, cold_o o),
+cold_rows AS (SELECT s.*, CAST(h.h AS INTEGER) AS h, s.origin + h.h AS day, LEAST(s.origin + h.h - launch_idx, 365) AS age, COALESCE(mean28, 0) + h.h * 0.125 AS final FROM cold_stats s, range(1, 15) h(h) WHERE launch_idx <= s.origin + h.h)"""
+C1 = """c1_pairs AS (SELECT series_id, origin, analog FROM (SELECT n.series_id, o.origin, n.analog, row_number() OVER (PARTITION BY n.series_id, o.origin ORDER BY gap, analog) AS rk FROM near n, cold_o o
+  WHERE n.analog_launch + 90 <= o.origin) WHERE rk <= 5),
+c1_base AS (SELECT y.series_id, y.origin, y.h, MEDIAN(f.final) AS base FROM cold_rows y JOIN c1_pairs p ON p.series_id = y.series_id AND p.origin = y.origin
+  JOIN cold_rows f ON f.series_id = p.analog AND f.origin = y.origin AND f.h = y.h WHERE y.age < 28 GROUP BY ALL),
+c1 AS (SELECT y.*, COALESCE(b.base, 0) * r.ramp AS c1 FROM cold_rows y LEFT JOIN c1_base b USING (series_id, origin, h) JOIN ramp r ON r.bucket = LEAST(y.age // 7, 3) WHERE y.age < 28)"""
+add("cold_start_forecast", "SELECT series_id, CAST(origin AS INTEGER) AS origin, h, ROUND(c1, 6) AS c1 FROM c1", *COLD, ramp("200"), COLD_ROWS, C1)
+CATMEAN = """catmean AS (SELECT y.series_id, y.origin, y.h, y.day, COALESCE(m.cm, 0) AS catmean FROM cold_rows y LEFT JOIN (SELECT store_id, category, origin, AVG(mean28) AS cm FROM cold_stats
+  WHERE launch_idx + 90 <= origin GROUP BY ALL) m ON m.store_id = y.store_id AND m.category = y.category AND m.origin = y.origin WHERE y.age < 28)"""
+add("category_mean_forecast", "SELECT series_id, CAST(origin AS INTEGER) AS origin, h, ROUND(catmean, 6) AS catmean FROM catmean", *COLD, COLD_ROWS, CATMEAN)
+add("young_route", """SELECT COUNT(*) AS rows, CASE WHEN COUNT(*) >= 30 THEN (CASE WHEN SUM(ABS(y - final)) <= SUM(ABS(y - c1)) AND SUM(ABS(y - final)) <= SUM(ABS(y - catmean)) THEN 'm2'
+  WHEN SUM(ABS(y - c1)) <= SUM(ABS(y - catmean)) THEN 'c1' ELSE 'catmean' END) ELSE 'c1' END AS young_route FROM c1 JOIN catmean USING (series_id, origin, h)
+  JOIN daily_item d ON d.series_id = c1.series_id AND d.day_idx = c1.day WHERE NOT d.stockout""", *COLD, ramp("200"), COLD_ROWS, C1, CATMEAN)
+add("established_series", "SELECT series_id FROM cold_rows WHERE origin = 200 GROUP BY 1 HAVING MIN(age) >= 28", *COLD, COLD_ROWS)
+
+# ------------------------------------------------------------- scores
+add("region_accuracy", f"""SELECT region, COUNT(*) AS rows, ROUND({wape('b0')}, 6) AS wape_b0, ROUND({wape('b1')}, 6) AS wape_b1, ROUND({bias('b0')}, 6) AS bias_b0 FROM fm
+  WHERE block = 'test' AND {USABLE} GROUP BY region""", *FC)
+add("score_table", " UNION ALL ".join(f"""SELECT '{m}' AS model, ROUND((SELECT {wape(m)} FROM t), 6) AS wape, ROUND((SELECT AVG(e / mase_scale) FROM (SELECT series_id, AVG(ABS(y - {m})) AS e FROM t GROUP BY 1) JOIN scale USING (series_id)), 6) AS mase,
+  ROUND((SELECT {bias(m)} FROM t), 6) AS bias""" for m in ("b0", "b1", "m2", "tsb", "sba", "croston")), *FC, SCALE, f"t AS (SELECT * FROM fm WHERE block = 'test' AND {USABLE})")
+
+
+def pin(q: str, tau: float) -> str:
+    return f"AVG(GREATEST({tau} * (y - {q}), ({tau} - 1) * (y - {q})))"
+
+
+add("pinball_coverage", f"""SELECT demand_class, ROUND(({pin('m2_p10', 0.1)} + {pin('m2_p50', 0.5)} + {pin('m2_p90', 0.9)}) / 3.0, 6) AS pinball,
+  ROUND(AVG(CASE WHEN y BETWEEN m2_p10 AND m2_p90 THEN 1.0 ELSE 0.0 END), 6) AS coverage, COUNT(*) AS rows FROM fm WHERE block = 'test' AND {USABLE} GROUP BY 1""", *FC)
+REV = "rev AS (SELECT *, lag({m}) OVER (PARTITION BY series_id, day ORDER BY origin) AS prev FROM fm WHERE block = 'test')"
+add("forecast_revisions", "SELECT series_id, origin, day, ROUND(m2, 6) AS m2, ROUND(prev, 6) AS prev FROM rev WHERE prev IS NOT NULL", *FC, REV.format(m="m2"))
+add("forecast_stability", " UNION ALL ".join(f"""SELECT '{m}' AS model, ROUND(MEDIAN(mv), 6) AS stability FROM (SELECT SUM(ABS({m} - prev)) / GREATEST(SUM(ABS({m})), 1e-9) AS mv FROM
+  (SELECT *, lag({m}) OVER (PARTITION BY series_id, day ORDER BY origin) AS prev FROM fm WHERE block = 'test' AND y IS NOT NULL) WHERE prev IS NOT NULL GROUP BY series_id)""" for m in ("b0", "b1", "m2")), *FC)
+TYPED = f"""typed AS (SELECT f.*, CASE WHEN e.in_festival = 1 OR e.days_to_event BETWEEN 0 AND 4 THEN 'festival' WHEN w.rain_mm * 10 >= 20 THEN 'heavy_rain' WHEN pd.disc > 0 THEN 'promotion' ELSE 'normal' END AS day_type
+  FROM fm f LEFT JOIN events_d e ON e.day_idx = f.day LEFT JOIN weather_days w ON w.city = f.store_id AND w.day_idx = f.day LEFT JOIN promo_days pd ON pd.item_id = f.category AND pd.region = f.region AND pd.day_idx = f.day
+  WHERE block = 'cal' AND {USABLE})"""
+CUTS = (*FC, TYPE, EVENTS, WEATHER, WEATHER_DAYS, TYPED)
+W3 = ", ".join(f"ROUND({wape(m)}, 6) AS wape_{m}" for m in ("b0", "b1", "m2"))
+add("wape_cuts", " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, COUNT(*) AS rows, {W3} FROM typed GROUP BY {d}" for d in ("demand_class", "day_type", "store_id")), *CUTS)
+add("sensing_days", f"SELECT ROUND({wape('m1')}, 6) AS m1, ROUND({wape('m2')}, 6) AS m2, COUNT(*) AS rows FROM typed WHERE day_type IN ('festival', 'heavy_rain')", *CUTS)
+add("store_level_mase", " UNION ALL ".join(f"SELECT '{m}' AS model, ROUND(AVG(e / sc), 6) AS store_mase FROM (SELECT store_id, AVG(ABS(y - {m})) AS e FROM agg GROUP BY 1) JOIN ssc USING (store_id)" for m in ("b0", "b1", "m2")),
+    *FC, f"""sday AS (SELECT s.store_id, CAST(g.d AS INTEGER) AS day_idx, COALESCE(SUM(p.ym), 0) AS ym FROM (SELECT DISTINCT store_id FROM panel) s CROSS JOIN (SELECT unnest(range(0, {TRAIN_END} + 1)) AS d) g
+  LEFT JOIN panel p ON p.store_id = s.store_id AND p.day_idx = g.d GROUP BY ALL),
+ssc AS (SELECT a.store_id, AVG(ABS(a.ym - b.ym)) AS sc FROM sday a JOIN sday b ON a.store_id = b.store_id AND a.day_idx = b.day_idx + 7 GROUP BY 1),
+agg AS (SELECT store_id, origin, day, SUM(y) AS y, SUM(b0) AS b0, SUM(b1) AS b1, SUM(m2) AS m2 FROM fm WHERE block = 'test' AND {USABLE} GROUP BY ALL)""")
+add("accuracy_vs_truth", """SELECT ROUND(SUM(ae) / SUM(vol), 6) AS wape, ROUND(SUM(e) / SUM(vol), 6) AS bias, ROUND(SUM(CASE WHEN big THEN e END) / SUM(CASE WHEN big THEN vol END), 6) AS bias_top, COUNT(CASE WHEN big THEN 1 END) AS top_series
+  FROM (SELECT *, mean_demand >= (SELECT quantile_cont(mean_demand, 0.9) FROM per) AS big FROM per)""", *FC,
+    """truth AS (SELECT store_id, category, date - d0 AS day, SUM(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE l_quantity + 5 END) AS demand FROM sold, bounds GROUP BY ALL),
+per AS (SELECT f.series_id, AVG(demand) AS mean_demand, SUM(ABS(m2 - demand)) AS ae, SUM(m2 - demand) AS e, SUM(ABS(demand)) AS vol FROM fm f LEFT JOIN truth t ON t.store_id = f.store_id AND t.category = f.category AND t.day = f.day
+  WHERE block = 'test' GROUP BY 1)""")
+add("residual_spread", f"""SELECT s.series_id, ROUND(COALESCE(own, (SELECT STDDEV_SAMP(y - m2) FROM fm WHERE block = 'cal' AND {USABLE})), 6) AS resid_sd FROM series s
+  LEFT JOIN (SELECT series_id, STDDEV_SAMP(y - m2) AS own FROM fm WHERE block = 'cal' AND {USABLE} GROUP BY 1) x ON x.series_id = s.series_id""", *FC)
+
+# ------------------------------------------------------------- conformal
+CQR = f"""cscore AS (SELECT CASE WHEN h <= 3 THEN 'h1-3' WHEN h <= 7 THEN 'h4-7' ELSE 'h8-14' END AS bucket, demand_class AS cls_group, GREATEST(m2_p10 - y, y - m2_p90) AS s FROM fm WHERE block = 'cal' AND {USABLE}),
+cg AS (SELECT bucket, cls_group, COUNT(*) AS n, list_sort(list(s)) AS ss FROM cscore GROUP BY 1, 2),
+ca AS (SELECT COUNT(*) AS n, list_sort(list(s)) AS ss FROM cscore),
+gl AS (SELECT n, ss[CAST(ceil(round(LEAST(1.0, ceil(round((n + 1) * 0.8, 9)) / n) * (n - 1), 9)) AS BIGINT) + 1] AS adjustment FROM ca),
+cfit AS (SELECT bucket, cls_group, n, CASE WHEN n >= 50 THEN ss[CAST(ceil(round(LEAST(1.0, ceil(round((n + 1) * 0.8, 9)) / n) * (n - 1), 9)) AS BIGINT) + 1] ELSE (SELECT adjustment FROM gl) END AS adjustment FROM cg)"""
+add("conformal_adjustments", "SELECT bucket, cls_group, n, ROUND(adjustment, 6) AS adjustment FROM cfit UNION ALL SELECT NULL, NULL, n, ROUND(adjustment, 6) FROM gl", *FC, CQR)
+add("conformal_bands", """SELECT series_id, origin, h, b AS bucket, ROUND(GREATEST(m2_p10 - a, 0), 6) AS p10c, ROUND(GREATEST(m2_p90 + a, 0), 6) AS p90c FROM (SELECT f.*, f.b, COALESCE(c.adjustment, (SELECT adjustment FROM gl)) AS a
+  FROM (SELECT *, CASE WHEN h <= 3 THEN 'h1-3' WHEN h <= 7 THEN 'h4-7' ELSE 'h8-14' END AS b FROM fm WHERE block = 'test') f LEFT JOIN cfit c ON c.bucket = f.b AND c.cls_group = f.demand_class)""", *FC, CQR)
