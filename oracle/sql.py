@@ -311,8 +311,8 @@ NODE_ROWS = """node_rows AS (SELECT s.series_id, s.lo, o.block, o.origin, CAST(h
 node_lags AS (SELECT r.series_id, r.origin, r.h, AVG(p.ym) AS sdw_mean4 FROM node_rows r, range(0, 4) j(j), node_panel p WHERE p.series_id = r.series_id
   AND p.day_idx = r.day - 7 * (CAST(CEIL(r.h / 7.0) AS INTEGER) + j.j) GROUP BY ALL)"""
 NODE = (*BASE, LAYOUT, NODES.format(src="panel"), NODE_PANEL)
-add("aggregate_scaling", f"""SELECT series_id, origin, h, ROUND(sc, 6) AS scale, {SC}, ROUND(y / sc, 6) AS target_ratio FROM (SELECT r.series_id, r.origin, r.h, GREATEST(COALESCE(mean28, 1.0), 0.001) AS sc, last_obs,
-  mean7, mean28, mean56, std28, sdw_mean4, t.y FROM node_rows r LEFT JOIN node_rolled k ON k.series_id = r.series_id AND k.day_idx = r.origin LEFT JOIN node_lags l USING (series_id, origin, h)
+add("aggregate_scaling", f"""SELECT series_id, origin, h, ROUND(sc, 6) AS scale, {SC}, ROUND(y / sc, 6) AS target_ratio FROM (SELECT r.series_id, r.origin, r.h, GREATEST(COALESCE(k.mean28, 1.0), 0.001) AS sc, last_obs,
+  k.mean7, k.mean28, k.mean56, k.std28, l.sdw_mean4, t.y FROM node_rows r LEFT JOIN node_rolled k ON k.series_id = r.series_id AND k.day_idx = r.origin LEFT JOIN node_lags l ON l.series_id = r.series_id AND l.origin = r.origin AND l.h = r.h
   LEFT JOIN node_panel t ON t.series_id = r.series_id AND t.day_idx = r.day WHERE block = 'test')""", *NODE, NODE_ROLLED, NODE_ROWS)
 
 # ------------------------------------------------------------- forecasts
@@ -429,3 +429,153 @@ cfit AS (SELECT bucket, cls_group, n, CASE WHEN n >= 50 THEN ss[CAST(ceil(round(
 add("conformal_adjustments", "SELECT bucket, cls_group, n, ROUND(adjustment, 6) AS adjustment FROM cfit UNION ALL SELECT NULL, NULL, n, ROUND(adjustment, 6) FROM gl", *FC, CQR)
 add("conformal_bands", """SELECT series_id, origin, h, b AS bucket, ROUND(GREATEST(m2_p10 - a, 0), 6) AS p10c, ROUND(GREATEST(m2_p90 + a, 0), 6) AS p90c FROM (SELECT f.*, f.b, COALESCE(c.adjustment, (SELECT adjustment FROM gl)) AS a
   FROM (SELECT *, CASE WHEN h <= 3 THEN 'h1-3' WHEN h <= 7 THEN 'h4-7' ELSE 'h8-14' END AS b FROM fm WHERE block = 'test') f LEFT JOIN cfit c ON c.bucket = f.b AND c.cls_group = f.demand_class)""", *FC, CQR)
+
+# ------------------------------------------------------------- reconciliation
+NODE_FC = """node_level AS (SELECT series_id, day_idx, pow(0.9, n) * SUM((CASE WHEN n = 1 THEN 1.0 ELSE 0.1 END) * y * pow(0.9, -n)) OVER (PARTITION BY series_id ORDER BY day_idx) AS level
+  FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY day_idx) AS n FROM node_panel)),
+node_fc AS (SELECT r.series_id AS node_id, r.block, r.origin, r.day, GREATEST(COALESCE(m.level * COALESCE(1 + 0.5 * (l.sdw_mean4 / NULLIF(k.mean28, 0) - 1), 1.0), 0.0), 0.0) AS b1
+  FROM node_rows r LEFT JOIN node_rolled k ON k.series_id = r.series_id AND k.day_idx = r.origin LEFT JOIN node_lags l ON l.series_id = r.series_id AND l.origin = r.origin AND l.h = r.h
+  LEFT JOIN node_level m ON m.series_id = r.series_id AND m.day_idx = r.origin),
+tree AS (SELECT DISTINCT unnest([{'node_id': 'total', 'parent_id': NULL, 'level': 'total'}, {'node_id': 'R:' || region, 'parent_id': 'total', 'level': 'region'},
+  {'node_id': 'S:' || store_id, 'parent_id': 'R:' || region, 'level': 'store'}, {'node_id': 'SC:' || store_id || '|' || category, 'parent_id': 'S:' || store_id, 'level': 'store_category'},
+  {'node_id': series_id || '|leaf', 'parent_id': 'SC:' || store_id || '|' || category, 'level': 'item_store'}], recursive := true) FROM series),
+base AS (SELECT t.*, f.block, f.origin, f.day, ROUND(f.b1, 6) AS yhat FROM tree t JOIN (SELECT node_id, block, origin, day, b1 FROM node_fc UNION ALL SELECT series_id || '|leaf', block, origin, day, b1 FROM fm) f ON f.node_id = t.node_id
+  WHERE f.block IN ('cal', 'test')),
+acts AS (SELECT series_id AS node_id, day_idx AS day, y FROM node_panel UNION ALL SELECT series_id || '|leaf', day_idx, y FROM panel),
+res AS (SELECT b.node_id, b.origin, b.day, COALESCE(a.y - b.yhat, 0) AS e FROM base b LEFT JOIN acts a ON a.node_id = b.node_id AND a.day = b.day WHERE block = 'cal'),
+sds AS (SELECT node_id, AVG(e) AS mu, STDDEV_SAMP(e) AS sd FROM res GROUP BY 1),
+fl AS (SELECT GREATEST(0.001, 0.05 * MEDIAN(sd)) AS f FROM sds WHERE sd > 0),
+rs AS (SELECT node_id, mu, GREATEST(sd, f) AS sd FROM sds, fl),
+tw AS (SELECT b.*, rs.sd * rs.sd AS w FROM base b JOIN rs USING (node_id) WHERE block = 'test')"""
+REC = (*FC, NODES.format(src="panel"), NODE_PANEL, NODE_ROLLED, NODE_ROWS, NODE_FC)
+
+
+def tree_passes() -> str:
+    names = ["total", "region", "store", "store_category", "item_store"]
+    out = ["u4 AS (SELECT node_id, parent_id, level, origin, day, yhat AS m, w AS v, NULL::DOUBLE AS mc, NULL::DOUBLE AS vc FROM tw WHERE level = 'item_store')"]
+    for i in (3, 2, 1, 0):
+        out.append(f"""u{i} AS (SELECT t.node_id, t.parent_id, t.level, t.origin, t.day, (k.mc / k.vc + t.yhat / t.w) / (1 / k.vc + 1 / t.w) AS m, 1 / (1 / k.vc + 1 / t.w) AS v, k.mc, k.vc FROM tw t
+  JOIN (SELECT parent_id, origin, day, SUM(m) AS mc, SUM(v) AS vc FROM u{i + 1} GROUP BY ALL) k ON k.parent_id = t.node_id AND k.origin = t.origin AND k.day = t.day WHERE t.level = '{names[i]}')""")
+    out.append("d0_ AS (SELECT *, m AS f FROM u0)")
+    for i in (1, 2, 3, 4):
+        out.append(f"""d{i}_ AS (SELECT c.*, c.m + c.v / p.vc * (p.f - p.mc) AS f FROM u{i} c JOIN d{i - 1}_ p ON p.node_id = c.parent_id AND p.origin = c.origin AND p.day = c.day)""")
+    out.append("""pos AS (SELECT *, GREATEST(f, 0) AS g FROM d4_),
+up3 AS (SELECT parent_id AS node_id, origin, day, SUM(g) AS g FROM pos GROUP BY ALL), up2 AS (SELECT t.parent_id AS node_id, origin, day, SUM(g) AS g FROM up3 JOIN tree t USING (node_id) GROUP BY ALL),
+up1 AS (SELECT t.parent_id AS node_id, origin, day, SUM(g) AS g FROM up2 JOIN tree t USING (node_id) GROUP BY ALL), up0 AS (SELECT t.parent_id AS node_id, origin, day, SUM(g) AS g FROM up1 JOIN tree t USING (node_id) GROUP BY ALL),
+rec AS (SELECT node_id, origin, day, g FROM pos UNION ALL SELECT * FROM up3 UNION ALL SELECT * FROM up2 UNION ALL SELECT * FROM up1 UNION ALL SELECT * FROM up0)""")
+    return ",\n".join(out)
+
+
+WLS = (*REC, tree_passes())
+BU = """leafs AS (SELECT * FROM base WHERE block = 'test' AND level = 'item_store'), b3 AS (SELECT parent_id AS node_id, 'store_category' AS level, origin, day, SUM(yhat) AS g FROM leafs GROUP BY ALL),
+b2 AS (SELECT t.parent_id AS node_id, 'store' AS level, origin, day, SUM(g) AS g FROM b3 JOIN tree t USING (node_id) GROUP BY ALL), b1_ AS (SELECT t.parent_id AS node_id, 'region' AS level, origin, day, SUM(g) AS g FROM b2 JOIN tree t USING (node_id) GROUP BY ALL),
+b0_ AS (SELECT t.parent_id AS node_id, 'total' AS level, origin, day, SUM(g) AS g FROM b1_ JOIN tree t USING (node_id) GROUP BY ALL), bu AS (SELECT * FROM b3 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b1_ UNION ALL SELECT * FROM b0_)"""
+add("bottom_up_forecasts", "SELECT node_id, level, origin, day, ROUND(g, 4) AS bottom_up FROM bu", *REC, BU)
+add("wls_forecasts", """SELECT b.node_id, b.level, b.origin, b.day, ROUND(b.yhat, 4) AS base, ROUND(r.g, 4) AS reconciled, ROUND(a.y, 4) AS y FROM base b JOIN rec r ON r.node_id = b.node_id AND r.origin = b.origin AND r.day = b.day
+  LEFT JOIN acts a ON a.node_id = b.node_id AND a.day = b.day WHERE b.block = 'test' AND b.level <> 'item_store'""", *WLS)
+add("coherence_check", "SELECT ROUND(MAX(ABS(b.yhat - bu.g)), 4) AS coherence_error, 'base' AS method FROM base b JOIN bu ON bu.node_id = b.node_id AND bu.origin = b.origin AND bu.day = b.day WHERE b.block = 'test' UNION ALL SELECT 0.0, 'wls'", *REC, BU)
+add("wape_by_level", f"""SELECT level, ROUND({wape('yhat')}, 6) AS base, ROUND({wape('g')}, 6) AS reconciled FROM (SELECT b.level, b.yhat, r.g, a.y FROM base b JOIN rec r ON r.node_id = b.node_id AND r.origin = b.origin AND r.day = b.day
+  LEFT JOIN acts a ON a.node_id = b.node_id AND a.day = b.day WHERE b.block = 'test') WHERE y IS NOT NULL GROUP BY level""", *WLS)
+add("shrinkage_intensity", """SELECT ROUND(LEAST(GREATEST(112.0 / pow(111.0, 3) * ((dg - z4) - 112.0 * (nm - own) / pow(112.0, 2)) / GREATEST((nm - own) / pow(111.0, 2), 1e-12), 0), 1), 6) AS lambda, ROUND((nm - own) / pow(111.0, 2), 6) AS sum_r2
+  FROM (SELECT SUM(g * g) AS nm, SUM(CASE WHEN k = l THEN g * g END) AS dg FROM (SELECT a.c AS k, b.c AS l, SUM(a.z * b.z) AS g FROM zz a JOIN zz b ON a.node_id = b.node_id GROUP BY 1, 2)),
+  (SELECT SUM(q * q) AS own, SUM(z4) AS z4 FROM (SELECT SUM(z * z) AS q, SUM(pow(z, 4)) AS z4 FROM zz GROUP BY node_id))""", *REC,
+    "zz AS (SELECT res.node_id, origin * 1000 + day - origin AS c, (e - mu) / sd AS z FROM res JOIN rs USING (node_id))")
+
+# ------------------------------------------------------------- inventory
+Z95, BAND = 1.6448536269514715, 2.5631031310892016
+RESID = f"""resid AS (SELECT s.series_id, COALESCE(own, (SELECT STDDEV_SAMP(y - m2) FROM fm WHERE block = 'cal' AND {USABLE})) AS resid_sd FROM series s
+  LEFT JOIN (SELECT series_id, STDDEV_SAMP(y - m2) AS own FROM fm WHERE block = 'cal' AND {USABLE} GROUP BY 1) x ON x.series_id = s.series_id)"""
+WIDTH = f"pow(GREATEST(ROUND(m2_p90, 6) - ROUND(m2_p10, 6), 0) / {BAND}, 2)"
+add("order_up_to_levels", f"""SELECT f.series_id, origin, ceil(round(1.2 * SUM(b1), 9)) AS P0_manual, ceil(round(SUM(m2) + {Z95} * ANY_VALUE(resid_sd) * 2.0, 9)) AS P1_point_ml,
+  ceil(round(SUM(m2) + {Z95} * sqrt(SUM({WIDTH})), 9)) AS P2_uncertainty FROM fm f JOIN resid r ON r.series_id = f.series_id WHERE block = 'test' AND h <= 4 GROUP BY 1, 2""", *FC, RESID)
+ONHAND = "stock AS (SELECT series_id, y AS on_hand FROM panel WHERE day_idx = (SELECT n - 1 FROM bounds))"
+add("on_hand", "SELECT s.series_id, COALESCE(on_hand, 0.0) AS on_hand FROM series s LEFT JOIN stock USING (series_id)", *BASE, ONHAND)
+add("production_orders", f"""SELECT series_id, store_id, category, order_date, ROUND(mu, 6) AS mu, ROUND(p10, 6) AS p10, ROUND(p90, 6) AS p90, up AS order_up_to, ROUND(on_hand, 6) AS on_hand, CAST(GREATEST(up - on_hand, 0) AS BIGINT) AS suggested_qty, 'P2_uncertainty' AS policy
+  FROM (SELECT f.series_id, f.store_id, f.category, (SELECT strftime(d0 + CAST(n AS INTEGER) - 1, '%Y-%m-%d') FROM bounds) AS order_date, SUM(m2) AS mu, SUM(ROUND(m2_p10, 6)) AS p10, SUM(ROUND(m2_p90, 6)) AS p90,
+  ceil(round(SUM(m2) + {Z95} * sqrt(SUM({WIDTH})), 9)) AS up FROM fm f WHERE block = 'production' AND h <= 4 GROUP BY 1, 2, 3) o JOIN stock USING (series_id)""", *FC, ONHAND)
+LEDGER = """led0 AS (SELECT p.series_id, p.store_id, p.category, p.day_idx, k.policy, p.y AS demand, ceil(round(k.k * AVG(p.y) OVER (PARTITION BY p.series_id, k.policy ORDER BY p.day_idx RANGE BETWEEN 6 PRECEDING AND CURRENT ROW), 9)) AS stock
+  FROM panel p CROSS JOIN (VALUES ('P0_manual', 1.0::DOUBLE), ('P2_uncertainty', 1.5)) k(policy, k)),
+ledger AS (SELECT *, stock - LEAST(demand, stock) AS on_hand, LEAST(demand, stock) AS sold, demand - LEAST(demand, stock) AS lost FROM led0)"""
+
+
+def kpis(by: str, src: str = "ledger") -> str:
+    return f"""rates AS (SELECT {by}, series_id, GREATEST(AVG(demand), 1e-6) AS rate FROM {src} GROUP BY ALL),
+kpi AS (SELECT l.*, r.rate_sum, l.so / l.days AS stockout_day_rate FROM (SELECT {by}, SUM(sold) AS sold, SUM(lost) AS lost, SUM(on_hand) AS oh, SUM(stock) AS ordered, COUNT(CASE WHEN lost > 0 THEN 1 END)::DOUBLE AS so, COUNT(*) AS days,
+  COUNT(DISTINCT series_id) AS ns, SUM(GREATEST(on_hand - 21 * rate, 0)) AS over, MAX(day_idx) - MIN(day_idx) + 1 AS nd FROM {src} JOIN rates USING ({by}, series_id) GROUP BY {by}) l
+  JOIN (SELECT {by}, SUM(rate) AS rate_sum FROM rates GROUP BY {by}) r USING ({by})),
+out_kpi AS (SELECT {by}, sold / GREATEST(sold + lost, 1) AS fill_rate, stockout_day_rate, so / ns AS stockout_days_per_series, oh / nd AS avg_on_hand_units, oh / nd / rate_sum AS avg_days_of_cover, over / nd AS overstock_units_per_day,
+  lost / nd AS lost_units_per_day, ordered / nd AS units_ordered_per_day, oh * 2 / nd * 0.0007 AS holding_cost_per_day, lost * 2 / nd * 0.25 AS lost_margin_per_day, oh * 2 / nd * 0.0007 + lost * 2 / nd * 0.25 AS total_cost_per_day FROM kpi)"""
+
+
+KPI_COLS = "fill_rate stockout_day_rate stockout_days_per_series avg_on_hand_units avg_days_of_cover overstock_units_per_day lost_units_per_day units_ordered_per_day holding_cost_per_day lost_margin_per_day total_cost_per_day".split()
+add("ledger_indicators", "SELECT policy, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in KPI_COLS) + " FROM out_kpi", *BASE, LEDGER, kpis("policy"))
+add("ledger_trace", "SELECT policy, day_idx, ROUND(SUM(on_hand), 6) AS on_hand, ROUND(SUM(lost), 6) AS lost, ROUND(SUM(demand), 6) AS demand FROM ledger GROUP BY 1, 2", *BASE, LEDGER)
+add("policy_comparison", """SELECT ROUND(1 - b.stockout_day_rate / GREATEST(a.stockout_day_rate, 1e-9), 6) AS stockout_reduction, ROUND(b.avg_on_hand_units / GREATEST(a.avg_on_hand_units, 1e-9) - 1, 6) AS inventory_change,
+  ROUND(b.total_cost_per_day / GREATEST(a.total_cost_per_day, 1e-9) - 1, 6) AS cost_change FROM out_kpi a, out_kpi b WHERE a.policy = 'P0_manual' AND b.policy = 'P2_uncertainty'""", *BASE, LEDGER, kpis("policy"))
+add("cover_at_fill", """SELECT category AS policy, ROUND(MAX(CASE WHEN x <= t AND t < x1 THEN y + (y1 - y) * (t - x) / (x1 - x) WHEN x1 IS NULL AND x = t THEN y END), 5) AS cover, ROUND(ANY_VALUE(t), 5) AS target
+  FROM (SELECT category, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, t FROM points, (SELECT ROUND(quantile_disc(x, 0.5), 2) AS t FROM points) WINDOW w AS (PARTITION BY category ORDER BY x, y)) GROUP BY category""", *BASE, LEDGER,
+    "led2 AS (SELECT *, category || '/' || store_id AS cs FROM ledger WHERE policy = 'P2_uncertainty')", kpis("cs", "led2"),
+    "points AS (SELECT split_part(cs, '/', 1) AS category, ROUND(fill_rate, 6) AS x, ROUND(avg_days_of_cover, 6) AS y FROM out_kpi)")
+add("origin_in_force", """SELECT store_id, day_idx, y, CAST((SELECT MAX(origin) FROM layout WHERE block = 'test' AND origin <= day_idx) AS INTEGER) AS origin FROM daily_store WHERE day_idx >= (SELECT MIN(origin) FROM layout WHERE block = 'test')""",
+    SOLD, BOUNDS, LAYOUT, DAILY_STORE)
+
+# ------------------------------------------------------------- monitoring
+DF = ["last_obs", "mean7", "mean28", "mean56", "std28", "zero28", "sdw_mean4", "days_since_sale"]
+DRIFT = "drift AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, block, series_id, origin, h, ROUND(CAST({f} AS DOUBLE), 6) AS x FROM fm WHERE block IN ('train', 'test') AND {f} IS NOT NULL" for f in DF) + ")"
+add("drift_psi", """SELECT e.feature, ROUND(CASE WHEN len(e.edges) < 3 THEN 0.0 ELSE SUM((GREATEST(c, 1e-4) - GREATEST(r, 1e-4)) * ln(GREATEST(c, 1e-4) / GREATEST(r, 1e-4))) END, 5) AS psi,
+  CASE WHEN len(e.edges) < 3 THEN 0.0 ELSE SUM((GREATEST(c, 1e-4) - GREATEST(r, 1e-4)) * ln(GREATEST(c, 1e-4) / GREATEST(r, 1e-4))) END > 0.2 AS alert FROM edges e
+  JOIN (SELECT feature, bin, nr / SUM(nr) OVER (PARTITION BY feature) AS r, nc / SUM(nc) OVER (PARTITION BY feature) AS c FROM (SELECT s.feature, len(list_filter(e.edges[2:-2], lambda q: s.x >= q)) AS bin,
+    COUNT(CASE WHEN side = 0 THEN 1 END)::DOUBLE AS nr, COUNT(CASE WHEN side = 1 THEN 1 END)::DOUBLE AS nc FROM sides s JOIN edges e USING (feature) GROUP BY 1, 2)) b ON b.feature = e.feature GROUP BY e.feature, e.edges""",
+    *FC, DRIFT, f"""sides AS (SELECT feature, x, 0 AS side FROM drift d WHERE block = 'train' AND origin >= (SELECT MAX(origin) - 175 FROM layout WHERE block = 'train') AND {uniform("concat_ws('|', '7', d.series_id, d.origin, d.h)")} < 0.5
+  UNION ALL SELECT feature, x, 1 FROM drift WHERE block = 'test'),
+edges AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges FROM sides WHERE side = 0 GROUP BY 1)""")
+TESTU = f"SELECT * FROM fm WHERE block = 'test' AND {USABLE}"
+add("weekly_accuracy", f"SELECT d0 + CAST(origin AS INTEGER) AS origin_date, ROUND({wape('m2')}, 6) AS wape_final, ROUND({wape('b0')}, 6) AS wape_b0, ROUND({bias('m2')}, 6) AS bias_final FROM ({TESTU}), bounds GROUP BY 1", *FC)
+add("store_bias_alerts", f"SELECT store_id, CAST(origin AS INTEGER) AS origin, ROUND({bias('m2')}, 6) AS bias, COALESCE(ABS({bias('m2')}) > 0.15, FALSE) AS alert FROM ({TESTU}) GROUP BY 1, 2", *FC)
+add("demand_drop_detection", f"""SELECT store_id, CAST(MAX(week) AS INTEGER) AS weeks, CAST(MIN(CASE WHEN b > 0.15 THEN week END) AS INTEGER) AS detected_in_week FROM (SELECT store_id, origin, b, row_number() OVER (PARTITION BY store_id ORDER BY origin) AS week FROM
+  (SELECT store_id, origin, SUM(m2 - y) / NULLIF(SUM(ABS(y)), 0) AS b FROM (SELECT * REPLACE (CASE WHEN store_id = 'NATION_1' THEN y * 0.8 ELSE y END AS y) FROM ({TESTU}) WHERE h <= 7) GROUP BY 1, 2)) GROUP BY 1""", *FC)
+add("source_freshness", """SELECT 'sales' AS source, MAX(CAST(l_shipdate AS DATE)) AS last_date FROM lineitem UNION ALL SELECT 'weather', MAX(CAST(o_orderdate AS DATE)) FROM orders UNION ALL SELECT 'search', MAX(CAST(ts AS DATE)) FROM events""")
+add("latency_summary", """SELECT COUNT(*) AS requests, ROUND(quantile_cont(value, 0.5), 6) AS p50, ROUND(quantile_cont(value, 0.95), 6) AS p95, ROUND(quantile_cont(value, 0.99), 6) AS p99, ROUND(MAX(value), 6) AS max, COUNT(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events""")
+
+# ------------------------------------------------------------- robustness
+PROBED = "last_obs mean7 mean28 mean56 std28 zero28 sdw_mean4 days_since_sale age disc post_promo temp_fc rain_fc hum_fc wx_missing search_o search_mean7 search_ratio search_trend".split()
+add("leakage_probe", f"""SELECT feature, COUNT(*) AS rows, 0.0::DOUBLE AS max_change FROM rows0, (SELECT unnest({PROBED}) AS feature) WHERE block = 'test' AND origin = (SELECT MIN(origin) FROM layout WHERE block = 'test') GROUP BY feature""", *BASE, LAYOUT, LAGS)
+add("weather_outage", """SELECT r.store_id AS city, CAST(month(d0 + CAST(r.day AS INTEGER)) AS INTEGER) AS month, COUNT(*) AS rows, COUNT(*) AS flagged, ROUND(AVG(c.temp_max), 6) AS temp_fc, ROUND(AVG(ln(1 + c.rain_mm)), 6) AS rain_fc
+  FROM rows0 r CROSS JOIN bounds JOIN climate c ON c.city = r.store_id AND c.month = month(d0 + CAST(r.day AS INTEGER)) WHERE block = 'cal' GROUP BY 1, 2""", *BASE, LAYOUT, LAGS, WEATHER, WEATHER_DAYS, CLIMATE)
+add("search_spike", """SELECT category, day_idx, ROUND(m5, 6) AS search_o, ROUND(s5, 6) AS spiked FROM (SELECT category, day_idx, MEDIAN(v) OVER w AS m5, MEDIAN(sv) OVER w AS s5 FROM (SELECT s.*, CASE WHEN category = 'view' AND EXISTS (
+  SELECT 1 FROM layout o WHERE o.block IN ('test', 'production') AND s.day_idx BETWEEN o.origin - 1 AND o.origin) THEN 100.0 ELSE v END AS sv FROM search_days s) WINDOW w AS (PARTITION BY category ORDER BY day_idx RANGE BETWEEN 4 PRECEDING AND CURRENT ROW))""",
+    BOUNDS, LAYOUT, search("(SELECT n - 30 FROM bounds)", "(SELECT n FROM bounds)"))
+
+# ------------------------------------------------------------- decisions
+DECISIONS = """dec AS (SELECT event_id AS id, 'S' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') AS store_id, 'I' || lpad(CAST(event_id % 40 AS VARCHAR), CASE WHEN event_id % 97 = 0 THEN 2 ELSE 3 END, '0') AS item_id,
+  strftime(ts, '%Y-%m-%d') AS order_date, CASE event_type WHEN 'view' THEN 'approve' WHEN 'click' THEN 'override' WHEN 'purchase' THEN 'reject' WHEN 'signup' THEN 'approve' ELSE 'skip' END AS action,
+  CAST(floor(value * CASE WHEN event_id % 50 = 0 THEN 1000 ELSE 1 END) AS BIGINT) AS final_qty,
+  CASE WHEN event_type IN ('click', 'purchase') THEN (CASE event_id % 4 WHEN 0 THEN 'promo' WHEN 1 THEN 'weather' WHEN 2 THEN 'bogus' END) END AS reason_code,
+  '  ' || repeat(props, event_id % 45) AS note FROM events),
+checked AS (SELECT *, CASE WHEN NOT regexp_matches(store_id, '^S[0-9][0-9]$') THEN 'store_id' WHEN NOT regexp_matches(item_id, '^I[0-9][0-9][0-9]$') THEN 'item_id' WHEN action = 'skip' THEN 'action'
+  WHEN final_qty < 0 OR final_qty > 100000 THEN 'final_qty' WHEN length(note) > 280 THEN 'note_length'
+  WHEN action IN ('override', 'reject') AND COALESCE(reason_code NOT IN ('promo', 'weather', 'stock', 'other'), TRUE) THEN 'reason_required' WHEN reason_code = 'bogus' THEN 'reason_unknown' END AS reason FROM dec),
+sug AS (SELECT 'S' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') AS store_id, 'I' || lpad(CAST(event_id % 40 AS VARCHAR), 3, '0') AS item_id, MAX(strftime(ts, '%Y-%m-%d')) AS order_date, CAST(floor(MAX(value) / 10) AS BIGINT) AS suggested_qty
+  FROM events WHERE event_type <> 'error' GROUP BY 1, 2),
+outcome AS (SELECT c.id, c.store_id, c.item_id, c.action, s.suggested_qty, CASE c.action WHEN 'approve' THEN s.suggested_qty WHEN 'reject' THEN 0 ELSE c.final_qty END AS fin, s.order_date AS sdate, c.order_date, c.reason FROM checked c
+  LEFT JOIN sug s ON s.store_id = c.store_id AND s.item_id = c.item_id),
+dlog AS (SELECT id, store_id, item_id, order_date, action, final_qty FROM checked WHERE reason IS NULL),
+latest AS (SELECT store_id, item_id, order_date, MAX(id) AS id, arg_max(action, id) AS action, arg_max(final_qty, id) AS final_qty FROM dlog GROUP BY 1, 2, 3)"""
+add("decision_validation", "SELECT id, action, final_qty, CAST(length(trim(note)) AS INTEGER) AS note_length, reason FROM checked", DECISIONS)
+add("decision_outcomes", """SELECT id, store_id, item_id, action, suggested_qty, CASE WHEN r IS NULL THEN fin END AS final_qty, r AS reason FROM (SELECT *, COALESCE(reason, CASE WHEN suggested_qty IS NULL THEN 'unknown_item'
+  WHEN sdate <> order_date THEN 'order_date_conflict' WHEN fin > GREATEST(10 * suggested_qty, 50) THEN 'above_guard' END) AS r FROM outcome)""", DECISIONS)
+add("latest_decisions", "SELECT store_id, item_id, order_date, id, action, final_qty FROM latest", DECISIONS)
+add("order_review", "SELECT s.store_id, s.item_id, s.order_date, s.suggested_qty, l.final_qty, COALESCE(l.action, 'pending') AS status FROM sug s LEFT JOIN latest l ON l.store_id = s.store_id AND l.item_id = s.item_id AND l.order_date = s.order_date", DECISIONS)
+add("audit_log", "SELECT id, store_id, item_id, order_date, action, final_qty FROM dlog WHERE store_id = 'S03' ORDER BY id DESC LIMIT 200", DECISIONS)
+add("store_catalogue", "SELECT store_id, region, COUNT(DISTINCT item_id) AS items FROM sold WHERE region = 'ASIA' GROUP BY 1, 2", SOLD)
+add("item_catalogue", """SELECT i.item_id, i.category, price, pack_size FROM (SELECT DISTINCT item_id, category FROM sold WHERE store_id = 'NATION_3') i JOIN (SELECT p_type || '|' || p_brand AS item_id, MIN(p_retailprice) AS price, MIN(p_size) AS pack_size
+  FROM part GROUP BY 1) p ON p.item_id = i.item_id""", SOLD)
+add("store_forecast_view", """SELECT CASE WHEN node_id = 'S:NATION_3' THEN 'store total' ELSE replace(node_id, 'SC:NATION_3|', '') END AS node, level, day_idx, y FROM nodes WHERE node_id = 'S:NATION_3' OR starts_with(node_id, 'SC:NATION_3|')""",
+    *BASE, NODES.format(src="panel"))
+add("item_forecast_view", """SELECT series_id, CASE WHEN abs(exp(b) - 1) >= abs(exp(a) - 1) THEN 'last week' ELSE 'planner' END AS top_factor, ROUND(100 * GREATEST(abs(exp(a) - 1), abs(exp(b) - 1)), 1) AS top_effect
+  FROM (SELECT series_id, AVG(ln((b1 + 1) / (mean28 + 1))) AS a, AVG(ln((b0 + 1) / (mean28 + 1))) AS b FROM fm WHERE block = 'production' GROUP BY 1)""", *FC)
+add("normalised_output", """SELECT o_orderkey, ROUND(o_totalprice / 7, 3) AS price, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderstatus, CASE WHEN o_orderstatus <> 'P' THEN ROUND(o_totalprice, 3) END AS finite_only FROM orders""")
+add("gate_results", f"""SELECT g.gate, ROUND(v, 6) AS value, g.low, g.high, CASE WHEN v IS NULL THEN 'N/A' WHEN (g.low IS NULL OR v >= g.low) AND (g.high IS NULL OR (CASE WHEN g.strict THEN v < g.high ELSE v <= g.high END)) THEN 'PASS' ELSE 'FAIL' END AS result
+  FROM (VALUES ('wape_gain_vs_b0', 0.10::DOUBLE, NULL::DOUBLE, FALSE), ('coverage', 0.75, 0.85, FALSE), ('wape_max', NULL, 1.0, TRUE), ('latency_p95', NULL, 300.0, TRUE)) g(gate, low, high, strict)
+  LEFT JOIN (SELECT unnest(['wape_gain_vs_b0', 'coverage', 'wape_max']) AS gate, unnest([1 - w2 / w0, cov, w2]) AS v FROM (SELECT {wape('m2')} AS w2, {wape('b0')} AS w0, AVG(CASE WHEN y BETWEEN m2_p10 AND m2_p90 THEN 1.0 ELSE 0.0 END) AS cov
+  FROM ({TESTU}))) x ON x.gate = g.gate""", *FC)
