@@ -37,7 +37,8 @@ def design(df: DataFrame, features: Sequence[str]) -> DataFrame:
         if f in SKIPPED:
             continue
         if f in CODES:
-            out.append(F.greatest(F.coalesce(F.col(f), F.lit(0)), F.lit(0)).cast("int").alias(f"x_{f}"))
+            code = F.col(f) - 1 if f == "month" else F.col(f)
+            out.append(F.greatest(F.coalesce(code, F.lit(0)), F.lit(0)).cast("int").alias(f"x_{f}"))
         elif f in VOLUME:
             out.append(F.log1p(F.coalesce(F.col(f).cast("double"), F.lit(0.0))).alias(f"x_{f}"))
         else:
@@ -67,14 +68,18 @@ class GlobalModel:
 
 def _fit(df: DataFrame, features: Sequence[str], regression, weight: str | None = None) -> GlobalModel:
     used = [f for f in features if f not in SKIPPED]
+    # a column that never varies in training carries nothing and makes the fit singular
+    varies = design(df, used).agg(*[(F.min(f"x_{f}") < F.max(f"x_{f}")).alias(f) for f in used]).first()
+    used = [f for f in used if varies[f]]
     codes = [f for f in used if f in CODES]
     plain = [f for f in used if f not in CODES]
     encoder = OneHotEncoder(inputCols=[f"x_{f}" for f in codes], outputCols=[f"o_{f}" for f in codes], handleInvalid="keep")
     assembler = VectorAssembler(inputCols=[f"x_{f}" for f in plain] + [f"o_{f}" for f in codes], outputCol="design")
-    model = Pipeline(stages=[encoder, assembler, regression.setFeaturesCol("design")]).fit(design(df, features))
+    shaped_in = design(df, features)
+    model = Pipeline(stages=[encoder, assembler, regression.setFeaturesCol("design")]).fit(shaped_in)
     sizes = model.stages[0].categorySizes
     names = plain + [f for f, n in zip(codes, sizes) for _ in range(n)]
-    shaped = model.stages[1].transform(model.stages[0].transform(design(df, features)))
+    shaped = model.stages[1].transform(model.stages[0].transform(shaped_in))
     means = shaped.agg(Summarizer.mean(F.col("design")).alias("m")).first()["m"]
     reg = model.stages[-1]
     return GlobalModel(list(features), model, names, [float(c) for c in reg.coefficients], float(reg.intercept), [float(m) for m in means])

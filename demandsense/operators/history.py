@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +70,8 @@ def origin_reach(spark: SparkSession, origins: Sequence[int], back: int, ahead:
     """(day_idx, origin, ago): the days each origin can reach, ``back`` days of history and
     ``ahead`` target days (ago < 0).  len(origins) x (back + ahead) rows, whatever the data."""
     rows = [(o - a, o, a) for o in map(int, origins) for a in range(-ahead, back)]
-    return spark.createDataFrame(rows, "day_idx int, origin int, ago int")
+    day, origin, ago = (pa.array(c, pa.int32()) for c in zip(*rows))
+    return spark.createDataFrame(pa.table({"day_idx": day, "origin": origin, "ago": ago}))
 
 
 def trailing_at_origins(panel: DataFrame, origins: Sequence[int], ahead: int = 0) -> DataFrame:

@@ -51,8 +51,8 @@ def tree_gls(base: DataFrame, weights: DataFrame, value: str = "yhat", out: str
              case: Sequence[str] = CASE) -> DataFrame:
     """Least-squares coherent values for error variances ``weights`` (node_id, w).
 
-    The leaf level is read twice (once up, once down); everything above it is cut to a
-    written table of one row per node and case, so the plan stays flat.
+    The leaf level is read twice (once up, once down).  What it sends up and what comes back
+    down are written tables of one row per lowest aggregate node and case.
     """
     rows = base.select(*NODE, *case, F.col(value).alias("y")).join(weights, "node_id")
     none = F.lit(None).cast("double")
@@ -62,8 +62,10 @@ def tree_gls(base: DataFrame, weights: DataFrame, value: str = "yhat", out: str
     for child, level in zip(reversed(LEVELS[1:]), reversed(LEVELS[:-1])):
         kids = up[child].groupBy(F.col("parent_id").alias("node_id"), *case).agg(F.sum("m").alias("mc"), F.sum("v").alias("vc"))
         v = 1.0 / (1.0 / F.col("vc") + 1.0 / F.col("w"))
-        up[level] = cut(rows.where(F.col("level") == level).join(kids, ["node_id", *case]).select(
-            *NODE, *case, (v * (F.col("mc") / F.col("vc") + F.col("y") / F.col("w"))).alias("m"), v.alias("v"), "mc", "vc"))
+        up[level] = rows.where(F.col("level") == level).join(kids, ["node_id", *case]).select(
+            *NODE, *case, (v * (F.col("mc") / F.col("vc") + F.col("y") / F.col("w"))).alias("m"), v.alias("v"), "mc", "vc")
+        if child == leaf:
+            up[level] = cut(up[level])
     cols = [*NODE, *case, out, "mc", "vc"]
     down = up[LEVELS[0]].withColumn(out, F.col("m")).select(*cols)
     done = down
@@ -71,15 +73,16 @@ def tree_gls(base: DataFrame, weights: DataFrame, value: str = "yhat", out: str
         parent = down.select(F.col("node_id").alias("parent_id"), *case, F.col(out).alias("__f"), F.col("mc").alias("__mc"), F.col("vc").alias("__vc"))
         down = up[level].join(parent, ["parent_id", *case]).withColumn(
             out, F.col("m") + F.col("v") / F.col("__vc") * (F.col("__f") - F.col("__mc"))).select(*cols)
-        if level != leaf:
+        if level == LEVELS[-2]:
             down = cut(down)
         done = done.unionByName(down)
     return done.select(*NODE, *case, out)
 
 
-def coherence_error(df: DataFrame, value: str, case: Sequence[str] = CASE) -> DataFrame:
+def coherence_error(df: DataFrame, tree: DataFrame, value: str, case: Sequence[str] = CASE) -> DataFrame:
     """One row: largest |sum of leaves - node|."""
-    sums = bottom_up(df, value, "__sum", case).select("node_id", *case, "__sum")
+    df = df.select("node_id", "level", *case, value)
+    sums = bottom_up(df.join(tree.select("node_id", "path"), "node_id"), value, "__sum", case).select("node_id", *case, "__sum")
     return df.join(sums, ["node_id", *case]).agg(F.max(F.abs(F.col(value) - F.col("__sum"))).alias("coherence_error"))
 
 

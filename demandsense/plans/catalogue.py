@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from demandsense.functions import scores
 from demandsense.functions.counts import count_quantiles, poisson_quantiles
+from demandsense.functions.lineage import cut
 from demandsense.functions.numeric import clip
 from demandsense.functions.text import escape_formula_columns
 from demandsense.operators import (coldstart, conformal, contracts, decisions, features, forecast, globalmodel, hierarchy,
@@ -375,13 +376,12 @@ def _forecasts(star: Star, blocks=("cal", "test")) -> tuple[DataFrame, features.
     rows = (rows.withColumn("m1", F.col("b1")).withColumn("m2", 0.5 * (F.col("b0") + F.col("b1")))
                 .withColumn("m2_p10", 0.5 * F.col("m2")).withColumn("m2_p50", F.col("m2")).withColumn("m2_p90", 1.6 * F.col("m2") + 1.0)
                 .withColumn("c1", F.col("m2")).withColumn("catmean", F.col("mean28")))
-    return rows, inp, lay
+    return cut(rows), inp, lay          # the forecast table is an artifact that several steps read
 
 
 def _final(star: Star, blocks=("cal", "test")):
-    """Routed forecasts of the blocks (persisted: routing, calibration and scoring all read them)."""
+    """Routed forecasts of the blocks."""
     rows, inp, lay = _forecasts(star, ("cal", *[b for b in blocks if b != "cal"]))
-    rows = rows.persist()
     cal = rows.where("block = 'cal'")
     routed = backtest.routed(rows, cal, backtest.mase_scale(inp, lay), ["m2", "tsb", "sba", "croston", "c1", "catmean"])
     return routed, inp, lay
@@ -597,7 +597,7 @@ def conformal_adjustments(spark: SparkSession, path: str) -> DataFrame:
 @query
 def conformal_bands(spark: SparkSession, path: str) -> DataFrame:
     rows, _, _ = _forecasts(Star(spark, path))
-    rows = rows.withColumn("cls_group", F.col("demand_class")).persist()
+    rows = rows.withColumn("cls_group", F.col("demand_class"))
     fitted = conformal.fit(forecast.usable(rows.where("block = 'cal'")), lo="m2_p10", hi="m2_p90")
     out = conformal.apply(rows.where("block = 'test'"), fitted, "m2_p10", "m2_p90")
     return rounded(out.select("series_id", "origin", "h", "bucket", "p10c", "p90c"))
@@ -621,15 +621,16 @@ def _reconcile_inputs(star: Star):
     acts = nodes.select("node_id", F.col("day_idx").alias("day"), "y").unionByName(
         inp.panel.select(F.concat("series_id", F.lit("|leaf")).alias("node_id"), F.col("day_idx").alias("day"), "y"))
     cases = {b: [(o, o + h) for o in lay.block(b) for h in range(1, lay.horizon + 1)] for b in ("cal", "test")}
-    base = {b: reconcile.assemble(tree, cases[b], fc).persist() for b in ("cal", "test")}
-    return base, acts, cases
+    fc, tree = cut(fc), cut(tree)
+    base = {b: cut(reconcile.assemble(tree, cases[b], fc)) for b in ("cal", "test")}
+    return base, cut(acts), cases
 
 
 @query
 def bottom_up_forecasts(spark: SparkSession, path: str) -> DataFrame:
     base, _, _ = _reconcile_inputs(Star(spark, path))
     out = reconcile.bottom_up(base["test"])
-    return rounded(out.where("level <> 'item_store'").select("node_id", "level", "origin", "day", "bottom_up"), 4)
+    return rounded(out.where("level <> 'item_store'").select("node_id", "level", "origin", "day", "bottom_up"))
 
 
 def _wls(star: Star):
@@ -643,15 +644,16 @@ def _wls(star: Star):
 def wls_forecasts(spark: SparkSession, path: str) -> DataFrame:
     """Variance-weighted reconciliation of the aggregate nodes next to base and actual."""
     base, acts, rec, _, _ = _wls(Star(spark, path))
-    return rounded(reconcile.node_forecasts(base["test"], rec, acts).select("node_id", "level", "origin", "day", "base", "reconciled", "y"), 4)
+    return rounded(reconcile.node_forecasts(base["test"], rec, acts).select("node_id", "level", "origin", "day", "base", "reconciled", "y"))
 
 
 @query
 def coherence_check(spark: SparkSession, path: str) -> DataFrame:
     """Coherence error before and after reconciliation (0 after, at 6 digits)."""
     base, _, rec, _, _ = _wls(Star(spark, path))
-    before = reconcile.coherence_error(base["test"], "yhat").withColumn("method", F.lit("base"))
-    after = reconcile.coherence_error(rec, "reconciled").withColumn("method", F.lit("wls"))
+    tree = base["test"].select("node_id", "path").distinct()
+    before = reconcile.coherence_error(base["test"], tree, "yhat").withColumn("method", F.lit("base"))
+    after = reconcile.coherence_error(rec, tree, "reconciled").withColumn("method", F.lit("wls"))
     return rounded(before.unionByName(after), 4)
 
 
@@ -675,7 +677,7 @@ def shrinkage_intensity(spark: SparkSession, path: str) -> DataFrame:
 def mint_forecasts(spark: SparkSession, path: str) -> DataFrame:
     """Shrunk-covariance reconciliation (checked against the dense formula in the tests)."""
     base, acts, cases = _reconcile_inputs(Star(spark, path))
-    res = reconcile.residuals(base["cal"], acts).persist()
+    res = cut(reconcile.residuals(base["cal"], acts))
     return rounded(reconcile.mint_shrink(base["test"], res, cases["cal"], cases["test"]))
 
 
@@ -689,7 +691,6 @@ def _banded(star: Star) -> tuple[DataFrame, features.Inputs, Layout]:
 @query
 def order_up_to_levels(spark: SparkSession, path: str) -> DataFrame:
     rows, inp, _ = _banded(Star(spark, path))
-    rows = rows.persist()
     sd = metrics.residual_sd(forecast.usable(rows.where("block = 'cal'")), inp.series)
     return inventory.order_up_to(rows.where("block = 'test'"), sd)
 
@@ -757,7 +758,7 @@ def cover_at_fill(spark: SparkSession, path: str) -> DataFrame:
     points = inventory.ledger_kpis(led.select("*", F.element_at(F.split("series_id", "\\|"), 1).alias("store"),
                                               F.element_at(F.split("series_id", "\\|"), 2).alias("category")).drop("policy"), ["category", "store"])
     points = points.select(F.col("category").alias("policy"), F.round("fill_rate", 6).alias("fill_rate"), F.round("avg_days_of_cover", 6).alias("days_of_cover"))
-    points = points.persist()
+    points = cut(points)
     target = points.agg(F.round(F.percentile_approx("fill_rate", 0.5), 2)).first()[0]
     return rounded(inventory.cover_at_fill(points, target).withColumn("target", F.lit(target)), 5)
 
@@ -783,7 +784,7 @@ def origin_in_force(spark: SparkSession, path: str) -> DataFrame:
 def drift_psi(spark: SparkSession, path: str) -> DataFrame:
     """Population stability of the data-driven features, training sample against test."""
     inp, lay = _panel_inputs(Star(spark, path))
-    rows = backtest.base_rows(inp, lay, ["train", "test"]).persist()
+    rows = cut(backtest.base_rows(inp, lay, ["train", "test"]))
     feats = ["last_obs", "mean7", "mean28", "mean56", "std28", "zero28", "sdw_mean4", "days_since_sale"]
     rows = rounded(rows.select("series_id", "origin", "h", "block", *feats))
     ref = rows.where((F.col("block") == "train") & (F.col("origin") >= lay.train[-26]))
@@ -969,8 +970,7 @@ def normalised_output(spark: SparkSession, path: str) -> DataFrame:
 def gate_results(spark: SparkSession, path: str) -> DataFrame:
     """Go / no-go gates over measured scores."""
     rows, inp, lay = _forecasts(Star(spark, path), ["test"])
-    rows = forecast.usable(rows).persist()
-    agg = rows.agg(scores.wape("y", "m2").alias("m2"), scores.wape("y", "b0").alias("b0"), scores.coverage("y", "m2_p10", "m2_p90").alias("cov"))
+    agg = forecast.usable(rows).agg(scores.wape("y", "m2").alias("m2"), scores.wape("y", "b0").alias("b0"), scores.coverage("y", "m2_p10", "m2_p90").alias("cov"))
     gates = {"wape_gain_vs_b0": 1 - F.col("m2") / F.col("b0"), "coverage": F.col("cov"), "wape_max": F.col("m2")}
     values = agg.select(F.explode(F.array(*[
         F.struct(F.lit(g).alias("gate"), v.alias("value")) for g, v in gates.items()])).alias("g")).select("g.*")
@@ -983,9 +983,8 @@ def gate_results(spark: SparkSession, path: str) -> DataFrame:
 def _modelled(star: Star):
     """Point models on the training block and their forecasts of the test block."""
     inp, lay = star.inputs()
-    train = features.training_target(features.build_features(inp, lay.train, lay.horizon)).persist()
-    test = features.build_features(inp, lay.test, lay.horizon).persist()
-    return train, test, inp, lay
+    train = cut(features.training_target(features.build_features(inp, lay.train, lay.horizon)))
+    return train, cut(features.build_features(inp, lay.test, lay.horizon)), inp, lay
 
 
 @query
@@ -1007,7 +1006,7 @@ def aggregate_model_forecasts(spark: SparkSession, path: str) -> DataFrame:
     """Ratio model of the aggregate nodes, fitted on training origins, applied to test origins."""
     inp, lay = _aggregate_inputs(Star(spark, path))
     feats = [f for f in features.SALES_ONLY if f in {"h", "dow", "month", "dom", *features.HISTORY}]
-    train = features.scale_for_aggregate(features.build_features(inp, lay.train, lay.horizon)).persist()
+    train = cut(features.scale_for_aggregate(features.build_features(inp, lay.train, lay.horizon)))
     test = features.scale_for_aggregate(features.build_features(inp, lay.test, lay.horizon))
     model = globalmodel.fit_aggregate_model(train, feats)
     return globalmodel.aggregate_forecast(model, test).select("series_id", "origin", "day", "base", "y")
@@ -1034,8 +1033,8 @@ def partial_dependence(spark: SparkSession, path: str) -> DataFrame:
 def censoring_ablation(spark: SparkSession, path: str) -> DataFrame:
     """Bias of the model under the three treatments of censored days."""
     inp, lay = Star(spark, path).inputs()
-    train = features.build_features(inp, lay.train, lay.horizon).persist()
-    test = features.build_features(inp, lay.test, lay.horizon).persist()
+    train = cut(features.build_features(inp, lay.train, lay.horizon))
+    test = cut(features.build_features(inp, lay.test, lay.horizon))
     out = None
     for how in ("ignore", "drop", "impute"):
         model = globalmodel.fit_point_model(features.training_target(train, how), features.SALES_ONLY)
