@@ -187,7 +187,7 @@ def mint_shrink(base: DataFrame, res: DataFrame, cal_cases: Sequence[tuple[int,
         F.zip_with("l", "tl", lambda a, b: a - b).alias("dl"), "dy"))
     a = np.eye(n) + _matrix(cross_products(all_, "lw", "dl"), n, n)
     b = _matrix(cross_products(all_, "lw", "dy"), n, len(cases))
-    f = np.linalg.solve(a, b)                                  # cases x cases
+    f = _solve(a, b)                                           # cases x cases
 
     order = sorted((int(o), int(dd)) for o, dd in cases)
     moves = spark.createDataFrame([(o, dd, [float(x) for x in f[:, j]]) for j, (o, dd) in enumerate(order)],
@@ -206,6 +206,20 @@ def _matrix(cells: DataFrame, rows: int, cols: int) -> np.ndarray:
     return out
 
 
+def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with partial pivoting, one vector operation per pivot: the system has one
+    row per case and must not start a second thread pool beside the driver's."""
+    m = np.hstack([a, b])
+    n = len(a)
+    for i in range(n):
+        p = i + int(np.argmax(np.abs(m[i:, i])))
+        m[[i, p]] = m[[p, i]]
+        m[i] /= m[i, i]
+        rows = np.arange(n) != i
+        m[rows] -= m[rows, i][:, None] * m[i][None, :]
+    return m[:, n:]
+
+
 def node_forecasts(base: DataFrame, reconciled: DataFrame, actuals: DataFrame) -> DataFrame:
     """(node_id, level, origin, day, base, reconciled, y) of the aggregate nodes."""
     return (base.where(F.col("level") != LEVELS[-1]).select("node_id", "level", *CASE, F.col("yhat").alias("base"))
