@@ -305,16 +305,20 @@ def last_sixty_rows(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def smoothed_level(spark: SparkSession, path: str) -> DataFrame:
+    """Smoothed level after every day, averaged per series and 30-day period."""
     inp, _ = _panel_inputs(Star(spark, path))
     rows = history.with_ses_level(history.with_masked(inp.panel), inp.n_obs)
-    return rounded(rows.where(F.col("day_idx") % 7 == 0).select("series_id", "day_idx", "level"))
+    return rounded(rows.groupBy("series_id", F.floor(F.col("day_idx") / 30).alias("period")).agg(
+        F.count("level").alias("days"), F.avg("level").alias("level")))
 
 
 @query
 def intermittent_states(spark: SparkSession, path: str) -> DataFrame:
+    """Intermittent forecasts after every day, averaged per series and 30-day period."""
     inp, _ = _panel_inputs(Star(spark, path))
     rows = history.with_intermittent(history.with_masked(inp.panel), inp.n_obs)
-    return rounded(rows.where(F.col("day_idx") % 7 == 0).select("series_id", "day_idx", "croston", "sba", "tsb"))
+    return rounded(rows.groupBy("series_id", F.floor(F.col("day_idx") / 30).alias("period")).agg(
+        *[F.avg(c).alias(c) for c in ("croston", "sba", "tsb")]))
 
 
 # ============================================================ features

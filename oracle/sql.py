@@ -267,8 +267,8 @@ add("same_weekday_lags", "SELECT r.series_id, r.origin, r.h, ROUND(sdw_mean4, 6)
     *BASE, LAYOUT, LAGS)
 add("seasonal_scale", "SELECT series_id, ROUND(mase_scale, 6) AS mase_scale FROM scale", *BASE, LAYOUT, SCALE)
 add("last_sixty_rows", """SELECT series_id, date, y FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS rn FROM daily_item) WHERE rn <= 60""", SOLD, BOUNDS, DAILY_ITEM)
-add("smoothed_level", "SELECT series_id, day_idx, ROUND(level, 6) AS level FROM models WHERE day_idx % 7 = 0", *BASE, STATES)
-add("intermittent_states", "SELECT series_id, day_idx, ROUND(croston, 6) AS croston, ROUND(sba, 6) AS sba, ROUND(tsb, 6) AS tsb FROM models WHERE day_idx % 7 = 0", *BASE, STATES)
+add("smoothed_level", "SELECT series_id, CAST(day_idx // 30 AS BIGINT) AS period, COUNT(level) AS days, ROUND(AVG(level), 6) AS level FROM models GROUP BY 1, 2", *BASE, STATES)
+add("intermittent_states", "SELECT series_id, CAST(day_idx // 30 AS BIGINT) AS period, ROUND(AVG(croston), 6) AS croston, ROUND(AVG(sba), 6) AS sba, ROUND(AVG(tsb), 6) AS tsb FROM models GROUP BY 1, 2", *BASE, STATES)
 
 # ------------------------------------------------------------- features
 add("origin_layout", "SELECT block, CAST(origin AS INTEGER) AS origin FROM layout", BOUNDS, LAYOUT)
