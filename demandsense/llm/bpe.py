@@ -58,7 +58,7 @@ def _encoder(ranks, pattern: str):
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(ranks.value, pattern)
         for batch in texts:
-            ids = [encoded(enc, t) if t else np.empty(0, np.int32) for t in batch.to_pylist()]
+            ids = [encoded(enc, t.as_py()) if t.is_valid else np.empty(0, np.int32) for t in batch]
             ends = np.cumsum([0] + [len(i) for i in ids])
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
@@ -70,7 +70,9 @@ def _decoder(ranks, pattern: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(ranks.value, pattern)
         for batch in batches:
-            yield pa.array([enc.decode_bytes(ids) if ids else b"" for ids in batch.to_pylist()], pa.binary())
+            # one document's ids at a time as Python numbers; a null list decodes to nothing
+            flat, ends = batch.values.to_numpy(), batch.offsets.to_numpy()
+            yield pa.array([enc.decode_bytes(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return run
 
