@@ -36,14 +36,14 @@ WHERE len(good) > 0"""
 def _op1() -> str:
     base = "\nUNION ALL ".join([f"SELECT doc_id, s, e, kind, rank, value FROM ({_spans('t', _ASSIGN, 'assign', 0)}) WHERE length(regexp_extract(value, '{_ASSIGN}', 2)) >= 6",
                                 f"SELECT * FROM ({_spans('t', 'AKIA[A-Z0-9]+', 'access', 1)}) WHERE length(value) >= 20",
-                                f"SELECT * FROM ({_spans('t', '[0-9a-f]+', 'hex', 2)}) WHERE length(value) >= 24"])
-    hexes = _entropy("t", "entropy_hex", 3, "[0-9a-fA-F]+", 20, 3.0, "lower(value)", "")
-    mixed = _entropy("t", "entropy_base64", 4, "[A-Za-z0-9+/_=-]+", 24, 4.0, "value", "AND NOT regexp_matches(value, '^[0-9a-fA-F]+$')")
+                                f"SELECT * FROM ({_spans('t', '[0-9a-f]{24,}', 'hex', 2)}) WHERE length(value) >= 24"])
+    hexes = _entropy("t", "entropy_hex", 3, "[0-9a-fA-F]{20,}", 20, 3.0, "lower(value)", "")
+    mixed = _entropy("t", "entropy_base64", 4, "[A-Za-z0-9+/_=-]{24,}", 24, 4.0, "value", "AND NOT regexp_matches(value, '^[0-9a-fA-F]+$')")
     runs = "(SELECT r.* FROM ({}) r)"
     told = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e), '')"
     return f"""WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS MATERIALIZED ({base}),
-runs AS MATERIALIZED ({_spans('t', '[0-9a-fA-F]+', 'entropy_hex', 3)} UNION ALL {_spans('t', '[A-Za-z0-9+/_=-]+', 'entropy_base64', 4)}),
+runs AS MATERIALIZED ({_spans('t', '[0-9a-fA-F]{20,}', 'entropy_hex', 3)} UNION ALL {_spans('t', '[A-Za-z0-9+/_=-]{24,}', 'entropy_base64', 4)}),
 raw AS MATERIALIZED ({runs.format(hexes)} UNION ALL {runs.format(mixed)}),
 added AS MATERIALIZED (SELECT a.* FROM raw a JOIN runs r ON r.doc_id = a.doc_id AND r.kind = a.kind AND r.s <= a.s AND r.e >= a.e
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.s <= r.s AND b.e >= r.e)),
