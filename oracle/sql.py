@@ -80,8 +80,9 @@ scale AS (SELECT s.series_id, COALESCE(CASE WHEN m > 0 THEN m END, (SELECT MEDIA
 # base forecasts of every block, row by row
 LAGS = """rows0 AS (SELECT p.series_id, p.store_id, p.region, p.category, p.launch_idx, o.block, o.origin, CAST(h.h AS INTEGER) AS h, o.origin + CAST(h.h AS INTEGER) AS day
   FROM (SELECT DISTINCT series_id, store_id, region, category, launch_idx FROM series) p, layout o, range(1, 15) h(h) WHERE p.launch_idx <= o.origin + h.h),
-lags AS (SELECT r.series_id, r.origin, r.h, AVG(p.ym) AS sdw_mean4, MAX(CASE WHEN j.j = 0 THEN p.ym END) AS lag1
-  FROM rows0 r, range(0, 4) j(j), panel p WHERE p.series_id = r.series_id AND p.day_idx = r.day - 7 * (CAST(CEIL(r.h / 7.0) AS INTEGER) + j.j) GROUP BY ALL)"""
+lag_days AS MATERIALIZED (SELECT series_id, origin, h, j.j, CAST(day - 7 * (CAST(CEIL(h / 7.0) AS INTEGER) + j.j) AS BIGINT) AS lag_day FROM rows0, range(0, 4) j(j)),
+lags AS (SELECT r.series_id, r.origin, r.h, AVG(p.ym) AS sdw_mean4, MAX(CASE WHEN r.j = 0 THEN p.ym END) AS lag1
+  FROM lag_days r JOIN panel p ON p.series_id = r.series_id AND p.day_idx = r.lag_day GROUP BY ALL)"""
 FORECASTS = """fc AS (SELECT r.*, k.mean7, k.mean28, k.mean56, k.std28, k.zero28, k.last_obs, k.days_since_sale, l.sdw_mean4, m.level, COALESCE(m.croston, 0.0) AS croston,
   COALESCE(m.sba, 0.0) AS sba, COALESCE(m.tsb, 0.0) AS tsb, c.demand_class, LEAST(r.day - r.launch_idx, 365) AS age, t.y, COALESCE(t.stockout, FALSE) AS censored,
   COALESCE(l.lag1, k.mean7, 0.0) AS b0,
@@ -308,8 +309,8 @@ NODE_PANEL = "node_panel AS (SELECT node_id AS series_id, level, CAST(day_idx AS
 NODE_ROLLED = roll("node_panel").replace("rolled AS", "node_rolled AS")
 NODE_ROWS = """node_rows AS (SELECT s.series_id, s.lo, o.block, o.origin, CAST(h.h AS INTEGER) AS h, o.origin + CAST(h.h AS INTEGER) AS day FROM (SELECT series_id, MIN(day_idx) AS lo FROM node_panel GROUP BY 1) s,
   layout o, range(1, 15) h(h)),
-node_lags AS (SELECT r.series_id, r.origin, r.h, AVG(p.ym) AS sdw_mean4 FROM node_rows r, range(0, 4) j(j), node_panel p WHERE p.series_id = r.series_id
-  AND p.day_idx = r.day - 7 * (CAST(CEIL(r.h / 7.0) AS INTEGER) + j.j) GROUP BY ALL)"""
+node_lag_days AS MATERIALIZED (SELECT series_id, origin, h, CAST(day - 7 * (CAST(CEIL(h / 7.0) AS INTEGER) + j.j) AS BIGINT) AS lag_day FROM node_rows, range(0, 4) j(j)),
+node_lags AS (SELECT r.series_id, r.origin, r.h, AVG(p.ym) AS sdw_mean4 FROM node_lag_days r JOIN node_panel p ON p.series_id = r.series_id AND p.day_idx = r.lag_day GROUP BY ALL)"""
 NODE = (*BASE, LAYOUT, NODES.format(src="panel"), NODE_PANEL)
 add("aggregate_scaling", f"""SELECT series_id, origin, h, ROUND(sc, 6) AS scale, {SC}, ROUND(y / sc, 6) AS target_ratio FROM (SELECT r.series_id, r.origin, r.h, GREATEST(COALESCE(k.mean28, 1.0), 0.001) AS sc, last_obs,
   k.mean7, k.mean28, k.mean56, k.std28, l.sdw_mean4, t.y FROM node_rows r LEFT JOIN node_rolled k ON k.series_id = r.series_id AND k.day_idx = r.origin LEFT JOIN node_lags l ON l.series_id = r.series_id AND l.origin = r.origin AND l.h = r.h
