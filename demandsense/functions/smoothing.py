@@ -26,12 +26,10 @@ def block_length(rate: float) -> int:
 
 
 def with_smoothed_level(df: DataFrame, value: Column, observed: Column, rate: float, out: str, *,
-                        by: list[str], order: str, max_observed: int) -> DataFrame:
+                        by: list[str], order: str) -> DataFrame:
     """Add ``out``: the smoothed level of ``value`` after each row.
 
     ``observed`` marks rows that update the level, other rows repeat it.
-    ``max_observed`` is an upper bound of observed rows per key (the number of days);
-    below the block length the plan needs no second sort.
     """
     n, term, i = f"__{out}_n", f"__{out}_t", f"__{out}_i"
     running = Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
@@ -39,11 +37,6 @@ def with_smoothed_level(df: DataFrame, value: Column, observed: Column, rate: fl
     size = block_length(rate)
     df = df.withColumn(n, F.count(F.when(observed, F.lit(1))).over(running))
     weight = F.when(F.col(n) == 1, F.lit(1.0)).otherwise(F.lit(rate))
-    if max_observed <= size:
-        df = df.withColumn(term, F.when(observed, weight * value * F.exp(-decay * F.col(n))))
-        level = F.exp(decay * F.col(n)) * F.sum(term).over(running)
-        return df.withColumn(out, F.when(F.col(n) > 0, level)).drop(n, term)
-
     block = f"__{out}_b"
     inside = Window.partitionBy(*by, block).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy(block).rangeBetween(-1, -1)

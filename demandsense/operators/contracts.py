@@ -96,18 +96,23 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 def flag_repeats(df: DataFrame, keys: list[str], order: list[str], out: str = "is_repeat") -> DataFrame:
     """True on every row but the first of its key, "first" by the ``order`` columns.
 
-    Only keys with more than one row are joined back, one row each, so a hot key is
-    never gathered in one task: the probe side is split by AQE, the build side holds
-    a single row for it.  ``order`` must tell the rows of one key apart; use
-    ``sources.feeds.with_ingest_order`` for feed order.
+    Keys are counted by hash; only rows of keys with more than one row are looked at for
+    the first (a struct minimum sorts its input), and one row for each such key is joined
+    back, so a hot key is never gathered in one task: the probe side is split by AQE, the
+    build side holds a single row for it.  ``df`` is read three times; ``order`` must tell
+    the rows of one key apart (``sources.feeds.with_ingest_order`` for feed order).
     """
     ident = F.struct(*[F.col(c) for c in order])
-    firsts = (df.groupBy(*keys)
-                .agg(F.count(F.lit(1)).alias("__rows"), F.min(ident).alias("__first"))
-                .where("__rows > 1").drop("__rows"))
-    firsts = firsts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__first")
-    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(firsts[f"__k{i}"]) for i, k in enumerate(keys)])
-    joined = df.join(firsts, on, "left")
+    names = [f"__k{i}" for i in range(len(keys))]
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[n]) for k, n in zip(keys, names)])
+
+    repeated = repeated_keys(df, keys).select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    rows = df.select(*keys, ident.alias("__ident"))
+    firsts = (rows.join(repeated, same(rows, repeated), "left_semi").groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+              .agg(F.min("__ident").alias("__first")))
+    joined = df.join(firsts, same(df, firsts), "left")
     return joined.select(*[df[c] for c in df.columns],
                          (F.col("__first").isNotNull() & (F.col("__first") != ident)).alias(out))
 

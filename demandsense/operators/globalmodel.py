@@ -25,20 +25,19 @@ from demandsense.operators.order_stats import group_quantiles
 VARIANCE_POWER = 1.2
 QUANTILES = (0.1, 0.5, 0.9)
 VOLUME = {"last_obs", "mean7", "mean28", "mean56", "std28", "sdw_mean4"}      # enter as log1p
-CODES = {"cat_idx", "event_id", "dow", "month"}                               # enter one-hot
-SKIPPED = {"store_idx", "region_idx", "woy"}                                  # carried by other features
+# enter one-hot; the declared widths bound the design, codes beyond them share entries
+CODES = {"cat_idx": 64, "store_idx": 128, "region_idx": 32, "level_idx": 8, "event_id": 32, "dow": 7, "month": 12, "woy": 53}
+COUNTED_FROM_ONE = {"month", "woy"}
 FAMILY_OF = {f: fam for fam, fs in FAMILIES.items() for f in fs} | {"level_idx": "item/store"}
 
 
 def design(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """x_<feature> columns: volumes on the log scale, missing values at 0 with a flag for history."""
-    out = []
+    """x_<feature> columns: volumes on the log scale, codes by position, missing values at 0; na_<feature> flags missing history."""
+    out = [F.col(f).isNull().cast("double").alias(f"na_{f}") for f in features if f in FAMILIES["history"]]
     for f in features:
-        if f in SKIPPED:
-            continue
         if f in CODES:
-            code = F.col(f) - 1 if f == "month" else F.col(f)
-            out.append(F.greatest(F.coalesce(code, F.lit(0)), F.lit(0)).cast("int").alias(f"x_{f}"))
+            code = F.col(f) - 1 if f in COUNTED_FROM_ONE else F.col(f)
+            out.append(F.pmod(F.coalesce(code, F.lit(0)).cast("int"), F.lit(CODES[f])).alias(f"x_{f}"))
         elif f in VOLUME:
             out.append(F.log1p(F.coalesce(F.col(f).cast("double"), F.lit(0.0))).alias(f"x_{f}"))
         else:
@@ -67,14 +66,14 @@ class GlobalModel:
 
 
 def _fit(df: DataFrame, features: Sequence[str], regression, weight: str | None = None) -> GlobalModel:
-    used = [f for f in features if f not in SKIPPED]
     # a column that never varies in training carries nothing and makes the fit singular
-    varies = design(df, used).agg(*[(F.min(f"x_{f}") < F.max(f"x_{f}")).alias(f) for f in used]).first()
-    used = [f for f in used if varies[f]]
-    codes = [f for f in used if f in CODES]
-    plain = [f for f in used if f not in CODES]
+    columns = [f"x_{f}" for f in features] + [f"na_{f}" for f in features if f in FAMILIES["history"]]
+    varies = design(df, features).agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns]).first()
+    codes = [f for f in features if f in CODES and varies[f"x_{f}"]]
+    entries = [c for c in columns if varies[c] and c.removeprefix("x_") not in CODES]
+    plain = [c.split("_", 1)[1] for c in entries]
     encoder = OneHotEncoder(inputCols=[f"x_{f}" for f in codes], outputCols=[f"o_{f}" for f in codes], handleInvalid="keep")
-    assembler = VectorAssembler(inputCols=[f"x_{f}" for f in plain] + [f"o_{f}" for f in codes], outputCol="design")
+    assembler = VectorAssembler(inputCols=entries + [f"o_{f}" for f in codes], outputCol="design")
     shaped_in = design(df, features)
     model = Pipeline(stages=[encoder, assembler, regression.setFeaturesCol("design")]).fit(shaped_in)
     sizes = model.stages[0].categorySizes
@@ -85,7 +84,7 @@ def _fit(df: DataFrame, features: Sequence[str], regression, weight: str | None
     return GlobalModel(list(features), model, names, [float(c) for c in reg.coefficients], float(reg.intercept), [float(m) for m in means])
 
 
-def fit_point_model(train: DataFrame, features: Sequence[str], target: str = "y_train", max_iter: int = 10) -> GlobalModel:
+def fit_point_model(train: DataFrame, features: Sequence[str], target: str = "y_train", max_iter: int = 25) -> GlobalModel:
     glm = GeneralizedLinearRegression(family="tweedie", variancePower=VARIANCE_POWER, linkPower=0.0, labelCol=target,
                                       maxIter=max_iter, regParam=1e-3)
     return _fit(train, features, glm)
@@ -111,7 +110,7 @@ def residual_ratio_quantiles(train: DataFrame, point: str = "m2", target: str =
 
 def with_quantile_heads(rows: DataFrame, ratios: DataFrame, point: str = "m2") -> DataFrame:
     """m2_p10/p50/p90: forecast times the ratio quantiles, sorted so they never cross, >= 0."""
-    joined = rows.withColumn("bucket", horizon_bucket(F.col("h"))).join(ratios, ["demand_class", "bucket"], "left")
+    joined = rows.withColumn("bucket", horizon_bucket(F.col("h"))).join(F.broadcast(ratios), ["demand_class", "bucket"], "left")      # classes x buckets rows
     q = F.array_sort(F.array(*[F.greatest(F.col(point) * F.coalesce(f"r{p}", F.lit(1.0)), F.lit(0.0)) for p in (10, 50, 90)]))
     return joined.select(*rows.columns, *[q[i].alias(f"{point}_p{p}") for i, p in enumerate((10, 50, 90))])
 

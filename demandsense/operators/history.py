@@ -112,12 +112,12 @@ def with_days_since_sale(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame
         F.count(y).over(seen) > 0, F.coalesce(F.least(day - last_sale, F.lit(NEVER_SOLD)), F.lit(NEVER_SOLD))))
 
 
-def with_ses_level(df: DataFrame, max_days: int, alpha: float = 0.1, by: Sequence[str] = SERIES) -> DataFrame:
+def with_ses_level(df: DataFrame, alpha: float = 0.1, by: Sequence[str] = SERIES) -> DataFrame:
     return with_smoothed_level(df, F.col("ym"), F.col("ym").isNotNull(), alpha, "level", by=list(by),
-                               order="day_idx", max_observed=max_days)
+                               order="day_idx")
 
 
-def with_intermittent(df: DataFrame, max_days: int, alpha: float = 0.1, beta: float = 0.1,
+def with_intermittent(df: DataFrame, alpha: float = 0.1, beta: float = 0.1,
                       by: Sequence[str] = SERIES) -> DataFrame:
     """croston, sba and tsb forecasts after each day; missing days leave the state alone.
 
@@ -132,7 +132,7 @@ def with_intermittent(df: DataFrame, max_days: int, alpha: float = 0.1, beta: fl
     df = df.withColumn("__gap", F.col("__obs_n") - F.coalesce(
         F.max(F.when(ym > 0, F.col("__obs_n"))).over(before), F.lit(0)))
     sold = F.coalesce(ym > 0, F.lit(False))
-    opts = dict(by=list(by), order="day_idx", max_observed=max_days)
+    opts = dict(by=list(by), order="day_idx")
     df = with_smoothed_level(df, ym, sold, alpha, "__size", **opts)
     df = with_smoothed_level(df, F.col("__gap").cast("double"), sold, alpha, "__interval", **opts)
     chance = F.when(F.col("__obs_n") == 1, 0.25 + 0.5 * sold.cast("double")).otherwise(sold.cast("double"))

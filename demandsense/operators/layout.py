@@ -1,8 +1,7 @@
-"""Backtest layout: which origins train, calibrate and test.
+"""Rolling origins of a backtest, counted back from the last observed day.
 
-An origin is a day index; everything up to and including it is known and the next
-``horizon`` days are forecast.  Blocks are separated so that no target day of one block
-lies in the next.
+From the end: the production origin, then weekly test, calibration and training origins.  Between two
+blocks lies the least whole number of steps that exceeds the horizon, so their target days do not meet.
 """
 from __future__ import annotations
 
@@ -41,7 +40,7 @@ def origin_layout(n_obs: int, horizon: int = HORIZON, step: int = STEP, n_test:
     last_train = first_cal - gap
     n_train = min(max_train, (last_train - min_history) // step + 1)
     if n_train < 1:
-        raise ValueError("not enough history for a training block")
+        raise ValueError(f"{n_obs} observed days leave no training origin")
     return Layout(train=[last_train - step * i for i in reversed(range(n_train))],
                   cal=[first_cal + step * i for i in range(n_cal)],
                   test=[first_test + step * i for i in range(n_test)],

@@ -27,6 +27,10 @@ def query(fn: Query) -> Query:
     return fn
 
 
+#: Added to states of whole-number sales, which are short decimals at first and would lie on a rounding tie.
+OFF_TIE = 1e-9
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -80,7 +84,7 @@ def _dirty_feed(star: Star) -> DataFrame:
 
 def _annotated(star: Star) -> DataFrame:
     """Dirty feed with the first broken rule per row; a row is a repeat of its feed key."""
-    dirty = _dirty_feed(star)
+    dirty = cut(_dirty_feed(star))          # read three times by the repeat check
     order = ["copy", "l_orderkey", "l_linenumber", "units_sold", "on_hand_open", "on_hand_close"]
     rules = contracts.sales_contract("2001-11-04").rules
     return contracts.annotate(dirty, rules, keys=["date", "l_suppkey", "l_partkey"], order=order, gate=contracts.sales_schema_rules())
@@ -226,10 +230,11 @@ def event_calendar(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def search_wide(spark: SparkSession, path: str) -> DataFrame:
-    """Clipped interest per day, one column per category."""
+    """Clipped interest per day, one column per category that the log has."""
     star = Star(spark, path)
     s = star.search().withColumn("search_index", clip("search_index", 0, 100))
-    return panel.widen(s, "date", "category", "search_index", ["click", "error", "purchase", "signup", "view"])
+    names = [r[0] for r in star.table("events").where("event_type is not null").select("event_type").distinct().orderBy("event_type").collect()]    # columns-to-be
+    return panel.widen(s, "date", "category", "search_index", names)
 
 
 @query
@@ -305,20 +310,17 @@ def last_sixty_rows(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def smoothed_level(spark: SparkSession, path: str) -> DataFrame:
-    """Smoothed level after every day, averaged per series and 30-day period."""
+    """Smoothed level after every day of every series."""
     inp, _ = _panel_inputs(Star(spark, path))
-    rows = history.with_ses_level(history.with_masked(inp.panel), inp.n_obs)
-    return rounded(rows.groupBy("series_id", F.floor(F.col("day_idx") / 30).alias("period")).agg(
-        F.count("level").alias("days"), F.avg("level").alias("level")))
+    return rounded(history.with_ses_level(history.with_masked(inp.panel)).select("series_id", F.col("day_idx").cast("long").alias("day_idx"), (F.col("level") + OFF_TIE).alias("level")))
 
 
 @query
 def intermittent_states(spark: SparkSession, path: str) -> DataFrame:
-    """Intermittent forecasts after every day, averaged per series and 30-day period."""
+    """Intermittent forecasts after every day of every series."""
     inp, _ = _panel_inputs(Star(spark, path))
-    rows = history.with_intermittent(history.with_masked(inp.panel), inp.n_obs)
-    return rounded(rows.groupBy("series_id", F.floor(F.col("day_idx") / 30).alias("period")).agg(
-        *[F.avg(c).alias(c) for c in ("croston", "sba", "tsb")]))
+    rows = history.with_intermittent(history.with_masked(inp.panel))
+    return rounded(rows.select("series_id", F.col("day_idx").cast("long").alias("day_idx"), *[(F.col(c) + OFF_TIE).alias(c) for c in ("croston", "sba", "tsb")]))
 
 
 # ============================================================ features
@@ -787,13 +789,12 @@ def origin_in_force(spark: SparkSession, path: str) -> DataFrame:
 @query
 def drift_psi(spark: SparkSession, path: str) -> DataFrame:
     """Population stability of the data-driven features, training sample against test."""
-    inp, lay = _panel_inputs(Star(spark, path))
-    rows = cut(backtest.base_rows(inp, lay, ["train", "test"]))
-    feats = ["last_obs", "mean7", "mean28", "mean56", "std28", "zero28", "sdw_mean4", "days_since_sale"]
-    rows = rounded(rows.select("series_id", "origin", "h", "block", *feats))
-    ref = rows.where((F.col("block") == "train") & (F.col("origin") >= lay.train[-26]))
-    ref = monitor.sample_rows(ref, 0.5, ["series_id", "origin", "h"], seed=7)
-    return rounded(monitor.psi(ref, rows.where("block = 'test'"), feats), 5)
+    inp, lay = Star(spark, path).inputs()
+    feats, recent = monitor.DRIFT_FEATURES, lay.train[-26:]
+    rows = features.build_features(inp, recent + lay.test, lay.horizon)
+    rows = cut(rounded(rows.select("series_id", "origin", "h", *[F.col(f).cast("double").alias(f) for f in feats])))
+    ref = monitor.sample_rows(rows.where(F.col("origin") <= recent[-1]), 0.5, ["series_id", "origin", "h"], seed=7)
+    return rounded(monitor.psi(ref, rows.where(F.col("origin") >= lay.test[0]), feats), 5)
 
 
 @query

@@ -19,7 +19,6 @@ from demandsense.operators.panel import fill_gaps
 # Event kinds of the stand-in calendar, and which search series a category reads.
 EVENT_META = [("Year End", 5, 7), ("Spring Fair", 3, 4), ("Founders Day", 1, 1)]
 SEARCH_KEYS = {"ECONOMY": "click", "LARGE": "error", "MEDIUM": "purchase", "SMALL": "signup", "STANDARD": "view"}
-SEARCH_DAYS = 30
 
 
 @dataclass(frozen=True)
@@ -139,11 +138,9 @@ class Star:
         return panel.with_all_entity(self.weather().withColumn("day_idx", F.datediff("date", F.lit(start))), "city", values)
 
     def search_days(self, n_obs: int) -> DataFrame:
-        """Event-log interest moved to the last days of the panel, a row for every later day."""
-        first = self.table("events").select(F.to_date("ts").alias("d"))
-        start = first.agg(F.min("d")).first()[0]
-        moved = self.search().withColumn("date", F.date_add("date", 0))
-        rows = panel.search_panel(moved, start).withColumn("day_idx", F.col("day_idx") + (n_obs - SEARCH_DAYS)).where(F.col("day_idx") < n_obs)
+        """Event-log interest with its last day moved to the panel's last day; rows before the panel's first day go."""
+        first, last = self.table("events").agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+        rows = panel.search_panel(self.search(), first).withColumn("day_idx", F.col("day_idx") + (n_obs - 1 - (last - first).days)).where(F.col("day_idx") >= 0)
         return fill_gaps(rows, n_obs - 1, by=["category"], fill={"search_index": None})
 
     def category_series(self, start: date) -> DataFrame:

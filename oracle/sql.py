@@ -268,8 +268,8 @@ add("same_weekday_lags", "SELECT r.series_id, r.origin, r.h, ROUND(sdw_mean4, 6)
     *BASE, LAYOUT, LAGS)
 add("seasonal_scale", "SELECT series_id, ROUND(mase_scale, 6) AS mase_scale FROM scale", *BASE, LAYOUT, SCALE)
 add("last_sixty_rows", """SELECT series_id, date, y FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS rn FROM daily_item) WHERE rn <= 60""", SOLD, BOUNDS, DAILY_ITEM)
-add("smoothed_level", "SELECT series_id, CAST(day_idx // 30 AS BIGINT) AS period, COUNT(level) AS days, ROUND(AVG(level), 6) AS level FROM models GROUP BY 1, 2", *BASE, STATES)
-add("intermittent_states", "SELECT series_id, CAST(day_idx // 30 AS BIGINT) AS period, ROUND(AVG(croston), 6) AS croston, ROUND(AVG(sba), 6) AS sba, ROUND(AVG(tsb), 6) AS tsb FROM models GROUP BY 1, 2", *BASE, STATES)
+add("smoothed_level", "SELECT series_id, CAST(day_idx AS BIGINT) AS day_idx, ROUND(level + 1e-9, 6) AS level FROM models", *BASE, STATES)
+add("intermittent_states", "SELECT series_id, CAST(day_idx AS BIGINT) AS day_idx, ROUND(croston + 1e-9, 6) AS croston, ROUND(sba + 1e-9, 6) AS sba, ROUND(tsb + 1e-9, 6) AS tsb FROM models", *BASE, STATES)
 
 # ------------------------------------------------------------- features
 add("origin_layout", "SELECT block, CAST(origin AS INTEGER) AS origin FROM layout", BOUNDS, LAYOUT)
@@ -521,13 +521,14 @@ add("origin_in_force", """SELECT store_id, day_idx, y, CAST((SELECT MAX(origin)
     SOLD, BOUNDS, LAYOUT, DAILY_STORE)
 
 # ------------------------------------------------------------- monitoring
-DF = ["last_obs", "mean7", "mean28", "mean56", "std28", "zero28", "sdw_mean4", "days_since_sale"]
-DRIFT = "drift AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, block, series_id, origin, h, ROUND(CAST({f} AS DOUBLE), 6) AS x FROM fm WHERE block IN ('train', 'test') AND {f} IS NOT NULL" for f in DF) + ")"
-add("drift_psi", """SELECT e.feature, ROUND(CASE WHEN len(e.edges) < 3 THEN 0.0 ELSE SUM((GREATEST(c, 1e-4) - GREATEST(r, 1e-4)) * ln(GREATEST(c, 1e-4) / GREATEST(r, 1e-4))) END, 5) AS psi,
+DF = ["price_log", "pack_size", "last_obs", "mean7", "mean28", "mean56", "std28", "zero28", "sdw_mean4", "days_since_sale", "disc", "post_promo", "temp_fc", "rain_fc", "hum_fc", "wx_missing",
+      "search_o", "search_mean7", "search_ratio", "search_trend"]
+DRIFT = "drift AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, block, series_id, origin, h, ROUND(CAST({f} AS DOUBLE), 6) AS x FROM feats WHERE block IN ('train', 'test') AND {f} IS NOT NULL" for f in DF) + ")"
+add("drift_psi", f"""SELECT f.feature, d.psi, COALESCE(d.alert, FALSE) AS alert FROM (SELECT unnest({DF}) AS feature) f LEFT JOIN (SELECT e.feature, ROUND(CASE WHEN len(e.edges) < 3 THEN 0.0 ELSE SUM((GREATEST(c, 1e-4) - GREATEST(r, 1e-4)) * ln(GREATEST(c, 1e-4) / GREATEST(r, 1e-4))) END, 5) AS psi,
   CASE WHEN len(e.edges) < 3 THEN 0.0 ELSE SUM((GREATEST(c, 1e-4) - GREATEST(r, 1e-4)) * ln(GREATEST(c, 1e-4) / GREATEST(r, 1e-4))) END > 0.2 AS alert FROM edges e
   JOIN (SELECT feature, bin, nr / SUM(nr) OVER (PARTITION BY feature) AS r, nc / SUM(nc) OVER (PARTITION BY feature) AS c FROM (SELECT s.feature, len(list_filter(e.edges[2:-2], lambda q: s.x >= q)) AS bin,
-    COUNT(CASE WHEN side = 0 THEN 1 END)::DOUBLE AS nr, COUNT(CASE WHEN side = 1 THEN 1 END)::DOUBLE AS nc FROM sides s JOIN edges e USING (feature) GROUP BY 1, 2)) b ON b.feature = e.feature GROUP BY e.feature, e.edges""",
-    *FC, DRIFT, f"""sides AS (SELECT feature, x, 0 AS side FROM drift d WHERE block = 'train' AND origin >= (SELECT MAX(origin) - 175 FROM layout WHERE block = 'train') AND {uniform("concat_ws('|', '7', d.series_id, d.origin, d.h)")} < 0.5
+    COUNT(CASE WHEN side = 0 THEN 1 END)::DOUBLE AS nr, COUNT(CASE WHEN side = 1 THEN 1 END)::DOUBLE AS nc FROM sides s JOIN edges e USING (feature) GROUP BY 1, 2)) b ON b.feature = e.feature GROUP BY e.feature, e.edges) d USING (feature)""",
+    *INPUTS, DRIFT, f"""sides AS (SELECT feature, x, 0 AS side FROM drift d WHERE block = 'train' AND origin >= (SELECT MAX(origin) - 175 FROM layout WHERE block = 'train') AND {uniform("concat_ws('|', '7', d.series_id, d.origin, d.h)")} < 0.5
   UNION ALL SELECT feature, x, 1 FROM drift WHERE block = 'test'),
 edges AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges FROM sides WHERE side = 0 GROUP BY 1)""")
 TESTU = f"SELECT * FROM fm WHERE block = 'test' AND {USABLE}"

@@ -88,7 +88,7 @@ def test_intermittent_matches_recursion(spark):
     rng = np.random.default_rng(1)
     ys = [None if rng.random() < 0.1 else float(rng.integers(1, 9)) if rng.random() < 0.3 else 0.0 for _ in range(400)]
     df = spark.createDataFrame([("a", i, y) for i, y in enumerate(ys)], "series_id string, day_idx int, ym double")
-    got = {r["day_idx"]: r for r in history.with_intermittent(df, 400).collect()}
+    got = {r["day_idx"]: r for r in history.with_intermittent(df).collect()}
     for i, (cro, tsb) in enumerate(_croston(ys)):
         assert got[i]["croston"] == pytest.approx(cro, rel=1e-9, abs=1e-12) and got[i]["tsb"] == pytest.approx(tsb, rel=1e-9, abs=1e-12)
         assert got[i]["sba"] == pytest.approx(0.95 * cro, rel=1e-9, abs=1e-12)
@@ -99,7 +99,7 @@ def test_smoothing_over_many_blocks(spark):
     rng = np.random.default_rng(2)
     xs = rng.random(n)
     df = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(xs)], "series_id string, day_idx int, x double")
-    out = with_smoothed_level(df, F.col("x"), F.col("x").isNotNull(), 0.5, "lv", by=["series_id"], order="day_idx", max_observed=n)
+    out = with_smoothed_level(df, F.col("x"), F.col("x").isNotNull(), 0.5, "lv", by=["series_id"], order="day_idx")
     got = {r["day_idx"]: r["lv"] for r in out.collect()}
     lv = xs[0]
     for i in range(1, n):
