@@ -13,6 +13,8 @@ classifier and nothing is added; a loose candidate that touches a base span is d
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.ml.classification import LogisticRegression
@@ -47,6 +49,8 @@ class Source(NamedTuple):
     pattern: str
     valid: Callable[[Column], Column] | None = None
     strict: bool = True
+    #: A text without any of these has no match and is not searched.
+    needs: tuple[str, ...] = ()
 
 
 def _digits(value: Column) -> Column:
@@ -69,11 +73,11 @@ def _octets(value: Column) -> Column:
 _LOCAL = "A-Za-z0-9._%+-"
 # The base patterns start where a run starts or the last match ended, and repeat possessively: the same matches in linear time.
 SOURCES = (
-    Source("email", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    Source("email", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", needs=("@",)),
     Source("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _octets),
     Source("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])", lambda v: luhn(_digits(v))),
-    Source("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: F.length(_digits(v)).between(10, 15)),
-    Source("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]{1,63}){1,8}", None, False),
+    Source("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: F.length(_digits(v)).between(10, 15), needs=("+",)),
+    Source("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]{1,63}){1,8}", None, False, ("(at)", "[at]")),
     Source("phone", r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])", None, False),
     Source("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", None, False),
     Source("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", None, False),
@@ -103,7 +107,8 @@ def _votes(s: Column, source: Source) -> Column:
 def candidates(text: Column) -> Column:
     """array<struct<start, rank, end, kind, base, votes, shape>> in order; base spans and loose candidates clear of them."""
     def of(rank: int, source: Source) -> Column:
-        got = spans(text, source.pattern, source.kind, rank, AROUND)
+        searched = F.when(reduce(or_, [F.contains(text, F.lit(x)) for x in source.needs]), text).otherwise(F.lit("")) if source.needs else text
+        got = spans(searched, source.pattern, source.kind, rank, AROUND)
         if source.valid is not None:
             got = F.filter(got, lambda s: source.valid(s["value"]))
         return F.transform(got, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(source.strict).alias("base"),
