@@ -688,15 +688,15 @@ def mint_forecasts(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ============================================================ inventory
-def _banded(star: Star) -> tuple[DataFrame, features.Inputs, Layout]:
-    rows, inp, lay = _forecasts(star, ["cal", "test", "production"])
+def _banded(star: Star, blocks: list[str]) -> tuple[DataFrame, features.Inputs, Layout]:
+    rows, inp, lay = _forecasts(star, blocks)
     rows = rows.withColumn("final", F.col("m2")).withColumn("p10c", F.round("m2_p10", 6)).withColumn("p90c", F.round("m2_p90", 6))
     return rows, inp, lay
 
 
 @query
 def order_up_to_levels(spark: SparkSession, path: str) -> DataFrame:
-    rows, inp, _ = _banded(Star(spark, path))
+    rows, inp, _ = _banded(Star(spark, path), ["cal", "test"])
     sd = metrics.residual_sd(forecast.usable(rows.where("block = 'cal'")), inp.series)
     return inventory.order_up_to(rows.where("block = 'test'"), sd)
 
@@ -715,7 +715,7 @@ def on_hand(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _orders(star: Star) -> DataFrame:
-    rows, inp, lay = _banded(star)
+    rows, inp, lay = _banded(star, ["production"])
     prod = rows.where("block = 'production'").withColumn("origin_date", F.date_add(F.lit(inp.start), F.col("origin")))
     series = inp.series.join(_on_hand(star, inp), "series_id")
     return inventory.production_orders(prod.select("series_id", "origin_date", "h", "final", "p10c", "p90c"), series)
@@ -883,7 +883,8 @@ def _decisions(star: Star) -> DataFrame:
         F.when(kind == "view", "approve").when(kind == "click", "override").when(kind == "purchase", "reject").when(kind == "signup", "approve").otherwise("skip").alias("action"),
         F.floor(F.col("value") * F.when(F.pmod("event_id", F.lit(50)) == 0, 1000).otherwise(1)).cast("bigint").alias("final_qty"),
         F.when(kind.isin("click", "purchase"), F.get(F.array(F.lit("promo"), F.lit("weather"), F.lit("bogus"), F.lit(None)), F.pmod("event_id", F.lit(4)).cast("int"))).alias("reason_code"),
-        F.concat(F.lit("  "), F.repeat("props", F.pmod("event_id", F.lit(45)).cast("int"))).alias("note"))
+        F.concat(F.lit("  "), F.repeat("props", F.pmod("event_id", F.lit(45)).cast("int"))).alias("note"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_name"))
 
 
 def _suggested(star: Star) -> DataFrame:
@@ -909,7 +910,9 @@ def decision_outcomes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _log(star: Star) -> DataFrame:
-    return decisions.validate_decisions(_decisions(star), decisions.decision_rules(REASONS)).where("reason IS NULL").drop("reason", "note", "reason_code")
+    """Decisions that passed the rules and the guard, with what was suggested and what was settled on."""
+    done = order_plan.process_decisions(_decisions(star), _suggested(star), decisions.decision_rules(REASONS))
+    return decisions.accepted(done, "m2").drop("note", "reason_code")
 
 
 @query
@@ -947,21 +950,25 @@ def item_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def store_forecast_view(spark: SparkSession, path: str) -> DataFrame:
-    """Observed daily units of one store and its categories with readable labels."""
-    star = Star(spark, path)
-    start, n = star.window()
-    nodes = hierarchy.aggregate_panel(star.panel("store_category", start, n)).select("node_id", "level", "day_idx", "y")
-    return decisions.store_forecast(nodes, "NATION_3")
+    """Base and reconciled forecasts and observed units of one store and its categories, with readable labels."""
+    base, acts, rec, _, _ = _wls(Star(spark, path))
+    nodes = reconcile.node_forecasts(base["test"], rec, acts).select("node_id", "level", "origin", "day", "base", "reconciled", "y")
+    return rounded(decisions.store_forecast(nodes, "NATION_3"))
 
 
 @query
 def item_forecast_view(spark: SparkSession, path: str) -> DataFrame:
-    """Band, forecast and strongest effects per series at the production origin."""
-    rows, _, _ = _banded(Star(spark, path))
-    prod = rows.where("block = 'production'").select(
-        "series_id", F.log((F.col("b1") + 1) / (F.col("mean28") + 1)).alias("drv_a"), F.log((F.col("b0") + 1) / (F.col("mean28") + 1)).alias("drv_b"))
-    out = decisions.ranked_drivers(prod, {"drv_a": "planner", "drv_b": "last week"}, ["series_id"])
-    return out.select("series_id", F.col("drivers")[0]["factor"].alias("top_factor"), F.abs(F.col("drivers")[0]["effect_pct"]).alias("top_effect"))
+    """Per series: the last 60 days, the band of the production origin, and its effects, strongest first."""
+    rows, inp, _ = _banded(Star(spark, path), ["production"])
+    rows = rows.where("block = 'production'")
+    drivers = rows.select("series_id", F.log((F.col("b1") + 1) / (F.col("mean28") + 1)).alias("drv_a"), F.log((F.col("b0") + 1) / (F.col("mean28") + 1)).alias("drv_b"))
+    drivers = decisions.ranked_drivers(drivers, {"drv_a": "planner", "drv_b": "last week"}, ["series_id"])
+    none = F.lit(None).cast("double")
+    past = inp.panel.where(F.col("day_idx") > inp.n_obs - 1 - 60).select("series_id", F.lit("history").alias("part"), F.col("day_idx").cast("long").alias("at_day"), F.col("y").alias("value"), none.alias("p10"), none.alias("p90"))
+    band = rows.select("series_id", F.lit("forecast").alias("part"), F.col("day").cast("long").alias("at_day"), F.col("final").alias("value"), F.col("p10c").alias("p10"), F.col("p90c").alias("p90"))
+    ranked = drivers.select("series_id", F.posexplode("drivers").alias("at_day", "d"))
+    effects = ranked.select("series_id", F.concat(F.lit("effect of "), F.col("d.factor")).alias("part"), F.col("at_day").cast("long").alias("at_day"), F.col("d.effect_pct").alias("value"), none.alias("p10"), none.alias("p90"))
+    return rounded(past.unionByName(band).unionByName(effects))
 
 
 @query

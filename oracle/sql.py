@@ -553,29 +553,33 @@ DECISIONS = """dec AS (SELECT event_id AS id, 'S' || lpad(CAST(user_id % 20 AS V
   strftime(ts, '%Y-%m-%d') AS order_date, CASE event_type WHEN 'view' THEN 'approve' WHEN 'click' THEN 'override' WHEN 'purchase' THEN 'reject' WHEN 'signup' THEN 'approve' ELSE 'skip' END AS action,
   CAST(floor(value * CASE WHEN event_id % 50 = 0 THEN 1000 ELSE 1 END) AS BIGINT) AS final_qty,
   CASE WHEN event_type IN ('click', 'purchase') THEN (CASE event_id % 4 WHEN 0 THEN 'promo' WHEN 1 THEN 'weather' WHEN 2 THEN 'bogus' END) END AS reason_code,
-  '  ' || repeat(props, event_id % 45) AS note FROM events),
+  '  ' || repeat(props, event_id % 45) AS note, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 'U' || user_id AS user_name FROM events),
 checked AS (SELECT *, CASE WHEN NOT regexp_matches(store_id, '^S[0-9][0-9]$') THEN 'store_id' WHEN NOT regexp_matches(item_id, '^I[0-9][0-9][0-9]$') THEN 'item_id' WHEN action = 'skip' THEN 'action'
   WHEN final_qty < 0 OR final_qty > 100000 THEN 'final_qty' WHEN length(note) > 280 THEN 'note_length'
   WHEN action IN ('override', 'reject') AND COALESCE(reason_code NOT IN ('promo', 'weather', 'stock', 'other'), TRUE) THEN 'reason_required' WHEN reason_code = 'bogus' THEN 'reason_unknown' END AS reason FROM dec),
 sug AS (SELECT 'S' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') AS store_id, 'I' || lpad(CAST(event_id % 40 AS VARCHAR), 3, '0') AS item_id, MAX(strftime(ts, '%Y-%m-%d')) AS order_date, CAST(floor(MAX(value) / 10) AS BIGINT) AS suggested_qty
   FROM events WHERE event_type <> 'error' GROUP BY 1, 2),
-outcome AS (SELECT c.id, c.store_id, c.item_id, c.action, s.suggested_qty, CASE c.action WHEN 'approve' THEN s.suggested_qty WHEN 'reject' THEN 0 ELSE c.final_qty END AS fin, s.order_date AS sdate, c.order_date, c.reason FROM checked c
+outcome AS (SELECT c.ts, c.user_name, c.id, c.store_id, c.item_id, c.action, s.suggested_qty, CASE c.action WHEN 'approve' THEN s.suggested_qty WHEN 'reject' THEN 0 ELSE c.final_qty END AS fin, s.order_date AS sdate, c.order_date, c.reason FROM checked c
   LEFT JOIN sug s ON s.store_id = c.store_id AND s.item_id = c.item_id),
-dlog AS (SELECT id, store_id, item_id, order_date, action, final_qty FROM checked WHERE reason IS NULL),
-latest AS (SELECT store_id, item_id, order_date, MAX(id) AS id, arg_max(action, id) AS action, arg_max(final_qty, id) AS final_qty FROM dlog GROUP BY 1, 2, 3)"""
+dlog AS (SELECT id, store_id, item_id, order_date, action, ts, user_name, suggested_qty, fin AS final_qty, 'm2' AS model_version FROM outcome WHERE reason IS NULL AND suggested_qty IS NOT NULL AND sdate = order_date
+  AND fin <= GREATEST(10 * suggested_qty, 50)),
+latest AS (SELECT * FROM dlog QUALIFY row_number() OVER (PARTITION BY store_id, item_id, order_date ORDER BY id DESC) = 1)"""
 add("decision_validation", "SELECT id, action, final_qty, CAST(length(trim(note)) AS INTEGER) AS note_length, reason FROM checked", DECISIONS)
 add("decision_outcomes", """SELECT id, store_id, item_id, action, suggested_qty, CASE WHEN r IS NULL THEN fin END AS final_qty, r AS reason FROM (SELECT *, COALESCE(reason, CASE WHEN suggested_qty IS NULL THEN 'unknown_item'
   WHEN sdate <> order_date THEN 'order_date_conflict' WHEN fin > GREATEST(10 * suggested_qty, 50) THEN 'above_guard' END) AS r FROM outcome)""", DECISIONS)
-add("latest_decisions", "SELECT store_id, item_id, order_date, id, action, final_qty FROM latest", DECISIONS)
+add("latest_decisions", "SELECT * FROM latest", DECISIONS)
 add("order_review", "SELECT s.store_id, s.item_id, s.order_date, s.suggested_qty, l.final_qty, COALESCE(l.action, 'pending') AS status FROM sug s LEFT JOIN latest l ON l.store_id = s.store_id AND l.item_id = s.item_id AND l.order_date = s.order_date", DECISIONS)
-add("audit_log", "SELECT id, store_id, item_id, order_date, action, final_qty FROM dlog WHERE store_id = 'S03' ORDER BY id DESC LIMIT 200", DECISIONS)
+add("audit_log", "SELECT * FROM dlog WHERE store_id = 'S03' ORDER BY id DESC LIMIT 200", DECISIONS)
 add("store_catalogue", "SELECT store_id, region, COUNT(DISTINCT item_id) AS items FROM sold WHERE region = 'ASIA' GROUP BY 1, 2", SOLD)
 add("item_catalogue", """SELECT i.item_id, i.category, price, pack_size FROM (SELECT DISTINCT item_id, category FROM sold WHERE store_id = 'NATION_3') i JOIN (SELECT p_type || '|' || p_brand AS item_id, MIN(p_retailprice) AS price, MIN(p_size) AS pack_size
   FROM part GROUP BY 1) p ON p.item_id = i.item_id""", SOLD)
-add("store_forecast_view", """SELECT CASE WHEN node_id = 'S:NATION_3' THEN 'store total' ELSE replace(node_id, 'SC:NATION_3|', '') END AS node, level, day_idx, y FROM nodes WHERE node_id = 'S:NATION_3' OR starts_with(node_id, 'SC:NATION_3|')""",
-    *BASE, NODES.format(src="panel"))
-add("item_forecast_view", """SELECT series_id, CASE WHEN abs(exp(b) - 1) >= abs(exp(a) - 1) THEN 'last week' ELSE 'planner' END AS top_factor, ROUND(100 * GREATEST(abs(exp(a) - 1), abs(exp(b) - 1)), 1) AS top_effect
-  FROM (SELECT series_id, AVG(ln((b1 + 1) / (mean28 + 1))) AS a, AVG(ln((b0 + 1) / (mean28 + 1))) AS b FROM fm WHERE block = 'production' GROUP BY 1)""", *FC)
+add("store_forecast_view", """SELECT CASE WHEN b.node_id = 'S:NATION_3' THEN 'store total' ELSE replace(b.node_id, 'SC:NATION_3|', '') END AS node, b.level, b.origin, b.day, ROUND(b.yhat, 6) AS base, ROUND(r.g, 6) AS reconciled, ROUND(a.y, 6) AS y
+  FROM base b JOIN rec r ON r.node_id = b.node_id AND r.origin = b.origin AND r.day = b.day LEFT JOIN acts a ON a.node_id = b.node_id AND a.day = b.day
+  WHERE b.block = 'test' AND b.level <> 'item_store' AND (b.node_id = 'S:NATION_3' OR starts_with(b.node_id, 'SC:NATION_3|'))""", *WLS)
+add("item_forecast_view", """SELECT series_id, 'history' AS part, CAST(day_idx AS BIGINT) AS at_day, ROUND(y, 6) AS value, NULL::DOUBLE AS p10, NULL::DOUBLE AS p90 FROM panel, bounds WHERE day_idx > n - 1 - 60
+  UNION ALL SELECT series_id, 'forecast', CAST(day AS BIGINT), ROUND(m2, 6), ROUND(0.5 * m2, 6), ROUND(1.6 * m2 + 1, 6) FROM fm WHERE block = 'production'
+  UNION ALL SELECT series_id, 'effect of ' || factor, CAST(row_number() OVER (PARTITION BY series_id ORDER BY -abs(exp(e) - 1), factor) - 1 AS BIGINT), ROUND(100 * (exp(e) - 1), 1), NULL, NULL FROM (SELECT series_id, unnest(['planner', 'last week']) AS factor,
+    unnest([AVG(ln((b1 + 1) / (mean28 + 1))), AVG(ln((b0 + 1) / (mean28 + 1)))]) AS e FROM fm WHERE block = 'production' GROUP BY 1)""", *FC)
 add("normalised_output", """SELECT o_orderkey, ROUND(o_totalprice / 7, 3) AS price, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderstatus, CASE WHEN o_orderstatus <> 'P' THEN ROUND(o_totalprice, 3) END AS finite_only FROM orders""")
 add("gate_results", f"""SELECT g.gate, ROUND(v, 6) AS value, g.low, g.high, CASE WHEN v IS NULL THEN 'N/A' WHEN (g.low IS NULL OR v >= g.low) AND (g.high IS NULL OR (CASE WHEN g.strict THEN v < g.high ELSE v <= g.high END)) THEN 'PASS' ELSE 'FAIL' END AS result
   FROM (VALUES ('wape_gain_vs_b0', 0.10::DOUBLE, NULL::DOUBLE, FALSE), ('coverage', 0.75, 0.85, FALSE), ('wape_max', NULL, 1.0, TRUE), ('latency_p95', NULL, 300.0, TRUE)) g(gate, low, high, strict)
