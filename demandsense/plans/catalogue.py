@@ -375,19 +375,23 @@ def _panel_inputs(star: Star) -> tuple[features.Inputs, Layout]:
     return features.Inputs(p, series, start, n), layout.origin_layout(n)
 
 
-def _forecasts(star: Star, blocks=("cal", "test")) -> tuple[DataFrame, features.Inputs, Layout]:
-    """Base forecasts; m1 and m2 stand in for the two global models."""
+def _forecasts(star: Star, blocks=("cal", "test"), shared: bool = False) -> tuple[DataFrame, features.Inputs, Layout]:
+    """Base forecasts; m1 and m2 stand in for the two global models.
+
+    ``shared``: the rows are read several times and so written as a table first; a single reader
+    leaves them in its own plan, where states and columns that it does not use are pruned.
+    """
     inp, lay = _panel_inputs(star)
     rows = backtest.base_rows(inp, lay, blocks, ["store_id", "region", "category"])
     rows = (rows.withColumn("m1", F.col("b1")).withColumn("m2", 0.5 * (F.col("b0") + F.col("b1")))
                 .withColumn("m2_p10", 0.5 * F.col("m2")).withColumn("m2_p50", F.col("m2")).withColumn("m2_p90", 1.6 * F.col("m2") + 1.0)
                 .withColumn("c1", F.col("m2")).withColumn("catmean", F.col("mean28")))
-    return cut(rows), inp, lay          # the forecast table is an artifact that several steps read
+    return cut(rows) if shared else rows, inp, lay
 
 
 def _final(star: Star, blocks=("cal", "test")):
     """Routed forecasts of the blocks."""
-    rows, inp, lay = _forecasts(star, ("cal", *[b for b in blocks if b != "cal"]))
+    rows, inp, lay = _forecasts(star, ("cal", *[b for b in blocks if b != "cal"]), shared=True)
     cal = rows.where("block = 'cal'")
     routed = backtest.routed(rows, cal, backtest.mase_scale(inp, lay), ["m2", "tsb", "sba", "croston", "c1", "catmean"])
     return routed, inp, lay
@@ -424,7 +428,7 @@ def demand_classes(spark: SparkSession, path: str) -> DataFrame:
 @query
 def training_targets(spark: SparkSession, path: str) -> DataFrame:
     """Training block target under the three treatments of censored days, per series."""
-    rows, _, _ = _forecasts(Star(spark, path), ["train"])
+    rows, _, _ = _forecasts(Star(spark, path), ["train"], shared=True)
     out = None
     for how in ("ignore", "drop", "impute"):
         t = (features.training_target(rows, how).groupBy("series_id")
@@ -435,7 +439,7 @@ def training_targets(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def route_selection(spark: SparkSession, path: str) -> DataFrame:
-    rows, inp, lay = _forecasts(Star(spark, path), ["cal"])
+    rows, inp, lay = _forecasts(Star(spark, path), ["cal"], shared=True)
     return rounded(forecast.select_routes(rows, backtest.mase_scale(inp, lay)))
 
 
@@ -515,7 +519,7 @@ def region_accuracy(spark: SparkSession, path: str) -> DataFrame:
 @query
 def score_table(spark: SparkSession, path: str) -> DataFrame:
     """WAPE, MASE and bias per model on the test block."""
-    rows, inp, lay = _forecasts(Star(spark, path), ["test"])
+    rows, inp, lay = _forecasts(Star(spark, path), ["test"], shared=True)
     return rounded(metrics.score_block(forecast.usable(rows), ["b0", "b1", "m2", "tsb", "sba", "croston"], backtest.mase_scale(inp, lay)))
 
 
@@ -530,7 +534,7 @@ def pinball_coverage(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def forecast_stability(spark: SparkSession, path: str) -> DataFrame:
-    rows, _, _ = _forecasts(Star(spark, path), ["test"])
+    rows, _, _ = _forecasts(Star(spark, path), ["test"], shared=True)
     return rounded(metrics.stability(rows.where("y IS NOT NULL"), ["b0", "b1", "m2"]))
 
 
@@ -556,7 +560,7 @@ def _with_day_type(star: Star, rows: DataFrame, inp: features.Inputs, lay: Layou
 def wape_cuts(spark: SparkSession, path: str) -> DataFrame:
     """WAPE by demand class, day type and store in one pass."""
     star = Star(spark, path)
-    rows, inp, lay = _forecasts(star, ["cal"])
+    rows, inp, lay = _forecasts(star, ["cal"], shared=True)
     rows = _with_day_type(star, forecast.usable(rows), inp, lay)
     return rounded(metrics.wape_cuts(rows, ["b0", "b1", "m2"], ["demand_class", "day_type", "store_id"]))
 
@@ -572,7 +576,7 @@ def sensing_days(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def store_level_mase(spark: SparkSession, path: str) -> DataFrame:
-    rows, inp, lay = _forecasts(Star(spark, path), ["test"])
+    rows, inp, lay = _forecasts(Star(spark, path), ["test"], shared=True)
     return rounded(metrics.store_mase(forecast.usable(rows), history.with_masked(inp.panel), lay.train_end, ["b0", "b1", "m2"]))
 
 
@@ -588,21 +592,21 @@ def accuracy_vs_truth(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def residual_spread(spark: SparkSession, path: str) -> DataFrame:
-    rows, inp, _ = _forecasts(Star(spark, path), ["cal"])
+    rows, inp, _ = _forecasts(Star(spark, path), ["cal"], shared=True)
     return rounded(metrics.residual_sd(forecast.usable(rows), inp.series, "m2"))
 
 
 # ============================================================ conformal
 @query
 def conformal_adjustments(spark: SparkSession, path: str) -> DataFrame:
-    rows, _, _ = _forecasts(Star(spark, path), ["cal"])
+    rows, _, _ = _forecasts(Star(spark, path), ["cal"], shared=True)
     rows = rows.withColumn("cls_group", F.col("demand_class"))
     return rounded(conformal.fit(forecast.usable(rows), lo="m2_p10", hi="m2_p90"))
 
 
 @query
 def conformal_bands(spark: SparkSession, path: str) -> DataFrame:
-    rows, _, _ = _forecasts(Star(spark, path))
+    rows, _, _ = _forecasts(Star(spark, path), shared=True)
     rows = rows.withColumn("cls_group", F.col("demand_class"))
     fitted = conformal.fit(forecast.usable(rows.where("block = 'cal'")), lo="m2_p10", hi="m2_p90")
     out = conformal.apply(rows.where("block = 'test'"), fitted, "m2_p10", "m2_p90")
@@ -689,7 +693,7 @@ def mint_forecasts(spark: SparkSession, path: str) -> DataFrame:
 
 # ============================================================ inventory
 def _banded(star: Star, blocks: list[str]) -> tuple[DataFrame, features.Inputs, Layout]:
-    rows, inp, lay = _forecasts(star, blocks)
+    rows, inp, lay = _forecasts(star, blocks, shared=True)
     rows = rows.withColumn("final", F.col("m2")).withColumn("p10c", F.round("m2_p10", 6)).withColumn("p90c", F.round("m2_p90", 6))
     return rows, inp, lay
 
