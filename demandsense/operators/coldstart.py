@@ -157,7 +157,7 @@ def analog_forecast(rows: DataFrame, series: DataFrame, ramp: DataFrame, point:
     week = F.least(F.floor(F.col("age") / RAMP_DAYS), F.lit(len(GENERIC_RAMP) - 1)).cast("int")
     by_week = ramp.select(F.col("bucket").alias("__week"), F.col("ramp").alias("__ramp"))
     out = (rows.join(base, ["series_id", "origin", "day"], "left").withColumn("__week", week)
-               .join(by_week, "__week", "left"))
+               .join(F.broadcast(by_week), "__week", "left"))         # a row for each week of the ramp
     c1 = F.when(F.col("age") < young_age, F.coalesce("__base", F.lit(0.0)) * F.col("__ramp")).otherwise(F.col(point))
     return out.select(*rows.columns, c1.alias("c1"))
 

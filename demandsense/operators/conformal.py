@@ -54,7 +54,7 @@ def apply(rows: DataFrame, fitted: DataFrame, lo: str = "p10", hi: str = "p90")
     groups = fitted.where("bucket IS NOT NULL").select("bucket", "cls_group", F.col("adjustment").alias("__own"))
     overall = fitted.where("bucket IS NULL").agg(F.max("adjustment").alias("__all"))
     move = F.coalesce("__own", "__all", F.lit(0.0))
-    out = (rows.withColumn("bucket", horizon_bucket(F.col("h"))).join(groups, ["bucket", "cls_group"], "left")
+    out = (rows.withColumn("bucket", horizon_bucket(F.col("h"))).join(F.broadcast(groups), ["bucket", "cls_group"], "left")      # horizon buckets x classes
                .join(F.broadcast(overall)))                   # one row
     return out.select(*rows.columns, "bucket", F.greatest(F.col(lo) - move, F.lit(0.0)).alias("p10c"),
                       F.greatest(F.col(hi) + move, F.lit(0.0)).alias("p90c"))

@@ -85,13 +85,13 @@ def apply_routes(rows: DataFrame, routes: DataFrame, young_route: str | Column,
                  default: str = "m2", young_age: int = YOUNG_AGE) -> DataFrame:
     """route, final, p10/p50/p90 and cls_group.
 
-    ``routes`` has at most one row per routed demand class.  Rows not routed to the default
+    ``routes`` has at most one row per routed demand class (five classes), so it is broadcast.  Rows not routed to the default
     model get Poisson bands around their forecast.
     """
     young = F.col("age") < young_age
     young_route = F.lit(young_route) if isinstance(young_route, str) else young_route
     route_map = routes.select("demand_class", F.col("route").alias("__class_route"))
-    rows = rows.join(route_map, "demand_class", "left").withColumn(
+    rows = rows.join(F.broadcast(route_map), "demand_class", "left").withColumn(
         "route", F.when(young, young_route).otherwise(F.coalesce("__class_route", F.lit(default))))
     pick = F.lit(None).cast("double")
     for m in models:
@@ -101,8 +101,3 @@ def apply_routes(rows: DataFrame, routes: DataFrame, young_route: str | Column,
     bands = [F.coalesce(F.col("__q")[i], F.col(f"{default}_{p}")).alias(p) for i, p in enumerate(("p10", "p50", "p90"))]
     return rows.select(*[c for c in rows.columns if c not in ("__q", "__class_route")], *bands,
                        F.when(young, "new").otherwise(F.col("demand_class")).alias("cls_group"))
-
-
-def intermittent_at_origin(stats: DataFrame) -> DataFrame:
-    """croston, sba, tsb states read at (series, origin)."""
-    return stats.select("series_id", "origin", "croston", "sba", "tsb")

@@ -63,19 +63,19 @@ def on_hand_snapshot(sales: DataFrame, series: DataFrame, last_day: int) -> Data
 def ledger_kpis(ledger: DataFrame, by: Sequence[str] = ("policy",)) -> DataFrame:
     """Indicators per policy from a stock ledger with series_id, day_idx, demand, on_hand, sold,
     lost, ordered, price.  Two levels: per series first, then per policy."""
-    day = ledger.groupBy(*by, "series_id").agg(
+    own = Window.partitionBy(*by, "series_id")
+    rated = ledger.withColumn("__rate", F.greatest(F.avg("demand").over(own), F.lit(1e-6)))       # same exchange as the sums below
+    day = rated.groupBy(*by, "series_id").agg(
         F.count(F.lit(1)).alias("days"), F.sum("sold").alias("sold"), F.sum("lost").alias("lost"), F.sum("on_hand").alias("oh"),
-        F.sum("ordered").alias("ordered"), F.count_if(F.col("lost") > 0).alias("out"), F.avg("demand").alias("rate"),
-        F.sum(F.col("on_hand") * F.col("price")).alias("oh_value"), F.sum(F.col("lost") * F.col("price")).alias("lost_value"))
-    rate = day.select(*by, "series_id", F.greatest("rate", F.lit(1e-6)).alias("__rate"))
-    over = (ledger.join(rate, [*by, "series_id"]).groupBy(*by)
-            .agg(F.sum(F.greatest(F.col("on_hand") - OVERSTOCK_DAYS * F.col("__rate"), F.lit(0.0))).alias("over")))
-    span = ledger.groupBy(*by).agg((F.max("day_idx") - F.min("day_idx") + 1).alias("n_days"))
-    agg = day.groupBy(*by).agg(
+        F.sum("ordered").alias("ordered"), F.count_if(F.col("lost") > 0).alias("out"), F.first("__rate").alias("rate"),
+        F.sum(F.col("on_hand") * F.col("price")).alias("oh_value"), F.sum(F.col("lost") * F.col("price")).alias("lost_value"),
+        F.sum(F.greatest(F.col("on_hand") - OVERSTOCK_DAYS * F.col("__rate"), F.lit(0.0))).alias("over"),
+        F.min("day_idx").alias("first_day"), F.max("day_idx").alias("last_day"))
+    a = day.groupBy(*by).agg(
         F.count(F.lit(1)).alias("series"), F.sum("days").alias("series_days"), F.sum("sold").alias("sold"), F.sum("lost").alias("lost"),
-        F.sum("oh").alias("oh"), F.sum("ordered").alias("ordered"), F.sum("out").alias("out"),
-        F.sum(F.greatest("rate", F.lit(1e-6))).alias("rate"), F.sum("oh_value").alias("oh_value"), F.sum("lost_value").alias("lost_value"))
-    a = agg.join(over, list(by)).join(span, list(by))
+        F.sum("oh").alias("oh"), F.sum("ordered").alias("ordered"), F.sum("out").alias("out"), F.sum("rate").alias("rate"),
+        F.sum("oh_value").alias("oh_value"), F.sum("lost_value").alias("lost_value"), F.sum("over").alias("over"),
+        (F.max("last_day") - F.min("first_day") + 1).alias("n_days"))
     per_day = lambda c: F.col(c) / F.col("n_days")
     return a.select(
         *by, (F.col("sold") / F.greatest(F.col("sold") + F.col("lost"), F.lit(1.0))).alias("fill_rate"),

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandsense.operators import conformal, features, forecast, history, metrics
+from demandsense.operators import features, forecast, history, metrics
 from demandsense.operators.features import Inputs
 from demandsense.operators.layout import Layout, block_of
 
@@ -37,9 +37,5 @@ def routed(rows: DataFrame, cal: DataFrame, scale: DataFrame, models: Sequence[s
     return forecast.apply_routes(rows, forecast.select_routes(cal, scale), young_route, models)
 
 
-def calibrated(rows: DataFrame, cal: DataFrame, alpha: float = conformal.ALPHA) -> DataFrame:
-    return conformal.apply(rows, conformal.fit(forecast.usable(cal), alpha))
-
-
 def mase_scale(inp: Inputs, lay: Layout) -> DataFrame:
     return metrics.mase_scale(history.with_masked(inp.panel), lay.train_end)

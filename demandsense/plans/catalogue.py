@@ -366,6 +366,15 @@ def aggregate_scaling(spark: SparkSession, path: str) -> DataFrame:
     return rounded(rows.select("series_id", "origin", "h", "scale", *features.SCALED, "target_ratio"))
 
 
+@query
+def node_attributes(spark: SparkSession, path: str) -> DataFrame:
+    """Mean price and pack size, children and level code of the nodes over item x store leaves."""
+    star = Star(spark, path)
+    leaves = star.daily("item_store").select("store_id", "region", "category", "item_id", F.col("series_id").alias("node_id")).distinct()
+    out = hierarchy.node_attributes(leaves.join(star.items().drop("category"), "item_id"))
+    return rounded(out.select("node_id", "level", "level_idx", "price", "pack_size", "n_children"))
+
+
 # ============================================================ forecasts
 def _panel_inputs(star: Star) -> tuple[features.Inputs, Layout]:
     """Dense store x category panel with its series, without covariates."""
@@ -403,6 +412,14 @@ def seasonal_naive(spark: SparkSession, path: str) -> DataFrame:
     return rounded(rows.select("series_id", "origin", "h", "b0", "y", "censored"))
 
 
+@query
+def forecast_keys(spark: SparkSession, path: str) -> DataFrame:
+    """Test forecasts with the series' keys, the target date and the origin's date."""
+    rows, inp, _ = _forecasts(Star(spark, path), ["test"])
+    out = panel.with_series_keys(rows.select("series_id", "origin", "day", "b0"), inp.series, inp.start, ["store_id", "category"])
+    return rounded(out.select("series_id", "store_id", "category", "origin_date", "date", "b0"))
+
+
 @query
 def planner_baseline(spark: SparkSession, path: str) -> DataFrame:
     rows, _, _ = _forecasts(Star(spark, path), ["test"])

@@ -5,14 +5,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demandsense.functions.numeric import nan_to_null
 from demandsense.functions.text import escape_formula_columns
 from demandsense.operators.contracts import Contract
 
 
 def read_parquet_feed(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Columnar scan; filters and column pruning reach the files through Catalyst."""
+    """Columnar scan; filters and column pruning reach the files through Catalyst.  NaN is read as missing."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    return without_nan(reader.parquet(path))
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """``df`` with NULL for NaN; other columns and hidden metadata stay as they are."""
+    floating = [c for c, t in df.dtypes if t in ("double", "float")]
+    return df.withColumns({c: nan_to_null(c).cast(df.schema[c].dataType) for c in floating}) if floating else df
 
 
 def read_csv_feed(spark: SparkSession, path: str, contract: Contract, date_format: str = "yyyy-MM-dd") -> DataFrame:
@@ -20,7 +27,7 @@ def read_csv_feed(spark: SparkSession, path: str, contract: Contract, date_forma
     ``_corrupt_record`` instead of being lost."""
     schema = contract.schema().add("_corrupt_record", "string")
     return (spark.read.schema(schema).option("header", True).option("dateFormat", date_format)
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path).transform(without_nan))
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -318,6 +318,7 @@ add("aggregate_scaling", f"""SELECT series_id, origin, h, ROUND(sc, 6) AS scale,
 
 # ------------------------------------------------------------- forecasts
 add("seasonal_naive", "SELECT series_id, origin, h, ROUND(b0, 6) AS b0, ROUND(y, 6) AS y, censored FROM fm WHERE block = 'test'", *FC)
+add("forecast_keys", "SELECT series_id, store_id, category, d0 + CAST(origin AS INTEGER) AS origin_date, d0 + CAST(day AS INTEGER) AS date, ROUND(b0, 6) AS b0 FROM fm, bounds WHERE block = 'test'", *FC)
 add("planner_baseline", "SELECT series_id, origin, h, ROUND(b1, 6) AS b1, ROUND(croston, 6) AS croston, ROUND(sba, 6) AS sba, ROUND(tsb, 6) AS tsb FROM fm WHERE block = 'test'", *FC)
 add("count_bands", """SELECT m.series_id, m.origin, nb_p10, nb_p50, nb_p90, po_p10, po_p50, po_p90 FROM moments m
   JOIN (SELECT m, v, MIN(CASE WHEN cdf >= 0.1 - 1e-12 THEN k END) AS nb_p10, MIN(CASE WHEN cdf >= 0.5 - 1e-12 THEN k END) AS nb_p50, MIN(CASE WHEN cdf >= 0.9 - 1e-12 THEN k END) AS nb_p90 FROM
@@ -580,6 +581,9 @@ add("item_forecast_view", """SELECT series_id, 'history' AS part, CAST(day_idx A
   UNION ALL SELECT series_id, 'forecast', CAST(day AS BIGINT), ROUND(m2, 6), ROUND(0.5 * m2, 6), ROUND(1.6 * m2 + 1, 6) FROM fm WHERE block = 'production'
   UNION ALL SELECT series_id, 'effect of ' || factor, CAST(row_number() OVER (PARTITION BY series_id ORDER BY -abs(exp(e) - 1), factor) - 1 AS BIGINT), ROUND(100 * (exp(e) - 1), 1), NULL, NULL FROM (SELECT series_id, unnest(['planner', 'last week']) AS factor,
     unnest([AVG(ln((b1 + 1) / (mean28 + 1))), AVG(ln((b0 + 1) / (mean28 + 1)))]) AS e FROM fm WHERE block = 'production' GROUP BY 1)""", *FC)
+add("node_attributes", """SELECT node_id, level, CAST(level_idx AS INTEGER) AS level_idx, ROUND(AVG(price), 6) AS price, ROUND(AVG(pack_size), 6) AS pack_size, COUNT(*) AS n_children FROM (
+  SELECT price, pack_size, unnest(['total', 'R:' || region, 'S:' || store_id, 'SC:' || store_id || '|' || category]) AS node_id, unnest(['total', 'region', 'store', 'store_category']) AS level, unnest([0, 1, 2, 3]) AS level_idx
+  FROM (SELECT DISTINCT store_id, region, category, item_id FROM sold) s JOIN (SELECT p_type || '|' || p_brand AS item_id, MIN(p_retailprice) AS price, MIN(p_size) AS pack_size FROM part GROUP BY 1) i USING (item_id)) GROUP BY 1, 2, 3""", SOLD)
 add("normalised_output", """SELECT o_orderkey, ROUND(o_totalprice / 7, 3) AS price, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderstatus, CASE WHEN o_orderstatus <> 'P' THEN ROUND(o_totalprice, 3) END AS finite_only FROM orders""")
 add("gate_results", f"""SELECT g.gate, ROUND(v, 6) AS value, g.low, g.high, CASE WHEN v IS NULL THEN 'N/A' WHEN (g.low IS NULL OR v >= g.low) AND (g.high IS NULL OR (CASE WHEN g.strict THEN v < g.high ELSE v <= g.high END)) THEN 'PASS' ELSE 'FAIL' END AS result
   FROM (VALUES ('wape_gain_vs_b0', 0.10::DOUBLE, NULL::DOUBLE, FALSE), ('coverage', 0.75, 0.85, FALSE), ('wape_max', NULL, 1.0, TRUE), ('latency_p95', NULL, 300.0, TRUE)) g(gate, low, high, strict)
