@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,16 +78,18 @@ def _sales_feed(star: Star) -> DataFrame:
         F.col("l_suppkey"), F.col("l_partkey"))
 
 
-def _dirty_feed(star: Star) -> DataFrame:
-    return robustness.inject_defects(_sales_feed(star), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "2001-11-04",
+def _dirty_feed(star: Star, last: date) -> DataFrame:
+    return robustness.inject_defects(_sales_feed(star), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], last.isoformat(),
                                      duplicate=0.01, negative=0.02, null_price=0.02, future=0.01)
 
 
 def _annotated(star: Star) -> DataFrame:
     """Dirty feed with the first broken rule per row; a row is a repeat of its feed key."""
-    dirty = cut(_dirty_feed(star))          # read three times by the repeat check
+    start, n = star.window()
+    last = start + timedelta(days=n - 1)
+    dirty = cut(_dirty_feed(star, last))          # read three times by the repeat check
     order = ["copy", "l_orderkey", "l_linenumber", "units_sold", "on_hand_open", "on_hand_close"]
-    rules = contracts.sales_contract("2001-11-04").rules
+    rules = contracts.sales_contract(last.isoformat()).rules
     return contracts.annotate(dirty, rules, keys=["date", "l_suppkey", "l_partkey"], order=order, gate=contracts.sales_schema_rules())
 
 
@@ -473,7 +476,7 @@ def _cold(star: Star):
     daily = star.daily("item_store").withColumn("day_idx", F.datediff("date", F.lit(start))).persist()
     series = daily.groupBy("series_id", "store_id", "category", "item_id").agg(F.min("day_idx").alias("launch_idx")).join(
         star.items().drop("category"), "item_id").persist()        # a dimension table in practice
-    origins = [200 + 7 * i for i in range(8)]
+    origins = [n // 12 + layout.STEP * i for i in range(layout.N_TEST)]        # early, where many items are young
     return daily, series, origins, start, n
 
 
@@ -496,8 +499,8 @@ def analog_items(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def launch_ramp(spark: SparkSession, path: str) -> DataFrame:
-    daily, series, *_ = _cold(Star(spark, path))
-    return rounded(coldstart.launch_ramp(daily, series, 2000))
+    daily, series, _, _, n = _cold(Star(spark, path))
+    return rounded(coldstart.launch_ramp(daily, series, n - 1))
 
 
 @query

@@ -125,7 +125,7 @@ FEED = """feed AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(l
   CAST(CASE WHEN l_returnflag = 'R' AND l_discount >= 0.09 THEN 0 ELSE l_orderkey % 40 END AS BIGINT) AS on_hand_close, CAST(0 AS BIGINT) AS receipts, l_tax FROM lineitem)"""
 DIRTY = f"""marked AS (SELECT *, CAST(units_sold + on_hand_close - CASE WHEN l_tax = 0.08 THEN 1 ELSE 0 END AS BIGINT) AS on_hand_open,
   {chosen('negative', 0.02)} AS neg, {chosen('null_price', 0.02)} AS nul, {chosen('duplicate', 0.01)} AS dup, {chosen('future', 0.01)} AS fut,
-  DATE '2001-11-04' + 1 + CAST(floor({uniform(KEY.format(kind="'shift'"))} * 29) AS INTEGER) AS later FROM feed),
+  (SELECT MAX(CAST(l_shipdate AS DATE)) FROM lineitem) + 1 + CAST(floor({uniform(KEY.format(kind="'shift'"))} * 29) AS INTEGER) AS later FROM feed),
 injected AS (SELECT * EXCLUDE (units_sold, unit_price), CASE WHEN neg THEN -GREATEST(units_sold, 1) ELSE units_sold END AS units_sold,
   CASE WHEN NOT nul THEN unit_price END AS unit_price, CASE WHEN neg THEN 'negative_units' WHEN nul THEN 'bad_price' END AS defect FROM marked),
 dirty AS (SELECT * EXCLUDE (later, date), date, 0 AS copy FROM injected
@@ -133,7 +133,7 @@ dirty AS (SELECT * EXCLUDE (later, date), date, 0 AS copy FROM injected
   UNION ALL SELECT * EXCLUDE (later, date, defect), 'date_in_future' AS defect, later AS date, 2 AS copy FROM injected WHERE fut),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY date, l_suppkey, l_partkey ORDER BY copy, l_orderkey, l_linenumber, units_sold, on_hand_open, on_hand_close) AS rn,
   rank() OVER (PARTITION BY date, l_suppkey, l_partkey ORDER BY copy, l_orderkey, l_linenumber, units_sold, on_hand_open, on_hand_close) AS rk FROM dirty),
-annotated AS (SELECT *, CASE WHEN rk > 1 THEN 'duplicate_key' WHEN date > DATE '2001-11-04' THEN 'date_in_future' WHEN units_sold < 0 THEN 'negative_units'
+annotated AS (SELECT *, CASE WHEN rk > 1 THEN 'duplicate_key' WHEN date > (SELECT MAX(CAST(l_shipdate AS DATE)) FROM lineitem) THEN 'date_in_future' WHEN units_sold < 0 THEN 'negative_units'
   WHEN unit_price IS NULL OR unit_price <= 0 THEN 'bad_price' WHEN on_hand_open < 0 OR receipts < 0 OR on_hand_close < 0 THEN 'negative_stock'
   WHEN units_sold >= 0 AND on_hand_open + receipts - units_sold <> on_hand_close THEN 'stock_balance'
   WHEN NOT regexp_matches(store_id, '^S[0-9][0-9]$') OR NOT regexp_matches(item_id, '^I[0-9][0-9][0-9]$') THEN 'schema' END AS reason FROM ranked)"""
@@ -366,8 +366,8 @@ ramp AS (SELECT g.bucket, COALESCE(n, 0) AS launches, LEAST(GREATEST(CASE WHEN n
   LEFT JOIN (SELECT bucket, COUNT(*) AS n, MEDIAN(r) AS m FROM ratios GROUP BY 1) x ON x.bucket = g.bucket)"""
 
 
-add("launch_ramp", "SELECT bucket, launches, ROUND(ramp, 6) AS ramp FROM ramp", *COLD, ramp("2000"))
-COLD_ROWS = """cold_o AS (SELECT 200 + 7 * i AS origin FROM range(0, 8) t(i)),
+add("launch_ramp", "SELECT bucket, launches, ROUND(ramp, 6) AS ramp FROM ramp", *COLD, ramp("(SELECT n - 1 FROM bounds)"))
+COLD_ROWS = """cold_o AS (SELECT (SELECT n // 12 FROM bounds) + 7 * i AS origin FROM range(0, 8) t(i)),
 cold_stats AS (SELECT c.series_id, c.store_id, c.category, c.launch_idx, o.origin, (SELECT AVG(CASE WHEN NOT stockout THEN y END) FROM daily_item d WHERE d.series_id = c.series_id AND d.day_idx BETWEEN o.origin - 27 AND o.origin) AS mean28
   FROM cs c, cold_o o),
 cold_rows AS (SELECT s.*, CAST(h.h AS INTEGER) AS h, s.origin + h.h AS day, LEAST(s.origin + h.h - launch_idx, 365) AS age, COALESCE(mean28, 0) + h.h * 0.125 AS final FROM cold_stats s, range(1, 15) h(h) WHERE launch_idx <= s.origin + h.h)"""
@@ -376,14 +376,14 @@ C1 = """c1_pairs AS (SELECT series_id, origin, analog FROM (SELECT n.series_id,
 c1_base AS (SELECT y.series_id, y.origin, y.h, MEDIAN(f.final) AS base FROM cold_rows y JOIN c1_pairs p ON p.series_id = y.series_id AND p.origin = y.origin
   JOIN cold_rows f ON f.series_id = p.analog AND f.origin = y.origin AND f.h = y.h WHERE y.age < 28 GROUP BY ALL),
 c1 AS (SELECT y.*, COALESCE(b.base, 0) * r.ramp AS c1 FROM cold_rows y LEFT JOIN c1_base b USING (series_id, origin, h) JOIN ramp r ON r.bucket = LEAST(y.age // 7, 3) WHERE y.age < 28)"""
-add("cold_start_forecast", "SELECT series_id, CAST(origin AS INTEGER) AS origin, h, ROUND(c1, 6) AS c1 FROM c1", *COLD, ramp("200"), COLD_ROWS, C1)
+add("cold_start_forecast", "SELECT series_id, CAST(origin AS INTEGER) AS origin, h, ROUND(c1, 6) AS c1 FROM c1", *COLD, ramp("(SELECT n // 12 FROM bounds)"), COLD_ROWS, C1)
 CATMEAN = """catmean AS (SELECT y.series_id, y.origin, y.h, y.day, COALESCE(m.cm, 0) AS catmean FROM cold_rows y LEFT JOIN (SELECT store_id, category, origin, AVG(mean28) AS cm FROM cold_stats
   WHERE launch_idx + 90 <= origin GROUP BY ALL) m ON m.store_id = y.store_id AND m.category = y.category AND m.origin = y.origin WHERE y.age < 28)"""
 add("category_mean_forecast", "SELECT series_id, CAST(origin AS INTEGER) AS origin, h, ROUND(catmean, 6) AS catmean FROM catmean", *COLD, COLD_ROWS, CATMEAN)
 add("young_route", """SELECT COUNT(*) AS rows, CASE WHEN COUNT(*) >= 30 THEN (CASE WHEN SUM(ABS(y - final)) <= SUM(ABS(y - c1)) AND SUM(ABS(y - final)) <= SUM(ABS(y - catmean)) THEN 'm2'
   WHEN SUM(ABS(y - c1)) <= SUM(ABS(y - catmean)) THEN 'c1' ELSE 'catmean' END) ELSE 'c1' END AS young_route FROM c1 JOIN catmean USING (series_id, origin, h)
-  JOIN daily_item d ON d.series_id = c1.series_id AND d.day_idx = c1.day WHERE NOT d.stockout""", *COLD, ramp("200"), COLD_ROWS, C1, CATMEAN)
-add("established_series", "SELECT series_id FROM cold_rows WHERE origin = 200 GROUP BY 1 HAVING MIN(age) >= 28", *COLD, COLD_ROWS)
+  JOIN daily_item d ON d.series_id = c1.series_id AND d.day_idx = c1.day WHERE NOT d.stockout""", *COLD, ramp("(SELECT n // 12 FROM bounds)"), COLD_ROWS, C1, CATMEAN)
+add("established_series", "SELECT series_id FROM cold_rows WHERE origin = (SELECT n // 12 FROM bounds) GROUP BY 1 HAVING MIN(age) >= 28", *COLD, COLD_ROWS)
 
 # ------------------------------------------------------------- scores
 add("region_accuracy", f"""SELECT region, COUNT(*) AS rows, ROUND({wape('b0')}, 6) AS wape_b0, ROUND({wape('b1')}, 6) AS wape_b1, ROUND({bias('b0')}, 6) AS bias_b0 FROM fm
