@@ -251,3 +251,50 @@ def test_escape_and_decisions(spark):
     out = decisions.guard_decisions(decisions.validate_decisions(inc, decisions.decision_rules(["promo"])), orders)
     got = {r["id"]: (r["final_qty"], r["reason"]) for r in out.collect()}
     assert got == {1: (7, None), 2: (None, "reason_required"), 3: (None, "above_guard"), 4: (3, None), 5: (None, "order_date_conflict"), 6: (None, "final_qty")}
+
+
+def test_repeats_are_flagged_once_whatever_the_share_of_a_key(spark):
+    from demandsense.operators.contracts import flag_repeats
+    rows = [("hot", i) for i in range(900)] + [("a", 1), ("b", 2), ("b", 1), (None, 5), (None, 4)]
+    got = flag_repeats(spark.createDataFrame(rows, "k string, o int"), ["k"], ["o"]).collect()
+    assert {(r.k, r.o) for r in got if not r.is_repeat} == {("hot", 0), ("a", 1), ("b", 1), (None, 4)} and len(got) == 905
+
+
+def test_cut_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from demandsense.functions import lineage
+    conf = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="yarn", applicationId="x"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.checkpoint_dir(far)
+    conf.get = lambda *a: "s3a://shared/folder"
+    assert lineage.checkpoint_dir(far) == "s3a://shared/folder"
+
+
+def test_accepted_decisions_are_appended(spark, tmp_path):
+    from demandsense.operators import decisions
+    log = str(tmp_path / "log")
+    for k in (1, 2):
+        guarded = spark.createDataFrame([(k, "S01", 5, None), (k + 10, "S02", 9, "above_guard")], "id long, store_id string, final_qty long, reason string")
+        decisions.append_decisions(guarded, log, "m2")
+    got = spark.read.parquet(log).collect()
+    assert sorted(r.id for r in got) == [1, 2] and all(r.model_version == "m2" and r.ts for r in got)
+
+
+def test_scans_read_nan_as_missing(spark, tmp_path):
+    from demandsense.sources import feeds
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, float("nan")), (2, 0.5)], "a int, x double").write.parquet(path)
+    assert sorted((r.a, r.x) for r in feeds.read_parquet_feed(spark, path).collect() if r.x is not None) == [(2, 0.5)]
+    out = str(tmp_path / "csv")
+    feeds.write_csv_export(spark.createDataFrame([("=1+1",), ("ok",)], "c string"), out)
+    assert {r.value for r in spark.read.text(out).collect()} >= {"'=1+1", "ok"}
+    feeds.write_split(spark.createDataFrame([(1, None), (2, "bad")], "a int, reason string"), str(tmp_path / "ok"), str(tmp_path / "bad"))
+    assert [r.a for r in spark.read.parquet(str(tmp_path / "ok")).collect()] == [1] and [r.reason for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["bad"]
+
+
+def test_weather_noise_grows_with_the_lead(spark):
+    from demandsense.functions.noise import hash_normal
+    n = spark.range(4000).select(*[(hash_normal(F.lit(7), F.col("id"), F.lit(h)) * 0.8 * h ** 0.5).alias(f"h{h}") for h in (1, 14)]).agg(F.stddev("h1"), F.stddev("h14")).first()
+    assert n[0] == pytest.approx(0.8, rel=0.06) and n[1] == pytest.approx(0.8 * 14 ** 0.5, rel=0.06)

@@ -5,7 +5,8 @@ from oracle_check import compare, connect
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["quarantine_reasons", "promotion_days", "event_calendar", "kept_promotions", "weekly_rolling_history", "intermittent_states", "analog_items", "order_review"]
+NAMES = ["quarantine_reasons", "promotion_days", "event_calendar", "kept_promotions", "weekly_rolling_history", "intermittent_states", "analog_items", "order_review", "same_weekday_lags",
+         "planner_baseline", "aggregate_scaling", "node_attributes", "latest_decisions", "launch_ramp"]
 
 
 @pytest.mark.parametrize("name", NAMES)
