@@ -34,7 +34,7 @@ from demandsense.llm.shipping import by_value
 by_value(__name__)
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-SHARD = 16_384
+SHARD = 4_096
 SAMPLE_A_SHARD, SAMPLE_LEAST, SAMPLE_MOST = 32, 4_096, 1 << 20
 BLOCK, VANTAGES, NO_PROGRESS = 384, 6, 0.9
 VOTE_ROWS = 1 << 15
