@@ -61,13 +61,14 @@ def with_previous_forecast(rows: DataFrame, forecast: str, out: str = "prev") ->
 
 def stability(rows: DataFrame, models: Sequence[str]) -> DataFrame:
     """(model, stability): median over series of sum|F - previous F| / sum|F| over rows that
-    have a previous forecast; models without such rows are absent."""
+    have a previous forecast; NULL for a model without such rows."""
     long = unpivot_models(rows, ["series_id", "origin", "day"], models)
     w = Window.partitionBy("model", "series_id", "day").orderBy("origin")
     moved = long.withColumn("prev", F.lag("forecast").over(w)).where("prev IS NOT NULL")
     per = moved.groupBy("model", "series_id").agg(
         (F.sum(F.abs(F.col("forecast") - F.col("prev"))) / F.greatest(F.sum(F.abs("forecast")), F.lit(1e-9))).alias("move"))
-    return group_median(cut(per), ["model"], "move", "stability")
+    names = rows.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    return names.join(group_median(cut(per), ["model"], "move", "stability"), "model", "left")
 
 
 def day_type(rain: Column) -> Column:

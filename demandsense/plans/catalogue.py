@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from demandsense.functions import scores
 from demandsense.functions.counts import count_quantiles, poisson_quantiles
 from demandsense.functions.lineage import cut
+from demandsense.functions.noise import hash_uniform
 from demandsense.functions.numeric import clip
 from demandsense.functions.text import escape_formula_columns
 from demandsense.operators import (coldstart, conformal, contracts, decisions, features, forecast, globalmodel, hierarchy,
@@ -194,14 +196,13 @@ def kept_promotions(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def weather_precedence(spark: SparkSession, path: str) -> DataFrame:
-    """Observed weather wins; issued values fill dates without observations; plus the mean
-    over all cities per day."""
+    """Observed weather wins; issued values fill dates without observations (three in ten, scattered);
+    plus the mean over all cities per day."""
     star = Star(spark, path)
     start, _ = star.window()
-    w = star.weather()
-    observed = w.where(F.month("date") <= 6)
-    issued = star.table("orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(
-        F.floor(F.max("o_totalprice") / 10000.0).cast("double").alias("temp_max"), F.count(F.lit(1)).cast("double").alias("rain_mm")).withColumn("city", F.lit("NATION_0"))
+    w = cut(star.weather())
+    observed = w.where(hash_uniform(F.lit("seen"), F.col("date")) >= 0.3)
+    issued = w.select("date", "city", (F.col("temp_max") + 1).alias("temp_max"), "rain_mm")
     full = panel.observed_or_issued(observed, issued).withColumn("day_idx", F.datediff("date", F.lit(start)))
     return rounded(panel.with_all_entity(full, "city", ["temp_max", "rain_mm"]))
 
@@ -782,15 +783,14 @@ def policy_comparison(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def cover_at_fill(spark: SparkSession, path: str) -> DataFrame:
-    """Per category: days of cover at 60 % fill along the frontier given by its stores."""
+    """Per category: days of cover at three fill targets along the frontier given by its stores; NULL where it is not reached."""
     star = Star(spark, path)
     led = _ledger(star).where("policy = 'P2_uncertainty'")
     points = inventory.ledger_kpis(led.select("*", F.element_at(F.split("series_id", "\\|"), 1).alias("store"),
                                               F.element_at(F.split("series_id", "\\|"), 2).alias("category")).drop("policy"), ["category", "store"])
     points = points.select(F.col("category").alias("policy"), F.round("fill_rate", 6).alias("fill_rate"), F.round("avg_days_of_cover", 6).alias("days_of_cover"))
     points = cut(points)
-    target = points.agg(F.round(F.percentile_approx("fill_rate", 0.5), 2)).first()[0]
-    return rounded(inventory.cover_at_fill(points, target).withColumn("target", F.lit(target)), 5)
+    return rounded(reduce(DataFrame.unionByName, [inventory.cover_at_fill(points, t).withColumn("target", F.lit(t)) for t in (0.6, 0.8, 0.95)]), 5)
 
 
 @query

@@ -198,9 +198,8 @@ WEATHER_DAYS = """weather_days AS (SELECT date - d0 AS day_idx, city, temp_max,
   UNION ALL SELECT date - d0, '__all__', AVG(temp_max), AVG(rain_mm), AVG(humidity) FROM weather, bounds GROUP BY 1)"""
 add("weather_precedence", """SELECT day_idx, city, ROUND(temp_max, 6) AS temp_max, ROUND(rain_mm, 6) AS rain_mm FROM (SELECT date - d0 AS day_idx, city, temp_max, rain_mm FROM merged, bounds
   UNION ALL SELECT date - d0, '__all__', AVG(temp_max), AVG(rain_mm) FROM merged, bounds GROUP BY 1)""", BOUNDS, WEATHER,
-    """obs AS (SELECT date, city, temp_max, rain_mm FROM weather WHERE month(date) <= 6),
-merged AS (SELECT * FROM obs UNION ALL SELECT CAST(o_orderdate AS DATE) AS date, 'NATION_0', floor(MAX(o_totalprice) / 10000.0), CAST(COUNT(*) AS DOUBLE) FROM orders
-  WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT date FROM obs) GROUP BY 1)""")
+    f"""obs AS (SELECT date, city, temp_max, rain_mm FROM weather WHERE {uniform("concat_ws('|', 'seen', date)")} >= 0.3),
+merged AS (SELECT * FROM obs UNION ALL SELECT date, city, temp_max + 1, rain_mm FROM weather WHERE date NOT IN (SELECT date FROM obs))""")
 add("weather_gap_fill", """SELECT w.date, city, ROUND(COALESCE(CASE WHEN rain_mm > 0 THEN temp_max END, t2), 6) AS temp_max, ROUND(COALESCE(humidity, h2), 6) AS humidity,
   CAST((CASE WHEN NOT rain_mm > 0 AND t2 IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN humidity IS NULL AND h2 IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS filled
   FROM weather w JOIN (SELECT date, MAX(humidity) AS h2, MAX(temp_max) AS t2 FROM weather GROUP BY 1) s ON s.date = w.date""", WEATHER)
@@ -514,8 +513,8 @@ add("ledger_indicators", "SELECT policy, " + ", ".join(f"ROUND({c}, 6) AS {c}" f
 add("ledger_trace", "SELECT policy, day_idx, ROUND(SUM(on_hand), 6) AS on_hand, ROUND(SUM(lost), 6) AS lost, ROUND(SUM(demand), 6) AS demand FROM ledger GROUP BY 1, 2", *BASE, LEDGER)
 add("policy_comparison", """SELECT ROUND(1 - b.stockout_day_rate / GREATEST(a.stockout_day_rate, 1e-9), 6) AS stockout_reduction, ROUND(b.avg_on_hand_units / GREATEST(a.avg_on_hand_units, 1e-9) - 1, 6) AS inventory_change,
   ROUND(b.total_cost_per_day / GREATEST(a.total_cost_per_day, 1e-9) - 1, 6) AS cost_change FROM out_kpi a, out_kpi b WHERE a.policy = 'P0_manual' AND b.policy = 'P2_uncertainty'""", *BASE, LEDGER, kpis("policy"))
-add("cover_at_fill", """SELECT category AS policy, ROUND(MAX(CASE WHEN x <= t AND t < x1 THEN y + (y1 - y) * (t - x) / (x1 - x) WHEN x1 IS NULL AND x = t THEN y END), 5) AS cover, ROUND(ANY_VALUE(t), 5) AS target
-  FROM (SELECT category, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, t FROM points, (SELECT ROUND(quantile_disc(x, 0.5), 2) AS t FROM points) WINDOW w AS (PARTITION BY category ORDER BY x, y)) GROUP BY category""", *BASE, LEDGER,
+add("cover_at_fill", """SELECT category AS policy, ROUND(MAX(CASE WHEN x <= t AND t < x1 THEN y + (y1 - y) * (t - x) / (x1 - x) WHEN x1 IS NULL AND x = t THEN y END), 5) AS cover, ROUND(t, 5) AS target
+  FROM (SELECT category, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, t FROM points, (SELECT unnest([0.6, 0.8, 0.95])::DOUBLE AS t) WINDOW w AS (PARTITION BY category, t ORDER BY x, y)) GROUP BY category, t""", *BASE, LEDGER,
     "led2 AS (SELECT *, category || '/' || store_id AS cs FROM ledger WHERE policy = 'P2_uncertainty')", kpis("cs", "led2"),
     "points AS (SELECT split_part(cs, '/', 1) AS category, ROUND(fill_rate, 6) AS x, ROUND(avg_days_of_cover, 6) AS y FROM out_kpi)")
 add("origin_in_force", """SELECT store_id, day_idx, y, CAST((SELECT MAX(origin) FROM layout WHERE block = 'test' AND origin <= day_idx) AS INTEGER) AS origin FROM daily_store WHERE day_idx >= (SELECT MIN(origin) FROM layout WHERE block = 'test')""",
