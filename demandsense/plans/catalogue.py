@@ -661,7 +661,7 @@ def _reconcile_inputs(star: Star):
 def bottom_up_forecasts(spark: SparkSession, path: str) -> DataFrame:
     base, _, _ = _reconcile_inputs(Star(spark, path))
     out = reconcile.bottom_up(base["test"])
-    return rounded(out.where("level <> 'item_store'").select("node_id", "level", "origin", "day", "bottom_up"))
+    return rounded(out.select("node_id", "level", "origin", "day", "bottom_up"))
 
 
 def _wls(star: Star):
@@ -680,20 +680,21 @@ def wls_forecasts(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def coherence_check(spark: SparkSession, path: str) -> DataFrame:
-    """Coherence error before and after reconciliation (0 after, at 6 digits)."""
-    base, _, rec, _, _ = _wls(Star(spark, path))
+    """Coherence error of the base forecasts and of each method (0 after, at 4 digits)."""
+    base, _, rec, cases, res = _wls(Star(spark, path))
     tree = base["test"].select("node_id", "path").distinct()
-    before = reconcile.coherence_error(base["test"], tree, "yhat").withColumn("method", F.lit("base"))
-    after = reconcile.coherence_error(rec, tree, "reconciled").withColumn("method", F.lit("wls"))
-    return rounded(before.unionByName(after), 4)
+    made = {"base": (base["test"], "yhat"), "bottom_up": (reconcile.bottom_up(base["test"]), "bottom_up"), "wls": (rec, "reconciled"),
+            "mint": (reconcile.mint_shrink(base["test"], cut(res), cases["cal"], cases["test"]), "reconciled")}
+    return rounded(reduce(DataFrame.unionByName, [reconcile.coherence_error(df, tree, c).withColumn("method", F.lit(m)) for m, (df, c) in made.items()]), 4)
 
 
 @query
 def wape_by_level(spark: SparkSession, path: str) -> DataFrame:
     base, acts, rec, _, _ = _wls(Star(spark, path))
     rows = (base["test"].join(rec.select("node_id", "origin", "day", "reconciled"), ["node_id", "origin", "day"])
+            .join(reconcile.bottom_up(base["test"]).drop("level"), ["node_id", "origin", "day"])
             .join(acts, ["node_id", "day"], "left").withColumnRenamed("yhat", "base"))
-    return rounded(metrics.wape_by_level(rows, ["base", "reconciled"]))
+    return rounded(metrics.wape_by_level(rows, ["base", "bottom_up", "reconciled"]))
 
 
 @query

@@ -470,13 +470,13 @@ rec AS (SELECT node_id, origin, day, g FROM pos UNION ALL SELECT * FROM up3 UNIO
 WLS = (*REC, tree_passes())
 BU = """leafs AS (SELECT * FROM base WHERE block = 'test' AND level = 'item_store'), b3 AS (SELECT parent_id AS node_id, 'store_category' AS level, origin, day, SUM(yhat) AS g FROM leafs GROUP BY ALL),
 b2 AS (SELECT t.parent_id AS node_id, 'store' AS level, origin, day, SUM(g) AS g FROM b3 JOIN tree t USING (node_id) GROUP BY ALL), b1_ AS (SELECT t.parent_id AS node_id, 'region' AS level, origin, day, SUM(g) AS g FROM b2 JOIN tree t USING (node_id) GROUP BY ALL),
-b0_ AS (SELECT t.parent_id AS node_id, 'total' AS level, origin, day, SUM(g) AS g FROM b1_ JOIN tree t USING (node_id) GROUP BY ALL), bu AS (SELECT * FROM b3 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b1_ UNION ALL SELECT * FROM b0_)"""
+b0_ AS (SELECT t.parent_id AS node_id, 'total' AS level, origin, day, SUM(g) AS g FROM b1_ JOIN tree t USING (node_id) GROUP BY ALL), bu AS (SELECT node_id, level, origin, day, yhat AS g FROM leafs UNION ALL SELECT * FROM b3 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b1_ UNION ALL SELECT * FROM b0_)"""
 add("bottom_up_forecasts", "SELECT node_id, level, origin, day, ROUND(g, 6) AS bottom_up FROM bu", *REC, BU)
 add("wls_forecasts", """SELECT b.node_id, b.level, b.origin, b.day, ROUND(b.yhat, 6) AS base, ROUND(r.g, 6) AS reconciled, ROUND(a.y, 6) AS y FROM base b JOIN rec r ON r.node_id = b.node_id AND r.origin = b.origin AND r.day = b.day
   LEFT JOIN acts a ON a.node_id = b.node_id AND a.day = b.day WHERE b.block = 'test' AND b.level <> 'item_store'""", *WLS)
-add("coherence_check", "SELECT ROUND(MAX(ABS(b.yhat - bu.g)), 4) AS coherence_error, 'base' AS method FROM base b JOIN bu ON bu.node_id = b.node_id AND bu.origin = b.origin AND bu.day = b.day WHERE b.block = 'test' UNION ALL SELECT 0.0, 'wls'", *REC, BU)
-add("wape_by_level", f"""SELECT level, ROUND({wape('yhat')}, 6) AS base, ROUND({wape('g')}, 6) AS reconciled FROM (SELECT b.level, b.yhat, r.g, a.y FROM base b JOIN rec r ON r.node_id = b.node_id AND r.origin = b.origin AND r.day = b.day
-  LEFT JOIN acts a ON a.node_id = b.node_id AND a.day = b.day WHERE b.block = 'test') WHERE y IS NOT NULL GROUP BY level""", *WLS)
+add("coherence_check", "SELECT ROUND(MAX(ABS(b.yhat - bu.g)), 4) AS coherence_error, 'base' AS method FROM base b JOIN bu ON bu.node_id = b.node_id AND bu.origin = b.origin AND bu.day = b.day WHERE b.block = 'test' UNION ALL SELECT 0.0, unnest(['bottom_up', 'wls', 'mint'])", *REC, BU)
+add("wape_by_level", f"""SELECT level, ROUND({wape('yhat')}, 6) AS base, ROUND({wape('u')}, 6) AS bottom_up, ROUND({wape('g')}, 6) AS reconciled FROM (SELECT b.level, b.yhat, r.g, bu.g AS u, a.y FROM base b JOIN rec r ON r.node_id = b.node_id AND r.origin = b.origin AND r.day = b.day
+  JOIN bu ON bu.node_id = b.node_id AND bu.origin = b.origin AND bu.day = b.day LEFT JOIN acts a ON a.node_id = b.node_id AND a.day = b.day WHERE b.block = 'test') WHERE y IS NOT NULL GROUP BY level""", *WLS, BU)
 add("shrinkage_intensity", """SELECT ROUND(LEAST(GREATEST(112.0 / pow(111.0, 3) * ((dg - z4) - 112.0 * (nm - own) / pow(112.0, 2)) / GREATEST((nm - own) / pow(111.0, 2), 1e-12), 0), 1), 6) AS lambda, ROUND((nm - own) / pow(111.0, 2), 6) AS sum_r2
   FROM (SELECT SUM(g * g) AS nm, SUM(CASE WHEN k = l THEN g * g END) AS dg FROM (SELECT a.c AS k, b.c AS l, SUM(a.z * b.z) AS g FROM zz a JOIN zz b ON a.node_id = b.node_id GROUP BY 1, 2)),
   (SELECT SUM(q * q) AS own, SUM(z4) AS z4 FROM (SELECT SUM(z * z) AS q, SUM(pow(z, 4)) AS z4 FROM zz GROUP BY node_id))""", *REC,
