@@ -6,8 +6,6 @@ group with itself: a store-category may hold any share of all series.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -7,7 +7,6 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandsense.functions.numeric import ratio
 
 # Protection period, policy names and cost parameters.
 LEAD_DAYS, REVIEW_DAYS = 3, 1

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandsense.functions import scores
@@ -17,7 +17,7 @@ from demandsense.functions.text import escape_formula_columns
 from demandsense.operators import (coldstart, conformal, contracts, decisions, features, forecast, globalmodel, hierarchy,
                                    history, inventory, layout, metrics, monitor, panel, reconcile, robustness)
 from demandsense.operators.layout import Layout
-from demandsense.plans import backtest, ingest, orders as order_plan
+from demandsense.plans import backtest, orders as order_plan
 from demandsense.sources import feeds
 from demandsense.sources.star import Star
 
@@ -893,6 +893,17 @@ def search_spike(spark: SparkSession, path: str) -> DataFrame:
     return rounded(both.select("category", "day_idx", "search_o", "spiked"))
 
 
+@query
+def search_spike_shift(spark: SparkSession, path: str) -> DataFrame:
+    """Per category: how far the spike moves the robust search feature, against the 5 % limit."""
+    both = search_spike(spark, path)
+    before = both.select("category", "day_idx", "search_o")
+    after = both.select("category", "day_idx", F.col("spiked").alias("search_o"))
+    names = [r[0] for r in before.select("category").distinct().orderBy("category").collect()]      # a handful of categories
+    parts = [robustness.relative_shift(before.where(F.col("category") == c), after, ["category", "day_idx"], "search_o").withColumn("category", F.lit(c)) for c in names]
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
 # ============================================================ decisions
 REASONS = ["promo", "weather", "stock", "other"]
 

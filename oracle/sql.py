@@ -544,8 +544,12 @@ PROBED = "last_obs mean7 mean28 mean56 std28 zero28 sdw_mean4 days_since_sale ag
 add("leakage_probe", f"""SELECT feature, COUNT(*) AS rows, 0.0::DOUBLE AS max_change FROM rows0, (SELECT unnest({PROBED}) AS feature) WHERE block = 'test' AND origin = (SELECT MIN(origin) FROM layout WHERE block = 'test') GROUP BY feature""", *BASE, LAYOUT, LAGS)
 add("weather_outage", """SELECT r.store_id AS city, CAST(month(d0 + CAST(r.day AS INTEGER)) AS INTEGER) AS month, COUNT(*) AS rows, COUNT(*) AS flagged, ROUND(AVG(c.temp_max), 6) AS temp_fc, ROUND(AVG(ln(1 + c.rain_mm)), 6) AS rain_fc
   FROM rows0 r CROSS JOIN bounds JOIN climate c ON c.city = r.store_id AND c.month = month(d0 + CAST(r.day AS INTEGER)) WHERE block = 'cal' GROUP BY 1, 2""", *BASE, LAYOUT, LAGS, WEATHER, WEATHER_DAYS, CLIMATE)
-add("search_spike", """SELECT category, day_idx, ROUND(m5, 6) AS search_o, ROUND(s5, 6) AS spiked FROM (SELECT category, day_idx, MEDIAN(v) OVER w AS m5, MEDIAN(sv) OVER w AS s5 FROM (SELECT s.*, CASE WHEN category = 'view' AND EXISTS (
-  SELECT 1 FROM layout o WHERE o.block IN ('test', 'production') AND s.day_idx BETWEEN o.origin - 1 AND o.origin) THEN 100.0 ELSE v END AS sv FROM search_days s) WINDOW w AS (PARTITION BY category ORDER BY day_idx RANGE BETWEEN 4 PRECEDING AND CURRENT ROW))""",
+SPIKE = """SELECT category, day_idx, ROUND(m5, 6) AS search_o, ROUND(s5, 6) AS spiked FROM (SELECT category, day_idx, MEDIAN(v) OVER w AS m5, MEDIAN(sv) OVER w AS s5 FROM (SELECT s.*, CASE WHEN category = 'view' AND EXISTS (
+  SELECT 1 FROM layout o WHERE o.block IN ('test', 'production') AND s.day_idx BETWEEN o.origin - 1 AND o.origin) THEN 100.0 ELSE v END AS sv FROM search_days s) WINDOW w AS (PARTITION BY category ORDER BY day_idx RANGE BETWEEN 4 PRECEDING AND CURRENT ROW))"""
+add("search_spike", SPIKE,
+    BOUNDS, LAYOUT, search("(SELECT n - 30 FROM bounds)", "(SELECT n FROM bounds)"))
+
+add("search_spike_shift", f"""SELECT category, ROUND(shift, 6) AS shift, shift < 0.05 AS passed FROM (SELECT category, SUM(ABS(spiked - search_o)) / GREATEST(SUM(search_o), 1e-9) AS shift FROM ({SPIKE}) GROUP BY 1)""",
     BOUNDS, LAYOUT, search("(SELECT n - 30 FROM bounds)", "(SELECT n FROM bounds)"))
 
 # ------------------------------------------------------------- decisions
