@@ -36,7 +36,9 @@ by_value(__name__)
 SHINGLE, SEED, RADIUS = 3, 42, 2
 SHARD = 4_096
 SAMPLE_A_SHARD, SAMPLE_LEAST, SAMPLE_MOST = 32, 4_096, 1 << 20
-BLOCK, VANTAGES, NO_PROGRESS = 384, 6, 0.9
+BLOCK, VANTAGES = 384, 6
+#: A split must leave at most these shares of the points: in the larger child, and in both with their overlap.
+LARGER_MOST, BOTH_MOST = 0.85, 1.4
 VOTE_ROWS = 1 << 15
 
 
@@ -61,7 +63,7 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(text: pa.Array) -> pa.Array:
-    values = np.array([fingerprint(t or b"") for t in text.cast(pa.binary()).to_pylist()], np.uint64)
+    values = np.array([fingerprint(t.as_py() or b"") for t in text.cast(pa.binary())], np.uint64)  # one text at a time
     return pa.array(values.view(np.int64))
 
 
@@ -78,8 +80,8 @@ class Tree(NamedTuple):
     close: tuple[int, ...]  # shards that no vantage point could part
 
 
-def best_split(f: np.ndarray, tries: int) -> tuple[int, int, float] | None:
-    """(vantage, radius, share of the larger child) with the least sum of squared child sizes; None without a choice."""
+def best_split(f: np.ndarray, tries: int) -> tuple[int, int] | None:
+    """(vantage, radius) with the least sum of squared child sizes; None if it would not part the points well enough."""
     best, n = None, len(f)
     for k in range(tries):
         v = f[(k * 2654435761 + n // 3) % n]
@@ -89,8 +91,9 @@ def best_split(f: np.ndarray, tries: int) -> tuple[int, int, float] | None:
         cost = inside ** 2 + outside ** 2
         r = int(np.argmin(cost))
         if best is None or cost[r] < best[3]:
-            best = (int(v), r, float(max(inside[r], outside[r]) / n), float(cost[r]))
-    return best[:3] if best else None
+            good = max(inside[r], outside[r]) <= LARGER_MOST * n and inside[r] + outside[r] <= BOTH_MOST * n
+            best = (int(v), r, bool(good), float(cost[r]))
+    return best[:2] if best and best[2] else None
 
 
 def parts(f: np.ndarray, vantage: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,14 +110,14 @@ def build_tree(sample: np.ndarray, most: int) -> Tree:
     def grow(f: np.ndarray) -> int:
         nonlocal shards
         split = best_split(f, VANTAGES) if len(f) > most else None
-        if split is None or split[2] > NO_PROGRESS:
-            if split is not None:
+        if split is None:
+            if len(f) > most:
                 close.append(shards)
             shards += 1
             return -shards
         at = len(nodes)
         nodes.append(None)
-        inside, outside = parts(f, *split[:2])
+        inside, outside = parts(f, *split)
         nodes[at] = Node(split[0], split[1], grow(f[inside]), grow(f[outside]))
         return at
 
@@ -187,13 +190,13 @@ def shard_links(f: np.ndarray) -> np.ndarray:
             a.append(idx[i])
             b.append(idx[j])
             continue
-        split = best_split(x, 3)
-        if split[2] > NO_PROGRESS:
+        split = best_split(x, VANTAGES)
+        if split is None:
             i, j = midpoint_links(x)
             a.append(idx[i])
             b.append(idx[j])
             continue
-        inside, outside = parts(x, *split[:2])
+        inside, outside = parts(x, *split)
         todo += [idx[inside], idx[outside]]
     return roots(len(f), np.concatenate(a), np.concatenate(b))
 
