@@ -289,7 +289,12 @@ def components(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row of the least doc_id stays."""
-    head = _assigned(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "content").agg(F.count("*").alias("n"))
+    return heads(docs, _assigned(docs))
+
+
+def heads(docs: DataFrame, assigned: DataFrame) -> DataFrame:
+    """The row of the least doc_id of each component; ``assigned`` has doc_id, content, root, component_id of each row."""
+    head = assigned.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "content").agg(F.count("*").alias("n"))
     head = cut(head.groupBy("root", "doc_id").agg(F.min("content").alias("content"), F.min_by("n", "content").alias("n")))
     head = head.select(F.col("doc_id").alias("head_id"), F.col("content").alias("head_content"), F.col("n").alias("head_n")).distinct()
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("row_content"))
