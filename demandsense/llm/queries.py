@@ -6,9 +6,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from demandsense.llm import binpack, bpe, chat, decontaminate, fixity, pii, quality_rules, secret_scan, simhash, url_filter
+from demandsense.llm import (best_positions, binpack, bpe, chat, decontaminate, fixity, piece_table, pii, quality_rules, secret_scan, simhash, url_filter,
+                             word_table)
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
+TOKENIZER_FILE = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,18 @@ def op10_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpack.shard_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_table.fim_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table.code_report(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_FILE))
+
+
+def op13_best_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_positions.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secret_scan, op2_byte_bpe, op3_simhash_vp_tree, op4_decontamination, op5_quality_rules, op6_chat_format, op7_personal_data, op8_url_filter,
-    op9_warc_fixity, op10_vector_bin_packing)}
+    op9_warc_fixity, op10_vector_bin_packing, op11_fill_in_middle, op12_word_table_bpe, op13_best_positions)}

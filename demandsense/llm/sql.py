@@ -2,7 +2,7 @@
 
 Positions of matches: ``regexp_extract_all`` gives the matches, ``string_split_regex`` what lies between, and a running
 sum of their lengths the code points.  Queries with a trained model, an iterative search or a hash that DuckDB lacks
-(2, 3, 4, 5, 7, 10) have none and are tested against brute force.
+(2, 3, 4, 5, 7, 10, 12) have none and are tested against brute force.
 """
 from __future__ import annotations
 
@@ -109,4 +109,32 @@ SELECT n.file, records, a4.digest AS first_root, b4.digest AS second_root, coale
 FROM n JOIN a4 ON a4.file = n.file LEFT JOIN b4 ON b4.file = n.file LEFT JOIN bad ON bad.file = n.file"""
 
 
-SQL: dict[str, str] = {"op1_secret_scan": _op1(), "op6_chat_format": _op6(), "op8_url_filter": _op8(), "op9_warc_fixity": _op9()}
+def _op11() -> str:
+    return """WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (SELECT *, left(t, lo) AS prefix, substr(t, lo + 1, hi - lo) AS middle, substr(t, hi + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
+
+def _op13() -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    lowered = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH asked AS MATERIALIZED (SELECT DISTINCT item_id, text FROM benchmark),
+want AS MATERIALIZED (SELECT DISTINCT item_id, text, unnest(regexp_extract_all({lowered.format("text")}, '{term}')) AS term FROM asked),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lowered.format("text")}, '{term}') AS terms FROM documents WHERE text IS NOT NULL),
+c AS MATERIALIZED (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+o AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term),
+w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM o GROUP BY term) CROSS JOIN c),
+m AS MATERIALIZED (SELECT r, doc_id, 50 + ((50 * len(terms)::BIGINT * docs) // total) AS m FROM d CROSS JOIN c WHERE len(terms) > 0),
+s AS (SELECT q.item_id, q.text, m.r, m.doc_id, sum(w.w * ((1000000000 * o.tf) // (1000 * o.tf + 20 * m.m)))::BIGINT AS score
+  FROM want q JOIN o ON o.term = q.term JOIN w ON w.term = o.term JOIN m ON m.r = o.r GROUP BY q.item_id, q.text, m.r, m.doc_id),
+k AS (SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50"""
+
+
+SQL: dict[str, str] = {"op1_secret_scan": _op1(), "op6_chat_format": _op6(), "op8_url_filter": _op8(), "op9_warc_fixity": _op9(),
+                       "op11_fill_in_middle": _op11(), "op13_best_positions": _op13()}
