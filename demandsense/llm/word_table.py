@@ -269,10 +269,10 @@ def decoded(rows: DataFrame, path: str, keys: Sequence[str] = ("doc_id",), secti
     spark = rows.sparkSession
     left = cut(rows.select(*keys, "ids").withColumn("section", F.pmod(F.xxhash64("ids"), F.lit(sections))))
     used = left.select("section", F.explode("ids").alias("id")).distinct()
-    right = used.join(F.broadcast(pieces(spark, path)), "id").select("section", F.col("id").alias("number"), "piece")
+    right = used.join(F.broadcast(pieces(spark, path)), "id").select(F.col("section").alias("part"), F.col("id").alias("number"), "piece")
     out = T.StructType(rows.select(*keys).schema.fields + [T.StructField("decoded", T.StringType())])
     run = _spelling(list(keys), pa.schema([pa.field(f.name, _arrow(f.dataType)) for f in out.fields]))
-    return left.groupBy("section").cogroup(right.groupBy("section")).applyInArrow(run, out)
+    return left.groupBy("section").cogroup(right.groupBy("part")).applyInArrow(run, out)
 
 
 def _digest(ids: list[int], data: bytes) -> dict:
