@@ -152,10 +152,10 @@ def search(shard: Shard, lists: np.ndarray, place: np.ndarray, ids: np.ndarray,
 
 def groups_of(items: Sequence[np.ndarray]) -> list[list[int]]:
     """Items in groups of about ``GROUP`` terms."""
-    out: list[list[int]] = []
-    held = GROUP
+    out: list[list[int]] = [[]]
+    held = 0
     for k, lists in enumerate(items):
-        if held + len(lists) > GROUP:
+        if out[-1] and held + len(lists) > GROUP:
             out.append([])
             held = 0
         out[-1].append(k)
@@ -179,7 +179,7 @@ def _ranking(shared, schema: pa.Schema, k: int):
             shard = Shard(term, doc, impacts(weight[term], tf, n[doc], docs, total), len(weight), table.num_rows)
             void = table.column(0).is_null().to_numpy()
             ids = table.column(0).fill_null(0).to_numpy()
-            for group in groups:
+            for group in filter(None, groups):
                 lists = np.unique(np.concatenate([items[i] for i in group]))
                 place = shard.places(lists)
                 for i in group:
