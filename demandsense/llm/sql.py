@@ -22,14 +22,25 @@ def _windows(width: int) -> str:
     return f"list_transform(range(1, len(c) - {width} + 2), lambda i: list_aggregate(c[i:i + {width - 1}], 'entropy'))"
 
 
-def _entropy(source: str, kind: str, rank: int, pattern: str, width: int, bits: float, fold: str, but: str) -> str:
-    """Runs of a class, cut to the windows of high entropy."""
-    allowed = ("^[A-Za-z]?[a-z]+$|^[A-Z]+$|^[0-9]+$|^([A-Za-z]+[/_-]+)+[A-Za-z]*$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|"
-               "(?i:example|sample|placeholder|changeme|your[_-]|0123456789|abcdefgh)")
+# Repeated characters, spelled out (no back references here), and placeholders.
+_MASKED = ("|".join(("\\" + x if x in "+/=-" else x) + "{8,}" for x in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-")
+           + "|(?i:example|sample|placeholder|changeme|your[_-]|0123456789|abcdefgh)")
+
+
+def _parts(source: str, pattern: str, kind: str, rank: int, but: str) -> str:
+    """What the masked parts leave of the runs that are worth a look."""
+    allowed = "^[A-Za-z]?[a-z]+$|^[A-Z]+$|^[0-9]+$|^([A-Za-z]+[/_-]+)+[A-Za-z]*$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+    return f"""SELECT doc_id, s + coalesce(list_sum(list_transform(g[1:i - 1], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s, kind, rank, g[i] AS value FROM (
+  SELECT *, unnest(range(1, len(g) + 1)) AS i FROM (SELECT *, regexp_extract_all(value, '{_MASKED}') AS m, string_split_regex(value, '{_MASKED}') AS g FROM ({_spans(source, pattern, kind, rank)})
+    WHERE NOT regexp_matches(value, '{allowed}') {but}))"""
+
+
+def _entropy(source: str, width: int, bits: float, fold: str) -> str:
+    """Parts of a class, cut to the windows of high entropy."""
     return f"""SELECT doc_id, s + list_min(good) - 1 AS s, s + list_max(good) - 1 + {width} AS e, kind, rank, value FROM (
   SELECT *, list_filter(range(1, len(h) + 1), lambda i: h[i] >= {bits}) AS good FROM (SELECT *, {_windows(width)} AS h FROM (
-    SELECT *, string_split({fold}, '') AS c FROM ({_spans(source, pattern, kind, rank)}) WHERE length(value) >= {width} AND NOT regexp_matches(value, '{allowed}') {but}
-      AND NOT list_bool_or(list_transform(range(1, length(value) - 6), lambda i: value[i:i + 7] = repeat(value[i], 8))))))
+    SELECT *, string_split({fold}, '') AS c FROM {source} r WHERE length(value) >= {width}
+      AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s <= r.s AND b.e >= r.s + length(r.value)))))
 WHERE len(good) > 0"""
 
 
@@ -37,16 +48,14 @@ def _op1() -> str:
     base = "\nUNION ALL ".join([f"SELECT doc_id, s, e, kind, rank, value FROM ({_spans('t', _ASSIGN, 'assign', 0)}) WHERE length(regexp_extract(value, '{_ASSIGN}', 2)) >= 6",
                                 f"SELECT * FROM ({_spans('t', 'AKIA[A-Z0-9]+', 'access', 1)}) WHERE length(value) >= 20",
                                 f"SELECT * FROM ({_spans('t', '[0-9a-f]{24,}', 'hex', 2)}) WHERE length(value) >= 24"])
-    hexes = _entropy("t", "entropy_hex", 3, "[0-9a-fA-F]{20,}", 20, 3.0, "lower(value)", "")
-    mixed = _entropy("t", "entropy_base64", 4, "[A-Za-z0-9+/_=-]{24,}", 24, 4.0, "value", "AND NOT regexp_matches(value, '^[0-9a-fA-F]+$')")
-    runs = "(SELECT r.* FROM ({}) r)"
+    hexes = _parts("t", "[0-9a-fA-F]{20,}", "entropy_hex", 3, "")
+    mixed = _parts("t", "[A-Za-z0-9+/_=-]{24,}", "entropy_base64", 4, "AND NOT regexp_matches(value, '^[0-9a-fA-F]+$')")
     told = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e), '')"
     return f"""WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS MATERIALIZED ({base}),
-runs AS MATERIALIZED ({_spans('t', '[0-9a-fA-F]{20,}', 'entropy_hex', 3)} UNION ALL {_spans('t', '[A-Za-z0-9+/_=-]{24,}', 'entropy_base64', 4)}),
-raw AS MATERIALIZED ({runs.format(hexes)} UNION ALL {runs.format(mixed)}),
-added AS MATERIALIZED (SELECT a.* FROM raw a JOIN runs r ON r.doc_id = a.doc_id AND r.kind = a.kind AND r.s <= a.s AND r.e >= a.e
-  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.s <= r.s AND b.e >= r.e)),
+hexes AS MATERIALIZED ({hexes}),
+mixed AS MATERIALIZED ({mixed}),
+added AS MATERIALIZED ({_entropy("hexes", 20, 3.0, "lower(value)")} UNION ALL {_entropy("mixed", 24, 4.0, "value")}),
 b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {told} AS told FROM base GROUP BY doc_id),
 a AS (SELECT doc_id, count(*) FILTER (rank > 2) AS n_entropy, {told} AS told FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.told, '')) AS base_sha256,

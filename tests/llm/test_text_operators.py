@@ -1,6 +1,7 @@
 """Secret scan, personal data, quality rules, token ids: against brute force, on awkward texts."""
 import hashlib
 import random
+import re
 
 import brute
 import numpy as np
@@ -8,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from demandsense.llm import bpe, pii, quality_rules, secret_scan
+from demandsense.llm import bpe, chat, pii, quality_rules, secret_scan, url_filter
 
 RNG = random.Random(5)
 MIXED = "".join(RNG.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(60))
@@ -46,6 +47,35 @@ def test_entropy_by_counts_equals_entropy_by_definition(spark):
         assert (brute.hull(r.v, c.window, c.bits) or (-1, -1)) == (r.h.lo, r.h.hi)
 
 
+def test_masked_parts_cut_a_run_and_leave_the_rest(documents):
+    key = "AbC9xYz0PqR7sTu5VwX3Lm2Kj8Hg6Fd"
+    texts = ["/example/" + key, key + "A" * 8, key + "=" * 30 + key[::-1], "Example" + "sample" * 5, key + "EXAMPLE" + "z" * 40 + key, "A" * 12 + key + "B" * 12]
+    for r in secret_scan.secret_report(documents(list(enumerate(texts)))).collect():
+        t = texts[r.doc_id]
+        want = [(m.start(), m.start() + len(k)) for k in (key, key[::-1]) for m in re.finditer(k, t)]
+        found = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+        assert len(found) == len(want) and all(any(a - 1 <= x and y <= b + 1 and y - x >= 24 for a, b in want) for x, y in found), (t, found)
+
+
+def test_texts_of_100_000_characters_end(documents, spark):
+    n, rng = 100_000, random.Random(8)
+    mixed = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    texts = ["ab-" * (n // 3), "/usr/lib" * (n // 8), "ab_CD/" * (n // 6), mixed, "deadbeef" * (n // 8), "aZ9" + "A" * n, "a." * (n // 2) + "@b.cd", "a@" + "b." * (n // 2) + "c", "1-" * (n // 2), "1." * (n // 2), "+1" + " (2)" * (n // 4),
+             "token=" * (n // 6), "AKIA" * (n // 4), "x@y." * (n // 4), "(at)" * (n // 4), "http://" + "a/" * (n // 2), "<" * n, "[INST]" * (n // 6), "Dr. " * (n // 4), "DE12 3456 " * (n // 10), "é" * n]
+    rows = documents(list(enumerate(texts)))
+    for r in secret_scan.secret_report(rows).collect():
+        assert r.base_sha256 == brute.digest(brute.secrets(texts[r.doc_id])), r.doc_id
+        assert (r.n_entropy > 0) == (texts[r.doc_id] == mixed)
+    for r in pii.personal_report(rows).collect():
+        assert r.base_sha256 == brute.digest(brute.personal(texts[r.doc_id])), r.doc_id
+    turns = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    for r in chat.chat_report(turns).collect():
+        assert r.turns_sha256 == hashlib.sha256(f"user\n{texts[r.conv_id]}\n".encode()).hexdigest()
+    pages = spark.createDataFrame([(i, "http://h.net/" + t, "") for i, t in enumerate(texts)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judged(pages, pages).collect()}
+    assert len(got) == len(texts) and got[0].path == "/" + texts[0] and got[0].listed
+
+
 def test_personal_data(rows):
     for r in pii.personal_report(rows).collect():
         want = brute.personal((TEXTS[4] if r.doc_id is None else TEXTS[r.doc_id]) or "")
