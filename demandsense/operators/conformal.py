@@ -32,7 +32,7 @@ def finite_sample_rank(n: Column, alpha: float) -> Column:
 def _adjustment(scored: DataFrame, by: Sequence[str], alpha: float) -> DataFrame:
     def wanted(n):
         return F.array(F.struct(F.lit(0).alias("tag"), finite_sample_rank(n, alpha).alias("rank")))
-    return order_statistics(scored, by, "score", [1 - alpha], wanted).drop("tag").withColumnRenamed("stat", "adjustment")
+    return order_statistics(scored, by, "score", wanted).drop("tag").withColumnRenamed("stat", "adjustment")
 
 
 def fit(rows: DataFrame, alpha: float = ALPHA, min_group: int = MIN_GROUP, lo: str = "p10", hi: str = "p90") -> DataFrame:

@@ -1,10 +1,11 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of groups of any size, by rank refinement.
 
-The built-in exact percentile keeps every distinct value of a group in one task.  Here a
-mergeable sketch first brackets each wanted rank; one aggregation then counts the rows
-below each bracket and keeps only the values inside it, so what reaches one task is a
-sliver of a large group.  Ranks are resolved from exact counts: the sketch only decides how much
-is kept, never the answer.
+The built-in exact percentile keeps every distinct value of a group in one task.  Here a value becomes a
+whole number that sorts alike, and a wanted rank is followed through its leading bits: one
+aggregation counts the rows of each first piece, the piece that holds the rank is kept, the next round counts
+the second pieces within it, and the last round ends at a single value.  Each round is one pass with map-side
+counts for all groups and ranks together; what reaches one task is a count for each of at most ``2 ** STEP``
+pieces, whatever the size of the group and however many of its values are equal.  All groups go the same way.
 """
 from __future__ import annotations
 
@@ -13,47 +14,68 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000     # sketch accuracy; groups up to this size are kept whole
+from demandsense.functions.lineage import cut
+
+STEP = 22              # bits a round; 64 bits take three rounds
+FEW = 100_000          # wanted ranks of all groups that are small enough to broadcast
 _KEY = "__all"
+# The parts of a double.
+_FRACTION, _BIAS, _TOP = 52, 1023, 2047
+
+
+def sortable(v: Column) -> Column:
+    """A whole number for each double, in the order of the values; -0.0 and 0.0 are one, NaN is the last."""
+    size = F.abs(v)
+    near = F.greatest(F.least(F.floor(F.log2(size)), F.lit(_BIAS)), F.lit(1 - _BIAS))
+    two = lambda e: F.pow(F.lit(2.0), e)
+    power = near + F.when(two(near) > size, -1).when((near < _BIAS) & (two(near + 1) <= size), 1).otherwise(0)
+    whole = (power + _BIAS) * F.lit(1 << _FRACTION) + ((size / two(power) - 1) * float(1 << _FRACTION)).cast("long")
+    code = (F.when(F.isnan(v), F.lit((_TOP << _FRACTION) + 1)).when(size == float("inf"), F.lit(_TOP << _FRACTION))
+            .when(size < 2.0 ** (1 - _BIAS), (size / 2.0 ** (1 - _BIAS - _FRACTION)).cast("long")).otherwise(whole))
+    return F.when(v < 0, -code).otherwise(code)
+
 
+def value_of(code: Column) -> Column:
+    size = F.abs(code)
+    power, part = F.shiftright(size, _FRACTION), size.bitwiseAND(F.lit((1 << _FRACTION) - 1)).cast("double")
+    value = (F.when(power == 0, part * 2.0 ** (1 - _BIAS - _FRACTION)).when((power == _TOP) & (part > 0), F.lit(float("nan"))).when(power == _TOP, F.lit(float("inf")))
+             .otherwise((1 + part / float(1 << _FRACTION)) * F.pow(F.lit(2.0), power - _BIAS)))
+    return F.when(code < 0, -value).otherwise(value)
 
-def order_statistics(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                     ranks: Callable[[Column], Column]) -> DataFrame:
+
+def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: Callable[[Column], Column]) -> DataFrame:
     """(by..., n, tag, stat): the value at each wanted 1-based rank of each group.
 
-    ``ranks(n)`` gives array<struct<tag, rank>>; every rank must lie near one of
-    ``probs`` (within 2 positions of prob * n).  Rows with a missing value are left out.
+    ``ranks(n)`` gives array<struct<tag, rank>>.  Rows with a missing value are left out; a group
+    without any row has no result.
     """
     keys = list(by) or [_KEY]
     base = df if by else df.withColumn(_KEY, F.lit(0))
-    base = base.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
-    pad = 4.0 / ACCURACY
-    edges = [min(max(p + s * pad, 0.0), 1.0) for p in probs for s in (-1, 1)]
-    sketch = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("__v", F.array(*[F.lit(e) for e in edges]), ACCURACY).alias("__edges"))
-    small = F.col("n") <= ACCURACY
-    sketch = sketch.select(*keys, "n", F.when(~small, F.col("__edges")).alias("__edges"))
-    base = base.join(F.broadcast(sketch) if not by else sketch, keys)
-
-    inside, gap = F.lit(False), F.lit(0)
-    for i in range(len(probs)):
-        lo, hi = F.col("__edges")[2 * i], F.col("__edges")[2 * i + 1]
-        lo_open = F.lit(edges[2 * i] <= 0.0)
-        hi_open = F.lit(edges[2 * i + 1] >= 1.0)
-        inside = inside | ((lo_open | (F.col("__v") >= lo)) & (hi_open | (F.col("__v") <= hi)))
-        gap = gap + (F.col("__v") > hi).cast("int")
-    kept = F.coalesce(inside, F.lit(True))
-    counted = (base.groupBy(*keys, "n", F.when(kept, F.col("__v")).alias("__x"),
-                            F.when(~kept, gap).alias("__gap"))
-               .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__at")))
-    w = Window.partitionBy(*keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("__hi", F.sum("__c").over(w)).withColumn("__lo", F.col("__hi") - F.col("__c"))
+    base = cut(base.where(F.col(value).isNotNull()).select(*keys, sortable(F.col(value).cast("double")).alias("__v")))
+
+    def within(counts: DataFrame, group: list[str]) -> DataFrame:
+        """The rows below and up to each piece of its group."""
+        w = Window.partitionBy(*group).orderBy("__next")
+        return counts.withColumn("__hi", F.sum("__c").over(w)).withColumn("__lo", F.col("__hi") - F.col("__c"))
+
+    shift = 2 * STEP
+    counts = base.groupBy(*keys, F.shiftright("__v", shift).alias("__next")).agg(F.count(F.lit(1)).alias("__c"))
+    first = within(counts, keys).withColumn("n", F.sum("__c").over(Window.partitionBy(*keys)))
     hit = F.filter(ranks(F.col("n")), lambda r: (r["rank"] > F.col("__lo")) & (r["rank"] <= F.col("__hi")))
-    out = ranked.select(*keys, "n", "__x", F.explode(hit).alias("__r"))
-    stat = F.when(F.col("__x").isNull(), F.raise_error(F.lit("order statistic outside its bracket")).cast("double")) \
-            .otherwise(F.col("__x"))
-    out = out.select(*keys, "n", F.col("__r")["tag"].alias("tag"), stat.alias("stat"))
+    held = first.select(*keys, "n", F.explode(hit).alias("__r"), F.col("__next").alias("__piece"), "__lo").select(
+        *keys, "n", F.col("__r")["tag"].alias("tag"), "__piece", (F.col("__r")["rank"] - F.col("__lo")).alias("__rank"))
+    held = cut(held)
+    small = held.count() <= FEW
+    while shift:
+        wanted = held.select(*keys, "__piece").distinct()
+        rows = base.withColumn("__piece", F.shiftright("__v", shift)).join(F.broadcast(wanted) if small else wanted, [*keys, "__piece"])
+        shift -= STEP
+        counts = rows.groupBy(*keys, "__piece", F.shiftright("__v", shift).alias("__next")).agg(F.count(F.lit(1)).alias("__c"))
+        met = within(counts, [*keys, "__piece"]).join(F.broadcast(held) if small else held, [*keys, "__piece"])
+        held = met.where((F.col("__rank") > F.col("__lo")) & (F.col("__rank") <= F.col("__hi"))).select(
+            *keys, "n", "tag", F.col("__next").alias("__piece"), (F.col("__rank") - F.col("__lo")).alias("__rank"))
+        held = cut(held) if shift else held
+    out = held.select(*keys, "n", "tag", value_of(F.col("__piece")).alias("stat"))
     return out if by else out.drop(_KEY)
 
 
@@ -68,7 +90,7 @@ def group_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
             out.append(F.struct(F.lit(2 * i + 1).alias("tag"), F.least(below + 1, n).alias("rank")))
         return F.array(*out)
 
-    stats = order_statistics(df, by, value, probs, wanted)
+    stats = order_statistics(df, by, value, wanted)
     i = F.floor(F.col("tag") / 2).cast("int")
     pairs = stats.groupBy(*by, "n", i.alias("i")).agg(
         F.max(F.when(F.col("tag") % 2 == 0, F.col("stat"))).alias("lo"),

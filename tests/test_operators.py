@@ -3,6 +3,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,8 @@ from demandsense.functions import scores
 from demandsense.functions.counts import count_quantiles
 from demandsense.functions.smoothing import block_length, with_smoothed_level
 from demandsense.functions.text import escape_formula
-from demandsense.operators import coldstart, conformal, contracts, decisions, forecast, hierarchy, history, layout, metrics, monitor, panel, reconcile
+from demandsense.operators import (coldstart, conformal, contracts, decisions, forecast, hierarchy, history, layout, metrics, monitor, order_stats, panel,
+                                   reconcile)
 from demandsense.operators.order_stats import group_quantiles
 
 
@@ -132,16 +134,39 @@ def test_count_quantiles(spark):
         assert list(r["q"]) == [direct(r["m"], r["s"] ** 2, q) for q in (0.1, 0.5, 0.9)]
 
 
-def test_group_quantiles_large_skewed(spark):
+def test_doubles_as_sortable_numbers(spark):
+    rng = np.random.default_rng(1)
+    xs = [0.0, -0.0, 1.0, -1.0, 0.1, 5e-324, -5e-324, 2.0 ** -1022, 2.0 ** -1022 - 5e-324, 1.7976931348623157e308, -1.7976931348623157e308, math.inf, -math.inf, 2.0 ** 52 + 1, 1 - 2.0 ** -53, 1 + 2.0 ** -52]
+    xs += [float(s * 2.0 ** e) for e in range(-1074, 1024, 7) for s in (1, -1)] + (rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500)).tolist()
+    xs += [float(np.nextafter(2.0 ** e, side)) for e in range(-1021, 1023, 11) for side in (0.0, math.inf)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").withColumn("c", order_stats.sortable(F.col("x"))).withColumn("back", order_stats.value_of(F.col("c"))).collect()
+    assert all(r.back == r.x for r in got)
+    assert [r.x for r in sorted(got, key=lambda r: r.c)] == sorted(xs, key=lambda x: x) and len({r.c for r in got}) == len(set(xs))
+    nan = spark.createDataFrame([(math.nan,), (math.inf,)], "x double").select(order_stats.sortable(F.col("x")).alias("c")).collect()
+    assert nan[0].c > nan[1].c
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_group_quantiles_of_any_size(spark, monkeypatch, few):
+    """Groups around the old limit of 10,000 rows, of a million, and of a single value go the same way."""
+    monkeypatch.setattr(order_stats, "FEW", few)
     rng = np.random.default_rng(3)
-    big = np.concatenate([np.repeat(1.0, 15_000), rng.normal(size=25_000)])
-    small = rng.normal(size=37)
-    df = spark.createDataFrame([("big", float(x)) for x in big] + [("small", float(x)) for x in small] + [("small", None)], "g string, x double")
+    groups = {"one": rng.normal(size=1), "two": rng.normal(size=2), "below": rng.normal(size=9_999), "at": rng.normal(size=10_000), "above": rng.normal(size=10_001),
+              "ties": np.concatenate([np.repeat(1.0, 15_000), rng.normal(size=25_000)]), "same": np.repeat(-2.5, 20_000), "large": rng.lognormal(size=1_000_000) * rng.choice([-1, 1], 1_000_000),
+              "near": 1 + np.arange(12_000) * 2.0 ** -50, "mixed": np.concatenate([[-1e300, 1e300, 0.0, 5e-324], rng.normal(size=30)])}
+    table = pa.table({"g": np.repeat(list(groups), [len(x) for x in groups.values()]), "x": np.concatenate(list(groups.values()))})
+    df = spark.createDataFrame(table).unionByName(spark.createDataFrame([("void", None), ("one", None)], "g string, x double"))
     probs = [0.0, 0.1, 0.5, 0.9, 1.0]
-    got = {(r["g"], r["prob"]): r["q"] for r in group_quantiles(df, ["g"], "x", probs).collect()}
-    for name, xs in (("big", big), ("small", small)):
+    got = {(r["g"], r["prob"]): (r["q"], r["n"]) for r in group_quantiles(df, ["g"], "x", probs).collect()}
+    assert {g for g, _ in got} == set(groups)
+    for name, xs in groups.items():
         for p in probs:
-            assert got[name, p] == pytest.approx(float(np.quantile(xs, p)), rel=1e-12, abs=1e-12)
+            assert got[name, p][1] == len(xs)
+            assert got[name, p][0] == pytest.approx(float(np.quantile(xs, p)), rel=1e-12, abs=1e-12), (name, p)
+    whole = {r["prob"]: r["q"] for r in group_quantiles(df.where("g = 'ties'"), [], "x", probs).collect()}
+    assert whole == {p: got["ties", p][0] for p in probs}
+    assert group_quantiles(df.where("g = 'void'"), ["g"], "x", probs).count() == 0
+    assert group_quantiles(df.limit(0), [], "x", probs).count() == 0
 
 
 def test_conformal_coverage(spark):
