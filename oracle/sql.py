@@ -30,19 +30,19 @@ SOLD = """sold AS (SELECT l.*, p.p_type AS category, p.p_type || '|' || p.p_bran
   JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)"""
 BOUNDS = """bounds AS (SELECT MIN(CAST(l_shipdate AS DATE)) AS d0, MAX(CAST(l_shipdate AS DATE)) - MIN(CAST(l_shipdate AS DATE)) + 1 AS n FROM lineitem)"""
 MEASURES = """SUM(l_quantity) AS y, MAX(l_discount) AS disc, BOOL_OR(l_returnflag = 'R' AND l_discount >= 0.09) AS stockout"""
-DAILY = f"""daily AS (SELECT store_id || '|' || category AS series_id, store_id, region, category, date, date - (SELECT d0 FROM bounds) AS day_idx, {MEASURES}
+DAILY = f"""daily AS MATERIALIZED (SELECT store_id || '|' || category AS series_id, store_id, region, category, date, date - (SELECT d0 FROM bounds) AS day_idx, {MEASURES}
   FROM sold GROUP BY ALL)"""
 DAILY_ITEM = f"""daily_item AS (SELECT store_id || '|' || item_id AS series_id, store_id, region, category, item_id, date,
   date - (SELECT d0 FROM bounds) AS day_idx, {MEASURES} FROM sold GROUP BY ALL)"""
 DAILY_STORE = f"""daily_store AS (SELECT store_id AS series_id, store_id, region, date, date - (SELECT d0 FROM bounds) AS day_idx, {MEASURES} FROM sold GROUP BY ALL)"""
-SERIES = """series AS (SELECT series_id, store_id, region, category, MIN(day_idx) AS launch_idx FROM daily GROUP BY ALL)"""
-PANEL = """panel AS (SELECT s.series_id, s.store_id, s.region, s.category, s.launch_idx, CAST(g.day_idx AS INTEGER) AS day_idx, COALESCE(d.y, 0.0) AS y,
+SERIES = """series AS MATERIALIZED (SELECT series_id, store_id, region, category, MIN(day_idx) AS launch_idx FROM daily GROUP BY ALL)"""
+PANEL = """panel AS MATERIALIZED (SELECT s.series_id, s.store_id, s.region, s.category, s.launch_idx, s.day_idx, COALESCE(d.y, 0.0) AS y,
   COALESCE(d.disc, 0.0) AS disc, COALESCE(d.stockout, FALSE) AS stockout, CASE WHEN NOT COALESCE(d.stockout, FALSE) THEN COALESCE(d.y, 0.0) END AS ym
-  FROM series s JOIN (SELECT unnest(range(0, n)) AS day_idx FROM bounds) g ON g.day_idx >= s.launch_idx
-  LEFT JOIN daily d ON d.series_id = s.series_id AND d.day_idx = g.day_idx)"""
+  FROM (SELECT *, CAST(unnest(range(launch_idx, (SELECT n FROM bounds))) AS INTEGER) AS day_idx FROM series) s
+  LEFT JOIN daily d ON d.series_id = s.series_id AND d.day_idx = s.day_idx)"""
 BASE = (SOLD, BOUNDS, DAILY, SERIES, PANEL)
-LAYOUT = """layout AS (SELECT 'test' AS block, n - 15 - 7 * i AS origin FROM bounds, range(0, 8) t(i) UNION ALL SELECT 'cal', n - 85 - 7 * i FROM bounds, range(0, 8) t(i)
-  UNION ALL SELECT 'train', n - 155 - 7 * i FROM bounds, range(0, 78) t(i) WHERE n - 155 - 7 * i >= 60 UNION ALL SELECT 'production', n - 1 FROM bounds)"""
+LAYOUT = """layout AS MATERIALIZED (SELECT 'test' AS block, n - 15 - 7 * unnest(range(0, 8)) AS origin FROM bounds UNION ALL SELECT 'cal', n - 85 - 7 * unnest(range(0, 8)) FROM bounds
+  UNION ALL SELECT block, origin FROM (SELECT 'train' AS block, n - 155 - 7 * unnest(range(0, 78)) AS origin FROM bounds) WHERE origin >= 60 UNION ALL SELECT 'production', n - 1 FROM bounds)"""
 TRAIN_END = "(SELECT MAX(origin) + 14 FROM layout WHERE block = 'train')"
 
 
@@ -50,7 +50,7 @@ def roll(source: str) -> str:
     """Range-frame statistics per series and day of ``source`` (ym, y, day_idx)."""
     def w(d):
         return f"OVER (PARTITION BY series_id ORDER BY day_idx RANGE BETWEEN {d - 1} PRECEDING AND CURRENT ROW)"
-    return f"""rolled AS (SELECT *, AVG(ym) {w(7)} AS mean7, AVG(ym) {w(28)} AS mean28, AVG(ym) {w(56)} AS mean56, STDDEV_SAMP(ym) {w(28)} AS std28,
+    return f"""rolled AS MATERIALIZED (SELECT *, AVG(ym) {w(7)} AS mean7, AVG(ym) {w(28)} AS mean28, AVG(ym) {w(56)} AS mean56, STDDEV_SAMP(ym) {w(28)} AS std28,
   AVG(CASE WHEN ym = 0 THEN 1.0 WHEN ym IS NOT NULL THEN 0.0 END) {w(28)} AS zero28, ym AS last_obs,
   LEAST(COALESCE(day_idx - MAX(CASE WHEN y > 0 THEN day_idx END) OVER (PARTITION BY series_id ORDER BY day_idx), 90), 90) AS days_since_sale FROM {source})"""
 
@@ -60,30 +60,30 @@ STATES = """counted AS (SELECT series_id, day_idx, ym, COUNT(ym) OVER u AS n, CA
   WINDOW u AS (PARTITION BY series_id ORDER BY day_idx)),
 gaps AS (SELECT *, SUM(CASE WHEN ym IS NOT NULL THEN sold ELSE 0 END) OVER (PARTITION BY series_id ORDER BY day_idx) AS j,
   n - COALESCE(MAX(CASE WHEN ym > 0 THEN n END) OVER (PARTITION BY series_id ORDER BY day_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM counted),
-states AS (SELECT series_id, day_idx, n, j,
+states AS MATERIALIZED (SELECT series_id, day_idx, n, j,
   pow(0.9, n) * SUM(CASE WHEN ym IS NOT NULL THEN (CASE WHEN n = 1 THEN 1.0 ELSE 0.1 END) * ym * pow(0.9, -n) END) OVER u AS level,
   pow(0.9, j) * SUM(CASE WHEN ym > 0 THEN (CASE WHEN j = 1 THEN 1.0 ELSE 0.1 END) * ym * pow(0.9, -j) END) OVER u AS size,
   pow(0.9, j) * SUM(CASE WHEN ym > 0 THEN (CASE WHEN j = 1 THEN 1.0 ELSE 0.1 END) * gap * pow(0.9, -j) END) OVER u AS ival,
   pow(0.9, n) * SUM(CASE WHEN ym IS NOT NULL THEN (CASE WHEN n = 1 THEN 0.25 + 0.5 * sold ELSE 0.1 * sold END) * pow(0.9, -n) END) OVER u AS prob
   FROM gaps WINDOW u AS (PARTITION BY series_id ORDER BY day_idx)),
-models AS (SELECT series_id, day_idx, CASE WHEN n > 0 THEN level END AS level, CASE WHEN j > 0 THEN COALESCE(size / ival, 0.0) ELSE 0.0 END AS croston,
+models AS MATERIALIZED (SELECT series_id, day_idx, CASE WHEN n > 0 THEN level END AS level, CASE WHEN j > 0 THEN COALESCE(size / ival, 0.0) ELSE 0.0 END AS croston,
   CASE WHEN j > 0 THEN 0.95 * size / ival ELSE 0.0 END AS sba, CASE WHEN j > 0 THEN prob * size ELSE 0.0 END AS tsb FROM states)"""
-CLASSES = f"""sized AS (SELECT series_id, COUNT(ym) AS n_obs, COUNT(CASE WHEN ym > 0 THEN 1 END) AS n_sold, AVG(CASE WHEN ym > 0 THEN ym END) AS mu,
+CLASSES = f"""sized AS MATERIALIZED (SELECT series_id, COUNT(ym) AS n_obs, COUNT(CASE WHEN ym > 0 THEN 1 END) AS n_sold, AVG(CASE WHEN ym > 0 THEN ym END) AS mu,
   STDDEV_POP(CASE WHEN ym > 0 THEN ym END) AS sd FROM panel WHERE day_idx <= {TRAIN_END} GROUP BY series_id),
-classes AS (SELECT series_id, n_obs, n_sold, n_obs / NULLIF(n_sold, 0)::DOUBLE AS adi, CASE WHEN n_sold > 1 THEN pow(sd / mu, 2) ELSE 0.0 END AS cv2,
+classes AS MATERIALIZED (SELECT series_id, n_obs, n_sold, n_obs / NULLIF(n_sold, 0)::DOUBLE AS adi, CASE WHEN n_sold > 1 THEN pow(sd / mu, 2) ELSE 0.0 END AS cv2,
   CASE WHEN n_obs < 28 THEN 'new' WHEN n_sold > 0 AND n_obs / n_sold::DOUBLE < 1.32 THEN (CASE WHEN n_sold <= 1 OR pow(sd / mu, 2) < 0.49 THEN 'smooth' ELSE 'erratic' END)
     ELSE (CASE WHEN n_sold <= 1 OR pow(sd / mu, 2) < 0.49 THEN 'intermittent' ELSE 'lumpy' END) END AS demand_class FROM sized)"""
-SCALE = f"""diffs AS (SELECT a.series_id, AVG(ABS(a.ym - b.ym)) AS m FROM panel a JOIN panel b ON a.series_id = b.series_id AND a.day_idx = b.day_idx + 7
+SCALE = f"""diffs AS MATERIALIZED (SELECT a.series_id, AVG(ABS(a.ym - b.ym)) AS m FROM panel a JOIN panel b ON a.series_id = b.series_id AND a.day_idx = b.day_idx + 7
   WHERE a.day_idx <= {TRAIN_END} GROUP BY a.series_id),
-scale AS (SELECT s.series_id, COALESCE(CASE WHEN m > 0 THEN m END, (SELECT MEDIAN(m) FROM diffs WHERE m > 0), 1.0) AS mase_scale
+scale AS MATERIALIZED (SELECT s.series_id, COALESCE(CASE WHEN m > 0 THEN m END, (SELECT MEDIAN(m) FROM diffs WHERE m > 0), 1.0) AS mase_scale
   FROM (SELECT DISTINCT series_id FROM panel WHERE day_idx <= {TRAIN_END}) s LEFT JOIN diffs USING (series_id))"""
 # base forecasts of every block, row by row
-LAGS = """rows0 AS (SELECT p.series_id, p.store_id, p.region, p.category, p.launch_idx, o.block, o.origin, CAST(h.h AS INTEGER) AS h, o.origin + CAST(h.h AS INTEGER) AS day
-  FROM (SELECT DISTINCT series_id, store_id, region, category, launch_idx FROM series) p, layout o, range(1, 15) h(h) WHERE p.launch_idx <= o.origin + h.h),
-lag_days AS MATERIALIZED (SELECT series_id, origin, h, j.j, CAST(day - 7 * (CAST(CEIL(h / 7.0) AS INTEGER) + j.j) AS BIGINT) AS lag_day FROM rows0, range(0, 4) j(j)),
-lags AS (SELECT r.series_id, r.origin, r.h, AVG(p.ym) AS sdw_mean4, MAX(CASE WHEN r.j = 0 THEN p.ym END) AS lag1
-  FROM lag_days r JOIN panel p ON p.series_id = r.series_id AND p.day_idx = r.lag_day GROUP BY ALL)"""
-FORECASTS = """fc AS (SELECT r.*, k.mean7, k.mean28, k.mean56, k.std28, k.zero28, k.last_obs, k.days_since_sale, l.sdw_mean4, m.level, COALESCE(m.croston, 0.0) AS croston,
+LAGS = """rows0 AS MATERIALIZED (SELECT *, origin + h AS day FROM (SELECT p.series_id, p.store_id, p.region, p.category, p.launch_idx, o.block, o.origin, CAST(unnest(range(1, 15)) AS INTEGER) AS h
+  FROM series p CROSS JOIN layout o) WHERE launch_idx <= origin + h),
+lag_days AS MATERIALIZED (SELECT series_id, origin, h, j, CAST(day - 7 * (CAST(CEIL(h / 7.0) AS INTEGER) + j) AS INTEGER) AS lag_day FROM (SELECT *, unnest(range(0, 4)) AS j FROM rows0)),
+lags AS MATERIALIZED (SELECT r.series_id, r.origin, r.h, AVG(p.ym) AS sdw_mean4, MAX(CASE WHEN r.j = 0 THEN p.ym END) AS lag1
+  FROM lag_days r JOIN panel p ON p.series_id = r.series_id AND p.day_idx = r.lag_day GROUP BY r.series_id, r.origin, r.h)"""
+FORECASTS = """fc AS MATERIALIZED (SELECT r.*, k.mean7, k.mean28, k.mean56, k.std28, k.zero28, k.last_obs, k.days_since_sale, l.sdw_mean4, m.level, COALESCE(m.croston, 0.0) AS croston,
   COALESCE(m.sba, 0.0) AS sba, COALESCE(m.tsb, 0.0) AS tsb, c.demand_class, LEAST(r.day - r.launch_idx, 365) AS age, t.y, COALESCE(t.stockout, FALSE) AS censored,
   COALESCE(l.lag1, k.mean7, 0.0) AS b0,
   GREATEST(COALESCE(m.level * COALESCE(1 + 0.5 * (l.sdw_mean4 / NULLIF(k.mean28, 0) - 1), 1.0), 0.0), 0.0) AS b1
@@ -173,9 +173,9 @@ add("dense_grid", """SELECT s.series_id, CAST(g.d AS INTEGER) AS day_idx, d.y, C
 def promos(item: str) -> str:
     return f"""promos AS (SELECT {item} AS item_id, region, MIN(date) AS date_start, MIN(date) + 6 AS date_end, MAX(l_discount) AS discount,
   date_trunc('month', date) AS promo_ord FROM sold GROUP BY {item}, region, date_trunc('month', date)),
-promo_days AS (SELECT item_id, region, CAST(day_idx AS INTEGER) AS day_idx, arg_max(discount, promo_ord) AS disc FROM
+promo_days AS MATERIALIZED (SELECT item_id, region, CAST(day_idx AS INTEGER) AS day_idx, arg_max(discount, promo_ord) AS disc FROM
   (SELECT item_id, region, discount, promo_ord, unnest(range(date_start - d0, date_end - d0 + 1)) AS day_idx, n FROM promos, bounds) WHERE day_idx < n + {{extra}} GROUP BY ALL),
-post_days AS (SELECT item_id, region, CAST(e + j AS INTEGER) AS day_idx, CAST(MIN(j) AS INTEGER) AS post_promo FROM (SELECT item_id, region, date_end - d0 AS e, n, unnest(range(1, 5)) AS j FROM promos, bounds)
+post_days AS MATERIALIZED (SELECT item_id, region, CAST(e + j AS INTEGER) AS day_idx, CAST(MIN(j) AS INTEGER) AS post_promo FROM (SELECT item_id, region, date_end - d0 AS e, n, unnest(range(1, 5)) AS j FROM promos, bounds)
   WHERE e + j < n + {{extra}} AND (item_id, region, e + j) NOT IN (SELECT (item_id, region, day_idx) FROM promo_days WHERE disc > 0) GROUP BY ALL)"""
 
 
@@ -194,7 +194,7 @@ SELECT item_id, region, date_start, date_end, discount, promo_ord FROM walk WHER
 WEATHER = """weather AS (SELECT CAST(o_orderdate AS DATE) AS date, n_name AS city, floor(MAX(o_totalprice) / 10000.0) AS temp_max,
   CAST(COUNT(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS DOUBLE) AS rain_mm, MAX(CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice / 5000.0) END) AS humidity
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"""
-WEATHER_DAYS = """weather_days AS (SELECT date - d0 AS day_idx, city, temp_max, rain_mm, humidity FROM weather, bounds
+WEATHER_DAYS = """weather_days AS MATERIALIZED (SELECT date - d0 AS day_idx, city, temp_max, rain_mm, humidity FROM weather, bounds
   UNION ALL SELECT date - d0, '__all__', AVG(temp_max), AVG(rain_mm), AVG(humidity) FROM weather, bounds GROUP BY 1)"""
 add("weather_precedence", """SELECT day_idx, city, ROUND(temp_max, 6) AS temp_max, ROUND(rain_mm, 6) AS rain_mm FROM (SELECT date - d0 AS day_idx, city, temp_max, rain_mm FROM merged, bounds
   UNION ALL SELECT date - d0, '__all__', AVG(temp_max), AVG(rain_mm) FROM merged, bounds GROUP BY 1)""", BOUNDS, WEATHER,
@@ -203,18 +203,18 @@ merged AS (SELECT * FROM obs UNION ALL SELECT date, city, temp_max + 1, rain_mm
 add("weather_gap_fill", """SELECT w.date, city, ROUND(COALESCE(CASE WHEN rain_mm > 0 THEN temp_max END, t2), 6) AS temp_max, ROUND(COALESCE(humidity, h2), 6) AS humidity,
   CAST((CASE WHEN NOT rain_mm > 0 AND t2 IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN humidity IS NULL AND h2 IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS filled
   FROM weather w JOIN (SELECT date, MAX(humidity) AS h2, MAX(temp_max) AS t2 FROM weather GROUP BY 1) s ON s.date = w.date""", WEATHER)
-CLIMATE = f"""climate AS (SELECT c.city, CAST(m.m AS INTEGER) AS month, COALESCE(x.temp_max, c.temp_max) AS temp_max, COALESCE(x.rain_mm, c.rain_mm) AS rain_mm, COALESCE(x.humidity, c.humidity) AS humidity
+CLIMATE = f"""climate AS MATERIALIZED (SELECT c.city, CAST(m.m AS INTEGER) AS month, COALESCE(x.temp_max, c.temp_max) AS temp_max, COALESCE(x.rain_mm, c.rain_mm) AS rain_mm, COALESCE(x.humidity, c.humidity) AS humidity
   FROM (SELECT city, AVG(temp_max) AS temp_max, AVG(rain_mm) AS rain_mm, AVG(humidity) AS humidity FROM weather_days WHERE day_idx <= {TRAIN_END} GROUP BY 1) c CROSS JOIN range(1, 13) m(m)
   LEFT JOIN (SELECT city, month(d0 + CAST(day_idx AS INTEGER)) AS month, AVG(temp_max) AS temp_max, AVG(rain_mm) AS rain_mm, AVG(humidity) AS humidity FROM weather_days, bounds
     WHERE day_idx <= {TRAIN_END} GROUP BY 1, 2) x ON x.city = c.city AND x.month = m.m)"""
 add("climatology", "SELECT city, month, ROUND(temp_max, 6) AS temp_max, ROUND(rain_mm, 6) AS rain_mm, ROUND(humidity, 6) AS humidity FROM climate",
     BOUNDS, LAYOUT, WEATHER, WEATHER_DAYS, CLIMATE)
-EVENTS = """cal AS (SELECT DISTINCT ON (date, event) * FROM (SELECT CAST(yr || md AS DATE) AS date, event, kind, yr * 10 + i AS ev_ord, span FROM (SELECT DISTINCT year(o_orderdate) AS yr FROM orders),
+EVENTS = """cal AS MATERIALIZED (SELECT DISTINCT ON (date, event) * FROM (SELECT CAST(yr || md AS DATE) AS date, event, kind, yr * 10 + i AS ev_ord, span FROM (SELECT DISTINCT year(o_orderdate) AS yr FROM orders),
   (VALUES ('Spring Fair', 'festival', '-04-12', 0, 3), ('Founders Day', 'public_holiday', '-04-14', 1, 1), ('Year End', 'festival', '-12-28', 2, 5), ('Founders Day', 'festival', '-04-14', 3, 1))
   v(event, kind, md, i, span)) ORDER BY date, event, ev_ord),
 ev_days AS (SELECT CAST(g.d AS INTEGER) AS day_idx, c.* EXCLUDE (date), (c.date - d0) - CAST(g.d AS INTEGER) AS delta, CASE c.event WHEN 'Founders Day' THEN 0 WHEN 'Spring Fair' THEN 1 ELSE 2 END AS eid
   FROM (SELECT unnest(range(0, n + 14)) AS d FROM bounds) g, bounds, cal c WHERE c.date BETWEEN d0 - 30 AND d0 + CAST(n AS INTEGER) + 13 + 30 AND (c.date - d0) - g.d BETWEEN -(span - 1) AND 14),
-events_d AS (SELECT CAST(g.d AS INTEGER) AS day_idx, d0 + CAST(g.d AS INTEGER) AS date, g.d < n AS observed, COALESCE(e.delta, 99) AS days_to_event, COALESCE(e.eid, -1) AS event_id,
+events_d AS MATERIALIZED (SELECT CAST(g.d AS INTEGER) AS day_idx, d0 + CAST(g.d AS INTEGER) AS date, g.d < n AS observed, COALESCE(e.delta, 99) AS days_to_event, COALESCE(e.eid, -1) AS event_id,
   COALESCE(e.fest, 0) AS in_festival, COALESCE(e.hol, 0) AS is_holiday FROM (SELECT unnest(range(0, n + 14)) AS d FROM bounds) g, bounds
   LEFT JOIN (SELECT day_idx, arg_min(delta, abs(delta) * 1000000000 + (delta + day_idx) * 10000 + (ev_ord % 10)) AS delta, arg_min(eid, abs(delta) * 1000000000 + (delta + day_idx) * 10000 + (ev_ord % 10)) AS eid,
     MAX(CASE WHEN delta <= 0 THEN 1 ELSE 0 END) AS fest, MAX(CASE WHEN delta = 0 AND kind = 'public_holiday' THEN 1 ELSE 0 END) AS hol FROM ev_days GROUP BY 1) e ON e.day_idx = g.d)"""
@@ -229,7 +229,7 @@ add("hierarchy_nodes", """SELECT node_id, parent_id, level, path, COUNT(DISTINCT
     {'node_id': 'SC:' || store_id || '|' || category, 'parent_id': 'S:' || store_id, 'level': 'store_category', 'path': ['total', 'R:' || region, 'S:' || store_id, 'SC:' || store_id || '|' || category]},
     {'node_id': leaf, 'parent_id': 'SC:' || store_id || '|' || category, 'level': 'item_store', 'path': ['total', 'R:' || region, 'S:' || store_id, 'SC:' || store_id || '|' || category, leaf]}], recursive := true)
   FROM (SELECT DISTINCT series_id AS leaf, store_id, region, category FROM daily_item)) GROUP BY node_id, parent_id, level, path""", SOLD, BOUNDS, DAILY_ITEM)
-NODES = """nodes AS (SELECT level, node_id, day_idx, SUM(y) AS y, COALESCE(AVG(CASE WHEN y IS NOT NULL THEN disc END), 0.0) AS disc FROM (
+NODES = """nodes AS MATERIALIZED (SELECT level, node_id, day_idx, SUM(y) AS y, COALESCE(AVG(CASE WHEN y IS NOT NULL THEN disc END), 0.0) AS disc FROM (
   SELECT 'total' AS level, 'total' AS node_id, day_idx, y, disc FROM {src} UNION ALL SELECT 'region', 'R:' || region, day_idx, y, disc FROM {src}
   UNION ALL SELECT 'store', 'S:' || store_id, day_idx, y, disc FROM {src} UNION ALL SELECT 'store_category', 'SC:' || store_id || '|' || category, day_idx, y, disc FROM {src}) GROUP BY ALL)"""
 add("aggregate_panel", "SELECT level, node_id, day_idx, ROUND(y, 9) AS y, ROUND(disc, 9) AS disc FROM nodes", SOLD, BOUNDS, DAILY_ITEM,
@@ -252,12 +252,12 @@ def search(first: str, last: str) -> str:
     def w(d):
         return f"OVER (PARTITION BY category ORDER BY day_idx RANGE BETWEEN {d - 1} PRECEDING AND CURRENT ROW)"
     return f"""raw_search AS (SELECT CAST(ts AS DATE) - (SELECT MIN(CAST(ts AS DATE)) FROM events) + {first} AS day_idx, event_type AS category, LEAST(GREATEST(MAX(value), 0), 100) AS v FROM events GROUP BY 1, 2),
-all_search AS (SELECT * FROM raw_search WHERE day_idx < {last} UNION ALL SELECT day_idx, '__all__', AVG(v) FROM raw_search WHERE day_idx < {last} GROUP BY 1),
-search_days AS (SELECT c.category, CAST(g.d AS INTEGER) AS day_idx, s.v FROM (SELECT category, MIN(day_idx) AS lo FROM all_search GROUP BY 1) c JOIN (SELECT unnest(range(0, {last})) AS d) g ON g.d >= c.lo
+all_search AS MATERIALIZED (SELECT * FROM raw_search WHERE day_idx < {last} UNION ALL SELECT day_idx, '__all__', AVG(v) FROM raw_search WHERE day_idx < {last} GROUP BY 1),
+search_days AS MATERIALIZED (SELECT c.category, CAST(g.d AS INTEGER) AS day_idx, s.v FROM (SELECT category, MIN(day_idx) AS lo FROM all_search GROUP BY 1) c JOIN (SELECT unnest(range(0, {last})) AS d) g ON g.d >= c.lo
   LEFT JOIN all_search s ON s.category = c.category AND s.day_idx = g.d),
 search_w AS (SELECT category, day_idx, MEDIAN(v) {w(5)} AS m5, CASE WHEN COUNT(v) {w(28)} >= 7 THEN MEDIAN(v) {w(28)} END AS m28, AVG(v) {w(7)} AS a7,
   CASE WHEN COUNT(v) {w(28)} >= 7 THEN AVG(v) {w(28)} END AS a28 FROM search_days),
-search_f AS (SELECT category, day_idx, m5 AS search_o, a7 AS search_mean7, CASE WHEN m5 IS NOT NULL AND m28 IS NOT NULL THEN LEAST(GREATEST(m5 / GREATEST(m28, 0.001), 0), 5) END AS search_ratio,
+search_f AS MATERIALIZED (SELECT category, day_idx, m5 AS search_o, a7 AS search_mean7, CASE WHEN m5 IS NOT NULL AND m28 IS NOT NULL THEN LEAST(GREATEST(m5 / GREATEST(m28, 0.001), 0), 5) END AS search_ratio,
   a7 - a28 AS search_trend FROM search_w)"""
 
 
@@ -273,7 +273,7 @@ add("intermittent_states", "SELECT series_id, CAST(day_idx AS BIGINT) AS day_idx
 # ------------------------------------------------------------- features
 add("origin_layout", "SELECT block, CAST(origin AS INTEGER) AS origin FROM layout", BOUNDS, LAYOUT)
 add("block_windows", "SELECT block, CAST(MIN(origin) + 1 AS INTEGER) AS first_day, CAST(MAX(origin) + 14 AS INTEGER) AS last_day, COUNT(*) AS origins FROM layout GROUP BY block", BOUNDS, LAYOUT)
-CODES = """codes AS (SELECT s.*, CAST(dense_rank() OVER (ORDER BY category) - 1 AS INTEGER) AS cat_idx, CAST(dense_rank() OVER (ORDER BY store_id) - 1 AS INTEGER) AS store_idx,
+CODES = """codes AS MATERIALIZED (SELECT s.*, CAST(dense_rank() OVER (ORDER BY category) - 1 AS INTEGER) AS cat_idx, CAST(dense_rank() OVER (ORDER BY store_id) - 1 AS INTEGER) AS store_idx,
   CAST(dense_rank() OVER (ORDER BY region) - 1 AS INTEGER) AS region_idx, price, pack_size,
   CASE category WHEN 'ECONOMY' THEN 'click' WHEN 'LARGE' THEN 'error' WHEN 'MEDIUM' THEN 'purchase' WHEN 'SMALL' THEN 'signup' WHEN 'STANDARD' THEN 'view' ELSE '__all__' END AS search_key
   FROM series s JOIN (SELECT p_type, MIN(p_retailprice) AS price, MIN(p_size) AS pack_size FROM part GROUP BY 1) p ON p.p_type = s.category)"""
@@ -304,12 +304,13 @@ add("feature_rows", f"SELECT series_id, origin, day, {FCOLS}, ROUND(y, 6) AS y,
 add("production_features", f"SELECT series_id, origin, day, {FCOLS} FROM feats WHERE block = 'production'", *INPUTS)
 
 SC = ", ".join(f"ROUND({c} / sc, 6) AS {c}" for c in ("last_obs", "mean7", "mean28", "mean56", "std28", "sdw_mean4"))
-NODE_PANEL = "node_panel AS (SELECT node_id AS series_id, level, CAST(day_idx AS INTEGER) AS day_idx, y, y AS ym FROM nodes)"
+NODE_PANEL = "node_panel AS MATERIALIZED (SELECT node_id AS series_id, level, CAST(day_idx AS INTEGER) AS day_idx, y, y AS ym FROM nodes)"
 NODE_ROLLED = roll("node_panel").replace("rolled AS", "node_rolled AS")
-NODE_ROWS = """node_rows AS (SELECT s.series_id, s.lo, o.block, o.origin, CAST(h.h AS INTEGER) AS h, o.origin + CAST(h.h AS INTEGER) AS day FROM (SELECT series_id, MIN(day_idx) AS lo FROM node_panel GROUP BY 1) s,
-  layout o, range(1, 15) h(h)),
-node_lag_days AS MATERIALIZED (SELECT series_id, origin, h, CAST(day - 7 * (CAST(CEIL(h / 7.0) AS INTEGER) + j.j) AS BIGINT) AS lag_day FROM node_rows, range(0, 4) j(j)),
-node_lags AS (SELECT r.series_id, r.origin, r.h, AVG(p.ym) AS sdw_mean4 FROM node_lag_days r JOIN node_panel p ON p.series_id = r.series_id AND p.day_idx = r.lag_day GROUP BY ALL)"""
+NODE_ROWS = """node_rows AS MATERIALIZED (SELECT *, origin + h AS day FROM (SELECT s.series_id, s.lo, o.block, o.origin, CAST(unnest(range(1, 15)) AS INTEGER) AS h
+  FROM (SELECT series_id, MIN(day_idx) AS lo FROM node_panel GROUP BY 1) s CROSS JOIN layout o)),
+node_lag_days AS MATERIALIZED (SELECT series_id, origin, h, CAST(day - 7 * (CAST(CEIL(h / 7.0) AS INTEGER) + j) AS INTEGER) AS lag_day FROM (SELECT *, unnest(range(0, 4)) AS j FROM node_rows)),
+node_lags AS MATERIALIZED (SELECT r.series_id, r.origin, r.h, AVG(p.ym) AS sdw_mean4 FROM node_lag_days r JOIN node_panel p ON p.series_id = r.series_id AND p.day_idx = r.lag_day
+  GROUP BY r.series_id, r.origin, r.h)"""
 NODE = (*BASE, LAYOUT, NODES.format(src="panel"), NODE_PANEL)
 add("aggregate_scaling", f"""SELECT series_id, origin, h, ROUND(sc, 6) AS scale, {SC}, ROUND(y / sc, 6) AS target_ratio FROM (SELECT r.series_id, r.origin, r.h, GREATEST(COALESCE(k.mean28, 1.0), 0.001) AS sc, last_obs,
   k.mean7, k.mean28, k.mean56, k.std28, l.sdw_mean4, t.y FROM node_rows r LEFT JOIN node_rolled k ON k.series_id = r.series_id AND k.day_idx = r.origin LEFT JOIN node_lags l ON l.series_id = r.series_id AND l.origin = r.origin AND l.h = r.h
