@@ -4,6 +4,7 @@ Long texts are cut where no piece of the pre-splitting pattern can reach across:
 blank, or, in a text without blanks, between an ASCII letter and an ASCII digit.  A stretch without such a place is
 encoded whole.  Ids are decoded to raw bytes, so ids that end in the middle of a character decode too.
 
+Texts are encoded, decoded and compared in one pass, one text at a time, and leave the task in slices of about ``OUT_BYTES``.
 The ranks are read once on the driver and sent to the executors (a fixed file, under a megabyte).
 
 Defined results: a null or empty text has no ids and decodes to no bytes; strings of special tokens are ordinary
@@ -12,9 +13,11 @@ text; repeated rows are encoded each on its own; extra columns are kept, those n
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,14 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from demandsense.llm.shipping import by_value
 
 by_value(__name__)
 
 STRETCH = 1 << 15
+OUT_BYTES = 4 << 20
 AT_BLANK = re.compile(r"(?<=[^\W_])(?=[ \n])")
 AT_DIGIT = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
@@ -54,45 +59,61 @@ def encoded(enc: tiktoken.Encoding, text: str) -> np.ndarray:
     return ids[0] if len(ids) == 1 else np.concatenate(ids)
 
 
-def _encoder(ranks, pattern: str):
-    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoding(ranks.value, pattern)
-        for batch in texts:
-            ids = [encoded(enc, t.as_py()) if t.is_valid else np.empty(0, np.int32) for t in batch]
-            ends = np.cumsum([0] + [len(i) for i in ids])
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return run
+Coded = Callable[[tiktoken.Encoding, Any], dict[str, Any]]
 
 
-def _decoder(ranks, pattern: str):
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _mapper(ranks, pattern: str, column: int, kept: list[int], value: Coded, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks.value, pattern)
+        names = schema.names[len(kept):]
         for batch in batches:
-            # one document's ids at a time as Python numbers; a null list decodes to nothing
-            flat, ends = batch.values.to_numpy(), batch.offsets.to_numpy()
-            yield pa.array([enc.decode_bytes(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+            begin, size, rows = 0, 0, []
+            for i in range(batch.num_rows):  # one cell at a time, slices of bounded size out
+                rows.append(value(enc, batch.column(column)[i]))
+                size += sum(getattr(v, "nbytes", len(v) if isinstance(v, (bytes, str)) else 8) for v in rows[-1].values())
+                if size >= OUT_BYTES or i + 1 == batch.num_rows:
+                    made = [pa.array([r[n] for r in rows], schema.field(n).type) for n in names]
+                    yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(begin, i + 1 - begin) for k in kept], *made], schema=schema)
+                    begin, size, rows = i + 1, 0, []
     return run
 
 
-def _ranks(docs: DataFrame, path: str):
-    return docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+def _mapped(rows: DataFrame, column: str, path: str, pattern: str, value: Coded, added: str, keep: Sequence[str]) -> DataFrame:
+    """Columns ``keep`` of ``rows`` and ``added``, made from ``column`` in one pass."""
+    new = T._parse_datatype_string(added).fields
+    keep = [c for c in keep if c not in {f.name for f in new}]
+    given = rows.select(*keep, F.col(column).alias("__cell"))
+    out = T.StructType([given.schema[c] for c in keep] + new)
+    ranks = rows.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+    return given.mapInArrow(_mapper(ranks, pattern, len(keep), list(range(len(keep))), value, to_arrow_schema(out)), out)
+
 
+def _ids(enc: tiktoken.Encoding, text: pa.Scalar) -> np.ndarray:
+    return encoded(enc, text.as_py()) if text.is_valid else np.empty(0, np.int32)
 
-def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "ids") -> DataFrame:
+
+def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` and array<int> ``ids`` of each whole text."""
-    return docs.withColumn(name, F.arrow_udf(_encoder(_ranks(docs, path), pattern), T.ArrayType(T.IntegerType()))(F.col(text)))
+    return _mapped(docs, text, path, pattern, lambda enc, t: {"ids": _ids(enc, t)}, "ids array<int>", docs.columns)
+
+
+def with_bytes(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
+    """``rows`` and the bytes (``decoded``) that ``ids`` stand for; a null list stands for none."""
+    return _mapped(rows, ids, path, pattern, lambda enc, x: {"decoded": enc.decode_bytes(x.as_py() or [])}, "decoded binary", rows.columns)
 
 
-def with_bytes(docs: DataFrame, path: str, pattern: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """``docs`` and the bytes that ``ids`` stand for."""
-    return docs.withColumn(name, F.arrow_udf(_decoder(_ranks(docs, path), pattern), T.BinaryType())(F.col(ids)))
+def with_checked_ids(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs``, ``ids``, ``n_tokens`` and ``round_trip``: whether the ids decode to the text's bytes."""
+    def value(enc: tiktoken.Encoding, t: pa.Scalar) -> dict[str, Any]:
+        ids = _ids(enc, t)
+        return {"ids": ids, "n_tokens": len(ids), "round_trip": enc.decode_bytes(ids.tolist()) == (t.as_py() or "").encode()}
+    return _mapped(docs, text, path, pattern, value, "ids array<int>, n_tokens long, round_trip boolean", docs.columns)
 
 
 def token_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Counts and digests of the ids and of what they decode to, one row per document."""
-    out = with_bytes(with_ids(docs.select("doc_id", "text"), path, pattern), path, pattern)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-                      F.sha2("decoded", 256).alias("decoded_sha256"))
+    def value(enc: tiktoken.Encoding, t: pa.Scalar) -> dict[str, Any]:
+        ids = _ids(enc, t).tolist()
+        return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                "decoded_sha256": hashlib.sha256(enc.decode_bytes(ids)).hexdigest()}
+    return _mapped(docs, "text", path, pattern, value, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["doc_id"])

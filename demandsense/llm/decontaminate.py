@@ -161,7 +161,7 @@ def _finder(seeds):
         codes, known = Codes(), Seeds(*seeds.value)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("n_equal", pa.int32()), ("n_words", pa.int32())]))
         for batch in texts:
-            found = [overlaps(t, known, codes) if t else [] for t in batch.to_pylist()]
+            found = [overlaps(t.as_py() or "", known, codes) for t in batch]  # one text at a time
             yield pa.array([[dict(zip(("item_id", "start_word", "end_word", "n_equal", "n_words"), x)) for x in row] for row in found], kind)
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return run

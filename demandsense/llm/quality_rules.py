@@ -77,7 +77,7 @@ def text_stats(text: bytes) -> tuple[int, ...]:
 
 
 def _stats(text: pa.Array) -> pa.Array:
-    rows = [text_stats(t or b"") for t in text.cast(pa.binary()).to_pylist()]
+    rows = [text_stats(t.as_py() or b"") for t in text.cast(pa.binary())]  # one text at a time
     columns = zip(*rows) if rows else [[] for _ in COUNTS]
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(COUNTS))
 
