@@ -6,11 +6,11 @@ rows are then two filters over the same plan.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -273,5 +273,27 @@ def quality_report(annotated: DataFrame) -> DataFrame:
     return total.select("r.metric", F.lit("").alias("key"), "r.value").unionByName(reasons)
 
 
+#: Every reason that the sales checks can give.
+SALES_REASONS = ["duplicate_key", "date_in_future", "negative_units", "bad_price", "negative_stock", "stock_balance", "schema", "unknown_key"]
+
+
+def observed_report(annotated: DataFrame, write: Callable[[DataFrame], None], reasons: Sequence[str] = tuple(SALES_REASONS)) -> DataFrame:
+    """``quality_report`` of an annotated feed, gathered while ``write`` writes it: no further pass over the rows.
+
+    A reason that is not among ``reasons`` raises, so that none is left out of the report.
+    """
+    clean, seen = F.col("reason").isNull(), Observation()
+    counts = {r: F.count_if(F.col("reason") == r) for r in reasons}
+    write(annotated.observe(seen, F.count(F.lit(1)).alias("raw"), F.count_if(clean).alias("ok"), F.count_if(clean & (F.col("on_hand_close") == 0)).alias("so"),
+                            F.min(F.when(clean, F.col("date"))).alias("lo"), F.max(F.when(clean, F.col("date"))).alias("hi"), *[c.alias(f"r_{r}") for r, c in counts.items()]))
+    got = seen.get
+    if got["raw"] - got["ok"] != sum(got[f"r_{r}"] for r in reasons):
+        raise ValueError(f"rows with a reason that is not one of {list(reasons)}")
+    values = {"rows_raw": got["raw"], "rows_clean": got["ok"], "rows_quarantined": got["raw"] - got["ok"], "stockout_days": got["so"] if got["ok"] else None,
+              "first_date": got["lo"], "last_date": got["hi"]}
+    rows = [(k, "", None if v is None else str(v)) for k, v in values.items()] + [("quarantine_reason", r, str(got[f"r_{r}"])) for r in reasons if got[f"r_{r}"]]
+    return annotated.sparkSession.createDataFrame(rows, "metric string, key string, value string")
+
+
 def missing_weather_rows(weather: DataFrame) -> DataFrame:
     return weather.agg(F.count_if(F.col("temp_max").isNull() | F.col("rain_mm").isNull()).alias("rows_missing"))

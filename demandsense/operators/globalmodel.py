@@ -6,6 +6,7 @@ Because the link is a log, a feature's share of a forecast is exactly coefficien
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandsense.operators.conformal import horizon_bucket
@@ -65,6 +66,18 @@ class GlobalModel:
         return scored.select(*df.columns, vector_to_array("design").alias("design"))
 
 
+def save_model(model: GlobalModel, path: str) -> None:
+    """The fitted pipeline, then its names and numbers as one row."""
+    model.stages.write().overwrite().save(f"{path}/stages")
+    facts = {k: getattr(model, k) for k in ("features", "names", "coefficients", "intercept", "means")}
+    SparkSession.active().createDataFrame([(json.dumps(facts),)], "facts string").coalesce(1).write.mode("overwrite").json(f"{path}/facts")
+
+
+def load_model(spark: SparkSession, path: str) -> GlobalModel:
+    facts = json.loads(spark.read.schema("facts string").json(f"{path}/facts").first()["facts"])
+    return GlobalModel(stages=PipelineModel.load(f"{path}/stages"), **facts)
+
+
 def _fit(df: DataFrame, features: Sequence[str], regression, weight: str | None = None) -> GlobalModel:
     # a column that never varies in training carries nothing and makes the fit singular
     columns = [f"x_{f}" for f in features] + [f"na_{f}" for f in features if f in FAMILIES["history"]]

