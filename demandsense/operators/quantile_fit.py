@@ -23,7 +23,7 @@ from demandsense.functions.lineage import cut
 from demandsense.functions.numeric import finite
 
 QUANTILES = (0.1, 0.5, 0.9)
-ROUNDS, TOLERANCE, RIDGE = 60, 1e-6, 1e-9
+ROUNDS, TOLERANCE, RIDGE = 100, 1e-7, 1e-9
 #: Smoothing of the absolute value, as a share of the target's spread; divided by ten when the loss stands still, down to the last.
 EPSILON, LAST_EPSILON = 1e-2, 1e-5
 

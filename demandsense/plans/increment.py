@@ -26,18 +26,9 @@ def source_of(path: Column, sha256: Column) -> Column:
     return F.hex(F.xxhash64(path, sha256))
 
 
-def _versions(spark: SparkSession, out: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{out}/manifest")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return None
-
-
 def last_manifest(spark: SparkSession, out: str) -> tuple[int, DataFrame]:
     """(version, manifest) of the last run; version 0 and no rows before the first."""
-    every = _versions(spark, out)
+    every = feeds.existing_table(spark, f"{out}/manifest")
     top = None if every is None else every.agg(F.max("version").alias("v")).first()["v"]
     if top is None:
         return 0, spark.createDataFrame([], MANIFEST)

@@ -21,17 +21,6 @@ def process_decisions(incoming: DataFrame, orders: DataFrame, rules: Sequence[Ru
     return D.guard_decisions(D.validate_decisions(incoming, rules), orders)
 
 
-def _log_rows(spark: SparkSession, log: str, before: int) -> DataFrame | None:
-    """Ids written by batches before ``before``; None when there is no log yet."""
-    try:
-        rows = spark.read.parquet(log)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
-    return rows.where(F.col("batch") < before).select("id")
-
-
 def append_batch(incoming: DataFrame, number: int, orders: DataFrame, rules: Sequence[Rule], log: str, version: str) -> None:
     """Write the outcome of every decision of a batch to the log, as the log's partition ``batch=number``.
 
@@ -40,9 +29,10 @@ def append_batch(incoming: DataFrame, number: int, orders: DataFrame, rules: Seq
     """
     first = Window.partitionBy("id").orderBy("ts", *[c for c in incoming.columns if c not in ("id", "ts")])
     rows = incoming.withColumn("__nth", F.row_number().over(first))
-    known = _log_rows(incoming.sparkSession, log, number)
-    if known is not None:
-        rows = rows.join(known.distinct().withColumn("__known", F.lit(True)), "id", "left")
+    log_rows = feeds.existing_table(incoming.sparkSession, log)
+    if log_rows is not None:
+        known = log_rows.where(F.col("batch") < number).select("id").distinct().withColumn("__known", F.lit(True))
+        rows = rows.join(known, "id", "left")
     else:
         rows = rows.withColumn("__known", F.lit(None).cast("boolean"))
     rows = cut(rows.withColumn("__again", (F.col("__nth") > 1) | F.coalesce("__known", F.lit(False))).drop("__nth", "__known"))

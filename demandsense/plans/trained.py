@@ -92,14 +92,10 @@ def forecast_block(spark: SparkSession, inp: Inputs, lay: Layout, folder: str, b
 
 def run(spark: SparkSession, inp: Inputs, lay: Layout, folder: str, blocks: Sequence[str] = SCORED) -> Backtest:
     """Train and forecast ``blocks`` unless the folder already holds them."""
-    try:
-        spark.read.text(f"{folder}/{DONE}").first()
-    except Exception as e:  # the marker is missing, nothing else may be
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if feeds.existing_table(spark, f"{folder}/{DONE}") is None:
         train(inp, lay, folder)
         feeds.write_blocks(forecast_block(spark, inp, lay, folder, blocks), f"{folder}/forecasts")
-        spark.createDataFrame([("done",)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{DONE}")
+        spark.createDataFrame([(b,) for b in blocks], "block string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/{DONE}")
     return Backtest(folder, inp, lay)
 
 

@@ -1,6 +1,7 @@
 """Feed scans and sinks: Parquet and CSV in; tables, quarantine, manifests, metrics out."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,16 @@ def read_parquet_feed(spark: SparkSession, path: str | list[str], schema: T.Stru
     return without_nan(reader.parquet(*([path] if isinstance(path, str) else path)))
 
 
+def existing_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where none was written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def without_nan(df: DataFrame) -> DataFrame:
     """``df`` with NULL for NaN; other columns and hidden metadata stay as they are."""
     floating = [c for c, t in df.dtypes if t in ("double", "float")]
