@@ -6,7 +6,9 @@ group with itself: a store-category may hold any share of all series.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandsense.functions.lineage import cut
@@ -17,7 +19,8 @@ from demandsense.operators.order_stats import group_median
 K_ANALOGS, ESTABLISHED_DAYS, YOUNG_AGE, RAMP_DAYS = 5, 90, 28, 7
 GENERIC_RAMP = [0.35, 0.6, 0.75, 0.85]
 RAMP_CLIP, MIN_LAUNCHES = (0.05, 3.0), 3
-LEVELS = 12            # cell sizes 1, 1/2, ... 1/2^12 of the attribute range
+LEVELS, DEEPEST = 12, 40   # cell sizes 1, 1/2, ... 1/2^12 of the attribute range; below that where cells are crowded, to the precision of coordinates
+CROWD = 64                 # sites that a cell may hold without being parted further
 GROUP = ["store_id", "category"]
 
 
@@ -44,6 +47,42 @@ def _cells(df: DataFrame, level) -> DataFrame:
     return df.withColumn("cx", F.floor(F.col("u") * scale)).withColumn("cy", F.floor(F.col("v") * scale))
 
 
+def _near() -> Column:
+    """The steps to a cell and its eight neighbours."""
+    one = F.sequence(F.lit(-1), F.lit(1))
+    return F.flatten(F.transform(one, lambda x: F.transform(one, lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def cell_grid(points: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(points, queries) in cells (``lv``, ``cx``, ``cy``) of every level they are needed on.
+
+    All are on the first levels.  Cells that are still crowded on the last of those (an outlying point
+    may squeeze all others into a few) are parted further: the points of a crowded cell and of its neighbours go
+    on to the next levels, as do the queries inside it, so that whatever level a query is answered on, the cells around it
+    are complete.  Points at equal coordinates cannot be parted; there are at most ``k + 1`` of them a launch day.
+    """
+    grids, probes, top, crowd = [], [], -1, None
+    while True:
+        low, top = top + 1, min(top + LEVELS + (top < 0), DEEPEST)
+        levels = F.explode(F.sequence(F.lit(low), F.lit(top))).alias("lv")
+        grids.append(_cells(points.select("*", levels), F.col("lv")))
+        probes.append(_cells(asked.select("*", levels), F.col("lv")))
+        if top == DEEPEST:
+            break
+        cells = _cells(points, F.lit(top)).groupBy(*GROUP, "cx", "cy").agg(F.count_distinct("u", "v").alias("sites")).where(F.col("sites") > CROWD).drop("sites")
+        if crowd is not None:  # only there all points are at hand
+            span = 2.0 ** (top - low + 1)
+            above = cells.withColumns({"ax": F.floor(F.col("cx") / span), "ay": F.floor(F.col("cy") / span)})
+            cells = above.join(crowd.withColumnsRenamed({"cx": "ax", "cy": "ay"}), [*GROUP, "ax", "ay"], "left_semi").select(*GROUP, "cx", "cy")
+        crowd = cut(cells)
+        if crowd.isEmpty():
+            break
+        around = crowd.withColumn("n", F.explode(_near())).select(*GROUP, (F.col("cx") + F.col("n.x")).alias("cx"), (F.col("cy") + F.col("n.y")).alias("cy")).distinct()
+        points = cut(_cells(points, F.lit(top)).join(around, [*GROUP, "cx", "cy"], "left_semi").drop("cx", "cy"))
+        asked = cut(_cells(asked, F.lit(top)).join(crowd, [*GROUP, "cx", "cy"], "left_semi").drop("cx", "cy"))
+    return reduce(DataFrame.unionByName, grids), reduce(DataFrame.unionByName, probes)
+
+
 def nearest_established(points: DataFrame, queries: DataFrame, k: int = K_ANALOGS) -> DataFrame:
     """(query columns..., analog, rank, distance): the ``k`` nearest other series of the
     same store and category launched on or before ``ready_by``; ties go to the lower id.
@@ -54,12 +93,11 @@ def nearest_established(points: DataFrame, queries: DataFrame, k: int = K_ANALOG
     1. points at equal coordinates and launch day keep their ``k + 1`` lowest ids (no other
        can be among the nearest), queries at equal coordinates and day are asked once;
     2. counts per (cell, launch day) give, for each query, the finest cell around it that
-       holds more than ``k`` ready points;
+       holds more than ``k`` ready points; crowded cells have finer ones (``cell_grid``);
     3. its neighbours then lie in the 3 x 3 cells of twice that size; queries with too few
        ready points in the whole group read the group's earliest launches instead.
     """
     want = k + 1                                              # room for the query itself
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("lv")
     site = Window.partitionBy(*GROUP, "u", "v", "launch_idx").orderBy("series_id")
     pts = (points.select("series_id", *GROUP, "launch_idx", "u", "v")
            .withColumn("__rn", F.row_number().over(site)).where(F.col("__rn") <= want).drop("__rn"))
@@ -67,9 +105,8 @@ def nearest_established(points: DataFrame, queries: DataFrame, k: int = K_ANALOG
     queries = cut(queries)
     asked = queries.select(*GROUP, "u", "v", "ready_by").distinct()
 
-    grid = _cells(pts.select("*", levels), F.col("lv"))
+    grid, probes = cell_grid(pts, asked)
     stock = grid.groupBy(*GROUP, "lv", "cx", "cy", F.col("launch_idx").alias("at")).agg(F.count(F.lit(1)).alias("c"))
-    probes = _cells(asked.select("*", levels), F.col("lv"))
     marks = probes.select(*GROUP, "lv", "cx", "cy", F.col("ready_by").alias("at")).distinct().withColumn("c", F.lit(None).cast("bigint"))
     cell = Window.partitionBy(*GROUP, "lv", "cx", "cy").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     ready = (stock.unionByName(marks).withColumn("ready", F.sum("c").over(cell)).where("c IS NULL")
@@ -79,10 +116,8 @@ def nearest_established(points: DataFrame, queries: DataFrame, k: int = K_ANALOG
              .agg(F.max(F.when(F.col("ready") >= want, F.col("lv"))).alias("fine")))
     sized = cut(sized)
 
-    near = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda x: F.transform(
-        F.sequence(F.lit(-1), F.lit(1)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     search = sized.where("fine IS NOT NULL").withColumn("lv", F.greatest(F.col("fine") - 1, F.lit(0)))
-    search = _cells(search, F.col("lv")).withColumn("n", F.explode(near))
+    search = _cells(search, F.col("lv")).withColumn("n", F.explode(_near()))
     search = search.select(*GROUP, "u", "v", "ready_by", "lv", (F.col("cx") + F.col("n.x")).alias("cx"), (F.col("cy") + F.col("n.y")).alias("cy"))
     right = grid.select(*GROUP, "lv", "cx", "cy", "launch_idx", F.col("series_id").alias("analog"), F.col("u").alias("pu"), F.col("v").alias("pv"))
     dense = search.join(right, [*GROUP, "lv", "cx", "cy"]).where("launch_idx <= ready_by")

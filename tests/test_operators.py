@@ -227,12 +227,24 @@ def test_reconciliation_matches_dense_formula(spark):
                 assert vals[nid, d] == pytest.approx(want[i, j], rel=1e-8)
 
 
-def test_analogs_match_brute_force(spark):
+def analog_series(spark, kind):
     rng = np.random.default_rng(5)
-    rows = [(f"x{i:03d}", "S1" if i % 3 else "S2", "c", int(rng.integers(0, 300)), float(rng.choice([9.99, 9.99, 25.0, rng.uniform(5, 90)])), int(rng.choice([1, 1, 6, 12])))
-            for i in range(240)]
-    df = spark.createDataFrame(rows, "series_id string, store_id string, category string, launch_idx int, price double, pack_size int")
-    pts = coldstart.standardised(df).persist()
+
+    def price(i):
+        if kind == "ties":
+            return float(rng.choice([9.99, 9.99, 9.99, 25.0]))
+        if kind == "outlier" and i == 7:
+            return 1e300
+        return float(rng.choice([9.99, 9.99, 25.0, rng.uniform(5, 90)])) if kind == "mixed" else float(rng.uniform(5, 90))
+    rows = [(f"x{i:03d}", "S1" if i % 3 else "S2", "c", int(rng.integers(0, 300)), price(i), int(rng.choice([1, 1, 6, 12]))) for i in range(240)]
+    return spark.createDataFrame(rows, "series_id string, store_id string, category string, launch_idx int, price double, pack_size int")
+
+
+@pytest.mark.parametrize("kind,levels,crowd", [("mixed", 12, 64), ("outlier", 2, 6), ("outlier", 12, 64), ("ties", 3, 1)])
+def test_analogs_match_brute_force(spark, monkeypatch, kind, levels, crowd):
+    monkeypatch.setattr(coldstart, "LEVELS", levels)
+    monkeypatch.setattr(coldstart, "CROWD", crowd)
+    pts = coldstart.standardised(analog_series(spark, kind)).persist()
     got = {}
     for r in coldstart.nearest_established(pts, pts.withColumn("ready_by", F.col("launch_idx") - 90)).collect():
         got.setdefault(r["series_id"], {})[r["rank"]] = r["analog"]
@@ -241,7 +253,20 @@ def test_analogs_match_brute_force(spark):
         c = p[(p.store_id == a.store_id) & (p.series_id != a.series_id) & (p.launch_idx <= a.launch_idx - 90)]
         gap = np.round(np.hypot(c.u - a.u, c.v - a.v), 9)
         want = [x for _, x in sorted(zip(gap, c.series_id))][:5]
-        assert [got.get(a.series_id, {})[k] for k in sorted(got.get(a.series_id, {}))] == want
+        assert [got.get(a.series_id, {})[k] for k in sorted(got.get(a.series_id, {}))] == want, a
+
+
+def test_crowded_cells_are_parted(spark, monkeypatch):
+    """One outlying price squeezes all others into one cell of the first levels; the finest cells still hold few sites."""
+    monkeypatch.setattr(coldstart, "LEVELS", 3)
+    monkeypatch.setattr(coldstart, "CROWD", 6)
+    pts = coldstart.standardised(analog_series(spark, "outlier"))
+    grid, probes = coldstart.cell_grid(pts, pts.select(*coldstart.GROUP, "u", "v").distinct())
+    at = [*coldstart.GROUP, "lv", "cx", "cy"]
+    cells = grid.groupBy(*at).agg(F.count_distinct("u", "v").alias("sites")).toPandas()
+    assert cells[cells.lv == 3].sites.max() > 60 and cells.lv.max() > 8
+    last = probes.groupBy(*coldstart.GROUP, "u", "v").agg(F.max_by(F.struct("lv", "cx", "cy"), "lv").alias("c")).select(*coldstart.GROUP, "c.*")
+    assert last.join(spark.createDataFrame(cells), at).agg(F.max("sites")).first()[0] <= 6
 
 
 def test_stability_and_scale(spark):
