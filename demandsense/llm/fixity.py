@@ -6,20 +6,26 @@ the children of nodes that differ are looked at on the next level down, to the r
 or extra.  Records with the same offset in a file (a broken or repeated entry) are first folded into one leaf, so
 a node has at most ``RANGE`` leaves or ``FANOUT`` children whatever the data.
 
+A tree is written by level, so the descent reads each level once and of a level only what lies under a bad node is compared.
+
 Defined results: a null payload is empty; files or records that only one replica has are reported; extra columns
 are ignored; an empty replica makes every record of the other missing.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandsense.functions.lineage import cut
+from demandsense.functions.lineage import checkpoint_dir, cut
 
 #: The root's node covers RANGE * FANOUT ** (LEVELS - 1) bytes, a tebibyte; a longer file has more than one root.
 RANGE, FANOUT, LEVELS = 1 << 16, 256, 4
 #: Records of a file in the archive made from a table of pages.
 FILE_RECORDS = 256
+#: Copies of one row that one task writes out.
+COPIES = 1 << 12
 
 
 def leaves(records: DataFrame) -> DataFrame:
@@ -44,12 +50,20 @@ def nodes(leaf: DataFrame) -> DataFrame:
     return every
 
 
+def by_level(tree: DataFrame) -> DataFrame:
+    """The tree written now, a folder for each level."""
+    spark = tree.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
+    tree.write.partitionBy("level").parquet(path)
+    return spark.read.schema(tree.schema).parquet(path)
+
+
 def audit(first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(roots, damage): ``roots`` has file, place, first_root, second_root; ``damage`` has file, offset, state, one row per bad offset.
 
     ``first`` and ``second`` have columns file, offset, leaf.  State: changed, missing (not in second) or extra.
     """
-    a, b = cut(nodes(leaves(first))), cut(nodes(leaves(second)))
+    a, b = by_level(nodes(leaves(first))), by_level(nodes(leaves(second)))
 
     def at(t: DataFrame, level: int, name: str) -> DataFrame:
         return t.where(F.col("level") == level).select("file", "place", F.col("digest").alias(name))
@@ -78,17 +92,23 @@ def archive_pair(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two replicas (file, offset, leaf, page_id) of an archive of ``pages``; the second with damage that its records' digests decide.
 
     Of the digest's fifth byte: c3 changes the payload's first character, d5 cuts its second half, e7 drops the record.
-    Records go to files by a digest of id and record, so files are alike in size; equal rows are one record.
+    Records go to files by a digest of id, record and copy, so files are alike in size and the copies of a page that is
+    repeated many times are spread; each copy is a record with an offset of its own.
     """
     body, digest = F.coalesce(F.col("html"), F.lit("")), lambda c: F.sha2(c.cast("binary"), 256)
     whole = pages.select("page_id", "url", body.alias("body"), record_text(F.col("url"), F.col("html")).alias("record")).withColumn("leaf", digest(F.col("record")))
     kind = F.substring("leaf", 9, 2)
     hurt = F.when(kind == "c3", digest(record_text(F.col("url"), F.concat(F.lit("~"), F.substring("body", 2, 2 ** 31 - 1))))).when(
         kind == "d5", digest(record_text(F.col("url"), F.expr("left(body, length(body) div 2)")))).when(kind == "e7", F.lit(None).cast("string")).otherwise(F.col("leaf"))
-    kept = cut(whole.select("page_id", "leaf", F.octet_length("record").cast("long").alias("size"), hurt.alias("hurt")).groupBy("page_id", "leaf").agg(F.min("size").alias("size"), F.min("hurt").alias("hurt")))
+    alike = whole.select("page_id", "leaf", F.octet_length("record").cast("long").alias("size"), hurt.alias("hurt")).groupBy("page_id", "leaf").agg(
+        F.min("size").alias("size"), F.min("hurt").alias("hurt"), F.count("*").alias("copies"))
+    # copies of a row are dealt out before they are written one by one, so no task makes more than COPIES of one row
+    parts = alike.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))).repartition("page_id", "leaf", "part")
+    last = F.least(F.col("copies"), (F.col("part") + 1) * COPIES) - 1
+    kept = cut(parts.select("page_id", "leaf", "size", "hurt", F.explode(F.sequence(F.col("part") * COPIES, last)).alias("copy")))
     files = max(1, -(-kept.count() // FILE_RECORDS))
-    seat = digest(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.col("leaf")))
-    in_file = Window.partitionBy("file").orderBy("page_id", "leaf")
+    seat = digest(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.col("leaf"), F.when(F.col("copy") > 0, F.concat(F.lit(":"), F.col("copy").cast("string"))).otherwise("")))
+    in_file = Window.partitionBy("file").orderBy("page_id", "leaf", "copy")
     placed = kept.withColumn("file", F.pmod(F.conv(F.substring(seat, 1, 8), 16, 10).cast("long"), F.lit(files))).withColumn(
         "offset", F.sum("size").over(in_file) - F.col("size"))
     placed = cut(placed)

@@ -107,9 +107,9 @@ def _op9() -> str:
     return f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, chr(13) || chr(10) AS nl FROM pages),
 w AS (SELECT *, sha256({record('body')}) AS leaf, octet_length(encode({record('body')})) AS size FROM p),
 d AS MATERIALIZED (SELECT page_id, leaf, min(size) AS size, min(CASE leaf[9:10] WHEN 'c3' THEN sha256({record("('~' || body[2:])")}) WHEN 'd5' THEN sha256({record("left(body, length(body) // 2)")})
-  WHEN 'e7' THEN NULL ELSE leaf END) AS hurt FROM w GROUP BY page_id, leaf),
-f AS (SELECT *, ('0x' || sha256(coalesce(page_id::VARCHAR, '') || ':' || leaf)[1:8])::BIGINT % greatest(1, (SELECT (count(*) + 255) // 256 FROM d)) AS file FROM d),
-placed AS MATERIALIZED (SELECT *, (sum(size) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, leaf) - size)::BIGINT AS pos FROM f),
+  WHEN 'e7' THEN NULL ELSE leaf END) AS hurt, unnest(range(0, count(*))) AS copy FROM w GROUP BY page_id, leaf),
+f AS (SELECT *, ('0x' || sha256(coalesce(page_id::VARCHAR, '') || ':' || leaf || CASE WHEN copy > 0 THEN ':' || copy ELSE '' END)[1:8])::BIGINT % greatest(1, (SELECT (count(*) + 255) // 256 FROM d)) AS file FROM d),
+placed AS MATERIALIZED (SELECT *, (sum(size) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, leaf, copy) - size)::BIGINT AS pos FROM f),
 {tree('a', 'leaf')},
 {tree('b', 'hurt')},
 bad AS (SELECT file, count(*) AS n_bad, string_agg(pos || ':' || CASE WHEN hurt IS NULL THEN 'missing' ELSE 'changed' END, ',' ORDER BY pos) AS bad FROM placed WHERE hurt IS DISTINCT FROM leaf GROUP BY file),
