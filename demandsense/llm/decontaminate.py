@@ -7,8 +7,10 @@ window that misses both.  Equal hashes only propose a diagonal; every proposed d
 the result is exactly the overlaps of the definition.  An item shorter than the window is its own window, with
 one substitution for each five words and masks that are its thirds or halves.
 
-The benchmark is read in blocks of at most ``BLOCK_WORDS`` words (in expectation), so what is sent to the executors is
-bounded; each block is one pass over the documents' words.  Documents are never shuffled.
+The benchmark is read in blocks of at most ``BLOCK_WORDS`` words (in expectation).  Each block is a pass of its own over the
+documents, written before the next one begins, so the driver, a broadcast and a worker hold the seeds of one block
+at a time, however large the benchmark is.  Documents are never shuffled.  Of an item that a document holds more than once, the
+place with most equal words is returned, the first of equals.
 
 Defined results: words are runs of word characters, lower-cased; a null or empty text overlaps nothing; an item
 without words matches nothing; a repeated item or document gives a row each; extra columns are ignored or kept;
@@ -17,7 +19,8 @@ an empty benchmark leaves all documents clean.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demandsense.functions.lineage import cut
 from demandsense.llm.shipping import by_value
 
 by_value(__name__)
@@ -167,28 +171,37 @@ def _finder(seeds):
     return run
 
 
-def overlap_column(benchmark: DataFrame, text: Column, block_words: int = BLOCK_WORDS) -> Column:
-    """array<struct> of the overlaps of ``text`` with the items of ``benchmark`` (item_id, text)."""
+def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[int, Callable[[int], Callable[[Column], Column]]]:
+    """(number of blocks, finder of a block): ``finder(b)(text)`` is the column of overlaps with the items of block ``b``."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // (2 * block_words)))  # a word and its blank take two characters at least
-    columns = []
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+
+    def finder(b: int) -> Callable[[Column], Column]:
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = sorted(((r["item_id"], r["text"]) for r in own.toLocalIterator()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
         seeds = benchmark.sparkSession.sparkContext.broadcast(tuple(seeds_of(rows)))  # plain values: executors have no copy of the class
-        columns.append(F.arrow_udf(_finder(seeds), T.ArrayType(OVERLAP))(text))
-    return columns[0] if len(columns) == 1 else F.concat(*columns)
+        return F.arrow_udf(_finder(seeds), T.ArrayType(OVERLAP))
+    return blocks, finder
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, start_word, end_word, n_equal, n_words: a row for each document and item that overlap."""
-    found = docs.select("doc_id", overlap_column(benchmark, F.col("text")).alias("found"))
-    # a plain explode would make Spark test the array's size first, by finding the overlaps a second time
-    return found.select("doc_id", F.explode_outer("found").alias("f")).where("f is not null").select("doc_id", "f.*")
+    blocks, finder = blocks_of(benchmark, block_words)
+    parts = []
+    for b in range(blocks):
+        found = docs.select("doc_id", finder(b)(F.col("text")).alias("found"))
+        # a plain explode would make Spark test the array's size first, by finding the overlaps a second time
+        found = found.select("doc_id", F.explode_outer("found").alias("f")).where("f is not null").select("doc_id", "f.*")
+        parts.append(found if blocks == 1 else cut(found))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that overlap no item, with their own columns."""
-    packed = docs.select("text", F.struct("*").alias("row"))
-    return packed.withColumn("found", overlap_column(benchmark, F.col("text"))).where(F.size("found") == 0).select("row.*")
+    blocks, finder = blocks_of(benchmark, block_words)
+    for b in range(blocks):
+        packed = docs.select("text", F.struct("*").alias("row"))
+        kept = packed.withColumn("found", finder(b)(F.col("text"))).where(F.size("found") == 0).select("row.*")
+        docs = kept if blocks == 1 else cut(kept)
+    return docs

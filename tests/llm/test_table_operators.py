@@ -127,8 +127,12 @@ def test_decontamination_equals_brute_force(documents, spark):
     clean = decontaminate.clean_documents(docs, bench)
     dirty = {i for i, _ in want}
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == sorted([i for i in range(len(texts)) if i not in dirty] + [3])
-    small = docs.withColumn("found", decontaminate.overlap_column(bench, F.col("text"), block_words=30)).select("doc_id", F.explode("found").alias("f"))
-    assert {(r.doc_id, r.f.item_id) for r in small.collect() if r.doc_id is not None} == want
+    assert decontaminate.blocks_of(bench, 30)[0] > 4  # a pass for each block: the same rows, and no plan holds two blocks
+    small = decontaminate.contamination(docs, bench, block_words=30)
+    assert sorted(map(str, small.collect())) == sorted(map(str, decontaminate.contamination(docs, bench).collect()))
+    assert "ArrowEvalPython" not in small._jdf.queryExecution().executedPlan().toString()
+    by_block = decontaminate.clean_documents(docs, bench, block_words=30)
+    assert by_block.columns == docs.columns and sorted(map(str, by_block.collect())) == sorted(map(str, clean.collect()))
     assert decontaminate.clean_documents(docs, bench.limit(0)).count() == docs.count()
 
 
@@ -224,12 +228,16 @@ def test_audit_finds_exactly_the_bad_records(spark):
     assert {r.state for r in fixity.audit(a, b.limit(0))[1].collect()} == {"missing"}
 
 
-def test_archive_of_pages(spark):
+def test_archive_of_pages(spark, monkeypatch):
+    monkeypatch.setattr(fixity, "COPIES", 7)
     pages = spark.createDataFrame([(i, f"http://h/{i}", "é" * (i % 50)) for i in range(3000)] + [(7, None, None), (None, "u", "x")] + [(5, "http://h/5", "é" * 5)] * 40, "page_id long, url string, html string")
     first, _ = fixity.archive_pair(pages)
-    assert first.count() == 3002 and first.groupBy("file").count().agg(F.max("count")).first()[0] < 2 * fixity.FILE_RECORDS
+    assert first.count() == pages.count() == 3042 and first.select("file", "offset").distinct().count() == 3042
+    assert first.where("page_id = 5").count() == 41 and first.where("page_id = 5").select("file").distinct().count() > 5
+    assert first.groupBy("file").count().agg(F.max("count")).first()[0] < 2 * fixity.FILE_RECORDS
     report = fixity.fixity_report(pages)
     bad = sum(r.n_bad for r in report.collect())
+    assert sum(r.records for r in report.collect()) == 3042
     assert 10 < bad < 100 and report.where("first_root <=> second_root").where("n_bad > 0").count() == 0
     assert fixity.fixity_report(pages.limit(0)).count() == 0
 
