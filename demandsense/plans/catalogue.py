@@ -1,12 +1,13 @@
 """Named queries over a star schema: each runs one or more operators over whole tables."""
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from demandsense.functions import scores
@@ -328,7 +329,7 @@ def weekly_rolling_history(spark: SparkSession, path: str) -> DataFrame:
 @query
 def search_features(spark: SparkSession, path: str) -> DataFrame:
     star = Star(spark, path)
-    return rounded(history.search_stats(star.search_days(60)))
+    return rounded(history.search_stats(star.search_days(star.window()[1])))
 
 
 @query
@@ -403,6 +404,29 @@ def _aggregate_inputs(star: Star):
     return features.Inputs(nodes.withColumnRenamed("node_id", "series_id"), series, start, n), layout.origin_layout(n)
 
 
+def _node_inputs(star: Star):
+    """Aggregate nodes with every covariate: a node reads the weather of its store and the search of its category, else the mean of all."""
+    leaf, _ = star.inputs()
+    inp, lay = _aggregate_inputs(star)
+    leaves = star.daily("item_store").select("store_id", "region", "category", "item_id", F.col("series_id").alias("node_id")).distinct()
+    traits = hierarchy.node_attributes(leaves.join(star.items().drop("category"), "item_id")).select(F.col("node_id").alias("series_id"), "price", "pack_size", "level_idx")
+    nodes = leaf.series.select(F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), e.alias("series_id")) for lv, e in hierarchy.ancestor_ids()])).alias("n"), "store_id", "city", "search_key",
+                               "store_idx", "cat_idx", "region_idx").select("n.*", "store_id", "city", "search_key", "store_idx", "cat_idx", "region_idx")
+    of_store, of_category = F.col("level").isin("store", "store_category"), F.col("level") == "store_category"
+    keyed = nodes.groupBy("series_id", "level").agg(F.min("city").alias("city"), F.min("search_key").alias("search_key"), *[F.min(c).alias(c) for c in ("store_idx", "cat_idx", "region_idx")])
+    keyed = keyed.select("series_id", F.when(of_store, F.col("city")).otherwise(panel.ALL).alias("city"), F.when(of_category, F.col("search_key")).otherwise(panel.ALL).alias("search_key"),
+                         F.when(of_store, F.col("store_idx")).alias("store_idx"), F.when(of_category, F.col("cat_idx")).alias("cat_idx"),
+                         F.when(F.col("level") != "total", F.col("region_idx")).alias("region_idx"), F.lit(0).alias("launch_idx"))
+    return features.Inputs(inp.panel, keyed.join(traits, "series_id", "left"), inp.start, inp.n_obs, events=leaf.events, weather=leaf.weather, climate=leaf.climate,
+                           search=leaf.search, seed=leaf.seed), lay
+
+
+def _with_node_promotions(rows: DataFrame, inp: features.Inputs) -> DataFrame:
+    """The mean discount of a node's leaves on the target day."""
+    given = inp.panel.select("series_id", F.col("day_idx").alias("day"), "disc", "post_promo")
+    return rows.join(given, ["series_id", "day"], "left").withColumns({"disc": F.coalesce("disc", F.lit(0.0)), "post_promo": F.coalesce("post_promo", F.lit(0))})
+
+
 @query
 def aggregate_scaling(spark: SparkSession, path: str) -> DataFrame:
     """History of aggregate nodes divided by its own level at the origin, with the ratio target."""
@@ -642,14 +666,18 @@ def store_level_mase(spark: SparkSession, path: str) -> DataFrame:
     return rounded(metrics.store_mase(forecast.usable(rows), history.with_masked(inp.panel), lay.train_end, ["b0", "b1", "m2"]))
 
 
+def _truth(star: Star, inp: features.Inputs) -> DataFrame:
+    """True demand stand-in: sales before returns."""
+    return star.sold_lines().groupBy("store_id", "category", F.datediff("date", F.lit(inp.start)).alias("day")).agg(
+        F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(F.col("l_quantity") + 5)).alias("demand"))
+
+
 @query
 def accuracy_vs_truth(spark: SparkSession, path: str) -> DataFrame:
     """Forecasts against an alternate truth: demand before returns, per store, category and day."""
     star = Star(spark, path)
     rows, inp, lay = _forecasts(star, ["test"])
-    truth = star.sold_lines().groupBy("store_id", "category", F.datediff("date", F.lit(inp.start)).alias("day")).agg(
-        F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(F.col("l_quantity") + 5)).alias("demand"))
-    return rounded(metrics.truth_accuracy(rows, truth, ["store_id", "category", "day"], "m2"))
+    return rounded(metrics.truth_accuracy(rows, _truth(star, inp), ["store_id", "category", "day"], "m2"))
 
 
 @query
@@ -1153,11 +1181,9 @@ def forecast_blocks(spark: SparkSession, path: str) -> DataFrame:
 @query
 def aggregate_model_forecasts(spark: SparkSession, path: str) -> DataFrame:
     """Ratio model of the aggregate nodes, fitted on training origins, applied to test origins."""
-    inp, lay = _aggregate_inputs(Star(spark, path))
-    feats = [f for f in features.SALES_ONLY if f in {"h", "dow", "month", "dom", *features.HISTORY}]
-    train = cut(features.scale_for_aggregate(features.build_features(inp, lay.train, lay.horizon)))
-    test = features.scale_for_aggregate(features.build_features(inp, lay.test, lay.horizon))
-    model = globalmodel.fit_aggregate_model(train, feats)
+    inp, lay = _node_inputs(Star(spark, path))
+    train, test = (cut(features.scale_for_aggregate(_with_node_promotions(features.build_features(inp, o, lay.horizon), inp))) for o in (lay.train, lay.test))
+    model = globalmodel.fit_aggregate_model(train, [*features.MULTISOURCE, "level_idx"])
     return globalmodel.aggregate_forecast(model, test).select("series_id", "origin", "day", "base", "y")
 
 
@@ -1181,12 +1207,67 @@ def partial_dependence(spark: SparkSession, path: str) -> DataFrame:
 @query
 def censoring_ablation(spark: SparkSession, path: str) -> DataFrame:
     """Bias of the model under the three treatments of censored days."""
-    inp, lay = Star(spark, path).inputs()
-    train = cut(features.build_features(inp, lay.train, lay.horizon))
-    test = cut(features.build_features(inp, lay.test, lay.horizon))
-    out = None
-    for how in ("ignore", "drop", "impute"):
-        model = globalmodel.fit_point_model(features.training_target(train, how), features.SALES_ONLY)
-        row = model.predict(test, "f").where("y IS NOT NULL").agg(scores.bias("y", "f").alias("bias"), scores.wape("y", "f").alias("wape")).withColumn("treatment", F.lit(how))
-        out = row if out is None else out.unionByName(row)
-    return out
+    star = Star(spark, path)
+    inp, lay = star.inputs()
+    return trained.censoring(inp, lay, _truth(star, inp), ["store_id", "category", "day"])
+
+
+@query
+def weather_outage_outcome(spark: SparkSession, path: str) -> DataFrame:
+    """What an outage of the weather feed over the test block costs the boosted model."""
+    return trained.weather_outage(_trained(Star(spark, path)), spark)
+
+
+@query
+def search_spike_outcome(spark: SparkSession, path: str) -> DataFrame:
+    """How far a spike of one search series moves the boosted model's forecasts, against the 5 % limit."""
+    return trained.search_spike(_trained(Star(spark, path)), spark, "view")
+
+
+@query
+def trained_bands(spark: SparkSession, path: str) -> DataFrame:
+    """Per demand class on the test block: routed forecast and its conformal band, from the trained models."""
+    rows = forecast.usable(trained.routed_bands(_trained(Star(spark, path)), spark).where("block = 'test'"))
+    return rows.groupBy("demand_class").agg(F.count(F.lit(1)).alias("rows"), scores.wape("y", "final").alias("wape"), scores.coverage("y", "p10", "p90").alias("coverage_raw"),
+                                            scores.coverage("y", "p10c", "p90c").alias("coverage"), scores.mean_pinball("y", "p10c", "p50", "p90c").alias("pinball"))
+
+
+# The thresholds of the gates (low, high, whether the bound itself fails).
+GATES = [("wape_gain_vs_b0", 0.10, None, False), ("mase_store", None, 1.0, True), ("sensing_gain_event_days", 0.05, None, False), ("pinball_gain_vs_b1", 0.10, None, False),
+         ("coverage", 0.75, 0.85, False), ("mase_intermittent_vs_b0", None, 1.0, False), ("coldstart_gain_vs_catmean", 0.10, None, False), ("coherence_error", None, 1e-6, True),
+         ("fill_rate", 0.95, None, False), ("inventory_at_95_fill_vs_p0", None, 0.0, False), ("stockout_reduction_vs_p0", 0.20, None, False), ("stability", None, 0.15, False),
+         ("leaking_features", None, 0.0, False), ("latency_p95_ms", None, 300.0, True), ("batch_minutes", None, 10.0, True)]
+
+
+@query
+def trained_gates(spark: SparkSession, path: str) -> DataFrame:
+    """All fifteen gates from measured values: forecasts of the trained models, cold start, reconciliation, ledger, leakage, latency and run time."""
+    began = time.monotonic()
+    star = Star(spark, path)
+    made = _trained(star)
+    rows = cut(trained.routed_bands(made, spark))
+    typed = _with_day_type(star, rows.where("block = 'test'").drop("disc", "in_festival", "days_to_event", "event_id", "is_holiday"), made.inp, made.lay)
+    found = trained.gate_values(made, spark, rows, typed)
+
+    def one(df: DataFrame, gate: str, value: Column) -> DataFrame:
+        return df.agg(value.cast("double").alias("value")).select(F.lit(gate).alias("gate"), "value")
+    cold, stats, series, daily, origins = _cold_rows(star)
+    ramp = coldstart.launch_ramp(daily, series, max(origins))
+    young = coldstart.category_mean(coldstart.analog_forecast(cold, series, ramp), stats).where(F.col("age") < forecast.YOUNG_AGE)
+    young = young.join(daily.select("series_id", F.col("day_idx").alias("day"), "y"), ["series_id", "day"])
+    found.append(one(young, "coldstart_gain_vs_catmean", 1 - scores.wape("y", "c1") / scores.wape("y", "catmean")))
+    base, _, rec, _, _ = _wls(star)
+    found.append(one(reconcile.coherence_error(rec, base["test"].select("node_id", "path").distinct(), "reconciled"), "coherence_error", F.max("coherence_error")))
+    kpis = cut(inventory.ledger_kpis(_ledger(star)))
+    manual, sure = F.col("policy") == inventory.POLICIES[0], F.col("policy") == inventory.POLICIES[2]
+    found.append(one(kpis, "fill_rate", F.max(F.when(sure, F.col("fill_rate")))))
+    points = inventory.ledger_kpis(_ledger(star).withColumn("store", F.element_at(F.split("series_id", "\\|"), 1)), ["policy", "store"])
+    cover = inventory.cover_at_fill(cut(points.select("policy", "fill_rate", F.col("avg_days_of_cover").alias("days_of_cover"))), 0.95)
+    found.append(one(cover, "inventory_at_95_fill_vs_p0", F.max(F.when(sure, F.col("cover"))) / F.max(F.when(manual, F.col("cover"))) - 1))
+    found.append(one(inventory.compare_policies(kpis), "stockout_reduction_vs_p0", F.max("stockout_reduction")))
+    found.append(one(leakage_probe(spark, path), "leaking_features", F.count_if(F.col("max_change") > 0)))
+    found.append(one(latency_summary(spark, path), "latency_p95_ms", F.max("p95")))
+    values = cut(reduce(DataFrame.unionByName, found))
+    took = spark.createDataFrame([("batch_minutes", (time.monotonic() - began) / 60)], "gate string, value double")
+    limits = spark.createDataFrame(GATES, "gate string, low double, high double, strict boolean")
+    return metrics.evaluate_gates(values.unionByName(took), limits)

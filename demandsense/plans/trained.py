@@ -10,15 +10,17 @@ the ratio heads that need no fit, to compare with.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandsense.functions import scores
 from demandsense.functions.lineage import checkpoint_dir, cut
-from demandsense.operators import boosted, features, forecast, globalmodel, metrics, quantile_fit
+from demandsense.operators import boosted, conformal, features, forecast, globalmodel, history, metrics, quantile_fit, robustness
 from demandsense.operators.boosted import BoostedModel
 from demandsense.operators.features import Inputs
 from demandsense.operators.layout import Layout, block_of
@@ -119,3 +121,83 @@ def head_scores(rows: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("kind"), F.lit(p / 100).alias("prob"), scores.pinball("y", head, p / 100).alias("pinball"),
                         F.avg((F.col("y") <= F.col(head)).cast("int")).alias("below"), F.count(F.lit(1)).alias("rows"))
     return kept.agg(F.array(*[told(*n) for n in names]).alias("s")).select(F.inline("s"))
+
+
+# ------------------------------------------------------------------ what reads the saved forecasts
+ROUTED = ["m2", "tsb", "sba", "croston"]
+KEYS = ["series_id", "origin", "h"]
+#: Rain forecast (log of 1 + mm) of a heavy-rain row.
+HEAVY = math.log1p(metrics.HEAVY_RAIN)
+
+
+def routed_bands(made: Backtest, spark: SparkSession) -> DataFrame:
+    """Calibration and test rows with ``final``, its band and the conformal band (``p10c``, ``p90c``) fitted on the calibration block."""
+    rows = made.forecasts(spark, *SCORED).withColumnsRenamed({f"q{p}": f"m2_p{p}" for p in HEADS})
+    cal = rows.where("block = 'cal'")
+    routes = forecast.select_routes(cal, backtest.mase_scale(made.inp, made.lay))
+    final = cut(forecast.apply_routes(rows, routes, "m2", ROUTED))
+    fitted = conformal.fit(forecast.usable(final.where("block = 'cal'")))
+    return conformal.apply(final, fitted)
+
+
+def weather_outage(made: Backtest, spark: SparkSession) -> DataFrame:
+    """One row: WAPE of the boosted model with and without weather over the test block, beside the sales-only model.
+
+    Passed: every row is flagged and the model without weather is still better than the one that never had any.
+    """
+    first, last = made.lay.test[0] + 1, made.lay.test[-1] + made.lay.horizon
+    dark = replace(made.inp, weather=robustness.blank_weather(made.inp.weather, first, last))
+    out = forecast_block(spark, dark, made.lay, made.folder, ["test"]).select(*KEYS, F.col("m2").alias("dark"), F.col("wx_missing").alias("flag"))
+    rows = made.forecasts(spark, "test").join(out, KEYS)
+    ok, rainy = F.col("y").isNotNull() & ~F.col("censored"), F.col("rain_fc") > HEAVY
+
+    def wape(model: str, on: Column) -> Column:
+        return scores.wape(F.when(on, F.col("y")), model)
+    told = rows.agg(wape("m2", ok).alias("wape_normal"), wape("dark", ok).alias("wape_outage"), wape("m1", ok).alias("wape_sales_only"),
+                    wape("m2", ok & rainy).alias("heavy_rain_normal"), wape("dark", ok & rainy).alias("heavy_rain_outage"),
+                    F.sum("flag").alias("rows_flagged"), F.count(F.lit(1)).alias("rows"))
+    return told.withColumn("passed", (F.col("wape_outage") < F.col("wape_sales_only")) & (F.col("rows_flagged") == F.col("rows")))
+
+
+def search_spike(made: Backtest, spark: SparkSession, category: str) -> DataFrame:
+    """One row (shift, passed): how far two days of spiked search before each origin move the forecasts of the series that read it."""
+    loud = replace(made.inp, search=robustness.spike_search(made.inp.search, category, made.lay.test))
+    keep = made.inp.series.where(F.col("search_key") == category).select("series_id")
+    after = forecast_block(spark, loud, made.lay, made.folder, ["test"]).join(keep, "series_id", "left_semi")
+    before = made.forecasts(spark, "test").join(keep, "series_id", "left_semi").select(*KEYS, "m2")
+    return robustness.relative_shift(before, after, KEYS, "m2")
+
+
+def censoring(inp: Inputs, lay: Layout, truth: DataFrame, keys: Sequence[str], treatments: Sequence[str] = ("ignore", "drop", "impute")) -> DataFrame:
+    """treatment, bias and WAPE against true demand (``truth``: keys, ``demand``), WAPE of uncensored days, and whether it is the least biased."""
+    train_rows, test = (cut(features.build_features(inp, o, lay.horizon)) for o in (lay.train[::2], lay.test))
+    test = cut(test.join(truth, list(keys), "left"))
+    parts = []
+    for how in treatments:
+        model = globalmodel.fit_point_model(features.training_target(train_rows, how), features.MULTISOURCE)
+        seen = F.when(~F.col("censored"), F.col("y"))
+        parts.append(model.predict(test, "f").agg(scores.bias("demand", "f").alias("bias"), scores.wape("demand", "f").alias("wape_true"), scores.wape(seen, "f").alias("wape_sales"))
+                     .select(F.lit(how).alias("treatment"), "*"))
+    out = cut(reduce(DataFrame.unionByName, parts))
+    least = out.agg(F.min(F.abs("bias")).alias("least"))
+    return out.join(F.broadcast(least)).select("treatment", "bias", "wape_true", "wape_sales", (F.abs("bias") == F.col("least")).alias("picked"))  # one row
+
+
+def gate_values(made: Backtest, spark: SparkSession, rows: DataFrame, dry: DataFrame) -> list[DataFrame]:
+    """(gate, value) of the gates that forecasts alone decide; ``rows`` from ``routed_bands``, ``dry`` its test rows with ``day_type``."""
+    test = forecast.usable(rows.where("block = 'test'"))
+    scale = backtest.mase_scale(made.inp, made.lay)
+    planner = forecast.with_count_bands(test, "b1", None, "b1")
+    whole = planner.agg(scores.wape("y", "final").alias("f"), scores.wape("y", "b0").alias("b"), scores.coverage("y", "p10c", "p90c").alias("cov"),
+                        scores.mean_pinball("y", "p10c", "p50", "p90c").alias("pin"), scores.mean_pinball("y", "b1_p10", "b1_p50", "b1_p90").alias("pin1"))
+    sensing = forecast.usable(dry).where(F.col("day_type").isin("festival", "heavy_rain")).agg(scores.wape("y", "m1").alias("m1"), scores.wape("y", "m2").alias("m2"))
+    rare = metrics.score_block(test.where(F.col("demand_class").isin(*forecast.ROUTED_CLASSES)), ["final", "b0"], scale)
+    store = metrics.store_mase(test, history.with_masked(made.inp.panel), made.lay.train_end, ["final"])
+    moved = metrics.stability(rows.where("block = 'test' AND y IS NOT NULL"), ["final"])
+
+    def values(df: DataFrame, **gates: Column) -> DataFrame:
+        return df.select(F.inline(F.array(*[F.struct(F.lit(g).alias("gate"), v.cast("double").alias("value")) for g, v in gates.items()])))
+    return [values(whole, wape_gain_vs_b0=1 - F.col("f") / F.col("b"), coverage=F.col("cov"), pinball_gain_vs_b1=1 - F.col("pin") / F.col("pin1")),
+            values(sensing, sensing_gain_event_days=1 - F.col("m2") / F.col("m1")),
+            values(rare.agg(F.max(F.when(F.col("model") == "final", F.col("mase"))).alias("f"), F.max(F.when(F.col("model") == "b0", F.col("mase"))).alias("b")), mase_intermittent_vs_b0=F.col("f") / F.col("b")),
+            values(store, mase_store=F.col("store_mase")), values(moved, stability=F.col("stability"))]

@@ -265,7 +265,7 @@ search_f AS MATERIALIZED (SELECT category, day_idx, m5 AS search_o, a7 AS search
 
 
 S4 = ", ".join(f"ROUND({c}, 6) AS {c}" for c in ("search_o", "search_mean7", "search_ratio", "search_trend"))
-add("search_features", f"SELECT category, day_idx, {S4} FROM search_f", search("30", "60"))
+add("search_features", f"SELECT category, day_idx, {S4} FROM search_f", BOUNDS, search("(SELECT n - 30 FROM bounds)", "(SELECT n FROM bounds)"))
 add("same_weekday_lags", "SELECT r.series_id, r.origin, r.h, ROUND(sdw_mean4, 6) AS sdw_mean4 FROM rows0 r LEFT JOIN lags USING (series_id, origin, h) WHERE block = 'test'",
     *BASE, LAYOUT, LAGS)
 add("seasonal_scale", "SELECT series_id, ROUND(mase_scale, 6) AS mase_scale FROM scale", *BASE, LAYOUT, SCALE)
