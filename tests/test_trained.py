@@ -143,3 +143,29 @@ def test_backtest_scores(spark, made):
     for r in trained.head_scores(made.forecasts(spark, "test")).collect():
         e = np.array([x.y - x[f"{r.kind[0]}{round(100 * r.prob)}"] for x in rows])
         assert r.pinball == pytest.approx(loss(e, r.prob)) and r.rows == len(rows) and r.below == pytest.approx((e <= 0).mean())
+
+
+def test_outage_and_spike_against_the_saved_forecasts(spark, made):
+    got = trained.weather_outage(made, spark).first()
+    rows = made.forecasts(spark, "test").where("y IS NOT NULL AND NOT censored").toPandas()
+    assert got.wape_normal == pytest.approx((rows.y - rows.m2).abs().sum() / rows.y.sum())
+    assert got.wape_sales_only == pytest.approx((rows.y - rows.m1).abs().sum() / rows.y.sum())
+    assert got.rows_flagged == got.rows == made.forecasts(spark, "test").count()
+    assert got.passed == (got.wape_outage < got.wape_sales_only)
+    shift = trained.search_spike(made, spark, "view").first()
+    assert shift["shift"] >= 0 and shift.passed == (shift["shift"] < 0.05)
+
+
+def test_bands_and_gate_values(spark, made):
+    rows = trained.routed_bands(made, spark)
+    assert rows.where("p10c > p90c OR p10c < 0 OR final IS NULL").count() == 0
+    typed = rows.where("block = 'test'").withColumn("day_type", F.when(F.col("h") < 4, "festival").otherwise("normal"))
+    values = {}
+    for part in trained.gate_values(made, spark, rows, typed):
+        values.update({r.gate: r.value for r in part.collect()})
+    test = rows.where("block = 'test' AND y IS NOT NULL AND NOT censored").toPandas()
+    assert values["wape_gain_vs_b0"] == pytest.approx(1 - (test.y - test.final).abs().sum() / (test.y - test.b0).abs().sum())
+    assert values["coverage"] == pytest.approx(((test.y >= test.p10c) & (test.y <= test.p90c)).mean())
+    near = test[test.h < 4]
+    assert values["sensing_gain_event_days"] == pytest.approx(1 - (near.y - near.m2).abs().sum() / (near.y - near.m1).abs().sum())
+    assert {"pinball_gain_vs_b1", "mase_intermittent_vs_b0", "mase_store", "stability"} <= set(values)
