@@ -8,7 +8,6 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from demandsense.llm import best_positions, piece_table, word_table
@@ -94,6 +93,7 @@ def test_sentinel_found_where_pieces_meet(monkeypatch):
 def test_word_table_equals_the_library(rows, monkeypatch, section):
     monkeypatch.setattr(word_table, "SECTION", section)
     monkeypatch.setattr(word_table, "ROW_WORDS", 50)
+    monkeypatch.setattr(word_table, "BUCKET", 5 * section)
     got = word_table.code_report(rows, PATH).collect()
     assert len(got) == len(TEXTS) + 3
     have = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got)
@@ -112,12 +112,43 @@ def test_words_are_the_librarys(spark):
         assert list(split(text)) == [text[a:b] for _, (a, b) in LIBRARY.pre_tokenizer.pre_tokenize_str(text)], repr(text)
 
 
-def test_each_word_is_encoded_once(rows):
-    words = rows.select(F.explode(F.split("text", " ")).alias("word"))
-    table = word_table.word_ids(words, PATH)
-    assert table.count() == words.distinct().count() < words.count()
-    for r in table.limit(200).collect():
-        assert r.ids == LIBRARY.encode(r.word, add_special_tokens=False).ids
+def test_each_word_is_encoded_once_in_the_bucket_that_has_it(spark, monkeypatch):
+    monkeypatch.setattr(word_table, "BUCKET", 40)
+    words = [f"w{k}" for k in range(60)] + ["日本", " the", "\n\n", "a\x00b"]
+    asked = [(s, 7 * s, RNG.sample(words, 30)) for s in range(9)]
+    page = word_table.page_size(PATH)
+    assert 50_257 / 63 <= page < 50_257 / 62
+    rows = word_table.section_ids(spark.createDataFrame(asked, "section long, first int, words array<string>").repartition(3), PATH)
+    found = {}
+    for r in rows.collect():
+        number, size, ids = (word_table.unpacked(r[k]).tolist() for k in ("asked", "sizes", "ids"))
+        assert {p for p in range(63) if r.pages >> p & 1} == {x // page for x in ids} and sum(size) == len(ids)
+        for n, k in zip(number, size):
+            found[r.section, n] = [ids.pop(0) for _ in range(k)]
+    assert found == {(s, first + i): LIBRARY.encode(w, add_special_tokens=False).ids for s, first, ws in asked for i, w in enumerate(ws)}
+
+    class Counting:
+        seen = Counter()
+
+        def encode_batch(self, texts, add_special_tokens):
+            self.seen.update(texts)
+            return LIBRARY.encode_batch(texts, add_special_tokens=add_special_tokens)
+    monkeypatch.setattr(word_table, "plain", lambda file: Counting())
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+    schemas = [to_arrow_schema(T._parse_datatype_string(x)) for x in (word_table.DEALT, word_table.ANSWERED)]
+    given = word_table.pa.RecordBatch.from_pylist([dict(zip(("section", "first", "words"), r)) for r in asked])
+    dealt = word_table.pa.Table.from_batches(word_table._dealing(4, schemas[0])(iter([given]))).sort_by("bucket")
+    file = type("File", (), {"value": ""})
+    answers = list(word_table._answering(file, page, schemas[1])(iter(dealt.to_batches())))
+    assert len(answers) == dealt.num_rows and set(Counting.seen.values()) == {1} and set(Counting.seen) == {w for _, _, ws in asked for w in ws}
+
+
+def test_packed_numbers():
+    for numbers in ([], [0], [1, 2, 2 ** 32 - 1, 7], RNG.choices(range(2 ** 20), k=5_000)):
+        assert word_table.unpacked(word_table.packed(numbers)).tolist() == numbers
+    words = ["", "é", "日本 x", "a\x00b", "\U0001f600"]
+    assert word_table.unpacked_words(**word_table.packed_words(words)) == words and word_table.unpacked_words(**word_table.packed_words([])) == []
 
 
 def test_decoding_any_ids(spark):
