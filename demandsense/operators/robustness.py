@@ -53,10 +53,10 @@ def spike_search(search: DataFrame, category: str, origins: Sequence[int], days:
     return search.withColumn("search_index", F.when(hit, F.lit(value)).otherwise(F.col("search_index")))
 
 
-def relative_shift(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str, limit: float = 0.05) -> DataFrame:
-    """One row (shift, passed): sum of absolute changes over the sum of values."""
+def relative_shift(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str, limit: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., shift, passed): sum of absolute changes over the sum of values, one row a group."""
     b = after.select(*keys, F.col(value).alias("__after"))
-    return before.join(b, list(keys)).agg(
+    return before.join(b, list(keys)).groupBy(*by).agg(
         (F.sum(F.abs(F.col("__after") - F.col(value))) / F.greatest(F.sum(value), F.lit(1e-9))).alias("shift")).withColumn(
         "passed", F.col("shift") < limit)
 

@@ -968,9 +968,7 @@ def search_spike_shift(spark: SparkSession, path: str) -> DataFrame:
     both = search_spike(spark, path)
     before = both.select("category", "day_idx", "search_o")
     after = both.select("category", "day_idx", F.col("spiked").alias("search_o"))
-    names = [r[0] for r in before.select("category").distinct().orderBy("category").collect()]      # a handful of categories
-    parts = [robustness.relative_shift(before.where(F.col("category") == c), after, ["category", "day_idx"], "search_o").withColumn("category", F.lit(c)) for c in names]
-    return rounded(reduce(DataFrame.unionByName, parts))
+    return rounded(robustness.relative_shift(before, after, ["category", "day_idx"], "search_o", by=["category"]))
 
 
 # ============================================================ decisions
