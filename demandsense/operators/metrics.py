@@ -137,6 +137,22 @@ def wape_by_level(rows: DataFrame, methods: Sequence[str]) -> DataFrame:
     return rows.where("y IS NOT NULL").groupBy("level").agg(*[scores.wape("y", m).alias(m) for m in methods])
 
 
+def wape_table(rows: DataFrame, methods: Sequence[str], cuts: Sequence[str] = ()) -> DataFrame:
+    """(level, <cuts>, rows, one column per method): WAPE by level, by level and each cut, and of all levels together.
+
+    One scan: the forecasts of a row become one row a method, grouping sets sum errors and volumes over method x level x cut,
+    and the few sums are turned round into a table.  A column that a line does not group by reads ``all``.
+    """
+    ids = ["level", *cuts]
+    known = rows.where("y IS NOT NULL").select(*[F.col(c).cast("string").alias(c) for c in ids], F.col("y"), *[F.col(m).cast("double") for m in methods])
+    long = known.unpivot([*ids, "y"], list(methods), "method", "forecast")
+    sets = [["method"], ["method", "level"], *[["method", "level", c] for c in cuts]]
+    sums = long.groupingSets([[F.col(c) for c in g] for g in sets], "method", *ids).agg(
+        scores.wape("y", "forecast").alias("wape"), F.count(F.lit(1)).alias("rows"), *[F.grouping(c).alias(f"__g_{c}") for c in ids])
+    named = sums.select("method", "wape", "rows", *[F.when(F.col(f"__g_{c}") == 1, F.lit("all")).otherwise(F.col(c)).alias(c) for c in ids])
+    return named.groupBy(*ids, "rows").pivot("method", list(methods)).agg(F.max("wape"))
+
+
 def evaluate_gates(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """PASS / FAIL / N/A per gate.  ``metrics``: (gate, value); ``thresholds``: (gate, low, high,
     strict) where a missing bound is open and ``strict`` excludes the bound itself."""

@@ -766,6 +766,23 @@ def wape_by_level(spark: SparkSession, path: str) -> DataFrame:
     return rounded(metrics.wape_by_level(rows, ["base", "bottom_up", "reconciled"]))
 
 
+def _by_method(star: Star) -> DataFrame:
+    """Test rows of every node with the forecast of each reconciliation method."""
+    base, acts, rec, cases, res = _wls(star)
+    mint = reconcile.mint_shrink(base["test"], cut(res), cases["cal"], cases["test"])
+    keys = ["node_id", "origin", "day"]
+    return (base["test"].withColumnRenamed("yhat", "base").join(reconcile.bottom_up(base["test"]).drop("level"), keys)
+            .join(rec.select(*keys, F.col("reconciled").alias("wls")), keys).join(mint.select(*keys, F.col("reconciled").alias("mint")), keys)
+            .join(acts, ["node_id", "day"], "left"))
+
+
+@query
+def wape_levels_methods(spark: SparkSession, path: str) -> DataFrame:
+    """Five levels by four methods, whole and by half of the horizon, from one scan."""
+    rows = _by_method(Star(spark, path)).withColumn("lead", F.when(F.col("day") - F.col("origin") <= 7, "week 1").otherwise("week 2"))
+    return metrics.wape_table(rows, ["base", "bottom_up", "wls", "mint"], ["lead"])
+
+
 @query
 def shrinkage_intensity(spark: SparkSession, path: str) -> DataFrame:
     base, acts, cases = _reconcile_inputs(Star(spark, path))

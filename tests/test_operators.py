@@ -269,6 +269,18 @@ def test_crowded_cells_are_parted(spark, monkeypatch):
     assert last.join(spark.createDataFrame(cells), at).agg(F.max("sites")).first()[0] <= 6
 
 
+def test_wape_table_of_levels_methods_and_cuts(spark):
+    rng = np.random.default_rng(8)
+    rows = [(lv, c, float(rng.integers(0, 9)) if rng.random() > 0.1 else None, float(rng.random()), float(rng.random()) if rng.random() > 0.2 else None) for lv in ("total", "store") for c in (1, 2) for _ in range(20)]
+    got = {(r.level, r.week): r for r in metrics.wape_table(spark.createDataFrame(rows, "level string, week int, y double, a double, b double"), ["a", "b"], ["week"]).collect()}
+    assert set(got) == {("all", "all"), *((lv, "all") for lv in ("total", "store")), *((lv, w) for lv in ("total", "store") for w in ("1", "2"))}
+    for (lv, w), r in got.items():
+        own = [x for x in rows if lv in (x[0], "all") and w in (str(x[1]), "all") and x[2] is not None]
+        for m, i in (("a", 3), ("b", 4)):
+            both = [(x[2], x[i]) for x in own if x[i] is not None]
+            assert r[m] == pytest.approx(sum(abs(y - f) for y, f in both) / sum(y for y, _ in both)) and r.rows == len(own)
+
+
 def test_stability_and_scale(spark):
     rows = [("a", 1, 10, 5.0), ("a", 8, 10, 5.0)]
     df = spark.createDataFrame(rows, "series_id string, origin int, day int, f double")
