@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["quarantine_reasons", "promotion_days", "event_calendar", "kept_promotions", "weekly_rolling_history", "intermittent_states", "analog_items", "order_review", "same_weekday_lags",
-         "planner_baseline", "aggregate_scaling", "node_attributes", "latest_decisions", "launch_ramp"]
+         "planner_baseline", "aggregate_scaling", "node_attributes", "latest_decisions", "launch_ramp", "decision_append", "incremental_ingest", "observed_quality_report", "search_spike_shift"]
 
 
 @pytest.mark.parametrize("name", NAMES)
