@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandsense.functions.lineage import cut
 from demandsense.operators import history, panel
 from demandsense.operators.features import Inputs
 from demandsense.operators.layout import Layout, origin_layout
@@ -63,11 +64,11 @@ class Star:
                      F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09)).alias("stockout"))
                 .withColumn("series_id", F.concat_ws("|", *ident)))
 
-    def panel(self, level: str = "store_category", start: date | None = None, n_obs: int | None = None) -> DataFrame:
-        """Dense daily panel from each series' first day on; days without lines sold 0."""
+    def panel(self, level: str = "store_category", start: date | None = None, n_obs: int | None = None, daily: DataFrame | None = None) -> DataFrame:
+        """Dense daily panel from each series' first day on; days without lines sold 0.  ``daily``: the observed days, if they are at hand."""
         if start is None:
             start, n_obs = self.window()
-        daily = self.daily(level).withColumn("day_idx", F.datediff("date", F.lit(start)))
+        daily = (self.daily(level) if daily is None else daily).withColumn("day_idx", F.datediff("date", F.lit(start)))
         dims = [c for c in ("store_id", "region", "category", "item_id") if c in daily.columns]
         out = fill_gaps(daily.drop("date"), n_obs - 1, by=["series_id", *dims],
                         fill={"y": 0.0, "disc": 0.0, "stockout": False})
@@ -94,6 +95,14 @@ class Star:
                 .select("item_id", "region", "date_start", F.date_add("date_start", 6).alias("date_end"),
                         "discount", F.unix_date("month").alias("promo_ord")))
 
+    @staticmethod
+    def category_promotions(daily: DataFrame) -> DataFrame:
+        """``promotions`` of the categories from the observed days of store x category series."""
+        return (daily.groupBy(F.col("category").alias("item_id"), "region", F.trunc("date", "MM").alias("month"))
+                .agg(F.min("date").alias("date_start"), F.max("disc").alias("discount"))
+                .select("item_id", "region", "date_start", F.date_add("date_start", 6).alias("date_end"),
+                        "discount", F.unix_date("month").alias("promo_ord")))
+
     def weather(self) -> DataFrame:
         """Per nation and order day: the covariates with real gaps on days without orders."""
         orders, customer = self.table("orders"), self.table("customer")
@@ -135,19 +144,21 @@ class Star:
 
     def weather_days(self, start: date) -> DataFrame:
         values = ["temp_max", "rain_mm", "humidity"]
-        return panel.with_all_entity(self.weather().withColumn("day_idx", F.datediff("date", F.lit(start))), "city", values)
+        days = cut(self.weather())          # read for each city and for all of them
+        return panel.with_all_entity(days.withColumn("day_idx", F.datediff("date", F.lit(start))), "city", values)
 
     def search_days(self, n_obs: int) -> DataFrame:
         """Event-log interest with its last day moved to the panel's last day; rows before the panel's first day go."""
-        first, last = self.table("events").agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
-        rows = panel.search_panel(self.search(), first).withColumn("day_idx", F.col("day_idx") + (n_obs - 1 - (last - first).days)).where(F.col("day_idx") >= 0)
+        search = cut(self.search())         # read for its range, for each category and for all of them
+        first, last = search.agg(F.min("date"), F.max("date")).first()
+        rows = panel.search_panel(search, first).withColumn("day_idx", F.col("day_idx") + (n_obs - 1 - (last - first).days)).where(F.col("day_idx") >= 0)
         return fill_gaps(rows, n_obs - 1, by=["category"], fill={"search_index": None})
 
-    def category_series(self, start: date) -> DataFrame:
-        """Store x category series with attributes, codes and covariate keys."""
-        daily = self.daily("store_category")
-        dims = daily.groupBy("series_id", "store_id", "region", "category").agg(
-            F.datediff(F.min("date"), F.lit(start)).alias("launch_idx")).join(self.categories(), "category")
+    def category_series(self, start: date, daily: DataFrame | None = None) -> DataFrame:
+        """Store x category series with attributes, codes and covariate keys.  ``daily``: the observed days, if they are at hand."""
+        daily = self.daily("store_category") if daily is None else daily
+        dims = cut(daily.groupBy("series_id", "store_id", "region", "category").agg(
+            F.datediff(F.min("date"), F.lit(start)).alias("launch_idx")).join(self.categories(), "category"))       # read by each code
         key = F.create_map(*[x for kv in SEARCH_KEYS.items() for x in map(F.lit, kv)])[F.col("category")]
         for c, out in (("category", "cat_idx"), ("store_id", "store_idx"), ("region", "region_idx")):
             dims = dims.join(panel.code_of(dims, c, out), c)
@@ -155,15 +166,20 @@ class Star:
             "search_key", F.coalesce(key, F.lit(panel.ALL)))
 
     def inputs(self, seed: int = 7) -> tuple[Inputs, Layout]:
-        """Everything the feature builder reads, for store x category series."""
+        """Everything the feature builder reads, for store x category series.
+
+        Orders, events and line items are read here and not again: line items are joined and grouped by day once, panel,
+        series and promotions come from that table, and what a feature join reads is a written table of days, not a plan.
+        """
         start, n_obs = self.window()
         lay = origin_layout(n_obs)
         last = n_obs - 1 + lay.horizon
-        promos = self.promotions()
-        active = panel.promotion_days(promos, start, last)
-        weather = self.weather_days(start)
+        daily = cut(self.daily("store_category"))
+        promos = cut(self.category_promotions(daily))
+        active = cut(panel.promotion_days(promos, start, last))
+        weather = cut(self.weather_days(start))
         return Inputs(
-            panel=self.panel("store_category", start, n_obs).persist(), series=self.category_series(start), start=start, n_obs=n_obs,
-            events=self.event_days(start, n_obs, lay.horizon), promo=active,
-            post_promo=panel.post_promotion_days(promos, active, start, last), weather=weather,
-            climate=history.climatology(weather, lay.train_end, start=start), search=self.search_days(n_obs), seed=seed), lay
+            panel=self.panel("store_category", start, n_obs, daily).persist(), series=cut(self.category_series(start, daily)), start=start, n_obs=n_obs,
+            events=cut(self.event_days(start, n_obs, lay.horizon)), promo=active,
+            post_promo=cut(panel.post_promotion_days(promos, active, start, last)), weather=weather,
+            climate=cut(history.climatology(weather, lay.train_end, start=start)), search=cut(self.search_days(n_obs)), seed=seed), lay
