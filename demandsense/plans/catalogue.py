@@ -540,7 +540,8 @@ def _cold(star: Star):
     """Item x store series at early origins, where many are young; ``final`` is mean28."""
     start, n = star.window()
     daily = star.daily("item_store").withColumn("day_idx", F.datediff("date", F.lit(start))).persist()
-    series = daily.groupBy("series_id", "store_id", "category", "item_id").agg(F.min("day_idx").alias("launch_idx")).join(
+    # straight from the line items: a group each series, where ``daily`` holds one each series and day
+    series = star.launches().withColumn("launch_idx", F.datediff("launch_date", F.lit(start))).drop("launch_date").join(
         star.items().drop("category"), "item_id").persist()        # a dimension table in practice
     origins = [n // 12 + layout.STEP * i for i in range(layout.N_TEST)]        # early, where many items are young
     return daily, series, origins, start, n
@@ -549,7 +550,9 @@ def _cold(star: Star):
 def _cold_rows(star: Star):
     daily, series, origins, start, n = _cold(star)
     keep = ["store_id", "category", "launch_idx"]
-    recent = history.trailing_at_origins(history.with_masked(daily), origins).select("series_id", "origin", "mean28")
+    # the days that an origin sees, picked among the line items before they are joined and grouped
+    seen = star.daily("item_store").withColumn("day_idx", F.datediff("date", F.lit(start))).where(F.col("day_idx").between(origins[0] - 55, origins[-1]))
+    recent = history.trailing_at_origins(history.with_masked(seen), origins).select("series_id", "origin", "mean28")
     stats = series.select("series_id", *keep, F.explode(F.array(*[F.lit(o) for o in origins])).alias("origin"))
     stats = stats.join(recent, ["series_id", "origin"], "left")
     rows = stats.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(14)))).withColumn("day", F.col("origin") + F.col("h"))

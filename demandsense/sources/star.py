@@ -46,10 +46,10 @@ class Star:
         line, part, supplier = self.table("lineitem"), self.table("part"), self.table("supplier")
         shops = supplier.join(self.stores(), supplier.s_nationkey == F.col("n_nationkey")) \
                         .select("s_suppkey", "store_id", "region")
-        goods = part.select("p_partkey", F.col("p_type").alias("category"),
-                            F.concat_ws("|", "p_type", "p_brand").alias("item_id"), "p_retailprice", "p_size")
+        goods = part.select("p_partkey", F.col("p_type").alias("category"), "p_brand", "p_retailprice", "p_size")
         return (line.join(goods, line.l_partkey == goods.p_partkey)
                     .join(shops, line.l_suppkey == shops.s_suppkey)
+                    .withColumn("item_id", F.concat_ws("|", "category", "p_brand")).drop("p_brand")      # after the join, whose table stays narrow
                     .withColumn("date", F.to_date("l_shipdate")))
 
     def daily(self, level: str = "store_category") -> DataFrame:
@@ -64,6 +64,11 @@ class Star:
                      F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.09)).alias("stockout"))
                 .withColumn("series_id", F.concat_ws("|", *ident)))
 
+    def launches(self) -> DataFrame:
+        """First day of each item x store series with sales."""
+        return (self.sold_lines().groupBy("store_id", "category", "item_id").agg(F.min("date").alias("launch_date"))
+                .select(F.concat_ws("|", "store_id", "item_id").alias("series_id"), "store_id", "category", "item_id", "launch_date"))
+
     def panel(self, level: str = "store_category", start: date | None = None, n_obs: int | None = None, daily: DataFrame | None = None) -> DataFrame:
         """Dense daily panel from each series' first day on; days without lines sold 0.  ``daily``: the observed days, if they are at hand."""
         if start is None:

@@ -1,4 +1,7 @@
 """What the feature builder reads: the same rows as the plain views, from tables written once."""
+from pyspark.sql import functions as F
+
+from demandsense.plans import catalogue
 from demandsense.sources.star import Star
 
 PATH = "/root/testdata/sf0.001"
@@ -24,3 +27,19 @@ def test_daily_at_hand_gives_the_same_panel_and_series(spark):
     daily = star.daily()
     for plain, made in ((star.panel("store_category", start, n), star.panel("store_category", start, n, daily)), (star.category_series(start), star.category_series(start, daily))):
         assert plain.exceptAll(made).isEmpty() and made.exceptAll(plain).isEmpty()
+
+
+def test_launches_are_the_first_days(spark):
+    star = Star(spark, PATH)
+    made, daily = star.launches(), star.daily("item_store")
+    plain = daily.groupBy("series_id", "store_id", "category", "item_id").agg(F.min("date").alias("launch_date"))
+    assert made.columns == plain.columns and made.count() == plain.count() > 0
+    assert plain.exceptAll(made).isEmpty() and made.exceptAll(plain).isEmpty()
+
+
+def test_item_series_do_not_come_from_the_days_of_all_series(spark):
+    spark.catalog.clearCache()
+    _, series, *_ = catalogue._cold(Star(spark, PATH))
+    plan = series._jdf.queryExecution().executedPlan().toString()
+    spark.catalog.clearCache()
+    assert "l_shipdate" in plan and "l_quantity" not in plan
