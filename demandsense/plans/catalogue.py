@@ -637,9 +637,9 @@ def forecast_revisions(spark: SparkSession, path: str) -> DataFrame:
 
 def _with_day_type(star: Star, rows: DataFrame, inp: features.Inputs, lay: Layout) -> DataFrame:
     start, n, last = inp.start, inp.n_obs, inp.n_obs - 1 + lay.horizon
-    ev = star.event_days(start, n, lay.horizon).withColumnRenamed("day_idx", "day")
-    promo = panel.promotion_days(star.promotions(), start, last).select(F.col("item_id").alias("category"), "region", F.col("day_idx").alias("day"), "disc")
-    rain = star.weather_days(start).select(F.col("city").alias("store_id"), F.col("day_idx").alias("day"), "rain_mm")
+    ev = (star.event_days(start, n, lay.horizon) if inp.events is None else inp.events).withColumnRenamed("day_idx", "day")
+    promo = (panel.promotion_days(star.promotions(), start, last) if inp.promo is None else inp.promo).select(F.col("item_id").alias("category"), "region", F.col("day_idx").alias("day"), "disc")
+    rain = (star.weather_days(start) if inp.weather is None else inp.weather).select(F.col("city").alias("store_id"), F.col("day_idx").alias("day"), "rain_mm")
     rows = (rows.join(ev, "day", "left").join(promo, ["category", "region", "day"], "left").join(rain, ["store_id", "day"], "left")
                 .withColumn("disc", F.coalesce("disc", F.lit(0.0))))
     return rows.withColumn("day_type", metrics.day_type(F.col("rain_mm") * 10))
@@ -842,9 +842,9 @@ def production_orders(spark: SparkSession, path: str) -> DataFrame:
                                                      "on_hand", "suggested_qty", "policy"))
 
 
-def _ledger(star: Star) -> DataFrame:
+def _ledger(star: Star, inp: features.Inputs | None = None) -> DataFrame:
     """Recorded ledger stand-in: stock is the mean (or 1.5 x the mean) of the last week."""
-    inp, _ = _panel_inputs(star)
+    inp = inp or _panel_inputs(star)[0]
     mean7 = F.avg("y").over(history.trailing(7))
     rows = inp.panel.select("series_id", "day_idx", F.col("y").alias("demand"), mean7.alias("mean7"))
     rows = rows.withColumn("p", F.explode(F.array(*[
@@ -955,7 +955,10 @@ PROBED = ["last_obs", "mean7", "mean28", "mean56", "std28", "zero28", "sdw_mean4
 @query
 def leakage_probe(spark: SparkSession, path: str) -> DataFrame:
     """Features rebuilt after scrambling the future: the largest change per feature is 0."""
-    inp, lay = Star(spark, path).inputs()
+    return _leakage(*Star(spark, path).inputs())
+
+
+def _leakage(inp: features.Inputs, lay: Layout) -> DataFrame:
     return robustness.leakage_probe(inp, lay.test[0], lay.horizon, PROBED)
 
 
@@ -1276,14 +1279,14 @@ def trained_gates(spark: SparkSession, path: str) -> DataFrame:
     found.append(one(young, "coldstart_gain_vs_catmean", 1 - scores.wape("y", "c1") / scores.wape("y", "catmean")))
     base, _, rec, _, _ = _wls(star)
     found.append(one(reconcile.coherence_error(rec, base["test"].select("node_id", "path").distinct(), "reconciled"), "coherence_error", F.max("coherence_error")))
-    kpis = cut(inventory.ledger_kpis(_ledger(star)))
+    kpis = cut(inventory.ledger_kpis(_ledger(star, made.inp)))
     manual, sure = F.col("policy") == inventory.POLICIES[0], F.col("policy") == inventory.POLICIES[2]
     found.append(one(kpis, "fill_rate", F.max(F.when(sure, F.col("fill_rate")))))
-    points = inventory.ledger_kpis(_ledger(star).withColumn("store", F.element_at(F.split("series_id", "\\|"), 1)), ["policy", "store"])
+    points = inventory.ledger_kpis(_ledger(star, made.inp).withColumn("store", F.element_at(F.split("series_id", "\\|"), 1)), ["policy", "store"])
     cover = inventory.cover_at_fill(cut(points.select("policy", "fill_rate", F.col("avg_days_of_cover").alias("days_of_cover"))), 0.95)
     found.append(one(cover, "inventory_at_95_fill_vs_p0", F.max(F.when(sure, F.col("cover"))) / F.max(F.when(manual, F.col("cover"))) - 1))
     found.append(one(inventory.compare_policies(kpis), "stockout_reduction_vs_p0", F.max("stockout_reduction")))
-    found.append(one(leakage_probe(spark, path), "leaking_features", F.count_if(F.col("max_change") > 0)))
+    found.append(one(_leakage(made.inp, made.lay), "leaking_features", F.count_if(F.col("max_change") > 0)))
     found.append(one(latency_summary(spark, path), "latency_p95_ms", F.max("p95")))
     values = cut(reduce(DataFrame.unionByName, found))
     took = spark.createDataFrame([("batch_minutes", (time.monotonic() - began) / 60)], "gate string, value double")

@@ -1,4 +1,6 @@
 """What the feature builder reads: the same rows as the plain views, from tables written once."""
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from demandsense.plans import catalogue
@@ -43,3 +45,14 @@ def test_item_series_do_not_come_from_the_days_of_all_series(spark):
     plan = series._jdf.queryExecution().executedPlan().toString()
     spark.catalog.clearCache()
     assert "l_shipdate" in plan and "l_quantity" not in plan
+
+
+def test_gates_read_the_inputs_at_hand(spark):
+    star = Star(spark, PATH)
+    inp, lay = star.inputs()
+    rows = inp.series.select("store_id", "category", "region").withColumn("day", F.explode(F.sequence(F.lit(inp.n_obs - 200), F.lit(inp.n_obs + 5))))
+    made = catalogue._with_day_type(star, rows, inp, lay)
+    plain = catalogue._with_day_type(star, rows, replace(inp, events=None, promo=None, weather=None), lay)
+    assert not [f for f in made.inputFiles() if f.endswith(("lineitem.parquet", "orders.parquet"))]
+    assert plain.exceptAll(made).isEmpty() and made.exceptAll(plain).isEmpty()
+    assert not [f for f in catalogue._ledger(star, inp).inputFiles() if f.endswith("lineitem.parquet")]
